@@ -8,13 +8,27 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, packing, token_counts
+from . import decontaminate, langid, minhash, packing, substring_dedup, token_counts, url_filter
 from .common import crc_fold, table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+#: The rules of the URL filter query: host, path, action.
+URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+
+
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.dedup(docs).select("doc_id", "parse.n_words", "parse.n_removed", F.sha2("parse.kept", 256).alias("kept_sha256"))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "filter.host", "filter.path", "filter.rule", "filter.verdict")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.fit(docs.where(crc_fold(F.col("doc_id")) != 0), PIECES)
@@ -33,12 +47,17 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "scan.n_words", hits.alias("n_hit"), F.size("scan.items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "scan.items"), 256).alias("items_sha256"), (hits > 0).alias("contaminated"))
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return minhash.near_duplicates(docs, shingle=2, similarity=(80, 100))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), WORD_BPE)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_language_id, op7_token_counts, op8_decontaminate, op10_packing)}
+    return {f.__name__: f for f in (op1_substring_dedup, op4_url_filter, op6_language_id, op7_token_counts, op8_decontaminate, op9_minhash, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
