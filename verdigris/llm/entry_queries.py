@@ -8,13 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, minhash, packing, substring_dedup, token_counts, url_filter
-from .common import crc_fold, table
+from . import ann, decontaminate, langid, minhash, packing, substring_dedup, token_counts, toxicity, url_filter, warc
+from .common import crc_fold, shared_folder, table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Label rows that may be broadcast: at most 12 bytes each on the wire, 60 MB in all.
+BROADCAST_LABELS = 5_000_000
+
 #: The rules of the URL filter query: host, path, action.
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
@@ -24,11 +27,32 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(docs).select("doc_id", "parse.n_words", "parse.n_removed", F.sha2("parse.kept", 256).alias("kept_sha256"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark, "warc")
+    warc.write(warc.with_revisits(table(spark, sf_dir, "pages").select("page_id", "url", "html")), folder)
+    return warc.read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = crc_fold(F.col("doc_id"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where("toxic is not null").where(fold != 0)
+    if labels.count() <= BROADCAST_LABELS:  # otherwise the join shuffles both sides
+        labels = F.broadcast(labels)
+    labelled = docs.join(labels, "doc_id")
+    model = toxicity.fit(labelled, held_back=fold == 4)
+    return toxicity.assess(docs, model).select("doc_id", (fold == 0).alias("held_out"), "toxicity.score", (F.col("toxicity.score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
     return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "filter.host", "filter.path", "filter.rule", "filter.verdict")
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.fit(docs.where(crc_fold(F.col("doc_id")) != 0), PIECES)
@@ -57,7 +81,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op4_url_filter, op6_language_id, op7_token_counts, op8_decontaminate, op9_minhash, op10_packing)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_warc, op3_toxicity, op4_url_filter, op5_ann, op6_language_id, op7_token_counts, op8_decontaminate, op9_minhash, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
