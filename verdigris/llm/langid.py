@@ -161,8 +161,14 @@ def expected_counts(words: list[str], weight: np.ndarray, vocab: Vocabulary, pro
 def fit(labelled: DataFrame, vocab_path: str, *, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, rounds: int = 3, smoothing: float = 0.1) -> Model:
     """Piece probabilities of every language in ``lang_col``."""
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text"))
-    sample = rows.withColumn("rank", rank).where(F.col("rank") <= per_language).drop("rank")
+    # a share of each language that holds more than enough rows first, so that no language fills a task
+    enough = per_language + 8 * per_language**0.5
+    shares = {r["lang"]: min(1.0, enough / r["count"]) for r in rows.groupBy("lang").count().collect()}
+    turn = F.xxhash64("text")
+    share = F.element_at(F.create_map(*[F.lit(x) for pair in shares.items() for x in pair]), F.col("lang")) if shares else F.lit(0.0)
+    some = rows.withColumn("turn", turn).where(F.pmod("turn", F.lit(1 << 31)) < share * (1 << 31))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("turn", "text"))
+    sample = some.withColumn("rank", rank).where(F.col("rank") <= per_language).select("lang", "text")
 
     def count(batches):
         for part in text_slices(batches, "text"):
