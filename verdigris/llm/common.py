@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that one numpy step works on; longer single texts form a slice of their own.
-SLICE_BYTES = 24 << 20
+SLICE_BYTES = 4 << 20
 
 
 def text_slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

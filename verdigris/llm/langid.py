@@ -33,6 +33,8 @@ UNKNOWN = 1e-6
 #: Characters between two rescalings of the forward sums.
 RESCALE = 16
 PER_LANGUAGE = 2000
+#: Words whose likelihoods a task remembers between slices.
+CACHE = 100_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 FIELDS = "lang_pred string, score double, n_words bigint"
 
@@ -132,6 +134,27 @@ def log_likelihoods(words: list[str], vocab: Vocabulary, prob: np.ndarray) -> np
     return out
 
 
+class WordScores:
+    """Log-likelihoods of words under a model, remembered between slices of text."""
+
+    def __init__(self, vocab: Vocabulary, prob: np.ndarray):
+        self.vocab, self.prob = vocab, prob
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.rows = np.zeros((0, self.prob.shape[1]))
+
+    def of(self, words: list[str]) -> np.ndarray:
+        """words x languages."""
+        if len(self.known) + len(words) > CACHE:
+            self.clear()
+        if new := [w for w in words if w not in self.known]:
+            self.known.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
+            self.rows = np.concatenate([self.rows, log_likelihoods(new, self.vocab, self.prob)])
+        return self.rows[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))]
+
+
 def expected_counts(words: list[str], weight: np.ndarray, vocab: Vocabulary, prob: np.ndarray) -> np.ndarray:
     """Expected uses of each piece (words x weight) under one language's probabilities."""
     out = np.zeros(len(vocab.pieces))
@@ -210,7 +233,8 @@ def identify(docs: DataFrame, model: Model, vocab_path: str, *, text_col: str =
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def factory():
-        own, vocab = sent.value, vocabulary(vocab_path)
+        own = sent.value
+        scores = WordScores(vocabulary(vocab_path), own.probability)
         names = np.array([*own.languages, "und"], object)
 
         def apply(texts: pa.Array) -> pa.Array:
@@ -218,7 +242,7 @@ def identify(docs: DataFrame, model: Model, vocab_path: str, *, text_col: str =
             best, score = np.full(len(texts), len(names) - 1), np.zeros(len(texts))
             if len(words) and own.languages:
                 index, distinct = encode_words(words)
-                each = log_likelihoods(distinct.to_pylist(), vocab, own.probability)
+                each = scores.of(distinct.to_pylist())
                 text_of = np.repeat(np.arange(len(texts)), per_text)
                 total = np.stack([np.bincount(text_of, each[index, k], len(texts)) for k in range(each.shape[1])], 1)
                 there = per_text > 0

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import encode_words, ragged, split_words, starts_of, text_slices, written
 
-CACHE = 400_000
+CACHE = 200_000
 MERGE = 8
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 ARROW = pa.schema([*((n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")), ("ids", pa.binary())])
