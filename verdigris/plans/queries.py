@@ -703,7 +703,8 @@ def parsed_sheets(spark, sf_dir):
 def printed_sheets(spark, sf_dir) -> DataFrame:
     """A docket sheet for every order, its charges being the priced lines of distinct sequence."""
     rows = B.charges(spark, sf_dir)
-    one = rows.groupBy("docket_id", "docket_number", "filed_date", "sequence").agg(F.min(F.struct("charge_id", "offense", "statute", "disposition_raw", "disposition_date")).alias("c"))
+    one = rows.groupBy("docket_id", "docket_number", "filed_date", "sequence").agg(F.min(F.struct("charge_id", "offense", "statute", F.coalesce("disposition_raw", F.lit("")).alias("raw"), F.coalesce(F.col("disposition_date").cast("string"), F.lit("")).alias("day"))).alias("c"))
+    one = one.withColumn("c", F.struct("c.offense", "c.statute", F.nullif("c.raw", F.lit("")).alias("disposition_raw"), F.nullif("c.day", F.lit("")).cast("date").alias("disposition_date")))
     charge = F.concat_ws(" ", F.col("sequence").cast("string"), F.col("sequence").cast("string"), F.lit("F1"), F.replace("c.statute", F.lit("18 § "), F.lit("18 § 1")), F.initcap("c.offense"), F.lit("01/02/2020 T123"))
     named = F.col("c.disposition_raw").isNotNull() & F.col("c.disposition_date").isNotNull()
     final = F.concat_ws("\n", F.concat_ws(" ", F.lit("Trial"), F.date_format("c.disposition_date", "MM/dd/yyyy"), F.lit("Final Disposition")), F.concat(F.col("sequence").cast("string"), F.lit(" / "), F.initcap("c.offense"), F.lit(" "), F.col("c.disposition_raw"), F.lit(" F1 "), F.replace("c.statute", F.lit("18 § "), F.lit("18 § 1"))), F.concat_ws(" ", F.lit("Doe, Jane"), F.date_format(F.date_add("c.disposition_date", 3), "MM/dd/yyyy")))
