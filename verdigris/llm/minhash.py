@@ -7,10 +7,13 @@ k. ``rows`` coordinates make a band; documents that agree on a band share a buck
 
 Copies collapse first: one representative (the smallest id) stands for all documents with one set.
 Buckets never give all their pairs. In a round each bucket pairs one leader with its other members,
-the pairs are verified on full sets, and verified links join components. Members of a bucket that
-the rounds leave in different components are then paired across components, so every pair that
-shares a band is either verified or already joined: no cap on bucket sizes or partners. With 32
-bands of 4 rows a pair at similarity 0.8 shares no band with probability 5e-8.
+the pairs are verified on full sets, and verified links join components. Documents of buckets that
+the rounds leave with several components are open. Open documents of different components are
+compared only where they must be: two sets that reach the similarity share a shingle among the
+rarest of each, at places that leave room for enough more (prefix and positional filter, both
+exact). So every pair that shares a band is verified, ruled out or joined already, with no cap on
+bucket sizes or partners, and pairs of a large group of unlike edits are not listed. With 32 bands
+of 4 rows a pair at similarity 0.8 shares no band with probability 5e-8.
 
 Texts are shuffled once, to fetch the sets of documents that are in some candidate pair. Results of
 every round are written to the cluster's shared folder, so lost executors cost one round at most.
@@ -131,6 +134,29 @@ def verify(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> Da
     return pairs.join(left, "a").join(right, "b").where(den * both >= num * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
+def prefix_pairs(documents: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) of different components that may reach the similarity; none that does is missing.
+
+    Shingles are ordered by how many of the documents hold them. The first shingle that two sets
+    share, at places p and q (from 0), bounds what they share by the rest of either set, so
+    n - p and m - q must reach num / (num + den) of n + m. Shingles of one document only take the
+    first places and are not joined.
+    """
+    num, den = similarity
+    tokens = documents.join(sets, "id").select("id", F.explode("shingles").alias("token"))
+    shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    ordered = tokens.join(shared, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("tokens"))
+    rows = documents.join(ordered, "id").withColumn("alone", F.col("n") - F.size("tokens"))
+    room = F.call_function("div", F.col("n") * (den - num), F.lit(den)) + 1 - F.col("alone")  # places that can start a match
+    rows = rows.where(room > 0).select("id", "n", "component", "alone", F.posexplode(F.slice("tokens", F.lit(1), room.cast("int"))).alias("place", "t"))
+    rows = rows.select("id", "n", "component", F.col("t.token").alias("token"), (F.col("n") - F.col("alone") - F.col("place")).alias("rest"))
+    other = rows.select(F.col("id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"), "token", F.col("rest").alias("rx"))
+    need = num * (F.col("n") + F.col("nx"))
+    fits = (F.col("component") < F.col("cx")) & ((num + den) * F.col("rest") >= need) & ((num + den) * F.col("rx") >= need) & (den * F.col("n") >= num * F.col("nx")) & (den * F.col("nx") >= num * F.col("n"))
+    found = rows.alias("l").join(other, "token").where(fits)
+    return found.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) for the nodes of the edges (a, b)."""
     links = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
@@ -165,21 +191,18 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sets = None
     tested = None
     for step in range(rounds + 1):
-        label = components(edges) if step else None
-        rows_now = placed
-        if label is not None:
+        rows_now = placed.withColumn("component", F.col("id"))
+        if step:
+            label = components(edges)
             rows_now = placed.join(label, placed.id == label.node, "left").select("band", "id", "n", F.coalesce("component", "id").alias("component"))
             open_bands = rows_now.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
             rows_now = rows_now.join(open_bands, "band")
-        else:
-            rows_now = rows_now.withColumn("component", F.col("id"))
         if step < rounds:
-            order = F.struct((F.xxhash64("id", F.lit(step)) if step else F.col("id")).alias("turn"), "id", "n", "component")
-            lead = rows_now.groupBy("band").agg(F.min(order).alias("lead")).select("band", F.col("lead.id").alias("x"), F.col("lead.n").alias("nx"), F.col("lead.component").alias("cx"))
+            turn = F.xxhash64("id", "band", F.lit(step)).alias("turn")  # each bucket has a leader of its own
+            lead = rows_now.groupBy("band").agg(F.min(F.struct(turn, "id", "n", "component")).alias("lead")).select("band", F.col("lead.id").alias("x"), F.col("lead.n").alias("nx"), F.col("lead.component").alias("cx"))
+            pairs = rows_now.join(lead, "band").where((F.col("component") != F.col("cx")) & sized(F.col("n"), F.col("nx"))).select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
         else:
-            lead = rows_now.select("band", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-        apart = (F.col("component") != F.col("cx")) if step < rounds else (F.col("component") < F.col("cx"))
-        pairs = rows_now.join(lead, "band").where(apart & sized(F.col("n"), F.col("nx"))).select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
+            pairs = prefix_pairs(written(rows_now.select("id", "n", "component").distinct(), "open"), sets, similarity)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
