@@ -53,11 +53,10 @@ def extract_text(files: DataFrame, extractor: Callable[[bytes], list[str]], *, l
 
 
 def json_artifacts(spark: SparkSession, folder: str, schema: T.StructType, *, multiline: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Records of the JSON files in ``folder``, and the number of malformed ones as a one-row frame."""
-    bad = "_malformed"
-    full = T.StructType([*schema.fields, T.StructField(bad, T.StringType())])
-    rows = spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad).option("multiLine", multiline).json(folder)
-    return rows.where(F.col(bad).isNull()).drop(bad), rows.select(*full.names).agg(F.count(bad).alias("skipped"))
+    """Records of the JSON files in ``folder`` (a record or a list of records each), and a one-row
+    frame with the number of malformed files (lines, if not ``multiline``)."""
+    rows = spark.read.text(folder, wholetext=multiline).where(F.trim("value") != "").select(F.from_json("value", T.ArrayType(schema)).alias("r"))
+    return rows.select(F.explode("r").alias("r")).select("r.*"), rows.agg(F.count_if(F.col("r").isNull()).alias("skipped"))
 
 
 def last_of_each(rows: DataFrame, key: str, *order: str) -> tuple[DataFrame, DataFrame]:

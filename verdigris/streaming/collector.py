@@ -58,7 +58,7 @@ def streak_states(attempts: DataFrame, *, stop: int = STREAK_STOP) -> DataFrame:
         state.update((n, blocks, errors, reason))
         yield pd.DataFrame({"run": [key[0]], "attempts": [n], "block_streak": [blocks], "error_streak": [errors], "stop_reason": [reason or None]})
 
-    return attempts.groupBy("run").applyInPandasWithState(advance, "run string, attempts long, block_streak long, error_streak long, stop_reason string", "n long, blocks long, errors long, reason string", "update", GroupStateTimeout.NoTimeout)
+    return attempts.groupBy("run").applyInPandasWithState(advance, f"run {attempts.schema['run'].dataType.simpleString()}, attempts long, block_streak long, error_streak long, stop_reason string", "n long, blocks long, errors long, reason string", "update", GroupStateTimeout.NoTimeout)
 
 
 def merge_each(root: str, key: str, version: str):
