@@ -22,8 +22,10 @@ rows are packed one by one; an empty table gives no rows.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +36,27 @@ from pyspark.sql import functions as F
 
 from .common import encode_words, ragged, split_words, starts_of, text_slices, written
 
-CACHE = 200_000
+CACHE = 400_000
 MERGE = 8
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 ARROW = pa.schema([*((n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")), ("ids", pa.binary())])
-#: A run of letters that lower-casing and NFC leave letters, perhaps with a full stop or comma
-#: behind it: two pre-tokens, whatever stands around them.
-SIMPLE = "^[A-Za-zÀ-ÖØ-öø-įı-ɏ]+[.,]?$"
+#: Letters that lower-casing and NFC leave letters, perhaps with signs behind them: two pre-tokens
+#: at most, whatever stands around them. The apostrophe is left out: contractions are cut otherwise.
+LETTERS, SIGNS = "A-Za-zÀ-ÖØ-öø-įı-ɏ", "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+SIMPLE = f"^[{LETTERS}]+[{re.escape(SIGNS)}]*$"
+#: Lower-case letters for which the tokenizer's normaliser and pre-tokenizer leave one word as it is.
+PLAIN = re.compile("[a-zß-öø-įı-ɏ]+")
 
+
+def byte_letters(first: int, last: int) -> dict[int, str]:
+    """For each character its UTF-8 bytes as the letters that a byte-level vocabulary spells them with."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    letter = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(first, last + 1)}
+
+
+_LETTERS = byte_letters(0xC0, 0x24F)
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -67,11 +82,20 @@ class Encoder:
 
     def learn(self, words: list[str]) -> None:
         ids, sizes = [self.flat], [self.size]
+        # plain words are one pre-token each and go to the library's model directly
+        plain = [PLAIN.fullmatch(w) is not None for w in words]
+        tokenize = self.model.model.tokenize
         for i in range(0, len(words), 5000):
-            part = words[i : i + 5000]
-            got = self.model.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids.append(np.array(got.ids, np.uint32))
-            sizes.append(np.bincount(np.array(got.word_ids, np.int64), minlength=len(part)))
+            part, own = words[i : i + 5000], plain[i : i + 5000]
+            spelt = [[t.id for t in tokenize(w if w.isascii() else w.translate(_LETTERS))] if p else None for w, p in zip(part, own, strict=True)]
+            if rest := [w for w, p in zip(part, own, strict=True) if not p]:
+                got = self.model.encode(rest, is_pretokenized=True, add_special_tokens=False)
+                cut = starts_of(np.bincount(np.array(got.word_ids, np.int64), minlength=len(rest))).tolist()
+                listed = got.ids
+                others = iter([listed[a:b] for a, b in pairwise(cut)])
+                spelt = [next(others) if x is None else x for x in spelt]
+            ids.append(np.fromiter(chain.from_iterable(spelt), np.uint32))
+            sizes.append(np.fromiter(map(len, spelt), np.int64, len(part)))
         self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
         self.flat, self.size = np.concatenate(ids), np.concatenate(sizes)
         self.begin = starts_of(self.size)[:-1]
@@ -89,15 +113,12 @@ class Encoder:
         words, per_text = split_words(texts)
         index, distinct = encode_words(words)
         simple = pc.match_substring_regex(distinct, SIMPLE)
-        head = pc.if_else(simple, pc.utf8_lower(pc.utf8_rtrim(distinct, ".,")), distinct)
-        coded = pa.concat_arrays([head, pa.array([".", ","])]).dictionary_encode()
-        at = self.find(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
-        place, (dot, comma) = at[:-2], at[-2:]
-        stops = lambda c, k: np.where(pc.and_(simple, pc.ends_with(distinct, c)).to_numpy(zero_copy_only=False), k, -1)
-        stop = np.maximum(stops(".", dot), stops(",", comma))
-        # every word is its head and, where cut, a stop: two runs of ids, the second perhaps empty
-        runs_at = np.stack([self.begin[place], np.where(stop >= 0, self.begin[stop], 0)], 1)
-        runs_n = np.stack([self.size[place], np.where(stop >= 0, self.size[stop], 0)], 1)
+        # every word is a head and, where it is simple, the signs behind it: two runs of ids
+        head = pc.if_else(simple, pc.utf8_lower(pc.utf8_rtrim(distinct, SIGNS)), distinct)
+        tail = pc.if_else(simple, pc.replace_substring_regex(distinct, f"^[{LETTERS}]+", ""), "")
+        coded = pa.concat_arrays([head, tail]).dictionary_encode()
+        at = self.find(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)].reshape(2, -1).T
+        runs_at, runs_n = self.begin[at], self.size[at]
         lengths = runs_n.sum(1)
         words_of = np.repeat(np.arange(len(texts)), per_text)
         counts = np.bincount(words_of, weights=lengths[index], minlength=len(texts)).astype(np.int64)
