@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, langid, minhash, packing, substring_dedup, token_counts, toxicity, url_filter, warc
+from . import ann, decontaminate, langid, minhash, oracles, packing, substring_dedup, token_counts, toxicity, url_filter, warc
 from .common import crc_fold, shared_folder, table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -85,4 +85,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql.strip() for name, sql in oracles.ORACLES.items()}
