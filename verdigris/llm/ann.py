@@ -29,7 +29,7 @@ TREES = 48
 BITS = 32
 BLOCK_ROWS = 8192
 CHUNK_ROWS = 2048
-SHARE = 0.45
+SHARE = 0.55
 LEAST = 512
 FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 

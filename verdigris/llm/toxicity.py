@@ -8,8 +8,9 @@ context thus get the same backoff in both models, so a rare expression says noth
 class counts do, while an unseen inflection still profits from the stem it shares.
 
 A document is described by its length-normalised log-likelihood ratio (toxic against ordinary), over
-the whole text and over its most telling expressions (the best one, two and four); a logistic curve
-through these turns them into ``score``.
+the whole text and over its most telling expressions (the best one, two and four), and by how many
+distinct expressions are telling (at three levels of the ratio, with their summed excess and the
+number of distinct expressions); a logistic curve through these turns them into ``score``.
 
 Fitting: counts cover every labelled training row. They are gathered as distinct letter sequences
 with their counts, then summed into tables of fixed size (hash buckets), so that the model that is
@@ -42,6 +43,9 @@ DISCOUNT = 0.75
 STRENGTH = 4.0
 CALIBRATION_ROWS = 20_000
 BEST = (1, 2, 4)
+#: Ratios from which an expression counts as telling.
+LEVELS = (1.5, 2.5, 4.0)
+WIDTH = 1 + len(BEST) + len(LEVELS) + 2
 FIELDS = "score double, ratio double"
 TABLES = ("full", "context", "types", "full3", "context3", "full1")
 
@@ -95,13 +99,15 @@ def log_ratio(words: list[str], tables: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def features(texts: pa.Array, tables: dict[str, np.ndarray]) -> np.ndarray:
-    """For each text: mean ratio over all expressions, and over its best ones."""
+    """For each text: mean ratio over all expressions and over its best ones; logarithms of how many
+    distinct ones are telling, of their excess over 1, and of how many distinct ones there are."""
     words, per_text = expressions(texts)
-    out = np.zeros((len(texts), 1 + len(BEST)))
+    out = np.zeros((len(texts), WIDTH))
     if not len(words):
         return out
     index, distinct = encode_words(words)
-    each = log_ratio(distinct.to_pylist(), tables)[index]
+    ratio = log_ratio(distinct.to_pylist(), tables)
+    each = ratio[index]
     text_of, at = np.repeat(np.arange(len(texts)), per_text), starts_of(per_text)
     out[:, 0] = np.bincount(text_of, each, len(texts)) / np.maximum(per_text, 1)
     order = np.lexsort((-each, text_of))
@@ -112,6 +118,11 @@ def features(texts: pa.Array, tables: dict[str, np.ndarray]) -> np.ndarray:
             has = per_text > i
             out[has, 1 + k] += top[at[:-1][has] + i]
         out[:, 1 + k] /= np.maximum(n, 1)
+    pairs = np.unique(text_of * len(distinct) + index)
+    text_of, own = pairs // len(distinct), ratio[pairs % len(distinct)]
+    sums = [own > level for level in LEVELS] + [np.maximum(own - 1, 0), np.ones(len(own))]
+    for k, value in enumerate(sums):
+        out[:, 1 + len(BEST) + k] = np.log1p(np.bincount(text_of, value, len(texts)))
     return out
 
 
@@ -184,20 +195,19 @@ def fit(labelled: DataFrame, *, text_col: str = "text", label_col: str = "toxic"
     """The model from labelled rows; where ``held_back`` holds they serve the curve, else the counts."""
     rows = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("toxic"), held_back.alias("back")).where("toxic in (0, 1)")
     tables = table_sums(count_sequences(rows.where("not back").select("text", "toxic")))
-    width = 1 + len(BEST)
     sent = rows.sparkSession.sparkContext.broadcast(tables)
 
     def describe(batches):
         for part in text_slices(batches, "text"):
             x = features(pc.fill_null(part.column("text"), ""), sent.value)
-            yield pa.RecordBatch.from_arrays([part.column("toxic"), part.column("turn"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), width).cast(pa.list_(pa.float64()))], names=["toxic", "turn", "x"])
+            yield pa.RecordBatch.from_arrays([part.column("toxic"), part.column("turn"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), WIDTH).cast(pa.list_(pa.float64()))], names=["toxic", "turn", "x"])
 
     described = rows.where("back").select("text", "toxic", F.xxhash64("text", "toxic").alias("turn")).mapInArrow(describe, "toxic int, turn long, x array<double>")
     seen = described.orderBy("turn").limit(calibration_rows).toPandas()
     y = seen["toxic"].to_numpy(float)
     if len(set(y)) < 2:
         share = float(np.clip(y.mean() if len(y) else 0.0, 1e-9, 1 - 1e-9))
-        return Model(tables, np.append(np.zeros(width), np.log(share / (1 - share))), np.ones(width))
+        return Model(tables, np.append(np.zeros(WIDTH), np.log(share / (1 - share))), np.ones(WIDTH))
     return Model(tables, *logistic(np.stack(seen["x"].to_list()), y))
 
 
