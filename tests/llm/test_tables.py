@@ -21,7 +21,7 @@ def pages(spark):
 def test_warc_round_trip(spark):
     rows, df = pages(spark)
     folder = shared_folder(spark, "warc")
-    warc.write(warc.with_revisits(df), folder, archive_bytes=2000)
+    warc.write(warc.with_revisits(df), folder, archive_bytes=100)
     found = warc.read(spark, folder).collect()
     assert len({r.archive for r in found}) > 3
     largest = {}

@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from verdigris.llm import decontaminate, langid, minhash, packing, substring_dedup, token_counts, toxicity
+from verdigris.llm import common, decontaminate, langid, minhash, packing, substring_dedup, token_counts, toxicity
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -87,8 +87,11 @@ def test_substring_dedup_layout_nulls_and_repeats(spark, empty):
     kept = sorted((str(r.doc_id), r.parse.kept, r.parse.n_removed) for r in found)
     assert kept == sorted([("1", passage, 0), ("2", "Head\n\ntail  end", 20), ("2", "Head\n\ntail  end", 20), ("None", passage, 0), ("3", "", 0), ("4", "", 0)])
     assert substring_dedup.dedup(empty).count() == 0
+    clash = spark.createDataFrame([(1, "a b", 7, "x")], "doc_id long, text string, shard int, Parse string")
+    row = substring_dedup.dedup(clash).first()
+    assert row.shard == 7 and row.parse.kept == "a b"
     with pytest.raises(ValueError):
-        substring_dedup.dedup(empty.withColumn("parse", F.lit(1)))
+        substring_dedup.dedup(empty, into="text")
 
 
 def groups(rows, k, num=80, den=100):
@@ -199,9 +202,11 @@ def test_decontamination_is_exact(spark, block_bytes):
 
 def test_decontamination_places_and_empty_tables(spark, docs, empty):
     text = "Über «SHORT — item» end"
-    assert [text[a:b] for a, b in decontaminate.char_spans(text, [1, 2])] == ["SHORT — item"]
+    assert [text[a:b] for a, b in decontaminate.char_spans(text, [1, 2, 3])] == ["«SHORT — item»"]
     bench = spark.createDataFrame([], "item_id long, text string")
-    assert decontaminate.contaminated(docs, bench).where("contaminated").count() == 0
+    assert decontaminate.clean(docs, bench).count() == docs.count()
+    one = spark.createDataFrame([(1, "short item", True), (2, "clean", False)], "doc_id long, text string, scan boolean")
+    assert [tuple(r) for r in decontaminate.clean(one, spark.createDataFrame(ITEMS, "item_id long, text string")).collect()] == [(2, "clean", False)]
     assert decontaminate.scan(empty, bench).count() == 0
 
 
@@ -268,6 +273,13 @@ def test_language_id(spark, empty):
     assert langid.identify(labelled.select("doc_id", "text"), nothing, PIECES).where("language.lang_pred <> 'und'").count() == 0
 
 
+def test_results_replace_columns_of_their_name(spark):
+    df = spark.createDataFrame([(1, "der Wald", "x", 3)], "doc_id long, text string, Tokens string, n int")
+    row = token_counts.token_counts(df, PIECES).first()
+    assert row.tokens.n_bytes == 8 and row.n == 3
+    assert common.free_name(["A", "a_"], "a") == "a__"
+
+
 def test_forward_sums_all_segmentations():
     vocab = langid.vocabulary(PIECES)
     prob = np.random.default_rng(0).random((len(vocab.pieces), 2)) / 1000
@@ -315,7 +327,7 @@ def test_pipeline_stages(spark, tmp_path):
     rng = random.Random(2)
     passage = " ".join(f"shared{i}" for i in range(60))
     rows = [(k, " ".join(rng.choices(LANGUAGES[x].split(), k=40)) + f" unique{k}", x, "s", 1) for k, x in enumerate(["en", "de", "es"] * 10)]
-    rows += [(100, rows[4][1], "de", "s", 1), (101, "12345", "en", "s", 1), (102, f"{passage} here", "en", "s", 1), (103, f"{rows[0][1]} {passage}", "en", "s", 1), (104, "bench one two three four five six seven eight nine ten", "en", "s", 1), (4, rows[4][1], "de", "s", 1)]
+    rows += [(100, rows[4][1], "de", "s", 1), (101, "12345", "en", "s", 1), (102, f"{passage} here", "en", "s", 1), (103, f"{rows[0][1]} {passage} own words stay here", "en", "s", 1), (104, "bench one two three four five six seven eight nine ten", "en", "s", 1), (4, rows[4][1], "de", "s", 1)]
     folder = str(tmp_path)
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(1, "one two three four five six seven eight nine ten")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")

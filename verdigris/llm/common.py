@@ -31,14 +31,29 @@ def text_slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLI
             start = end
 
 
+def without(docs: DataFrame, name: str, *kept: str) -> DataFrame:
+    """``docs`` without a column of this name, case aside; ``kept`` columns may not have it."""
+    if name.lower() in {k.lower() for k in kept}:
+        raise ValueError(f"{name!r} is a column that is read")
+    return docs.select(*[f"`{c}`" for c in docs.columns if c.lower() != name.lower()])
+
+
+def free_name(columns: list[str], base: str) -> str:
+    """``base``, with underscores behind it until no column has that name, case aside."""
+    taken = {c.lower() for c in columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def add_struct(docs: DataFrame, text_col: str, into: str, fields: str, factory: Callable[[], Callable]) -> DataFrame:
     """``docs`` with one more struct column ``into`` (of DDL ``fields``) computed from ``text_col``.
 
     ``factory()`` runs once a task and returns a function from a string array to a struct array.
-    The new column is one struct, so the caller's other columns may have any names but ``into``.
+    The new column is one struct, so the caller's other columns may have any names. A column that
+    is named ``into`` already (case aside) is replaced.
     """
-    if into in docs.columns:
-        raise ValueError(f"column {into!r} exists already")
+    docs = without(docs, into, text_col)
     schema = T.StructType([*docs.schema.fields, T.StructField(into, T._parse_datatype_string(f"struct<{fields}>"))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_struct
+from .common import add_struct, free_name
 
 #: Item text of one automaton; about 600 bytes of automaton for each byte of text.
 BLOCK_BYTES = 256 << 10
@@ -113,7 +113,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_
 
 
 def _scan_block(docs: DataFrame, sent, text_col: str, width: int, into: str, k: int) -> DataFrame:
-    step = f"{into}_{k}" if k else into
+    step = free_name(docs.columns, f"{into}_{k}") if k else into
 
     def factory():
         machine, payload = automaton_of(sent.value, width)
@@ -136,7 +136,8 @@ def _scan_block(docs: DataFrame, sent, text_col: str, width: int, into: str, k:
     return out.withColumn(into, both).drop(step)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """``docs`` and a boolean ``contaminated``: some benchmark window occurs in the text."""
-    into = how.setdefault("into", "scan")
-    return scan(docs, benchmark, **how).withColumn("contaminated", F.size(f"{into}.items") > 0).drop(into)
+def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
+    """The rows of ``docs``, unchanged, in whose text no benchmark window occurs."""
+    into = free_name(docs.columns, "scan")
+    found = scan(docs, benchmark, into=into, **how)
+    return found.where(F.size(f"{into}.items") == 0).select(*[f"`{c}`" for c in docs.columns])

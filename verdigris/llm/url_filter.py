@@ -29,6 +29,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import without
+
 #: Wrong passes of one level.
 RATE = 0.05
 #: Keys of one level at most: about 6 MB of bits.
@@ -116,8 +118,7 @@ def judge(pages: DataFrame, rules: DataFrame, *, url_col: str = "url", into: str
 
     ``rules`` has columns host, path and action (``block`` or ``allow``).
     """
-    if into in pages.columns:
-        raise ValueError(f"column {into!r} exists already")
+    pages = without(pages, into, url_col)
     listed = rules.where("host != '' and (coalesce(path, '') = '' or startswith(path, '/'))").select(F.concat(F.col("host"), F.coalesce("path", F.lit(""))).alias("key"), F.length(F.coalesce("path", F.lit(""))).alias("size"), (F.col("action") == "allow").alias("allow")).groupBy("key").agg(F.min("allow").alias("allow"), F.collect_set("size").alias("sizes"))
     lengths = sorted(r[0] for r in listed.select(F.explode("sizes")).distinct().collect()) or [0]
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
