@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigris.llm import decontaminate, langid, minhash, packing, substring_dedup
-from verdigris.llm.common import crc_fold, table, written
+from verdigris.llm.common import crc_fold, free_name, table, written
 from verdigris.llm.entry_queries import PIECES, WORD_BPE
 
 #: Documents whose likeliest language has a lower posterior are rejected.
@@ -20,8 +20,9 @@ LEAST_SCORE = 0.5
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter or without a likely language go."""
     model = langid.fit(docs.where(crc_fold(F.col("doc_id")) != 0), PIECES)
-    found = langid.identify(docs, model, PIECES, into="_language")
-    return found.where((F.col("_language.lang_pred") != "und") & (F.col("_language.score") >= LEAST_SCORE)).select(*docs.columns)
+    into = free_name(docs.columns, "language")
+    found = langid.identify(docs, model, PIECES, into=into)
+    return found.where((F.col(f"{into}.lang_pred") != "und") & (F.col(f"{into}.score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,18 +38,19 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_cut(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document has are cut out; documents of which nothing is left go."""
-    parsed = substring_dedup.dedup(docs, layout=True, into="_parse")
-    left = parsed.where((F.col("_parse.n_removed") == 0) | (F.col("_parse.n_removed") < F.col("_parse.n_words")))
-    cut = left.withColumn("text", F.when(F.col("_parse.n_removed") > 0, F.col("_parse.kept")).otherwise(F.col("text")))
+    into = free_name(docs.columns, "parse")
+    parsed = substring_dedup.dedup(docs, layout=True, into=into)
+    removed, words = F.col(f"{into}.n_removed"), F.col(f"{into}.n_words")
+    left = parsed.where((removed == 0) | (removed < words))
+    cut = left.withColumn("text", F.when(removed > 0, F.col(f"{into}.kept")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("_parse.n_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        cut = cut.withColumn("n_chars", F.when(removed > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return cut.select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark window go."""
-    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"), into="_scan")
-    return found.where("not contaminated").select(*docs.columns)
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
