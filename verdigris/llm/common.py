@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -15,6 +16,8 @@ from pyspark.sql import types as T
 
 #: Bytes of text that one numpy step works on; longer single texts form a slice of their own.
 SLICE_BYTES = 4 << 20
+#: Bytes of an Arrow batch between Spark and a worker, and the setting that bounds it.
+BATCH_BYTES, BATCH_CONF = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def text_slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -46,6 +49,17 @@ def free_name(columns: list[str], base: str) -> str:
     return base
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH_BYTES, where they may be larger.
+
+    Spark's default of 64 MB would be held by every task twice, in the executor's buffers and in the
+    worker.
+    """
+    found = re.fullmatch(r"(-?\d+)b?", spark.conf.get(BATCH_CONF, "") or "")
+    if not found or not 0 < int(found[1]) <= BATCH_BYTES:
+        spark.conf.set(BATCH_CONF, f"{BATCH_BYTES}b")
+
+
 def add_struct(docs: DataFrame, text_col: str, into: str, fields: str, factory: Callable[[], Callable]) -> DataFrame:
     """``docs`` with one more struct column ``into`` (of DDL ``fields``) computed from ``text_col``.
 
@@ -54,6 +68,7 @@ def add_struct(docs: DataFrame, text_col: str, into: str, fields: str, factory:
     is named ``into`` already (case aside) is replaced.
     """
     docs = without(docs, into, text_col)
+    bounded_batches(docs.sparkSession)
     schema = T.StructType([*docs.schema.fields, T.StructField(into, T._parse_datatype_string(f"struct<{fields}>"))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,6 +76,7 @@ def add_struct(docs: DataFrame, text_col: str, into: str, fields: str, factory:
         for part in text_slices(batches, text_col):
             value = apply(pc.fill_null(part.column(text_col), ""))
             yield pa.RecordBatch.from_arrays([*part.columns, value], names=[*part.schema.names, into])
+        pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, schema)
 

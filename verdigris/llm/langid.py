@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import add_struct, encode_words, split_words, starts_of, text_slices, written
+from .common import add_struct, bounded_batches, encode_words, split_words, starts_of, text_slices, written
 
 MARK = "▁"
 #: Probability of a character outside the vocabulary, alike in all languages.
@@ -183,6 +183,7 @@ def expected_counts(words: list[str], weight: np.ndarray, vocab: Vocabulary, pro
 
 def fit(labelled: DataFrame, vocab_path: str, *, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, rounds: int = 3, smoothing: float = 0.1) -> Model:
     """Piece probabilities of every language in ``lang_col``."""
+    bounded_batches(labelled.sparkSession)
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
     # a share of each language that holds more than enough rows first, so that no language fills a task
     enough = per_language + 8 * per_language**0.5

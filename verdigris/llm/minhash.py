@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, rolling, split_words, starts_of, text_slices, word_hashes, written
+from .common import bounded_batches, mix64, rolling, split_words, starts_of, text_slices, word_hashes, written
 
 #: Elements of one step over all coordinates: small enough for a core's cache.
 BLOCK = 1 << 15
@@ -174,6 +174,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: tuple[int, int] = (80, 100), bands: int = 32, rows: int = 4, rounds: int = 2) -> DataFrame:
     """id, n_shingles, component_id and kept for every row of ``docs``."""
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketches = written(sketch(docs, shingle, bands, rows), "sketches")
     named = sketches.where("id is not null and key is not null")

@@ -34,9 +34,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import encode_words, ragged, split_words, starts_of, text_slices, written
+from .common import bounded_batches, encode_words, ragged, split_words, starts_of, text_slices, written
 
-CACHE = 400_000
+CACHE = 250_000
 MERGE = 8
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 ARROW = pa.schema([*((n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")), ("ids", pa.binary())])
@@ -229,6 +229,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
         if packer.rows:
             yield packer.batch()
 
+    bounded_batches(docs.sparkSession)
     pieces = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA), "packing")
     partition = F.shiftright("sequence_id", 32)
 

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_struct, encode_words, mix64, rolling, split_words, starts_of, text_slices
+from .common import add_struct, bounded_batches, encode_words, mix64, rolling, split_words, starts_of, text_slices
 
 ORDER = 5
 #: Orders of the shared backoff, below the class models.
@@ -193,6 +193,7 @@ def table_sums(sequences: DataFrame) -> dict[str, np.ndarray]:
 
 def fit(labelled: DataFrame, *, text_col: str = "text", label_col: str = "toxic", held_back: Column, calibration_rows: int = CALIBRATION_ROWS) -> Model:
     """The model from labelled rows; where ``held_back`` holds they serve the curve, else the counts."""
+    bounded_batches(labelled.sparkSession)
     rows = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("toxic"), held_back.alias("back")).where("toxic in (0, 1)")
     tables = table_sums(count_sequences(rows.where("not back").select("text", "toxic")))
     sent = rows.sparkSession.sparkContext.broadcast(tables)
