@@ -55,8 +55,8 @@ def bounded_batches(spark: SparkSession) -> None:
     Spark's default of 64 MB would be held by every task twice, in the executor's buffers and in the
     worker.
     """
-    found = re.fullmatch(r"(-?\d+)b?", spark.conf.get(BATCH_CONF, "") or "")
-    if not found or not 0 < int(found[1]) <= BATCH_BYTES:
+    found = re.fullmatch(r"(\d+)([bkmg]?)b?", spark.conf.get(BATCH_CONF, "1g").lower())
+    if not found or not 0 < int(found[1]) << {"k": 10, "m": 20, "g": 30}.get(found[2], 0) <= BATCH_BYTES:
         spark.conf.set(BATCH_CONF, f"{BATCH_BYTES}b")
 
 
