@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..patterns import HONORIFICS
 from ..vocab import NAME_SUFFIXES
 
-HONORIFICS = r"(?i)^(?:(?:the\s+)?(?:hon(?:ora(?:ble|ur)?)?\.?|honou?rable|judge|justice)\s+)+"
-
-
 def folded(c: Column) -> Column:
     """Lower case; apostrophes and hyphens joined; every other run of signs one blank."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), "['’\\-]", ""), "[^a-z0-9]+", " "))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .. import patterns as P
+
 
 def percent(count: Column, total: Column, digits: int = 2) -> Column:
     """count / total in percent, rounded half up in integers; null where total is 0."""
@@ -35,13 +37,10 @@ def months_of(days: Column) -> Column:
     return _div(tenths + 15, F.lit(30).cast("long")).cast("double") / 10.0
 
 
-DURATION = r"(?i)(\d+(?:\.\d+)?)(\s*1/2)?\s+(years?|months?|days?)"
-
-
 def to_days(c: Column) -> Column:
     """Days of "1 Year 6 Months" and the like: a year 360, a month 30; halves to even; else null."""
     text = F.replace(c, F.lit("½"), F.lit(" 1/2"))
-    part = lambda k: F.regexp_extract_all(text, F.lit(DURATION), F.lit(k))
+    part = lambda k: F.regexp_extract_all(text, F.lit(P.DURATION), F.lit(k))
     number = F.transform(part(1), lambda x: x.cast("double"))
     half = F.transform(part(2), lambda x: F.when(x == "", 0.0).otherwise(0.5))
     unit = F.transform(part(3), lambda x: F.when(F.lower(x).like("year%"), 360.0).when(F.lower(x).like("month%"), 30.0).otherwise(1.0))
@@ -53,8 +52,8 @@ def to_days(c: Column) -> Column:
 def sentence_bounds(raw_text: Column) -> Column:
     """struct(min_days, max_days, min_assumed) of a sentence's text."""
     plain = lambda x: F.replace(x, F.lit(".00"), F.lit(""))
-    least = to_days(plain(F.regexp_extract(raw_text, r"(?i)Min of\s+(.*?)(?:Max of|$|,)", 1)))
-    most = to_days(plain(F.regexp_extract(raw_text, r"(?i)Max of\s+(.*?)(?:Min of|$|,)", 1)))
+    least = to_days(plain(F.regexp_extract(raw_text, P.MINIMUM, 1)))
+    most = to_days(plain(F.regexp_extract(raw_text, P.MAXIMUM, 1)))
     flat = F.when(least.isNull() & most.isNull(), to_days(plain(raw_text)))
     return F.struct(F.coalesce(least, most, flat).alias("min_days"), F.coalesce(most, least, flat).alias("max_days"), (least.isNull() & F.coalesce(most, flat).isNotNull()).alias("min_assumed"))
 

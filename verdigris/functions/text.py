@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..vocab import ANY_DOCKET_NUMBER, DOCKET_NUMBER, FORBIDDEN_TERMS, GUARDED_PHRASES, TRUNCATED_DISPOSITIONS
+from .. import patterns as P
+from ..vocab import FORBIDDEN_TERMS, GUARDED_PHRASES, TRUNCATED_DISPOSITIONS
 
 
 def blank_to_null(c: Column) -> Column:
@@ -54,14 +55,11 @@ def match_rank(c: Column, needle: str) -> Column:
     return F.when(low == key, 1).when(F.startswith(low, key), 2).when(F.contains(low, key), 3)
 
 
-MONEY = r"\$\d{1,3}(?:,\d{3})+(?:\.\d{2})?|\$\d+\.\d{2}|\$\d+"
-
-
 def distinct_cents(c: Column) -> Column:
     """Distinct amounts of money in the text, in cents."""
     digits = lambda t: F.regexp_replace(t, "[$,]", "")
     cents = lambda t: F.when(F.contains(t, F.lit(".")), F.regexp_replace(digits(t), r"\.", "").cast("long")).otherwise(digits(t).cast("long") * 100)
-    return F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(MONEY), F.lit(0)), cents))
+    return F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(P.MONEY), F.lit(0)), cents))
 
 
 def money(c: Column) -> Column:
@@ -73,15 +71,15 @@ def money(c: Column) -> Column:
 
 
 def mentions_restitution(c: Column) -> Column:
-    return c.rlike(r"(?i)\bRestitution\b")
+    return c.rlike(P.RESTITUTION)
 
 
 def mentions_community_service(c: Column) -> Column:
-    return c.rlike(r"(?i)\bCommunity Service\b")
+    return c.rlike(P.COMMUNITY_SERVICE)
 
 
 def mentions_hours(c: Column) -> Column:
-    return c.rlike(r"(?i)\b\d+\s*hours?\b")
+    return c.rlike(P.HOURS)
 
 
 def fine_beyond_label(c: Column) -> Column:
@@ -89,7 +87,7 @@ def fine_beyond_label(c: Column) -> Column:
     return F.regexp_replace(c, r"(?i)^\s*Fines and Costs", "").rlike(r"(?i)\bfines?\b")
 
 
-def docket_numbers(c: Column, pattern: str = DOCKET_NUMBER) -> Column:
+def docket_numbers(c: Column, pattern: str = P.DOCKET_NUMBER) -> Column:
     """Distinct docket numbers in the text, in order."""
     return F.array_distinct(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(f"({pattern})"), F.lit(1)))
 
@@ -104,18 +102,8 @@ def court_code(docket_number: Column) -> Column:
 
 def provenance(stem: Column) -> Column:
     """struct(docket_number, court, county) of a file stem; nulls where it is no docket number."""
-    pattern = r"^(CP|MC)-(\d{2})-[A-Z]{2}-\d{7}-\d{4}$"
-    fits = stem.rlike(pattern)
-    return F.struct(F.when(fits, stem).alias("docket_number"), F.when(fits, F.regexp_extract(stem, pattern, 1)).alias("court"), F.when(fits, F.regexp_extract(stem, pattern, 2)).alias("county"))
-
-
-JUNK_JUDGE = [
-    r"(?i)\b(?:Confinement|Probation|IPP)\b",
-    r"(?i)\b(?:Min|Max)\s+of\b",
-    r"(?i)\b\d+(?:\.\d+)?\s*(?:½|1/2)?\s*(?:years?|months?|days?)\b",
-    r"\$|\b\d[\d,]*\.\d{2}\b",
-]
-AMENDED = [r"(?i)\bamended\b", r"(?i)\bdowngraded\b", r"(?i)\breplaced\s+by\b", r"(?i)\bcharge\s+changed\b"]
+    fits = stem.rlike(P.DOCKET_STEM)
+    return F.struct(F.when(fits, stem).alias("docket_number"), F.when(fits, F.regexp_extract(stem, P.DOCKET_STEM, 1)).alias("court"), F.when(fits, F.regexp_extract(stem, P.DOCKET_STEM, 2)).alias("county"))
 
 
 def any_of(c: Column, patterns: list[str]) -> Column:
@@ -126,11 +114,11 @@ def any_of(c: Column, patterns: list[str]) -> Column:
 
 
 def is_junk_judge(c: Column) -> Column:
-    return any_of(c, JUNK_JUDGE)
+    return any_of(c, P.JUNK_JUDGE)
 
 
 def is_amended_charge(c: Column) -> Column:
-    return any_of(c, AMENDED)
+    return any_of(c, P.AMENDED)
 
 
 def repaired_disposition(c: Column) -> Column:
@@ -143,7 +131,7 @@ def repaired_disposition(c: Column) -> Column:
 
 def is_statute_token(c: Column) -> Column:
     t = F.trim(c)
-    return (t == "") | F.contains(t, F.lit("§")) | t.rlike(r"\d") | (F.length(t) == 1) | t.rlike(r"^(?i:i|ii|iii|iv|v|vi|vii|viii|ix|x)$") | (F.startswith(t, F.lit("(")) & F.endswith(t, F.lit(")")))
+    return (t == "") | F.contains(t, F.lit("§")) | t.rlike(r"\d") | (F.length(t) == 1) | t.rlike(P.ROMAN) | (F.startswith(t, F.lit("(")) & F.endswith(t, F.lit(")")))
 
 
 def charge_line_token(text: Column, offense: Column, statute: Column, grade: Column) -> Column:
@@ -221,4 +209,4 @@ def forbidden_terms(c: Column) -> Column:
 
 
 def related_docket(c: Column) -> Column:
-    return F.nullif(F.regexp_extract(c, f"({ANY_DOCKET_NUMBER})", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(c, f"({P.ANY_DOCKET_NUMBER})", 1), F.lit(""))

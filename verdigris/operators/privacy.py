@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import forbidden_terms, holds_token
-from ..vocab import ANY_DOCKET_NUMBER
+from ..patterns import ANY_DOCKET_NUMBER
 
 
 def forbidden_keys(schema: T.StructType, stems: list[str], path: str = "$") -> list[str]:

@@ -267,8 +267,6 @@ GUARDED_PHRASES = [
     "not legal advice",
     "does not provide legal advice",
 ]
-DOCKET_NUMBER = r"(?:CP|MC)-51-CR-\d{7}-\d{4}"
-ANY_DOCKET_NUMBER = r"(?:CP|MC)-\d{2}-[A-Z]{2}-\d{7}-\d{4}"
 
 # collector
 STREAK_STOP = 5
