@@ -7,8 +7,9 @@ byte, so that a place in the normalised text maps back to a place in the origina
 once. Nothing is shuffled.
 
 The automaton is broadcast, so its size is checked: items are taken in blocks of at most
-``block_bytes`` of text. A usual benchmark is one block; a larger one is scanned block after block
-in the same narrow stage, each block adding its hits to those found before.
+``block_bytes`` of text. A usual benchmark is one block; a larger one is scanned block after block,
+each pass adding its hits to those found before and writing them to the shared folder, so that a
+worker never holds two automata.
 
 Defined cases: a null or wordless text has no hits; items without id or words are ignored; rows of
 one item id count as one item; an empty benchmark leaves every document clean; repeated document
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_struct, free_name
+from .common import add_struct, free_name, written
 
 #: Item text of one automaton; about 600 bytes of automaton for each byte of text.
 BLOCK_BYTES = 256 << 10
@@ -109,6 +110,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_
         own = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k)
         sent = spark.sparkContext.broadcast([tuple(r) for r in own.collect()])  # about block_bytes
         out = _scan_block(out, sent, text_col, width, into, k)
+        if k < blocks - 1:  # one automaton at a time: each pass is a job of its own
+            out = written(out, "scan")
     return out
 
 
