@@ -321,6 +321,46 @@ def test_toxicity_finds_rare_inflections(spark):
     assert toxicity.assess(tests, one).where("toxicity.score >= 0.5").count() == 0
 
 
+def exact_ratios(texts, rows):
+    """Mean log-likelihood ratio of each text's words, from dictionaries keyed by whole sequences."""
+    spell = lambda text: [("\1" * 4 + w + "\2")[k : k + 5] for w in text.split() for k in range(len(w) + 1)]
+    n, seen, types, backs = *(defaultdict(lambda: [0, 0]) for _ in range(3)), defaultdict(int)
+    for body, toxic in rows:
+        for s in spell(body):
+            n[s][toxic] += 1
+            seen[s[:4]][toxic] += 1
+    for s, by_class in n.items():
+        for c in (0, 1):
+            types[s[:4]][c] += by_class[c] > 0
+        for back in (s[2:], (s[2:4],), s[4:]):
+            backs[back] += 1
+
+    def log(s, c):
+        lowest = (backs.get(s[4:], 0) + 1) / (len(n) + 1000)
+        shared = (backs.get(s[2:], 0) + 4 * lowest) / (backs.get((s[2:4],), 0) + 4)
+        own = max(n.get(s, (0, 0))[c] - 0.75, 0) + 0.75 * types.get(s[:4], (0, 0))[c] * shared
+        total = seen.get(s[:4], (0, 0))[c]
+        return np.log(own / total if total else shared)
+
+    return [sum(log(s, 1) - log(s, 0) for s in spell(t)) / len(t.split()) for t in texts]
+
+
+def test_toxicity_counts_whole_sequences(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(chr(0x4E00 + rng.randrange(600)) for _ in range(4))
+    rows = [(k, " ".join(word() for _ in range(40)), k % 2) for k in range(500)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(labelled, held_back=F.col("doc_id") >= 400)
+    # about 80,000 sequences, among which hashes into 2**20 buckets collide thousands of times
+    tests = [(k, " ".join(text.split()[:5]) + " " + word()) for k, text, _ in rows[:100]] + [(900, None), (901, "")]
+    found = {r.doc_id: r.toxicity.ratio for r in toxicity.assess(spark.createDataFrame(tests, "doc_id long, text string"), model).collect()}
+    learned = [r[1:] for r in rows[:400]]
+    assert len(found) == len(tests) and found[900] == found[901] == 0
+    assert np.allclose([found[k] for k, _ in tests[:100]], exact_ratios([t for _, t in tests[:100]], learned), rtol=1e-9)
+    one = toxicity.assess(spark.createDataFrame([(1, None)], "doc_id long, text string"), model, keep_text=False)
+    assert one.columns == ["doc_id", "toxicity"] and one.first().toxicity.ratio == 0
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 

@@ -41,7 +41,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         labels = F.broadcast(labels)
     labelled = docs.join(labels, "doc_id")
     model = toxicity.fit(labelled, held_back=fold == 4)
-    return toxicity.assess(docs, model).select("doc_id", (fold == 0).alias("held_out"), "toxicity.score", (F.col("toxicity.score") >= 0.5).cast("int").alias("predicted"))
+    return toxicity.assess(docs, model, keep_text=False).select("doc_id", (fold == 0).alias("held_out"), "toxicity.score", (F.col("toxicity.score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,10 +12,13 @@ the whole text and over its most telling expressions (the best one, two and four
 distinct expressions are telling (at three levels of the ratio, with their summed excess and the
 number of distinct expressions); a logistic curve through these turns them into ``score``.
 
-Fitting: counts cover every labelled training row. They are gathered as distinct letter sequences
-with their counts, then summed into tables of fixed size (hash buckets), so that the model that is
-broadcast does not grow with the data. The curve is fitted on at most ``CALIBRATION_ROWS`` labelled
-rows (those with the smallest hash) that the counts leave out. Scoring is a narrow stage over whole texts.
+Fitting: counts cover every labelled training row. They are gathered by the whole letter sequence, as
+two integers that hold its five signs, and written as a table that grows with the data; nothing of
+it is broadcast. The curve is fitted on about ``CALIBRATION_ROWS`` labelled rows (those with the
+smallest hash) that the counts leave out.
+
+Scoring: slices of documents are written as bags of expressions with the distinct sequences they hold.
+These are joined to the counts, and the log-ratios go back to their slices.
 
 Defined cases: null, empty and letterless texts have ratio 0 and get the curve's value there; labels
 other than 0 and 1 are ignored; without rows of both classes every score is the share of toxic rows
@@ -24,20 +27,22 @@ other than 0 and 1 are ignored; without rows of both classes every score is the
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import add_struct, bounded_batches, encode_words, mix64, rolling, split_words, starts_of, text_slices
+from .common import bounded_batches, encode_words, split_words, starts_of, text_slices, without, written
 
 ORDER = 5
-#: Orders of the shared backoff, below the class models.
-SHARED = (3, 1)
-BUCKETS = 1 << 20
+#: Bits of a sign: a code point moved by two, as 1 and 2 are the boundary signs.
+SIGN_BITS = 21
 DISCOUNT = 0.75
 #: Weight of the next lower order in the shared backoff.
 STRENGTH = 4.0
@@ -47,12 +52,13 @@ BEST = (1, 2, 4)
 LEVELS = (1.5, 2.5, 4.0)
 WIDTH = 1 + len(BEST) + len(LEVELS) + 2
 FIELDS = "score double, ratio double"
-TABLES = ("full", "context", "types", "full3", "context3", "full1")
+#: Bytes of text whose distinct sequences are gathered in one slice.
+GATHER_BYTES = 32 << 20
 
 
 @dataclass
 class Model:
-    tables: dict[str, np.ndarray]  # (classes or 1) x BUCKETS
+    counts: DataFrame  # hi, lo, n0, n1: rows by class of each letter sequence
     curve: np.ndarray  # weights of the features, the constant last
     scale: np.ndarray
 
@@ -61,73 +67,58 @@ def expressions(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return split_words(pc.replace_substring_regex(pc.utf8_lower(texts), r"\P{L}+", " "))
 
 
-def spelt(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each sign of all words behind their boundary signs, and the places of the predicted signs."""
+def spelt(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sequences of ORDER signs that end at each predicted sign of all words, and the word of each.
+
+    A sequence is two integers: ``hi`` holds its first two signs, ``lo`` the last three.
+    """
     n = np.fromiter(map(len, words), np.int64, len(words))
     size = n + ORDER  # ORDER - 1 signs before, one after
     at = starts_of(size)
-    signs = np.ones(int(at[-1]), np.uint64)
+    signs = np.ones(int(at[-1]), np.int64)
     inside = np.arange(int(at[-1])) - np.repeat(at[:-1], size)
     letter = (inside >= ORDER - 1) & (inside < np.repeat(size, size) - 1)
-    signs[letter] = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(2)
+    signs[letter] = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64) + 2
     signs[at[1:] - 1] = 2
-    return mix64(signs), np.flatnonzero(inside >= ORDER - 1)
-
-
-def buckets(signs: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
-    """Bucket of each predicted sign's sequences in the tables."""
-    out = {}
-    for name, width, back in (("full", ORDER, 0), ("context", ORDER - 1, 1), ("full3", SHARED[0], 0), ("context3", SHARED[0] - 1, 1), ("full1", SHARED[1], 0)):
-        h = mix64(rolling(signs, width)[ends - back - width + 1] + np.uint64(width))
-        out[name] = (h % np.uint64(BUCKETS)).astype(np.int64)
-    return out
-
-
-def log_ratio(words: list[str], tables: dict[str, np.ndarray]) -> np.ndarray:
-    """log P(word | toxic) - log P(word | ordinary) of each word."""
-    signs, ends = spelt(words)
-    b = buckets(signs, ends)
-    lowest = (tables["full1"][0, b["full1"]] + 1) / (tables["full1"][0].sum() + 1000)
-    shared = (tables["full3"][0, b["full3"]] + STRENGTH * lowest) / (tables["context3"][0, b["context3"]] + STRENGTH)
-    logs = []
-    for c in (0, 1):
-        seen = tables["context"][c, b["context"]]
-        own = np.maximum(tables["full"][c, b["full"]] - DISCOUNT, 0) + DISCOUNT * tables["types"][c, b["context"]] * shared
-        logs.append(np.log(np.where(seen > 0, own / np.maximum(seen, 1), shared)))
-    word_of = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    return np.bincount(word_of, logs[1] - logs[0], len(words))
-
-
-def features(texts: pa.Array, tables: dict[str, np.ndarray]) -> np.ndarray:
-    """For each text: mean ratio over all expressions and over its best ones; logarithms of how many
-    distinct ones are telling, of their excess over 1, and of how many distinct ones there are."""
-    words, per_text = expressions(texts)
-    out = np.zeros((len(texts), WIDTH))
-    if not len(words):
-        return out
-    index, distinct = encode_words(words)
-    ratio = log_ratio(distinct.to_pylist(), tables)
-    each = ratio[index]
-    text_of, at = np.repeat(np.arange(len(texts)), per_text), starts_of(per_text)
-    out[:, 0] = np.bincount(text_of, each, len(texts)) / np.maximum(per_text, 1)
-    order = np.lexsort((-each, text_of))
-    top = each[order]
+    end = np.flatnonzero(inside >= ORDER - 1)
+    joined = lambda *back: sum(signs[end - k] << (SIGN_BITS * i) for i, k in enumerate(reversed(back)))
+    return joined(4, 3), joined(2, 1, 0), np.repeat(np.arange(len(words)), n + 1)
+
+
+def distinct_sequences(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct sequences, sorted, and the index of each given one among them."""
+    order = np.lexsort((lo, hi))
+    new = np.ones(len(order), bool)
+    new[1:] = (hi[order][1:] != hi[order][:-1]) | (lo[order][1:] != lo[order][:-1])
+    kind = np.empty(len(order), np.int64)
+    kind[order] = np.cumsum(new) - 1
+    return hi[order][new], lo[order][new], kind
+
+
+def features(ratio: np.ndarray, times: np.ndarray, per_text: np.ndarray) -> np.ndarray:
+    """For each text, from the ratios of its distinct expressions and how often each stands there: mean
+    ratio over all expressions and over its best ones; logarithms of how many distinct ones are
+    telling, of their excess over 1, and of how many distinct ones there are."""
+    size = len(per_text)
+    out = np.zeros((size, WIDTH))
+    text_of, at = np.repeat(np.arange(size), per_text), starts_of(per_text)
+    n = np.bincount(text_of, times, size)
+    out[:, 0] = np.bincount(text_of, ratio * times, size) / np.maximum(n, 1)
+    order = np.lexsort((-ratio, text_of))
+    first = order[np.arange(len(order)) - at[text_of] < max(BEST)]
+    repeats = np.minimum(times[first], max(BEST))
+    top, top_text = np.repeat(ratio[first], repeats), np.repeat(text_of[first], repeats)
+    place = np.arange(len(top)) - starts_of(np.bincount(top_text, minlength=size))[top_text]
     for k, best in enumerate(BEST):
-        n = np.minimum(per_text, best)
-        for i in range(best):
-            has = per_text > i
-            out[has, 1 + k] += top[at[:-1][has] + i]
-        out[:, 1 + k] /= np.maximum(n, 1)
-    pairs = np.unique(text_of * len(distinct) + index)
-    text_of, own = pairs // len(distinct), ratio[pairs % len(distinct)]
-    sums = [own > level for level in LEVELS] + [np.maximum(own - 1, 0), np.ones(len(own))]
+        out[:, 1 + k] = np.bincount(top_text, top * (place < best), size) / np.maximum(np.minimum(n, best), 1)
+    sums = [ratio > level for level in LEVELS] + [np.maximum(ratio - 1, 0), np.ones(len(ratio))]
     for k, value in enumerate(sums):
-        out[:, 1 + len(BEST) + k] = np.log1p(np.bincount(text_of, value, len(texts)))
+        out[:, 1 + len(BEST) + k] = np.log1p(np.bincount(text_of, value, size))
     return out
 
 
-def scores(x: np.ndarray, model: Model) -> np.ndarray:
-    z = np.clip((x / model.scale) @ model.curve[:-1] + model.curve[-1], -30, 30)
+def scores(x: np.ndarray, curve: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    z = np.clip((x / scale) @ curve[:-1] + curve[-1], -30, 30)
     return 1 / (1 + np.exp(-z))
 
 
@@ -146,8 +137,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarr
 
 
 def count_sequences(rows: DataFrame) -> DataFrame:
-    """Distinct letter sequences of the rows (text, toxic): their buckets and counts by class."""
-    names = ["full", "context", "full3", "context3", "full1"]
+    """Distinct letter sequences of the rows (text, toxic) and their counts by class."""
 
     def run(batches):
         for part in text_slices(batches, "text"):
@@ -157,72 +147,133 @@ def count_sequences(rows: DataFrame) -> DataFrame:
             index, distinct = encode_words(words)
             toxic = np.repeat(part.column("toxic").to_numpy(), per_text)
             by_class = [np.bincount(index, toxic == c, len(distinct)) for c in (0, 1)]
-            listed = distinct.to_pylist()
-            signs, ends = spelt(listed)
-            b = buckets(signs, ends)
-            word_of = np.repeat(np.arange(len(listed)), np.fromiter(map(len, listed), np.int64, len(listed)) + 1)
-            key, first, kind = np.unique(rolling(signs, ORDER)[ends - ORDER + 1], return_index=True, return_inverse=True)
-            sums = [np.bincount(kind, c[word_of], len(key)).astype(np.int64) for c in by_class]
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(pa.array(b[n][first]) for n in names), *(pa.array(s) for s in sums)], names=["key", *names, "n0", "n1"])
-
-    counted = rows.mapInArrow(run, "key long, " + ", ".join(f"{n} long" for n in names) + ", n0 long, n1 long")
-    return counted.groupBy("key", *names).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-
-
-def table_sums(sequences: DataFrame) -> dict[str, np.ndarray]:
-    """All tables; at most BUCKETS rows each reach the driver."""
-    seen = lambda c: F.count_if(F.col(c) > 0).cast("double")
-    total = lambda c: F.sum(c).cast("double")
-    sequences = sequences.persist()
-    parts = [
-        sequences.groupBy(F.col("full").alias("bucket")).agg(total("n0").alias("a"), total("n1").alias("b")).withColumn("name", F.lit("full")),
-        sequences.groupBy(F.col("context").alias("bucket")).agg(total("n0").alias("a"), total("n1").alias("b")).withColumn("name", F.lit("context")),
-        sequences.groupBy(F.col("context").alias("bucket")).agg(seen("n0").alias("a"), seen("n1").alias("b")).withColumn("name", F.lit("types")),
-        *[sequences.groupBy(F.col(n).alias("bucket")).agg(F.count("*").cast("double").alias("a"), F.lit(0.0).alias("b")).withColumn("name", F.lit(n)) for n in ("full3", "context3", "full1")],
-    ]
-    out = {}
-    for name, part in zip(TABLES, parts, strict=True):
-        rows = part.select("bucket", "a", "b").toPandas()
-        table = np.zeros((2, BUCKETS), np.float32)
-        table[0, rows["bucket"].to_numpy(np.int64)] = rows["a"]
-        table[1, rows["bucket"].to_numpy(np.int64)] = rows["b"]
-        out[name] = table if name in TABLES[:3] else table[:1]
-    sequences.unpersist()
-    return out
+            hi, lo, word_of = spelt(distinct.to_pylist())
+            hi, lo, kind = distinct_sequences(hi, lo)
+            sums = [np.bincount(kind, c[word_of], len(hi)).astype(np.int64) for c in by_class]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (hi, lo, *sums)], names=["hi", "lo", "n0", "n1"])
+
+    counted = rows.mapInArrow(run, "hi long, lo long, n0 long, n1 long")
+    return counted.groupBy("hi", "lo").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+
+def ratios(wanted: DataFrame, counts: DataFrame) -> DataFrame:
+    """hi, lo, ratio of the distinct sequences ``wanted``: log P(last sign | toxic) - log P(last sign | ordinary)."""
+    pair, last = F.shiftright("lo", SIGN_BITS).alias("pair"), F.col("lo").bitwiseAND((1 << SIGN_BITS) - 1).alias("last")
+    contexts = counts.groupBy("hi", pair).agg(*[f(c).alias(f"{name}{c}") for c in (0, 1) for name, f in (("seen", lambda c: F.sum(f"n{c}")), ("types", lambda c: F.count_if(F.col(f"n{c}") > 0)))])
+    threes = counts.groupBy("lo").agg(F.count("*").alias("full3"))
+    twos = threes.groupBy(pair).agg(F.sum("full3").alias("context3"))
+    ones = threes.groupBy(last).agg(F.sum("full3").alias("full1"))  # a row a letter
+    none = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("double")
+    lowest = (none("full1") + 1) / F.lit(float(counts.count() + 1000))
+    shared = (none("full3") + STRENGTH * lowest) / (none("context3") + STRENGTH)
+    backoff = wanted.select("lo").distinct().select("lo", pair, last).join(threes, "lo", "left").join(twos, "pair", "left").join(F.broadcast(ones), "last", "left").select("lo", shared.alias("shared"))
+    found = wanted.select("hi", "lo", pair).join(counts, ["hi", "lo"], "left").join(contexts, ["hi", "pair"], "left").join(backoff, "lo")
+
+    def log_of(c: int) -> Column:
+        own = F.greatest(none(f"n{c}") - DISCOUNT, F.lit(0.0)) + DISCOUNT * none(f"types{c}") * F.col("shared")
+        return F.log(F.when(none(f"seen{c}") > 0, own / none(f"seen{c}")).otherwise(F.col("shared")))
+
+    return found.select("hi", "lo", (log_of(1) - log_of(0)).alias("ratio"))
+
+
+def bags(docs: DataFrame, text_col: str, kept: list[str]) -> DataFrame:
+    """Slices of the documents, written: slice, block (kept columns and bags of expressions), words, hi, lo."""
+
+    def packed(table: pa.Table) -> bytes:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            writer.write_table(table)
+        return sink.getvalue().to_pybytes()
+
+    def run(batches):
+        base, done = TaskContext.get().partitionId() << 32, 0
+        known: dict[str, int] = {}
+        parts, held = [], 0
+
+        def row() -> pa.RecordBatch:
+            hi, lo, _ = distinct_sequences(*spelt(list(known))[:2])
+            block, words = packed(pa.Table.from_batches(parts)), packed(pa.table({"word": pa.array(list(known), pa.string())}))
+            lists = [pa.array([x], pa.list_(pa.int64())) for x in (hi, lo)]
+            return pa.RecordBatch.from_arrays([pa.array([base + done]), pa.array([block]), pa.array([words]), *lists], names=["slice", "block", "words", "hi", "lo"])
+
+        for part in text_slices(batches, text_col):
+            texts = pc.fill_null(part.column(text_col), "")
+            size = pc.sum(pc.binary_length(texts)).as_py()
+            if parts and held + size > GATHER_BYTES:
+                yield row()
+                done, known, parts, held = done + 1, {}, [], 0
+            words, per_text = expressions(texts)
+            index, distinct = encode_words(words)
+            place = np.fromiter((known.setdefault(w, len(known)) for w in distinct.to_pylist()), np.int64, len(distinct))
+            text_of = np.repeat(np.arange(len(texts)), per_text)
+            pairs, times = np.unique((text_of << 32) + place[index], return_counts=True)
+            offsets = pa.array(np.searchsorted(pairs, np.arange(len(texts) + 1) << 32).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (pairs & 0xFFFFFFFF, times)]
+            columns = [part.column(part.schema.get_field_index(c)) for c in kept]
+            parts.append(pa.RecordBatch.from_arrays([*columns, *lists], names=[f"c{k}" for k in range(len(columns))] + ["bag", "times"]))
+            held += size
+        if parts:
+            yield row()
+        pa.default_memory_pool().release_unused()
+
+    return written(docs.mapInArrow(run, "slice long, block binary, words binary, hi array<long>, lo array<long>"), "toxicity-bags")
+
+
+def described(docs: DataFrame, counts: DataFrame, text_col: str, kept: list[str], more: list[T.StructField], finish: Callable[[np.ndarray], list[pa.Array]]) -> DataFrame:
+    """The ``kept`` columns of ``docs`` and those that ``finish`` makes of the features of each row."""
+    bounded_batches(docs.sparkSession)
+    slices = bags(docs, text_col, kept)
+    asked = slices.select("slice", F.inline(F.arrays_zip("hi", "lo")))
+    answers = asked.join(ratios(asked.select("hi", "lo").distinct(), counts), ["hi", "lo"]).select(F.col("slice").alias("part"), "hi", "lo", "ratio")
+    schema = T.StructType([*[docs.schema[c] for c in kept], *more])
+    names = schema.fieldNames()
+
+    def opened(column: pa.ChunkedArray) -> pa.Table:
+        return pa.ipc.open_stream(column[0].as_py()).read_all()
+
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        block, words = opened(left.column("block")), opened(left.column("words")).column("word").to_pylist()
+        hi, lo, word_of = spelt(words)
+        _, _, kind = distinct_sequences(hi, lo)
+        order = np.lexsort((right.column("lo").to_numpy(), right.column("hi").to_numpy()))
+        each = np.bincount(word_of, right.column("ratio").to_numpy()[order][kind], len(words))
+        tables = []
+        for part in block.to_batches():
+            bag, times = part.column("bag"), part.column("times").flatten().to_numpy()
+            x = features(each[bag.flatten().to_numpy()], times, bag.value_lengths().to_numpy())
+            tables.append(pa.RecordBatch.from_arrays([*part.columns[:-2], *finish(x)], names=names))
+        return pa.Table.from_batches(tables)
+
+    return slices.select("slice", "block", "words").groupBy("slice").cogroup(answers.groupBy("part")).applyInArrow(run, schema)
 
 
 def fit(labelled: DataFrame, *, text_col: str = "text", label_col: str = "toxic", held_back: Column, calibration_rows: int = CALIBRATION_ROWS) -> Model:
     """The model from labelled rows; where ``held_back`` holds they serve the curve, else the counts."""
     bounded_batches(labelled.sparkSession)
     rows = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("toxic"), held_back.alias("back")).where("toxic in (0, 1)")
-    tables = table_sums(count_sequences(rows.where("not back").select("text", "toxic")))
-    sent = rows.sparkSession.sparkContext.broadcast(tables)
-
-    def describe(batches):
-        for part in text_slices(batches, "text"):
-            x = features(pc.fill_null(part.column("text"), ""), sent.value)
-            yield pa.RecordBatch.from_arrays([part.column("toxic"), part.column("turn"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), WIDTH).cast(pa.list_(pa.float64()))], names=["toxic", "turn", "x"])
-
-    described = rows.where("back").select("text", "toxic", F.xxhash64("text", "toxic").alias("turn")).mapInArrow(describe, "toxic int, turn long, x array<double>")
-    seen = described.orderBy("turn").limit(calibration_rows).toPandas()
+    counts = written(count_sequences(rows.where("not back").select("text", "toxic")), "toxicity-counts")
+    back = rows.where("back").select("text", "toxic", F.xxhash64("text", "toxic").alias("turn"))
+    last = back.select("turn").orderBy("turn").limit(calibration_rows).agg(F.max("turn")).first()[0]
+    listed = lambda x: [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), WIDTH).cast(pa.list_(pa.float64()))]
+    sample = back.where(F.col("turn") <= F.lit(last).cast("long"))
+    seen = described(sample, counts, "text", ["toxic", "turn"], [T.StructField("x", T.ArrayType(T.DoubleType()))], listed).orderBy("turn").limit(calibration_rows).toPandas()
     y = seen["toxic"].to_numpy(float)
     if len(set(y)) < 2:
         share = float(np.clip(y.mean() if len(y) else 0.0, 1e-9, 1 - 1e-9))
-        return Model(tables, np.append(np.zeros(WIDTH), np.log(share / (1 - share))), np.ones(WIDTH))
-    return Model(tables, *logistic(np.stack(seen["x"].to_list()), y))
-
+        return Model(counts, np.append(np.zeros(WIDTH), np.log(share / (1 - share))), np.ones(WIDTH))
+    return Model(counts, *logistic(np.stack(seen["x"].to_list()), y))
 
-def assess(docs: DataFrame, model: Model, *, text_col: str = "text", into: str = "toxicity") -> DataFrame:
-    """``docs`` with a struct ``into``: score, ratio (mean log-likelihood ratio of the expressions)."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def factory():
-        own = sent.value
+def assess(docs: DataFrame, model: Model, *, text_col: str = "text", into: str = "toxicity", keep_text: bool = True) -> DataFrame:
+    """``docs`` with a struct ``into``: score, ratio (mean log-likelihood ratio of the expressions).
 
-        def apply(texts: pa.Array) -> pa.Array:
-            x = features(texts, own.tables)
-            return pa.StructArray.from_arrays([pa.array(scores(x, own)), pa.array(x[:, 0])], names=["score", "ratio"])
+    Without ``keep_text`` the text column is left out, so that texts are not shuffled.
+    """
+    docs = without(docs, into, text_col)
+    kept = [c for c in docs.columns if keep_text or c != text_col]
+    curve, scale = model.curve, model.scale
 
-        return apply
+    def finish(x: np.ndarray) -> list[pa.Array]:
+        return [pa.StructArray.from_arrays([pa.array(scores(x, curve, scale)), pa.array(x[:, 0])], names=["score", "ratio"])]
 
-    return add_struct(docs, text_col, into, FIELDS, factory)
+    return described(docs, model.counts, text_col, kept, [T.StructField(into, T._parse_datatype_string(f"struct<{FIELDS}>"))], finish)
