@@ -354,13 +354,26 @@ def test_toxicity_counts_whole_sequences(spark):
     # about 80,000 sequences, among which hashes into 2**20 buckets collide thousands of times
     tests = [(k, " ".join(text.split()[:5]) + " " + word()) for k, text, _ in rows[:100]] + [(900, None), (901, "")]
     found = {r.doc_id: r.toxicity.ratio for r in toxicity.assess(spark.createDataFrame(tests, "doc_id long, text string"), model).collect()}
-    learned = [r[1:] for r in rows[:400]]
+    learned = [r[1:] for r in rows]
     assert len(found) == len(tests) and found[900] == found[901] == 0
     assert np.allclose([found[k] for k, _ in tests[:100]], exact_ratios([t for _, t in tests[:100]], learned), rtol=1e-9)
     one = toxicity.assess(spark.createDataFrame([(1, None)], "doc_id long, text string"), model, keep_text=False)
     assert one.columns == ["doc_id", "toxicity"] and one.first().toxicity.ratio == 0
 
 
+def test_toxicity_learns_from_held_back_rows(spark):
+    rng = random.Random(8)
+    bad = lambda k: k % 4 == 0
+    rows = [(k, prose(rng, 30) + (" zuqqa" if bad(k) and k < 300 else " vixxo" if bad(k) else ""), int(bad(k))) for k in range(400)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    # only held-back rows hold the second expression, and the curve takes few of them
+    model = toxicity.fit(labelled, held_back=F.col("doc_id") >= 260, calibration_rows=40)
+    tests = spark.createDataFrame([(1, "vixxo"), (2, "zuqqa")], "doc_id long, text string")
+    assert all(r.toxicity.ratio > 1 for r in toxicity.assess(tests, model).collect())
+    spelled = lambda w: sum((ord(c) + 2) << (21 * (2 - i)) for i, c in enumerate(w))
+    assert model.counts.where((F.col("lo") == spelled("xxo")) & (F.col("n1") == 25)).count() == 1
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 

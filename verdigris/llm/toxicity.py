@@ -14,8 +14,8 @@ number of distinct expressions); a logistic curve through these turns them into
 
 Fitting: counts cover every labelled training row. They are gathered by the whole letter sequence, as
 two integers that hold its five signs, and written as a table that grows with the data; nothing of
-it is broadcast. The curve is fitted on about ``CALIBRATION_ROWS`` labelled rows (those with the
-smallest hash) that the counts leave out.
+it is broadcast. The curve is fitted on about ``CALIBRATION_ROWS`` held-back rows (those with the
+smallest hash), by counts that leave out just these; the model then takes the counts of all rows.
 
 Scoring: slices of documents are written as bags of expressions with the distinct sequences they hold.
 These are joined to the counts, and the log-ratios go back to their slices.
@@ -137,7 +137,8 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarr
 
 
 def count_sequences(rows: DataFrame) -> DataFrame:
-    """Distinct letter sequences of the rows (text, toxic) and their counts by class."""
+    """Distinct letter sequences of the rows (text, toxic, sampled): n0 and n1, their counts by class, and
+    h0 and h1, those of sampled rows."""
 
     def run(batches):
         for part in text_slices(batches, "text"):
@@ -146,14 +147,17 @@ def count_sequences(rows: DataFrame) -> DataFrame:
                 continue
             index, distinct = encode_words(words)
             toxic = np.repeat(part.column("toxic").to_numpy(), per_text)
-            by_class = [np.bincount(index, toxic == c, len(distinct)) for c in (0, 1)]
+            sampled = np.repeat(part.column("sampled").to_numpy(zero_copy_only=False), per_text)
+            of = lambda rows, words=index, size=len(distinct): np.bincount(words, rows, size)
+            by_class = [of(toxic == c) for c in (0, 1)] + [of((toxic == c) & sampled) for c in (0, 1)]
             hi, lo, word_of = spelt(distinct.to_pylist())
             hi, lo, kind = distinct_sequences(hi, lo)
             sums = [np.bincount(kind, c[word_of], len(hi)).astype(np.int64) for c in by_class]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (hi, lo, *sums)], names=["hi", "lo", "n0", "n1"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (hi, lo, *sums)], names=["hi", "lo", *sorts])
 
-    counted = rows.mapInArrow(run, "hi long, lo long, n0 long, n1 long")
-    return counted.groupBy("hi", "lo").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    sorts = ["n0", "n1", "h0", "h1"]
+    counted = rows.mapInArrow(run, "hi long, lo long, " + ", ".join(f"{n} long" for n in sorts))
+    return counted.groupBy("hi", "lo").agg(*[F.sum(n).alias(n) for n in sorts])
 
 
 def ratios(wanted: DataFrame, counts: DataFrame) -> DataFrame:
@@ -248,15 +252,18 @@ def described(docs: DataFrame, counts: DataFrame, text_col: str, kept: list[str]
 
 
 def fit(labelled: DataFrame, *, text_col: str = "text", label_col: str = "toxic", held_back: Column, calibration_rows: int = CALIBRATION_ROWS) -> Model:
-    """The model from labelled rows; where ``held_back`` holds they serve the curve, else the counts."""
+    """The model from labelled rows; a bounded part of those where ``held_back`` holds serves the curve."""
     bounded_batches(labelled.sparkSession)
-    rows = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("toxic"), held_back.alias("back")).where("toxic in (0, 1)")
-    counts = written(count_sequences(rows.where("not back").select("text", "toxic")), "toxicity-counts")
-    back = rows.where("back").select("text", "toxic", F.xxhash64("text", "toxic").alias("turn"))
-    last = back.select("turn").orderBy("turn").limit(calibration_rows).agg(F.max("turn")).first()[0]
+    rows = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("toxic"), F.coalesce(held_back, F.lit(False)).alias("back")).where("toxic in (0, 1)")
+    rows = rows.withColumn("turn", F.xxhash64("text", "toxic"))
+    last = rows.where("back").select("turn").orderBy("turn").limit(calibration_rows).agg(F.max("turn")).first()[0]
+    rows = rows.withColumn("sampled", F.col("back") & F.coalesce(F.col("turn") <= F.lit(last).cast("long"), F.lit(False)))
+    both = written(count_sequences(rows.select("text", "toxic", "sampled")), "toxicity-counts")
+    counts = both.select("hi", "lo", "n0", "n1")
+    others = both.select("hi", "lo", (F.col("n0") - F.col("h0")).alias("n0"), (F.col("n1") - F.col("h1")).alias("n1")).where("n0 + n1 > 0")
     listed = lambda x: [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), WIDTH).cast(pa.list_(pa.float64()))]
-    sample = back.where(F.col("turn") <= F.lit(last).cast("long"))
-    seen = described(sample, counts, "text", ["toxic", "turn"], [T.StructField("x", T.ArrayType(T.DoubleType()))], listed).orderBy("turn").limit(calibration_rows).toPandas()
+    sample = rows.where("sampled").select("text", "toxic", "turn")
+    seen = described(sample, others, "text", ["toxic", "turn"], [T.StructField("x", T.ArrayType(T.DoubleType()))], listed).orderBy("turn").limit(calibration_rows).toPandas()
     y = seen["toxic"].to_numpy(float)
     if len(set(y)) < 2:
         share = float(np.clip(y.mean() if len(y) else 0.0, 1e-9, 1 - 1e-9))
