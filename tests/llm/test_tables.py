@@ -140,3 +140,13 @@ def test_ann_odd_vectors(spark):
     found = sorted(tuple(r) for r in ann.search(df, F.col("vec_id") % 50 == 0).collect())
     assert found == [(0, 1, 1, 1.0), (0, 2, 50, 0.0), (50, 1, 0, 0.0), (50, 2, 1, 0.0)]
     assert ann.search(df.limit(0), F.lit(True)).count() == 0
+
+
+def test_ann_repeated_rows_hide_no_neighbour(spark):
+    near = [(k, [1.0, 0.01 * k]) for k in range(1, 8)]
+    rows = [(0, [1.0, 0.0])] + [r for r in near for _ in range(12)] + [(9, [1.0, 0.9 + 0.001 * k]) for k in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    for block_rows in (8192, 10):
+        found = ann.search(df, F.col("vec_id") == 0, k=8, block_rows=block_rows).orderBy("rank").collect()
+        assert [r.vec_id for r in found] == [1, 2, 3, 4, 5, 6, 7, 9]
+        assert abs(found[7].score - 1 / np.hypot(1, 0.9)) < 1e-12

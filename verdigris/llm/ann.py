@@ -13,7 +13,8 @@ all rows being equal makes no group larger. Results are cut to ``k`` a query bef
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no
 part; rows with a null id neither; vectors of different lengths are not compared; a candidate with
-the query's own id is not returned; ties go to the smaller id; repeated rows count once.
+the query's own id is not returned; ties go to the smaller id; repeated rows count once, and an id
+that has several vectors once, by its best score.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 TREES = 48
 BITS = 32
 BLOCK_ROWS = 8192
@@ -85,7 +88,8 @@ def nearest(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries
         found = found[ids[found] != query_id]
         if len(found):
             score = (vectors[found] * query).sum(axis=1) / (norms[found] * math.sqrt((query * query).sum()))
-            best = np.lexsort((ids[found], -score))[:k]
+            best = np.lexsort((ids[found], -score))
+            best = best[np.sort(np.unique(ids[found][best], return_index=True)[1])[:k]]  # the best row of each id
             yield query_id, ids[found][best], score[best]
 
 
@@ -101,11 +105,12 @@ def usable(vec: Column) -> Column:
 
 def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, trees: int = TREES, bits: int = BITS, block_rows: int = BLOCK_ROWS, chunk_rows: int = CHUNK_ROWS, share: float = SHARE, least: int = LEAST) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found for every row where ``is_query`` holds."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), is_query.alias("asks")).where(F.col("id").isNotNull() & usable(F.col("v")))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"), is_query.alias("asks")).where(F.col("id").isNotNull() & usable(F.col("v").cast("array<double>")))
+    rows = written(rows.groupBy("id", "v").agg(F.bool_or("asks").alias("asks")), "ann-rows").withColumn("v", F.col("v").cast("array<double>"))
     rows = rows.withColumn("size", F.size("v"))
     total, asked = rows.agg(F.count("*"), F.count_if("asks")).first()
     blocks, chunks = max(1, math.ceil(total / block_rows)), max(1, math.ceil(asked / chunk_rows))
-    spread = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
+    spread = lambda n: F.pmod(F.xxhash64("id", "v"), F.lit(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     held = rows.select("size", "id", "v", spread(blocks).alias("block")).select("*", every(chunks).alias("chunk"))
     asks = rows.where("asks").select("size", "id", "v", spread(chunks).alias("chunk")).select("*", every(blocks).alias("block"))
@@ -121,12 +126,12 @@ def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec_
     def match(key, left, right):
         out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         if len(left) and len(right):
-            for query_id, found, score in nearest(*matrix(left), *matrix(right), 2 * k, trees, bits, share, least):
+            for query_id, found, score in nearest(*matrix(left), *matrix(right), k, trees, bits, share, least):
                 for part, value in zip(out, (np.full(len(found), query_id), found, score), strict=True):
                     part.append(value)
         return pa.table([np.concatenate(x) for x in out], schema=FOUND)
 
     keys = ["size", "block", "chunk"]
-    found = held.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInArrow(match, "query_id long, vec_id long, score double").distinct()
+    found = held.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInArrow(match, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
