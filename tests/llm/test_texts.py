@@ -374,6 +374,16 @@ def test_toxicity_learns_from_held_back_rows(spark):
     assert model.counts.where((F.col("lo") == spelled("xxo")) & (F.col("n1") == 25)).count() == 1
 
 
+def test_samples_take_copies_once(spark):
+    rng = random.Random(4)
+    texts = [prose(rng, 12) for _ in range(10)]
+    rows = lambda n: spark.createDataFrame([(t, "en") for t in texts for _ in range(n)], "text string, lang string")
+    once, often = (langid.fit(rows(n), PIECES, per_language=10) for n in (1, 50))
+    assert np.allclose(once.probability, often.probability)
+    labelled = spark.createDataFrame([(t + " zuqqa" * (k % 2), k % 2) for k, t in enumerate(texts) for _ in range(20)], "text string, toxic int")
+    assert toxicity.fit(labelled, held_back=F.lit(True), calibration_rows=10).curve[:-1].any()
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 

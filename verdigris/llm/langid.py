@@ -5,8 +5,8 @@ probability for each piece of the vocabulary; the likelihood of a word is the su
 segmentations into pieces, found by the forward algorithm, and that of a text is the product over
 its words. The prediction is the likeliest language under equal priors and ``score`` its posterior.
 
-Fitting takes a bounded sample, ``per_language`` labelled documents of each language (those with the
-smallest hash of their text), and runs ``rounds`` of expectation-maximisation: each round is one
+Fitting takes a bounded sample, ``per_language`` labelled texts of each language (those with the
+smallest hash, copies once), and runs ``rounds`` of expectation-maximisation: each round is one
 Spark job in which tasks sum expected piece counts by forward and backward passes over distinct
 words. The model is one probability for each language and piece, so its size does not follow the
 data. Scoring is a narrow stage over whole texts.
@@ -185,12 +185,12 @@ def fit(labelled: DataFrame, vocab_path: str, *, text_col: str = "text", lang_co
     """Piece probabilities of every language in ``lang_col``."""
     bounded_batches(labelled.sparkSession)
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
-    # a share of each language that holds more than enough rows first, so that no language fills a task
+    rows = rows.withColumn("turn", F.xxhash64("text"))
+    # a share of each language's distinct texts that holds more than enough first, so that no language fills a task
     enough = per_language + 8 * per_language**0.5
-    shares = {r["lang"]: min(1.0, enough / r["count"]) for r in rows.groupBy("lang").count().collect()}
-    turn = F.xxhash64("text")
+    shares = {r["lang"]: min(1.0, enough / r["count"]) for r in rows.select("lang", "turn").distinct().groupBy("lang").count().collect()}
     share = F.element_at(F.create_map(*[F.lit(x) for pair in shares.items() for x in pair]), F.col("lang")) if shares else F.lit(0.0)
-    some = rows.withColumn("turn", turn).where(F.pmod("turn", F.lit(1 << 31)) < share * (1 << 31))
+    some = rows.where(F.pmod("turn", F.lit(1 << 31)) < share * (1 << 31)).distinct()
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("turn", "text"))
     sample = some.withColumn("rank", rank).where(F.col("rank") <= per_language).select("lang", "text")
 

@@ -14,8 +14,8 @@ number of distinct expressions); a logistic curve through these turns them into
 
 Fitting: counts cover every labelled training row. They are gathered by the whole letter sequence, as
 two integers that hold its five signs, and written as a table that grows with the data; nothing of
-it is broadcast. The curve is fitted on about ``CALIBRATION_ROWS`` held-back rows (those with the
-smallest hash), by counts that leave out just these; the model then takes the counts of all rows.
+it is broadcast. The curve is fitted on ``CALIBRATION_ROWS`` held-back texts (those with the smallest
+hash, copies once), by counts that leave out just their rows; the model then takes the counts of all rows.
 
 Scoring: slices of documents are written as bags of expressions with the distinct sequences they hold.
 These are joined to the counts, and the log-ratios go back to their slices.
@@ -256,13 +256,13 @@ def fit(labelled: DataFrame, *, text_col: str = "text", label_col: str = "toxic"
     bounded_batches(labelled.sparkSession)
     rows = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("toxic"), F.coalesce(held_back, F.lit(False)).alias("back")).where("toxic in (0, 1)")
     rows = rows.withColumn("turn", F.xxhash64("text", "toxic"))
-    last = rows.where("back").select("turn").orderBy("turn").limit(calibration_rows).agg(F.max("turn")).first()[0]
+    last = rows.where("back").select("turn").distinct().orderBy("turn").limit(calibration_rows).agg(F.max("turn")).first()[0]
     rows = rows.withColumn("sampled", F.col("back") & F.coalesce(F.col("turn") <= F.lit(last).cast("long"), F.lit(False)))
     both = written(count_sequences(rows.select("text", "toxic", "sampled")), "toxicity-counts")
     counts = both.select("hi", "lo", "n0", "n1")
     others = both.select("hi", "lo", (F.col("n0") - F.col("h0")).alias("n0"), (F.col("n1") - F.col("h1")).alias("n1")).where("n0 + n1 > 0")
     listed = lambda x: [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), WIDTH).cast(pa.list_(pa.float64()))]
-    sample = rows.where("sampled").select("text", "toxic", "turn")
+    sample = rows.where("sampled").select("text", "toxic", "turn").distinct()
     seen = described(sample, others, "text", ["toxic", "turn"], [T.StructField("x", T.ArrayType(T.DoubleType()))], listed).orderBy("turn").limit(calibration_rows).toPandas()
     y = seen["toxic"].to_numpy(float)
     if len(set(y)) < 2:
