@@ -298,6 +298,18 @@ def test_forward_sums_all_segmentations():
     assert np.isfinite(langid.log_likelihoods(["a" * 5000], vocab, prob)).all()
 
 
+def test_expected_counts_cover_long_runs(monkeypatch):
+    vocab = langid.vocabulary(PIECES)
+    prob = np.random.default_rng(1).random(len(vocab.pieces)) / 1000
+    size = np.array([len(p) for p in vocab.pieces])
+    for word in ("derwald" * 12, "theandof" * 300):
+        assert abs(langid.expected_counts([word], np.ones(1), vocab, prob) @ size / (len(word) + 1) - 1) < 0.01
+    short = ["derwald" * 3, "the", "walking"]
+    plain = langid.expected_counts(short, np.ones(3), vocab, prob)
+    monkeypatch.setattr(langid, "UNSCALED", 1)
+    assert np.allclose(langid.expected_counts(short, np.ones(3), vocab, prob), plain)
+
+
 def test_toxicity_finds_rare_inflections(spark):
     rng = random.Random(11)
     stems = ["lowei", "vequa"]

@@ -32,6 +32,8 @@ MARK = "▁"
 UNKNOWN = 1e-6
 #: Characters between two rescalings of the forward sums.
 RESCALE = 16
+#: Places up to which the sums of the fit need no rescaling.
+UNSCALED = 65
 PER_LANGUAGE = 2000
 #: Words whose likelihoods a task remembers between slices.
 CACHE = 100_000
@@ -155,29 +157,39 @@ class WordScores:
         return self.rows[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))]
 
 
+def scaled_sums(ends: list, n: int, prob: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward sums of one language by place, and the log of the scale taken out of each (long runs only)."""
+    sums, scale = np.zeros((len(ends), n)), np.zeros((len(ends), n))
+    sums[0] = 1
+    for end in range(1, len(ends)):
+        sums[end] = sums[end - 1] * UNKNOWN
+        for start, rows, piece in ends[end]:
+            sums[end][rows] += sums[start][rows] * prob[piece] * np.exp(scale[start][rows] - scale[end - 1][rows])
+        if len(ends) > UNSCALED:
+            scale[end] = scale[end - 1] + np.log(sums[end])
+            sums[end] = 1
+    return sums, scale
+
+
 def expected_counts(words: list[str], weight: np.ndarray, vocab: Vocabulary, prob: np.ndarray) -> np.ndarray:
     """Expected uses of each piece (words x weight) under one language's probabilities."""
     out = np.zeros(len(vocab.pieces))
-    prob = prob[:, None]
-    for at, chars in by_length(words):
-        if chars.shape[1] > 64:
-            continue  # runs without a break say little about pieces; scoring takes them whole
-        ends = vocab.lattice(chars)
-        length, n = len(ends) - 1, len(at)
-        alpha, beta = np.zeros((length + 1, n)), np.zeros((length + 1, n))
-        alpha[0], beta[length] = 1, 1
-        for end in range(1, length + 1):
-            alpha[end] = alpha[end - 1] * UNKNOWN
-            for start, rows, piece in ends[end]:
-                alpha[end][rows] += alpha[start][rows] * prob[piece, 0]
-        for end in range(length, 0, -1):
-            beta[end - 1] += beta[end] * UNKNOWN
-            for start, rows, piece in ends[end]:
-                beta[start][rows] += beta[end][rows] * prob[piece, 0]
-        total = np.maximum(alpha[length], 1e-300)
-        for end in range(1, length + 1):
-            for start, rows, piece in ends[end]:
-                out += np.bincount(piece, alpha[start][rows] * beta[end][rows] * prob[piece, 0] / total[rows] * weight[at][rows], len(out))
+    for places, signs in by_length(words):
+        step = max(1, 20_000 * UNSCALED // max(UNSCALED, signs.shape[1]))  # long runs by fewer at once
+        for k in range(0, len(places), step):
+            at, ends = places[k : k + step], vocab.lattice(signs[k : k + step])
+            length, n = len(ends) - 1, len(at)
+            turned: list[list] = [[] for _ in ends]
+            for end in range(length, 0, -1):
+                for start, rows, piece in ends[end]:
+                    turned[length - start].append((length - end, rows, piece))
+            alpha, before = scaled_sums(ends, n, prob)
+            beta, behind = (x[::-1] for x in scaled_sums(turned, n, prob))
+            total = np.maximum(alpha[length], 1e-300)
+            for end in range(1, length + 1):
+                for start, rows, piece in ends[end]:
+                    scale = np.exp(before[start][rows] + behind[end][rows] - before[length][rows])
+                    out += np.bincount(piece, alpha[start][rows] * beta[end][rows] * prob[piece] / total[rows] * scale * weight[at][rows], len(out))
     return out
 
 
