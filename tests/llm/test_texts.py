@@ -80,6 +80,48 @@ def test_factors_lie_where_they_say(docs):
         assert words[doc][f.start : f.start + f.length] == words[f.ref_doc][f.ref_start : f.ref_start + f.length]
 
 
+def longest_before(words, docs):
+    """Of each place of each passage the longest run that a passage of a smaller document has, by brute force."""
+    out = []
+    for i, w in enumerate(words):
+        for k in range(len(w)):
+            best = 0
+            for j, v in enumerate(words):
+                for m in range(len(v)) if docs[j] < docs[i] else ():
+                    n = 0
+                    while k + n < len(w) and m + n < len(v) and w[k + n] == v[m + n]:
+                        n += 1
+                    best = max(best, n)
+            out.append(best)
+    return out
+
+
+def test_index_finds_the_longest_earlier_match():
+    rng = random.Random(3)
+    words = [[rng.randrange(3) for _ in range(rng.randrange(1, 12))] for _ in range(40)]
+    words += [words[0], words[1] * 3]
+    docs = np.array([rng.randrange(15) for _ in words])
+    index = substring_dedup.Index(np.array(sum(words, []), np.uint64), np.array([len(w) for w in words]), docs, np.arange(len(words)))
+    assert index.longest.tolist() == longest_before(words, docs)
+    flat, found = sum(words, []), np.flatnonzero(index.longest)
+    for i in found.tolist():
+        j, n = int(index.source[i]), int(index.longest[i])
+        assert flat[i : i + n] == flat[j : j + n] and docs[index.of[j]] < docs[index.of[i]]
+
+
+def test_span_found_only_across_a_border(spark):
+    """Greedily 14 words come from document 1, then 6 from 2; the window of 13 words across the border is in 2."""
+    words = list(range(1, 21))
+    others = [words[:14] + list(range(50, 60)), list(range(70, 80)) + words[7:], words]
+    index = substring_dedup.Index(np.array(sum(others, []), np.uint64), np.array([len(w) for w in others]), np.arange(1, 4), np.zeros(3, np.int64))
+    start, size, source = index.spans(13)
+    at = index.start[2]
+    assert [(s - at, n, index.of[j]) for s, n, j in zip(start, size, source)] == [(0, 14, 0), (7, 13, 1)]
+    rows = [(k + 1, " ".join(f"w{x}" for x in w)) for k, w in enumerate(others)]
+    found = {r.doc_id: r.parse for r in substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[3].n_removed == 20 and {f.ref_doc for f in found[3].factors} == {1, 2}
+
+
 def test_substring_dedup_layout_nulls_and_repeats(spark, empty):
     passage = " ".join(f"p{i}" for i in range(20))
     rows = [(1, passage), (2, f"Head\n\n{passage}\ntail  end"), (2, f"Head\n\n{passage}\ntail  end"), (None, passage), (3, None), (4, "")]
