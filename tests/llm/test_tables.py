@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from verdigris.llm import ann, url_filter, warc
@@ -36,9 +37,10 @@ def test_warc_round_trip(spark):
 
 def test_warc_archive_is_read_record_by_record():
     records = [{"page_id": k, "url": "u", "payload": f"page {k} ".encode() * 50, "payload_digest": "D", "record_type": "response", "refers_to": None} for k in range(30)]
-    content, offsets = warc.archive_bytes_of([warc.record_bytes(r) for r in records])
+    content, offsets = warc.archive_bytes_of([warc.record_bytes(r, "2020-01-31T12:00:00Z") for r in records])
     found = list(warc.parse_archive(content))
     assert [at for at, _, _ in found] == offsets
+    assert {h["WARC-Date"] for _, h, _ in found} == {"2020-01-31T12:00:00Z"}
     assert [c.partition(b"\r\n\r\n")[2] for _, _, c in found] == [r["payload"] for r in records]
     one, _ = warc.archive_bytes_of([b"WARC/1.1\r\nContent-Length: 0\r\n\r\n\r\n\r\n"])
     assert [c for _, _, c in warc.parse_archive(one)] == [b""]
@@ -49,6 +51,20 @@ def test_warc_least_and_empty_table(spark):
     assert {r.page_id: r.refers_to for r in warc.with_revisits(df, least=3).collect()} == {1: None, 2: None, 3: 4, 4: None}
     folder = shared_folder(spark, "warc")
     warc.write(warc.with_revisits(df.limit(0)), folder)
+    assert warc.read(spark, folder).count() == 0
+
+
+def test_warc_follows_the_manifest(spark):
+    """An archive that a lost attempt left in the folder is not read; clashing columns are ignored."""
+    df = spark.createDataFrame([(k, "u", f"text {k % 3}", "x", 1) for k in range(9)], "page_id long, url string, html string, payload string, sha1 int").repartition(2)
+    folder = shared_folder(spark, "warc")
+    warc.write(warc.with_revisits(df), folder)
+    stray, _ = warc.archive_bytes_of([warc.record_bytes({"page_id": 99, "url": "u", "payload": b"", "payload_digest": "D", "record_type": "response", "refers_to": None}, "2020-01-31T12:00:00Z")])
+    store, root = fs.FileSystem.from_uri(folder)
+    with store.open_output_stream(f"{root}/part-000000-00000-stray.warc.zst") as out:
+        out.write(stray)
+    found = {r.page_id: r.refers_to for r in warc.read(spark, folder).collect()}
+    assert found == {k: None if k > 5 else k % 3 + 6 for k in range(9)}
 
 
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"), ("blog.org", None, "block"), (None, "/x", "block"), ("com", "en", "block"), ("twice.com", "", "allow"), ("twice.com", "", "block")]

@@ -6,23 +6,27 @@ reader that knows a record's offset needs the dictionary and that frame only.
 
 Of records with equal payloads the one with the largest page id is the response and the others
 revisit it; payloads below ``least`` bytes are all responses. Payloads are grouped by SHA-1 and
-length: only (id, digest) pairs are aggregated, partially before the shuffle, so a payload that a
-third of all pages share costs a row a task.
+length: only (id, digest) pairs are aggregated, partially before the shuffle, and joined to their
+response; payloads meet the result by id and digest together, so a payload that a third of all pages
+share is spread like any other.
 
-Archives are written by tasks, of at most ``archive_bytes`` of payload each (or one record), under a
-temporary name and then renamed. Names follow from the partition and the place in it, so a repeated task
-replaces the same files. They go to a folder that all executors share; they are read back through
-Spark's binary file source, archive by archive.
+Archives are written by tasks, of at most ``archive_bytes`` of payload each (or one record), to a folder
+that all executors share. Every attempt of a task writes names of its own, and the manifest, a table that
+Spark commits, lists those of the attempts that counted. Readers follow the manifest, so archives that a
+lost or repeated attempt left behind are not read.
 
 Defined cases: a null payload is empty; a null url gives an empty target URI; a null id counts as
-below all others; rows with the largest id of a payload are all responses; an empty table gives no
-archive.
+below all others; rows with the largest id of a payload are all responses, repeated rows repeated
+records; a payload longer than ``archive_bytes`` is alone in its archive; an empty table gives no
+archive; columns beside id, url and payload are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
+import datetime
 import hashlib
+import math
 import struct
 import uuid
 from collections.abc import Iterable, Iterator
@@ -34,10 +38,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import written
+
 ARCHIVE_BYTES = 16 << 20
 DICTIONARY_BYTES = 64 << 10
 #: Bytes of records that a dictionary is built from; records are taken evenly over the archive.
 SAMPLE_BYTES = 4 << 20
+#: Compressed bytes that a task reads.
+TASK_BYTES = 64 << 20
 #: Magic number of the skippable frame that holds a dictionary.
 DICTIONARY_FRAME = 0x184D2A5D
 END = b"\r\n"
@@ -63,17 +71,19 @@ def with_revisits(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
     """The records to write, in columns RECORDS."""
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"), F.sha1(payload).alias("sha1"), F.octet_length(payload).alias("size"))
-    groups = rows.where(F.col("size") >= least).groupBy("sha1", "size").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = rows.join(groups, ["sha1", "size"], "left")
-    revisit = F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response"))
-    return joined.select("page_id", "url", "payload", base32_sha1(F.col("sha1")).alias("payload_digest"), F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("response")).alias("refers_to"))
+    keys = written(rows.where(F.col("size") >= least).select("page_id", "sha1", "size"), "warc-keys")
+    groups = written(keys.groupBy("sha1", "size").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1"), "warc-groups")
+    revisits = keys.join(groups, ["sha1", "size"]).where(~F.col("page_id").eqNullSafe(F.col("response"))).select(F.col("page_id").alias("id"), F.col("sha1").alias("hash"), "response").distinct()
+    joined = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("sha1") == F.col("hash")), "left")
+    return joined.select("page_id", "url", "payload", base32_sha1(F.col("sha1")).alias("payload_digest"), F.when(F.col("hash").isNotNull(), "revisit").otherwise("response").alias("record_type"), F.col("response").alias("refers_to"))
 
 
-def header(record: dict, content_length: int) -> bytes:
+def header(record: dict, content_length: int, date: str) -> bytes:
     lines = [
         "WARC/1.1",
         f"WARC-Type: {record['record_type']}",
         f"WARC-Record-ID: {record_id(record['page_id'])}",
+        f"WARC-Date: {date}",
         f"WARC-Target-URI: {(record['url'] or '').translate({10: '%0A', 13: '%0D'})}",
         f"WARC-Payload-Digest: sha1:{record['payload_digest']}",
         f"X-Payload-Length: {len(record['payload'])}",
@@ -87,11 +97,11 @@ def header(record: dict, content_length: int) -> bytes:
     return "\r\n".join(lines).encode() + END + END
 
 
-def record_bytes(record: dict) -> bytes:
-    """One WARC record: a revisit holds no payload."""
+def record_bytes(record: dict, date: str) -> bytes:
+    """One WARC record: a revisit holds no payload. ``date`` is that of the capture, as 2020-01-31T12:00:00Z."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
     content = http + (record["payload"] if record["record_type"] == "response" else b"")
-    return header(record, len(content)) + content + END + END
+    return header(record, len(content), date) + content + END + END
 
 
 def dictionary_of(records: list[bytes], size: int = DICTIONARY_BYTES, sample: int = SAMPLE_BYTES) -> bytes:
@@ -118,24 +128,30 @@ def archive_bytes_of(records: list[bytes]) -> tuple[bytes, list[int]]:
     return b"".join(out), offsets
 
 
-def write(records: DataFrame, folder: str, *, archive_bytes: int = ARCHIVE_BYTES) -> list[str]:
-    """Writes archives of the records below ``folder`` (a URI that all executors reach); their names."""
+def manifest_of(folder: str) -> str:
+    return f"{folder.rstrip('/')}-manifest"
+
+
+def write(records: DataFrame, folder: str, *, archive_bytes: int = ARCHIVE_BYTES, date: str | None = None) -> str:
+    """Writes archives of the records below ``folder`` (a URI that all executors reach); its manifest.
+
+    ``date`` is the records' WARC-Date; by default the time of this call.
+    """
+    dated = date or datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def save(name: str, pending: list[dict]) -> dict:
         store, root = fs.FileSystem.from_uri(folder)
-        content, _ = archive_bytes_of([record_bytes(r) for r in pending])
+        content, _ = archive_bytes_of([record_bytes(r, dated) for r in pending])
         store.create_dir(root, recursive=True)
-        part = f"{root}/.{name}.{uuid.uuid4().hex}"
-        with store.open_output_stream(part) as out:
+        with store.open_output_stream(f"{root}/{name}") as out:
             out.write(content)
-        store.move(part, f"{root}/{name}")
         return {"archive": name, "records": len(pending), "bytes": len(content)}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        partition, pending, size, done = TaskContext.get().partitionId(), [], 0, []
+        partition, attempt, pending, size, done = TaskContext.get().partitionId(), uuid.uuid4().hex, [], 0, []
 
         def flush():
-            done.append(save(f"part-{partition:06d}-{len(done):05d}.warc.zst", pending))
+            done.append(save(f"part-{partition:06d}-{len(done):05d}-{attempt}.warc.zst", pending))
 
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
@@ -149,9 +165,8 @@ def write(records: DataFrame, folder: str, *, archive_bytes: int = ARCHIVE_BYTES
             flush()
         yield pa.RecordBatch.from_pylist(done, schema=pa.schema([("archive", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())]))
 
-    manifest = f"{folder.rstrip('/')}-manifest"
-    records.mapInArrow(run, "archive string, records long, bytes long").write.parquet(manifest)
-    return manifest
+    records.mapInArrow(run, "archive string, records long, bytes long").write.parquet(manifest_of(folder))
+    return manifest_of(folder)
 
 
 def parse_archive(content: bytes) -> Iterator[tuple[int, dict, bytes]]:
@@ -173,24 +188,30 @@ def parse_archive(content: bytes) -> Iterator[tuple[int, dict, bytes]]:
         at = end
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
-    """One row for each record of the archives in ``folder``, in columns READ; digests are recomputed."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("path", "content")
+def read(spark: SparkSession, folder: str, *, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """One row for each record of the archives that the manifest lists, in columns READ; digests are recomputed."""
+    manifest = spark.read.schema("archive string, records long, bytes long").parquet(manifest_of(folder))
+    archives, size = manifest.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    tasks = max(1, min(archives, max(spark.sparkContext.defaultParallelism, math.ceil(size / task_bytes))))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(folder)
         schema = pa.schema([("archive", pa.string()), ("offset", pa.int64()), ("record_id", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
         number = lambda x: None if x is None else int(x)
         for batch in batches:
             for i in range(batch.num_rows):
                 rows = []
-                for at, names, content in parse_archive(batch.column("content")[i].as_py()):
+                name = batch.column("archive")[i].as_py()
+                with store.open_input_stream(f"{root}/{name}") as file:
+                    archive = file.read()
+                for at, names, content in parse_archive(archive):
                     digest, size = names["WARC-Payload-Digest"].removeprefix("sha1:"), int(names["X-Payload-Length"])
                     if names["WARC-Type"] == "response":
                         payload = content.partition(END + END)[2]
                         own = base64.b32encode(hashlib.sha1(payload).digest()).decode()
                         if (own, len(payload)) != (digest, size):
                             raise ValueError(f"record at {at} is damaged")
-                    rows.append(dict(zip(schema.names, (batch.column("path")[i].as_py(), at, names["WARC-Record-ID"], number(names.get("X-Page-ID")), names["WARC-Target-URI"], names["WARC-Type"], number(names.get("X-Refers-To-Page-ID")), size, digest), strict=True)))
+                    rows.append(dict(zip(schema.names, (name, at, names["WARC-Record-ID"], number(names.get("X-Page-ID")), names["WARC-Target-URI"], names["WARC-Type"], number(names.get("X-Refers-To-Page-ID")), size, digest), strict=True)))
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return files.mapInArrow(run, READ)
+    return manifest.select("archive").repartition(tasks).mapInArrow(run, READ)
