@@ -89,11 +89,11 @@ def judged(url, rules):
 def test_url_filter_is_exact(spark):
     rng = random.Random(4)
     urls = [f"{rng.choice(['http', 'https'])}://{rng.choice(['', 'www.', 'A.b.'])}{rng.choice(['example.', 'other.', 'Example.', ''])}{rng.choice(['com', 'net', 'org', 'twice.com', 'blog.org'])}{rng.choice(['', '/', '/en/', '/en/7', '/de/', '/de/81', '/es/x', '/en'])}{rng.choice(['', '?q=/en/', '#f', str(rng.randrange(99))])}" for _ in range(600)]
-    urls += [None, "", "no scheme", "http://", "://com/en/x", "a://b://com/en/", "http://com", "http://example.com/en/7", "http://host com/en/\nx", "http://..com/en/"]
+    urls += ["http://com/en/" + "x" * 100_000, "http://" + "a." * 300 + "example.com/en/7", None, "", "no scheme", "http://", "://com/en/x", "a://b://com/en/", "http://com", "http://example.com/en/7", "http://host com/en/\nx", "http://..com/en/"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit("clash"))
     rules = spark.createDataFrame(RULES, "host string, path string, action string")
-    for rate in (0.05, 0.7):
-        found = {r.page_id: tuple(r["filter"]) for r in url_filter.judge(df, rules, rate=rate).collect()}
+    for how in ({}, {"rate": 0.7}, {"most_keys": 4}):  # the last in three passes
+        found = {r.page_id: tuple(r["filter"]) for r in url_filter.judge(df, rules, **how).collect()}
         assert found == {i: judged(u, RULES) for i, u in enumerate(urls)}
 
 

@@ -11,31 +11,36 @@ level that lacks it is an even one (counting from 1; after the last level, one m
 corpus is part of the universe that the cascade was built over, so membership is exact and no page
 is joined with a rule. Two cascades answer "is a rule" and "is an allow rule".
 
-Building reads the corpus once for each level, filtered by all levels before; what level 1 falsely
-passes is ``rate`` of the distinct keys. Rules meet keys in a left anti join that Catalyst plans.
-A level is one array of longs that reaches the tasks as a literal, so the number of keys it holds is
-checked: a level of more than ``MOST_KEYS`` keys raises an error before anything is sent; longer lists
-are to be judged in parts, by a hash of the key.
+Level 1 has a rate of false passes at which about as many keys of the corpus pass it as are listed
+(their number is estimated beforehand), so all levels together are bounded by the list and grow with
+the logarithm of the corpus only. Building reads the corpus twice: for that estimate and for the keys
+that level 1 falsely passes, which are written as a table; later levels come from that table and the
+list. A level reaches the tasks as one literal. Of a list of more than ``most_keys`` keys each part, by
+a hash of the key, gets cascades of its own, and pages are judged part after part, each pass written to
+the shared folder, so that no plan holds more bits than those of ``most_keys`` keys.
 
 Defined cases: a null url or one without ``://`` has empty host and path and fits no rule; rules
 with a null host are ignored, a null path is empty; of rules with one key the blocking one counts;
-no rules or no pages are fine; repeated pages give repeated rows.
+no rules or no pages are fine; repeated pages give repeated rows; urls are judged at any length; a
+column named like the result is replaced, other columns pass whatever their names.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import without
+from .common import free_name, without, written
 
-#: Wrong passes of one level.
+#: Wrong passes of a level, the first aside.
 RATE = 0.05
-#: Keys of one level at most: about 6 MB of bits.
+#: Listed keys of one pass: about 6 MB of bits a level.
 MOST_KEYS = 8_000_000
-LEVELS = 40
+LEVELS = 60
 
 
 def host_of(url: Column) -> Column:
@@ -66,42 +71,44 @@ class Level:
         self.bits = max(64, 64 * math.ceil(-count * math.log(rate) / math.log(2) ** 2 / 64))
         self.hashes = max(1, round(-math.log2(rate)))
         self.level = level
-        places = keys.select(F.explode(self.places(F.col("key"))).alias("place"))
-        words = places.select(F.shiftrightunsigned("place", 6).cast("int").alias("word"), F.expr("shiftleft(1L, cast(place & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-        found = words.select(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("map"))
-        array = found.select(F.transform(F.sequence(F.lit(0), F.lit(self.bits // 64 - 1)), lambda i: F.coalesce(F.element_at("map", i), F.lit(0).cast("long"))).alias("words"))
-        self.words = [r["words"] for r in array.collect()][0]
+        places = keys.select(F.explode(F.array(*self.places(F.col("key")))).alias("place"))
+        words = [0] * (self.bits // 64)
+        for r in places.groupBy(F.shiftrightunsigned("place", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("bits")).collect():
+            words[r["word"]] = r["bits"]
+        # one string that Catalyst folds to an array: a node and a call, however many longs there are
+        self.words = F.split(F.lit(",".join(map(str, words))), ",").cast("array<long>")
 
-    def places(self, key: Column) -> Column:
-        return F.array(*[F.pmod(F.xxhash64(key, F.lit(self.level * 64 + i)), F.lit(self.bits).cast("long")) for i in range(self.hashes)])
+    def places(self, key: Column) -> list[Column]:
+        return [F.pmod(F.xxhash64(key, F.lit(self.level * 64 + i)), F.lit(self.bits).cast("long")) for i in range(self.hashes)]
 
     def passes(self, key: Column) -> Column:
-        words = F.lit(self.words)
+        """Whether all bits are there; the first that lacks ends the look-up."""
 
         def bit(place: Column) -> Column:
-            return F.call_function("shiftrightunsigned", F.get(words, F.shiftrightunsigned(place, 6).cast("int")), F.pmod(place, F.lit(64)).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+            word = F.get(self.words, F.shiftrightunsigned(place, 6).cast("int"))
+            return F.call_function("shiftrightunsigned", word, F.pmod(place, F.lit(64)).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
 
-        return F.forall(self.places(key), bit)
+        return reduce(and_, map(bit, self.places(key)))
 
 
 class Cascade:
     """Exact membership of the keys of a universe in a list."""
 
     def __init__(self, listed: DataFrame, universe: DataFrame, rate: float = RATE):
-        """Both have a column ``key`` of distinct non-null strings; the universe may hold listed keys."""
+        """Both have a column ``key`` of non-null strings, distinct in the list; the universe may hold listed keys."""
         self.levels: list[Level] = []
-        others = universe.join(listed, "key", "left_anti")
+        count, size = listed.count(), universe.agg(F.approx_count_distinct("key")).first()[0]
+        first = max(min(rate, max(count, 1) / max(size, 1)), 1e-12)
+        sides = [listed, None]  # the keys of the last level of either side
         for k in range(LEVELS):
-            source = listed if k % 2 == 0 else others
-            for level in self.levels:
-                source = source.where(level.passes(F.col("key")))
-            count = source.count()
+            if k == 1:
+                sides[1] = written(universe.where(self.levels[0].passes(F.col("key"))).join(listed, "key", "left_anti").distinct(), "cascade")
+            elif k > 1:
+                sides[k % 2] = written(sides[k % 2].where(self.levels[-1].passes(F.col("key"))), "cascade")
+            count = sides[k % 2].count()
             if not count:
                 break
-            if count > MOST_KEYS:
-                raise ValueError(f"level {k + 1} would hold {count} keys; judge the list in parts")
-            # keys of the own side have passed every level before; the smaller the set, the fewer bits
-            self.levels.append(Level(source, count, k, rate))
+            self.levels.append(Level(sides[k % 2], count, k, rate if k else first))
         else:
             raise RuntimeError("the cascade does not end; choose a smaller rate")
 
@@ -113,18 +120,32 @@ class Cascade:
         return answer
 
 
-def judge(pages: DataFrame, rules: DataFrame, *, url_col: str = "url", into: str = "filter", rate: float = RATE) -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, *, url_col: str = "url", into: str = "filter", rate: float = RATE, most_keys: int = MOST_KEYS) -> DataFrame:
     """``pages`` with a struct ``into``: host, path, rule (the deciding key or null), verdict.
 
     ``rules`` has columns host, path and action (``block`` or ``allow``).
     """
     pages = without(pages, into, url_col)
     listed = rules.where("host != '' and (coalesce(path, '') = '' or startswith(path, '/'))").select(F.concat(F.col("host"), F.coalesce("path", F.lit(""))).alias("key"), F.length(F.coalesce("path", F.lit(""))).alias("size"), (F.col("action") == "allow").alias("allow")).groupBy("key").agg(F.min("allow").alias("allow"), F.collect_set("size").alias("sizes"))
+    listed = written(listed, "rules")
     lengths = sorted(r[0] for r in listed.select(F.explode("sizes")).distinct().collect()) or [0]
+    parts = max(1, math.ceil(listed.count() / most_keys))
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
-    universe = pages.select(F.explode(keys_of(host, path, lengths)).alias("key")).distinct()
-    known, allowed = Cascade(listed.select("key"), universe, rate), Cascade(listed.where("allow").select("key"), listed.select("key"), rate)
-    rule = F.get(F.filter(keys_of(host, path, lengths), known.has), F.lit(0))
-    out = pages.withColumn(into, F.struct(host.alias("host"), path.alias("path"), rule.alias("rule")))
-    verdict = F.when(F.col(f"{into}.rule").isNull() | allowed.has(F.col(f"{into}.rule")), "allow").otherwise("block")
-    return out.withColumn(into, F.col(into).withField("verdict", verdict))
+    part_of = lambda key: F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(parts))
+    out, found = pages, free_name([*pages.columns, into], "found")
+    for part in range(parts):
+        mine = (lambda key, part=part: part_of(key) == part) if parts > 1 else (lambda key: F.lit(True))
+        own = listed.where(mine(F.col("key")))
+        universe = pages.select(F.explode(keys_of(host, path, lengths)).alias("key")).where(mine(F.col("key")))
+        known, allowed = Cascade(own.select("key"), universe, rate), Cascade(own.where("allow").select("key"), own.select("key"), rate)
+        rule = F.get(F.filter(keys_of(host, path, lengths), lambda k: mine(k) & known.has(k)), F.lit(0))
+        out = out.withColumn(found, rule)
+        here = F.when(F.col(found).isNull() | allowed.has(F.col(found)), "allow").otherwise("block")
+        value = F.struct(host.alias("host"), path.alias("path"), F.col(found).alias("rule"), here.alias("verdict"))
+        if part:  # of the rules of all parts that fit, the first key of the url counts
+            first = F.array_position(keys_of(host, path, lengths), F.col(found)) < F.array_position(keys_of(host, path, lengths), F.col(f"`{into}`.rule"))
+            value = F.when(F.col(found).isNotNull() & (F.col(f"`{into}`.rule").isNull() | first), value).otherwise(F.col(f"`{into}`"))
+        out = out.withColumn(into, value).drop(found)
+        if part < parts - 1:
+            out = written(out, "judged")
+    return out
