@@ -2,25 +2,26 @@
 
 Items and documents are lower-cased (A-Z only) and cut into words of ASCII letters, digits and
 non-ASCII characters. A window is ``width`` consecutive item words (an item of fewer words, but not
-none, is one window). All windows form one automaton; each document is normalised once, byte for
-byte, so that a place in the normalised text maps back to a place in the original, and is scanned
-once. Nothing is shuffled.
+none, is one window). All windows form one automaton over the items' words; a word that no item has is
+a sign that no window holds. Each document is normalised once, byte for byte, so that a place in the
+normalised text maps back to a place in the original, and is scanned once. Nothing is shuffled.
 
 The automaton is broadcast, so its size is checked: items are taken in blocks of at most
-``block_bytes`` of text. A usual benchmark is one block; a larger one is scanned block after block,
+``block_bytes`` of text. Benchmarks up to that are one block; a larger one is scanned block after block,
 each pass adding its hits to those found before and writing them to the shared folder, so that a
-worker never holds two automata.
+worker never holds two automata. A worker keeps its automaton from task to task.
 
 Defined cases: a null or wordless text has no hits; items without id or words are ignored; rows of
-one item id count as one item; an empty benchmark leaves every document clean; repeated document
-rows are judged one by one.
+one item id count as one item; an empty benchmark leaves every document clean; an empty table gives no
+rows; repeated document rows are judged one by one, texts of any length whole; a column named like the
+result is replaced, other columns pass whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_right
+import uuid
 
 import ahocorasick
 import numpy as np
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import add_struct, free_name, written
 
-#: Item text of one automaton; about 600 bytes of automaton for each byte of text.
-BLOCK_BYTES = 256 << 10
+#: Item text of one automaton; about 140 bytes of automaton for each byte of text.
+BLOCK_BYTES = 1 << 20
 
 _KEEP = set(range(0x30, 0x3A)) | set(range(0x61, 0x7B)) | set(range(0x80, 0x100))
 #: One byte for one byte: A-Z lower-cased, separators to blanks, all else unchanged.
@@ -45,47 +46,45 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().translate(FOLD).split()
 
 
-def windows_of(words: list[bytes], width: int) -> list[bytes]:
-    """The item's windows, each with a blank at both ends so that only whole words match."""
-    if not words:
-        return []
-    return [b" " + b" ".join(words[i : i + width]) + b" " for i in range(max(1, len(words) - width + 1))]
-
-
-def automaton_of(items: list[tuple[str, str]], width: int) -> tuple[ahocorasick.Automaton | None, list[tuple[int, list[str]]]]:
-    """The automaton over all windows; payload k of a hit leads to (words in the window, item ids)."""
-    owners: dict[bytes, set[str]] = {}
-    for item, text in items:
-        for window in windows_of(words_of(text), width):
-            owners.setdefault(window, set()).add(item)
-    if not owners:
-        return None, []
-    machine, payload = ahocorasick.Automaton(), []
-    for window, ids in owners.items():
-        machine.add_word(window.decode("latin-1"), len(payload))
-        payload.append((window.count(b" ") - 1, sorted(ids)))
-    machine.make_automaton()
-    return machine, payload
-
-
-def scan_text(text: str, machine, payload) -> tuple[int, np.ndarray, set[str]]:
-    """Number of words, sorted positions of the words that are hit, ids of the items found."""
-    words = text.encode().translate(FOLD).split()
-    if machine is None or not words:
-        return len(words), np.zeros(0, np.int32), set()
-    plain = b" " + b" ".join(words) + b" "
-    hits = [(end, k) for end, k in machine.iter(plain.decode("latin-1"))]
-    if not hits:
-        return len(words), np.zeros(0, np.int32), set()
-    ends = np.cumsum([len(w) + 1 for w in words]).tolist()  # of the blank after each word
-    covered, items = np.zeros(len(words) + 1, np.int32), set()
-    for end, k in hits:
-        n, ids = payload[k]
-        last = bisect_right(ends, end) - 1
-        covered[last - n + 1] += 1
-        covered[last + 1] -= 1
-        items.update(ids)
-    return len(words), np.flatnonzero(np.cumsum(covered[:-1])).astype(np.int32), items
+class Windows:
+    """The automaton over all windows, as sequences of word numbers; 0 is a word that no item has."""
+
+    def __init__(self, items: list[tuple[str, str]], width: int):
+        self.number: dict[bytes, int] = {}
+        owners: dict[tuple[int, ...], set[str]] = {}
+        for item, text in items:
+            words = [self.number.setdefault(w, len(self.number) + 1) for w in words_of(text)]
+            for i in range(max(1, len(words) - width + 1) if words else 0):
+                owners.setdefault(tuple(words[i : i + width]), set()).add(item)
+        self.machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE) if owners else None
+        for window, ids in owners.items():
+            self.machine.add_word(window, (len(window), sorted(ids)))
+        if owners:
+            self.machine.make_automaton()
+
+    def scan(self, text: str) -> tuple[int, np.ndarray, set[str]]:
+        """Number of words, sorted positions of the words that are hit, ids of the items found."""
+        words = words_of(text)
+        hits = list(self.machine.iter(tuple(self.number.get(w, 0) for w in words))) if self.machine and words else []
+        if not hits:
+            return len(words), np.zeros(0, np.int32), set()
+        covered, items = np.zeros(len(words) + 1, np.int32), set()
+        for last, (n, ids) in hits:
+            covered[last - n + 1] += 1
+            covered[last + 1] -= 1
+            items.update(ids)
+        return len(words), np.flatnonzero(np.cumsum(covered[:-1])).astype(np.int32), items
+
+
+_built: dict[str, Windows] = {}
+
+
+def built(token: str, items: list[tuple[str, str]], width: int) -> Windows:
+    """The automaton of a block, built once in a worker, which holds the latest one."""
+    if token not in _built:
+        _built.clear()
+        _built[token] = Windows(items, width)
+    return _built[token]
 
 
 def char_spans(text: str, hit: list[int]) -> list[tuple[int, int]]:
@@ -116,15 +115,15 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_
 
 
 def _scan_block(docs: DataFrame, sent, text_col: str, width: int, into: str, k: int) -> DataFrame:
-    step = free_name(docs.columns, f"{into}_{k}") if k else into
+    step, token = free_name(docs.columns, f"{into}_{k}") if k else into, uuid.uuid4().hex
 
     def factory():
-        machine, payload = automaton_of(sent.value, width)
+        windows = built(token, sent.value, width)
 
         def apply(texts: pa.Array) -> pa.Array:
             n, hit, items = [], [], []
             for text in texts.to_pylist():
-                count, covered, found = scan_text(text, machine, payload)
+                count, covered, found = windows.scan(text)
                 n.append(count)
                 hit.append(covered)
                 items.append(sorted(found))

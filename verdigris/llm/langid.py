@@ -9,10 +9,13 @@ Fitting takes a bounded sample, ``per_language`` labelled texts of each language
 smallest hash, copies once), and runs ``rounds`` of expectation-maximisation: each round is one
 Spark job in which tasks sum expected piece counts by forward and backward passes over distinct
 words. The model is one probability for each language and piece, so its size does not follow the
-data. Scoring is a narrow stage over whole texts.
+data. Scoring is a narrow stage over whole texts; a letter run of any length needs memory for its
+characters and for the sums at the last few places.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; without labelled rows
-every text is ``und``; equal likelihoods go to the language that sorts first.
+every text is ``und``; equal likelihoods go to the language that sorts first; texts of any length are
+scored whole, repeated rows one by one; an empty table gives no rows; a column named like the result
+is replaced, other columns pass whatever their names.
 """
 
 from __future__ import annotations
@@ -81,6 +84,24 @@ class Vocabulary:
         return ends
 
 
+    def ends(self, chars: np.ndarray):
+        """The same, one end after the other and without holding them: (start, rows, pieces) lists."""
+        n, length = chars.shape
+        upto = np.zeros((n, length + 1), np.uint64)  # hashes of the first characters
+        for j in range(length):
+            upto[:, j + 1] = upto[:, j] * BASE + chars[:, j] + np.uint64(1)
+        power = np.cumprod(np.full(self.longest, BASE))  # overflow wraps, as in the hash
+        for end in range(1, length + 1):
+            found = []
+            for start in range(max(0, end - self.longest), end):
+                h = upto[:, end] - upto[:, start] * power[end - start - 1]
+                at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+                rows = np.flatnonzero(self.keys[at] == h)
+                if len(rows):
+                    found.append((start, rows, self.order[at[rows]]))
+            yield found
+
+
 _vocabularies: dict[str, Vocabulary] = {}
 
 
@@ -111,28 +132,28 @@ def by_length(words: list[str]):
             yield at, chars
 
 
-def forward(ends: list, n: int, prob: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Forward sums by place (scaled) and the log of the scale that has been taken out at each place."""
-    length, k = len(ends) - 1, prob.shape[1]
-    alpha, scale = np.zeros((length + 1, n, k)), np.zeros((n, k))
-    alpha[0] = 1
-    for end in range(1, length + 1):
-        alpha[end] = alpha[end - 1] * UNKNOWN
-        for start, rows, piece in ends[end]:
-            alpha[end][rows] += alpha[start][rows] * prob[piece]
+def forward(ends, n: int, prob: np.ndarray, longest: int) -> np.ndarray:
+    """Log of the sums over all segmentations; only the sums at the last ``longest`` places are held."""
+    held = longest + 1
+    alpha, scale = np.zeros((held, n, prob.shape[1])), np.zeros((n, prob.shape[1]))
+    alpha[0], end = 1, 0
+    for end, found in enumerate(ends, 1):
+        here = alpha[(end - 1) % held] * UNKNOWN
+        for start, rows, piece in found:
+            here[rows] += alpha[start % held][rows] * prob[piece]
+        alpha[end % held] = here
         if end % RESCALE == 0:
-            top = np.maximum(alpha[max(0, end - RESCALE) : end + 1].max(axis=0), 1e-300)
-            alpha[max(0, end - RESCALE) : end + 1] /= top
+            top = np.maximum(alpha.max(axis=0), 1e-300)
+            alpha /= top
             scale += np.log(top)
-    return alpha, scale
+    return np.log(np.maximum(alpha[end % held], 1e-300)) + scale
 
 
 def log_likelihoods(words: list[str], vocab: Vocabulary, prob: np.ndarray) -> np.ndarray:
     """log P(word | language), all segmentations summed: words x languages."""
     out = np.zeros((len(words), prob.shape[1]))
     for at, chars in by_length(words):
-        alpha, scale = forward(vocab.lattice(chars), len(at), prob)
-        out[at] = np.log(np.maximum(alpha[-1], 1e-300)) + scale
+        out[at] = forward(vocab.ends(chars), len(at), prob, vocab.longest)
     return out
 
 

@@ -4,18 +4,21 @@ The vocabulary is a sentencepiece BPE model with byte fallback and an identity n
 cut into pre-tokens: no piece of the vocabulary continues from another character into a word mark,
 so a mark that follows another character always begins a new pre-token. The distinct pre-tokens of a
 batch are held as one ragged array of symbols; in each step every sequence applies its own pair of
-lowest rank (leftmost on ties) at the same time, sequences without a pair leave, and the symbols
-that survive are counted, once per occurrence of the pre-token. Unknown characters count their
-UTF-8 bytes.
+lowest rank at the same time, sequences without a pair leave, and the symbols that survive are
+counted, once per occurrence of the pre-token. Unknown characters count their UTF-8 bytes.
 
-Pre-tokens of more than ``LONG`` symbols would need as many steps, so those follow the same rule with
-a heap, one sequence at a time. Memory is bounded by the slice of text that a step works on; nothing
-is shuffled. Null and empty texts have no tokens.
+A sequence merges all places of its pair in one step, from the left, up to the first merge that makes
+a pair of lower rank: those are the merges that the library would do next one by one. So a long
+pre-token takes about as many steps as it has kinds of pairs, and needs no other way. Memory is
+bounded by the slice of text that a step works on; nothing is shuffled.
+
+Defined cases: null and empty texts have no tokens; texts and pre-tokens may have any length; repeated
+rows are counted one by one, an empty table gives no rows; a column named like the result is
+replaced, other columns pass whatever their names. Ranks are never tied: pieces are numbered.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 
 import numpy as np
@@ -26,7 +29,6 @@ from pyspark.sql import DataFrame
 from .common import add_struct, encode_words, ragged, starts_of
 
 MARK = "▁"
-LONG = 512
 PRETOKEN = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+$")
 FIELDS = "n_bytes bigint, n_tokens bigint"
 NONE = np.int64(2**62)
@@ -57,7 +59,6 @@ class Merges:
                 left, right = pieces.get(piece[:k]), pieces.get(piece[k:])
                 if left is not None and right is not None:
                     pairs[left << 20 | right] = rank[i] << 20 | i
-        self.pairs = pairs
         self.keys = np.sort(np.fromiter(pairs, np.int64, len(pairs)))
         self.found = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
         starts = np.searchsorted(self.keys >> 20, np.arange(self.size + 6))
@@ -80,12 +81,10 @@ class Merges:
         """Tokens of each sequence."""
         out = np.zeros(len(sequences), np.int64)
         size = np.fromiter(map(len, sequences), np.int64, len(sequences))
-        for i in np.flatnonzero(size > LONG):
-            out[i] = self.count_long(sequences[i])
-        short = np.flatnonzero((size <= LONG) & (size > 0))
-        if len(short):
-            chars = np.frombuffer("".join(sequences if len(short) == len(sequences) else [sequences[i] for i in short]).encode("utf-32-le"), np.uint32)
-            out[short] = self._count_ragged(self.symbol[chars], size[short])
+        full = np.flatnonzero(size)
+        if len(full):
+            chars = np.frombuffer("".join(sequences).encode("utf-32-le"), np.uint32)
+            out[full] = self._count_ragged(self.symbol[chars], size[full])
         return out
 
     def _count_ragged(self, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -106,40 +105,45 @@ class Merges:
                 keep = ragged(starts[:-1][stay], lengths[stay])
                 symbols, best, lengths, alive, low = symbols[keep], best[keep], lengths[stay], alive[stay], low[stay]
                 starts = starts_of(lengths)
-            hit = np.flatnonzero(best == np.repeat(low, lengths))  # the leftmost of each sequence:
-            at = hit[np.searchsorted(hit, starts[:-1])]
+            hit = np.flatnonzero(best == np.repeat(low, lengths))
+            at = hit[self._first_merges(symbols, best, starts, hit)]
+            of = np.searchsorted(starts, at, side="right") - 1
             symbols[at] = (best[at] & 0xFFFFF).astype(np.int32)
             keep = np.ones(len(symbols), bool)
             keep[at + 1] = False
             symbols, best = symbols[keep], best[keep]
             at -= np.arange(len(at))
-            lengths = lengths - 1
+            lengths = lengths - np.bincount(of, minlength=len(lengths))
             starts = starts_of(lengths)
-            inner = at + 1 < starts[1:]
+            inner = at + 1 < starts[of + 1]
             best[at] = NONE
             best[at[inner]] = self.pair(symbols[at[inner]], symbols[at[inner] + 1])
-            inner = at[at > starts[:-1]]
+            inner = at[at > starts[of]]
             best[inner - 1] = self.pair(symbols[inner - 1], symbols[inner])
 
-    def count_long(self, sequence: str) -> int:
-        """The same rule for one long sequence."""
-        symbols = self.symbol[np.frombuffer(sequence.encode("utf-32-le"), np.uint32)].tolist()
-        n, get = len(symbols), self.pairs.get
-        after, before, dead = list(range(1, n + 1)), list(range(-1, n - 1)), bytearray(n)
-        heap = [(v, i, symbols[i], symbols[i + 1]) for i in range(n - 1) if (v := get(symbols[i] << 20 | symbols[i + 1])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            v, i, left, right = heapq.heappop(heap)
-            j = after[i]
-            if dead[i] or symbols[i] != left or j >= n or symbols[j] != right:
-                continue
-            symbols[i], dead[j], after[i] = v & 0xFFFFF, 1, after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b < n and (v := get(symbols[a] << 20 | symbols[b])) is not None:
-                    heapq.heappush(heap, (v, a, symbols[a], symbols[b]))
-        return int(self.weight[[s for s, gone in zip(symbols, dead, strict=True) if not gone]].sum())
+    def _first_merges(self, symbols: np.ndarray, best: np.ndarray, starts: np.ndarray, hit: np.ndarray) -> np.ndarray:
+        """Which of the places ``hit`` of each sequence's lowest pair are merged together, from the left."""
+        new = np.ones(len(hit), bool)
+        new[1:] = hit[1:] != hit[:-1] + 1
+        run = np.flatnonzero(new)
+        take = np.flatnonzero((np.arange(len(hit)) - np.repeat(run, np.diff(np.append(run, len(hit))))) % 2 == 0)  # places that overlap give way
+        at = hit[take]
+        of = np.searchsorted(starts, at, side="right") - 1
+        several = of[1:] == of[:-1]
+        if not several.any():
+            return take
+        made, low = (best[at] & 0xFFFFF).astype(np.int32), best[at]
+        after_merge = np.zeros(len(at), bool)  # the symbol before is one just made
+        after_merge[1:] = several & (at[1:] == at[:-1] + 2)
+        left = np.where(after_merge, np.roll(made, 1), symbols[np.maximum(at - 1, 0)])
+        lower = (at > starts[of]) & (self.pair(left, made) < low)
+        has = at + 2 < starts[of + 1]
+        lower |= has & (self.pair(made, symbols[np.minimum(at + 2, len(symbols) - 1)]) < low)
+        if not lower.any():
+            return take
+        stop = np.full(len(starts), len(symbols), np.int64)
+        np.minimum.at(stop, of[lower], at[lower])
+        return take[at <= stop[of]]
 
 
 def count_texts(texts: pa.Array, merges: Merges) -> np.ndarray:
