@@ -173,6 +173,39 @@ def test_minhash_chain_needs_other_leaders(spark):
     assert {r.component_id for r in found} == {0}
 
 
+def test_bitmaps_differ_in_fewer_bits_than_sets():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in (1, 50, 800)]
+    sets += [np.union1d(s[3:], rng.integers(0, 2**63, 4, dtype=np.uint64)) for s in sets]
+    bits = minhash.bitmaps(np.concatenate(sets), np.cumsum([0, *map(len, sets)])).to_pylist()
+    for a, x in zip(sets, bits):
+        for b, y in zip(sets, bits):
+            differ = sum(bin((p ^ q) & (2**64 - 1)).count("1") for p, q in zip(x, y))
+            assert len(x) == minhash.LONGS and differ <= len(np.setxor1d(a, b)) and (differ - len(np.setxor1d(a, b))) % 2 == 0
+
+
+def test_minhash_large_group_of_unlike_edits(spark):
+    """Copies of one text with edits of their own, some of them too many, against brute force."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(60)]
+
+    def edited(k):
+        words = list(base)
+        for _ in range(k % 9):
+            words[rng.randrange(60)] = f"e{k}x{rng.randrange(99)}"
+        return " ".join(words)
+
+    rows = [(k, edited(k), "s") for k in range(150)]
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, source string"), shingle=2).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in found} == groups(rows, 2)
+
+
+def test_components_of_chains_and_stars(spark):
+    edges = [(k, k + 1) for k in range(20)] + [(100, 100 + k) for k in range(1, 9)] + [(200, 199), (199, 300), (50, 50)]
+    found = {r.node: r.component for r in minhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == {**{k: 0 for k in range(21)}, **{100 + k: 100 for k in range(9)}, 199: 199, 200: 199, 300: 199}
+
+
 def test_minhash_nulls_repeats_and_empty(spark, empty):
     rows = [(7, "a b c d e f"), (7, "a b c d e f"), (3, "a b c d e f"), (None, "a b c d e f"), (8, None), (9, ""), (None, None)]
     found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
@@ -211,6 +244,7 @@ def test_token_counts_of_random_strings():
     model, rng = sentencepiece.SentencePieceProcessor(model_file=PIECES), random.Random(5)
     signs = ["a", "b", " ", "  ", "\n", "▁", "é", "e", "\u0301", "日", "<s>", "</s>", "<0x0A>", "the", "ing", "\x00", "😀", "aaa", "==", "0"]
     texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(0, 40))) for _ in range(2000)] + ["a" * 3000, "ab" * 2000, " " * 700, "".join(rng.choice("abcdefgh") for _ in range(1500))]
+    texts += ["".join(rng.choice("etaoinshrdlu") for _ in range(n)) for n in (511, 513, 2000, 20_000)] + ["theing" * 3000]
     assert token_counts.count_texts(pa.array(texts), token_counts.Merges.of(PIECES)).tolist() == [len(x) for x in model.encode(texts)]
 
 
@@ -252,6 +286,28 @@ def test_decontamination_places_and_empty_tables(spark, docs, empty):
     assert decontaminate.scan(empty, bench).count() == 0
 
 
+def test_one_automaton_holds_a_large_benchmark():
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(4000)]
+    items = [(str(k), " ".join(rng.choice(words) for _ in range(60))) for k in range(700)]
+    assert 256 << 10 < sum(len(t) for _, t in items) <= decontaminate.BLOCK_BYTES
+    windows = decontaminate.Windows(items, 10)
+    for k in (0, 350, 699):
+        n, hit, found = windows.scan("new " * 5 + " ".join(items[k][1].split()[20:35]) + " unheard")
+        assert (n, hit.tolist(), found) == (21, list(range(5, 20)), {str(k)})
+
+
+def test_decontamination_names_repeats_and_none(spark):
+    item = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, item, "x"), (1, item, "x"), (2, None, "y"), (3, "w1", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, Scan string")
+    bench = spark.createDataFrame([("a", item), ("a", item), (None, item), ("b", None), ("c", "..")], "item_id string, text string")
+    found = decontaminate.scan(docs, bench).collect()
+    assert sorted((r.doc_id, len(r.scan.hit), tuple(r.scan["items"])) for r in found) == [(1, 12, ("a",)), (1, 12, ("a",)), (2, 0, ()), (3, 0, ())]
+    assert decontaminate.scan(docs.limit(0), bench).count() == 0
+    assert decontaminate.clean(docs, bench).count() == 2
+
+
 def test_packing_holds_every_id_once(spark, docs):
     from tokenizers import Tokenizer
 
@@ -322,6 +378,21 @@ def test_results_replace_columns_of_their_name(spark):
     assert common.free_name(["A", "a_"], "a") == "a__"
 
 
+def test_language_id_odd_rows(spark, empty):
+    """Ties, repeats, a very long run of letters, a column of the result's name, an empty table, no labelled rows."""
+    train = spark.createDataFrame([("the and of thing", "en"), ("the and of thing", "aa"), ("the and", None), (None, "en")], "text string, lang string")
+    model = langid.fit(train, PIECES)
+    rows = [(1, "the thing", "x"), (1, "the thing", "x"), (2, "a" * 200_000, "x"), (3, "12 !", "x"), (4, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, Language string")
+    found = langid.identify(docs, model, PIECES).collect()
+    assert len(found) == 5 and {r.language.lang_pred for r in found if r.doc_id < 3} == {"aa"}
+    assert {(r.language.lang_pred, r.language.score) for r in found if r.doc_id > 2} == {("und", 0.0)}
+    assert all(abs(r.language.score - 0.5) < 1e-9 for r in found if r.doc_id < 3)
+    assert langid.identify(empty, model, PIECES).count() == 0
+    nothing = langid.fit(train.limit(0), PIECES)
+    assert {r.language.lang_pred for r in langid.identify(docs, nothing, PIECES).collect()} == {"und"}
+
+
 def test_forward_sums_all_segmentations():
     vocab = langid.vocabulary(PIECES)
     prob = np.random.default_rng(0).random((len(vocab.pieces), 2)) / 1000

@@ -6,24 +6,30 @@ and coordinate k is the least value of the second over the scattered shingles ci
 k. ``rows`` coordinates make a band; documents that agree on a band share a bucket.
 
 Copies collapse first: one representative (the smallest id) stands for all documents with one set.
-Buckets never give all their pairs. In a round each bucket pairs one leader with its other members,
-the pairs are verified on full sets, and verified links join components. Documents of buckets that
-the rounds leave with several components are open. Open documents of different components are
+Buckets never give all their pairs. In a round each bucket has one leader, the first of its members
+in an order that all buckets share: at first the document that meets most others in its buckets, then
+by hash. A document is paired with the leader of most of its buckets, the pairs are verified on full
+sets, and verified links join components. Documents of buckets that the rounds leave with several
+components are open. Open documents of different components are
 compared only where they must be: two sets that reach the similarity share a shingle among the
-rarest of each, at places that leave room for enough more (prefix and positional filter, both
-exact). So every pair that shares a band is verified, ruled out or joined already, with no cap on
+rarest of each, at places that leave room for enough more, and differ in few bits of a bitmap (prefix,
+positional and bitmap filter, none of which loses a link). So every pair that shares a band is verified, ruled out or joined already, with no cap on
 bucket sizes or partners, and pairs of a large group of unlike edits are not listed. With 32 bands
-of 4 rows a pair at similarity 0.8 shares no band with probability 5e-8.
+of 4 rows a pair at similarity 0.8 shares no band with probability 5e-8. Shingles are compared by
+64-bit hashes and whole sets, when copies collapse, by 128-bit ones.
 
 Texts are shuffled once, to fetch the sets of documents that are in some candidate pair. Results of
 every round are written to the cluster's shared folder, so lost executors cost one round at most.
 
 Defined cases: no words: empty set, linked with nothing; a null id is linked with nothing and kept;
-rows of one id are one node; an empty table gives no rows; other columns are not read.
+rows of one id are one node with a set for each text; a text of any length is one set; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -35,6 +41,8 @@ from .common import bounded_batches, mix64, rolling, split_words, starts_of, tex
 
 #: Elements of one step over all coordinates: small enough for a core's cache.
 BLOCK = 1 << 15
+#: Longs of a set's bitmap.
+LONGS = 8
 
 
 def first_permutation(x: np.ndarray) -> np.ndarray:
@@ -115,19 +123,35 @@ def sketch(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, n long, key binary, bands array<long>")
 
 
+def bitmaps(sets: np.ndarray, at: np.ndarray) -> pa.Array:
+    """The parity of the elements on each of 64 * LONGS bits, for each set: LONGS integers."""
+    count, size = len(at) - 1, 64 * LONGS
+    out = np.zeros((count, LONGS), np.uint64)
+    for i in range(0, count, 1024):
+        j = min(i + 1024, count)
+        own = sets[at[i] : at[j]]
+        bit = np.repeat(np.arange(j - i), np.diff(at[i : j + 1])) * size + (own % np.uint64(size)).astype(np.int64)
+        odd = np.bincount(bit, minlength=(j - i) * size).astype(np.uint8) & 1
+        out[i:j] = np.packbits(odd.reshape(j - i, size), axis=1).view(np.uint64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(count + 1, dtype=np.int32) * LONGS), pa.array(out.ravel().view(np.int64)))
+
+
 def full_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """id, shingles: the whole set as 64-bit hashes."""
+    """id, shingles (the whole set as 64-bit hashes), bits: a bitmap of which shingles fall on each bit an odd number of times."""
 
     def run(batches):
         for part in text_slices(batches, "text"):
             sets, at = shingle_sets(pc.fill_null(part.column("text"), ""), shingle)
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(sets.view(np.int64)))], names=["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(sets.view(np.int64))), bitmaps(sets, at)], names=["id", "shingles", "bits"])
 
-    return docs.mapInArrow(run, "id long, shingles array<long>")
+    return docs.mapInArrow(run, "id long, shingles array<long>, bits array<long>")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity num / den, exactly."""
+    """The pairs (a, b) whose sets reach the similarity num / den, exactly.
+
+    The first join gives ``a`` its set: a leader that stands in many pairs is met there by short rows.
+    """
     num, den = similarity
     left, right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
@@ -140,36 +164,52 @@ def prefix_pairs(documents: DataFrame, sets: DataFrame, similarity: tuple[int, i
     Shingles are ordered by how many of the documents hold them. The first shingle that two sets
     share, at places p and q (from 0), bounds what they share by the rest of either set, so
     n - p and m - q must reach num / (num + den) of n + m. Shingles of one document only take the
-    first places and are not joined.
+    first places and are not joined. Bitmaps hold the parity of the shingles that fall on each bit, so
+    two sets differ in at least as many shingles as their bitmaps in bits.
     """
     num, den = similarity
-    tokens = documents.join(sets, "id").select("id", F.explode("shingles").alias("token"))
+    tokens = documents.join(sets.withColumn("n", F.size("shingles").cast("long")), ["id", "n"]).select("id", "n", F.explode("shingles").alias("token"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    ordered = tokens.join(shared, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("tokens"))
-    rows = documents.join(ordered, "id").withColumn("alone", F.col("n") - F.size("tokens"))
+    ordered = tokens.join(shared, "token").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("tokens"))
+    marked = documents.join(sets.select("id", F.size("shingles").cast("long").alias("n"), "bits"), ["id", "n"])
+    rows = marked.join(ordered, ["id", "n"]).withColumn("alone", F.col("n") - F.size("tokens"))
     room = F.call_function("div", F.col("n") * (den - num), F.lit(den)) + 1 - F.col("alone")  # places that can start a match
-    rows = rows.where(room > 0).select("id", "n", "component", "alone", F.posexplode(F.slice("tokens", F.lit(1), room.cast("int"))).alias("place", "t"))
-    rows = rows.select("id", "n", "component", F.col("t.token").alias("token"), (F.col("n") - F.col("alone") - F.col("place")).alias("rest"))
-    other = rows.select(F.col("id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"), "token", F.col("rest").alias("rx"))
-    need = num * (F.col("n") + F.col("nx"))
-    fits = (F.col("component") < F.col("cx")) & ((num + den) * F.col("rest") >= need) & ((num + den) * F.col("rx") >= need) & (den * F.col("n") >= num * F.col("nx")) & (den * F.col("nx") >= num * F.col("n"))
-    found = rows.alias("l").join(other, "token").where(fits)
+    rows = rows.where(room > 0).select("id", "n", "component", "bits", "alone", F.posexplode(F.slice("tokens", F.lit(1), room.cast("int"))).alias("place", "t"))
+    bits = [F.get("bits", F.lit(k)).alias(f"bits{k}") for k in range(LONGS)]
+    rows = rows.select("id", "n", "component", F.col("t.token").alias("token"), (F.col("n") - F.col("alone") - F.col("place")).alias("rest"), *bits)
+    other = rows.select(F.col("id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"), "token", F.col("rest").alias("rx"), *[F.col(f"bits{k}").alias(f"x{k}") for k in range(LONGS)])
+    both = F.col("n") + F.col("nx")
+    fits = (F.col("component") < F.col("cx")) & ((num + den) * F.col("rest") >= num * both) & ((num + den) * F.col("rx") >= num * both) & (den * F.col("n") >= num * F.col("nx")) & (den * F.col("nx") >= num * F.col("n"))
+    differ = reduce(add, [F.bit_count(F.col(f"bits{k}").bitwiseXOR(F.col(f"x{k}"))) for k in range(LONGS)])
+    found = rows.alias("l").join(other, "token").where(fits & ((num + den) * differ <= (den - num) * both))
     return found.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (its smallest node) for the nodes of the edges (a, b)."""
-    links = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = written(links.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("component")), "labels")
-    while True:
-        heard = links.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("heard"))
-        nearer = labels.join(heard, labels.node == heard.a).select("node", "component", F.least("component", "heard").alias("least"))
-        onward = labels.select(F.col("node").alias("least"), F.col("component").alias("onward"))
-        after = nearer.join(onward, "least").select("node", F.least("least", "onward").alias("after"), "component")
-        after = written(after, "labels")
-        labels = after.select("node", F.col("after").alias("component"))
-        if after.where("after < component").isEmpty():
-            return labels
+    """node, component (its smallest node) for the nodes of the edges (a, b).
+
+    In a round every node of the remaining graph takes the smallest label around it, and then that
+    node's own; edges are then drawn between labels, and those inside a label are gone. So a star of
+    any size is one round, and rounds handle ever fewer edges.
+    """
+    both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    open_, steps = written(both(edges).where("a != b").distinct(), "links"), []
+    while not open_.isEmpty():
+        nearest = written(open_.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("near")), "near")
+        onward = nearest.select(F.col("node").alias("near"), F.col("near").alias("far"))
+        step = written(nearest.join(onward, "near").select("node", F.col("far").alias("label")), "labels")
+        steps.append(step)
+        left, right = (step.select(F.col("node").alias(c), F.col("label").alias(f"to_{c}")) for c in "ab")
+        moved = open_.where("a < b").join(left, "a").join(right, "b").where("to_a != to_b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b"))
+        open_ = written(both(moved).distinct(), "links")
+    if not steps:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).limit(0)
+    labels = steps[-1]
+    for step in reversed(steps[:-1]):  # a label of one round is a node of the next, unless it is settled
+        later = labels.select(F.col("node").alias("label"), F.col("label").alias("final"))
+        labels = step.join(later, "label", "left").select("node", F.coalesce("final", "label").alias("label"))
+        labels = written(labels, "labels")
+    return labels.select("node", F.col("label").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: tuple[int, int] = (80, 100), bands: int = 32, rows: int = 4, rounds: int = 2) -> DataFrame:
@@ -178,43 +218,40 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketches = written(sketch(docs, shingle, bands, rows), "sketches")
     named = sketches.where("id is not null and key is not null")
-    groups = named.groupBy("key").agg(F.min("id").alias("rep"))
+    # tables on both sides of a join, so that Spark splits the partition of a hot key
+    groups = written(named.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("size")), "groups")
     heads = named.groupBy("id", "key", "n", "bands").agg(F.lit(1).alias("one")).join(groups, (named.key == groups.key) & (named.id == groups.rep), "left_semi")
-    placed = heads.select("id", "n", F.explode("bands").alias("band"))
-    several = placed.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("band")
-    placed = written(placed.join(several, "band").select("band", "id", "n"), "buckets").distinct()
+    placed = heads.select("id", "n", F.explode("bands").alias("band")).withColumn("component", F.col("id"))
 
-    num, den = similarity
-    sized = lambda a, b: (den * a >= num * b) & (den * b >= num * a)
     # copies of one set link to their representative; they are edges already
-    links = named.select("id", "key").join(groups, "key").where("id > rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    edges = written(links, "copies")
+    edges = written(named.select("id", "key").join(groups.where("size > 1"), "key").where("id > rep").select(F.col("rep").alias("a"), F.col("id").alias("b")), "copies")
+    num, den = similarity
     sets = None
-    tested = None
     for step in range(rounds + 1):
-        rows_now = placed.withColumn("component", F.col("id"))
         if step:
             label = components(edges)
-            rows_now = placed.join(label, placed.id == label.node, "left").select("band", "id", "n", F.coalesce("component", "id").alias("component"))
-            open_bands = rows_now.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
-            rows_now = rows_now.join(open_bands, "band")
+            edges = label.where("component < node").select(F.col("component").alias("a"), F.col("node").alias("b"))
+            placed = buckets.drop("component").join(label, buckets.id == label.node, "left").select("band", "id", "n", F.coalesce("component", "id").alias("component"))
+        sizes = placed.groupBy("band").agg(F.count("*").alias("met"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+        placed = written(placed.join(written(sizes.select("band", "met"), "sizes"), "band"), "open-buckets")
+        # one order for all buckets, so that near copies meet one leader in most of theirs: first by how many
+        # documents one meets in its buckets, which is most for the least changed copy, then by hash
+        met = F.sum("met") if step == 0 else F.lit(0)
+        order = placed.groupBy("id").agg(met.alias("met")).select(F.col("id").alias("x"), F.struct(-F.col("met"), F.xxhash64("id", F.lit(step))).alias("turn"))
+        lead = placed.join(order, placed.id == order.x).groupBy("band").agg(F.min(F.struct("turn", "id", "n", "component")).alias("lead"))
+        lead = written(lead.select("band", F.col("lead.id").alias("x"), F.col("lead.n").alias("nx"), F.col("lead.component").alias("cx")), "leaders")
+        buckets = written(placed.drop("met").join(lead, "band"), "buckets")
         if step < rounds:
-            turn = F.xxhash64("id", "band", F.lit(step)).alias("turn")  # each bucket has a leader of its own
-            lead = rows_now.groupBy("band").agg(F.min(F.struct(turn, "id", "n", "component")).alias("lead")).select("band", F.col("lead.id").alias("x"), F.col("lead.n").alias("nx"), F.col("lead.component").alias("cx"))
-            pairs = rows_now.join(lead, "band").where((F.col("component") != F.col("cx")) & sized(F.col("n"), F.col("nx"))).select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
+            # a document asks the leader of most of its buckets
+            sized = (den * F.col("n") >= num * F.col("nx")) & (den * F.col("nx") >= num * F.col("n"))
+            asked = buckets.where((F.col("component") != F.col("cx")) & sized).groupBy("id", "x").agg(F.count("*").alias("shared"))
+            pairs = asked.groupBy("id").agg(F.max(F.struct("shared", "x")).alias("most")).select(F.col("most.x").alias("a"), F.col("id").alias("b"))
         else:
-            pairs = prefix_pairs(written(rows_now.select("id", "n", "component").distinct(), "open"), sets, similarity)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            pairs = prefix_pairs(written(buckets.select("id", "n", "component").distinct(), "open"), sets, similarity)
         pairs = written(pairs, "pairs")
-        if step and pairs.isEmpty():
-            break
         if sets is None:
-            wanted = placed.select("id").distinct()
-            sets = written(full_sets(docs.join(wanted, "id", "left_semi"), shingle).dropDuplicates(["id"]), "sets")
-        found = written(verify(pairs, sets, similarity), "found")
-        tested = pairs if tested is None else tested.union(pairs)
-        edges = edges.union(found)
+            sets = written(full_sets(docs.join(written(buckets.select("id").distinct(), "wanted"), "id", "left_semi"), shingle).distinct(), "sets")
+        edges = edges.union(written(verify(pairs, sets, similarity), "found"))
     label = components(edges)
     out = sketches.select("id", "n").join(label, sketches.id == label.node, "left")
     component = F.coalesce("component", "id")
