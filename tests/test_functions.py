@@ -70,8 +70,13 @@ def test_error_and_keys(spark):
     df = spark.createDataFrame([("cannot open /a/b/x.pdf: x broke", "/a/b/x.pdf")], "m string, p string")
     assert df.select(text.sanitized_error(F.col("m"), F.col("p"))).first()[0] == "cannot open <redacted>: <redacted> broke"
     assert df.select(text.sanitized_error(F.repeat(F.lit("y"), 300), F.col("p"))).first()[0] == "y" * 200 + "…"
-    df = spark.createDataFrame([("a", "b"), ("", "b"), ("a\x1f", "b"), (None, "b")], "x string, y string")
-    assert [r[0] for r in df.select(text.dedup_key(F.col("x"), F.col("y"))).collect()] == ["a\x1fb", None, None, None]
+    key = text.dedup_key(F.col("x"), F.col("y"))
+    frame = lambda x: spark.createDataFrame([(x, "b")], "x string, y string").select(key.alias("k"))
+    assert frame("a").first().k == "a\x1fb"
+    for bad in ("", "a\x1f", None):
+        with pytest.raises(Exception, match="separator"):
+            frame(bad).collect()
+
 
 
 def test_text_status(spark):

@@ -92,7 +92,7 @@ def test_index(spark):
     own = outcome_rows(spark, {"guilty_plea": 3, "guilty_verdict": 1, "dismissed": 2})
     parts = spark.createDataFrame([("0", "probation", 30, 60, False, True), ("0", "probation", 90, 90, True, True), ("1", "probation", 31, 61, False, True), ("1", "costs_fees", None, None, False, True), ("2", "probation", 999, 999, False, False), ("4", "probation", 5, 5, False, True)], "outcome_id string, sentencing_category_code string, min_days int, max_days int, min_assumed boolean, public_eligible boolean")
     s = aggregates.index_summary(own, parts, ["charge_id"], eligible="public_eligible").first()
-    assert (s.convictions, s.sentenced_convictions, s.wedge_count, s.sentenced_percentage, s.is_thin_data) == (4, 2, 2, 50.0, True)
+    assert (s.convictions, s.sentenced_convictions, s.wedge_count, s.wedge_percentage, s.is_thin_data) == (4, 2, 2, 50.0, True)
     c = {r.category_code: r for r in aggregates.index_categories(own, parts, ["charge_id"], eligible="public_eligible").collect()}
     p = c["probation"]
     assert (p.conviction_count, p.percentage, p.median_min_days, p.median_max_days, p.min_assumed_percentage) == (2, 100.0, 31.0, 61.0, 33.3)

@@ -14,7 +14,8 @@ SF = "/root/testdata/sf0.001"
 SOME = """charge_outcome_distribution pair_outcome_distribution pair_component_distribution index_summary_pair index_category_charge index_grade_mix
 volume_funnel exclusion_reasons eligibility_gate component_gate roster_match_arms name_canonical name_tolerant_match supersession_stage_counts attribution_rule
 link_resolution search_ranked directory result_quadrants ops_checks check_integrity distinct_value_buckets streak_stop window_completion version_decision
-deep_diff_paths copy_safety_scan duration_days percentages""".split()
+deep_diff_paths copy_safety_scan duration_days percentages run_life seed_sweep ops_live_checks result_judge result_integrity build_stops index_row_checks
+candidate_contexts judge_coverage artifact_scan ledger_lines roster_snapshots lost_sequences canonical_lists golden_diff run_progress""".split()
 
 
 def plain(frame: pd.DataFrame) -> list[tuple]:
@@ -46,6 +47,17 @@ def test_query_equals_its_sql(spark, duck, name):
     assert plain(got) == plain(want) and len(got) > 0
 
 
+def test_docket_numbers_of_eight_digits_stay_apart(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from verdigris.plans import bindings
+
+    orders = spark.read.parquet(f"{SF}/orders.parquet").limit(2).withColumn("o_orderkey", F.monotonically_increasing_id() % 2 + 12_345_678)
+    spark.createDataFrame(orders.collect(), orders.schema).withColumn("o_orderkey", F.lit(12_345_670) + F.col("o_custkey") % 10).write.parquet(f"{tmp_path}/orders.parquet")
+    numbers = [r.docket_number for r in bindings.dockets(spark, str(tmp_path)).collect()]
+    assert all("-1234567" in n and len(n.split("-")[3]) == 8 for n in numbers)
+
+
 def test_contract(spark, duck):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0

@@ -47,13 +47,53 @@ def test_store(spark, tmp_path):
     store.write("t", df, "r1")
     store.write("t", df.limit(1), "r2")
     store.write("t", df, "r1")
-    assert store.read("t", "r1").count() == 3 and store.read("t", "r2").count() == 1
-    assert [tuple(r) for r in store.prune("t", ["r1"]).collect()] == [("r1", 3)]
-    store.prune("t", ["r1"], dry_run=False)
-    assert [f.name for f in tmp_path.joinpath("t").iterdir() if f.name.startswith("run_id")] == ["run_id=r2"]
+    assert store.read("t", "r1").count() == 3 and store.read("t", "r2").count() == 1 and store.read("t").count() == 4
+    store.write("t", df.limit(0), "r2")  # no rows replace the old ones
+    assert store.read("t", "r2").count() == 0 and not store.has("t", "r9")
+    with pytest.raises(Exception, match="already exists|ALREADY_EXISTS"):
+        store.insert("t", df, "r1")
+    store.rebuild("links", df)
+    store.rebuild("links", df.limit(2))
+    assert store.read("links").count() == 2
+    assert [tuple(r) for r in store.row_counts(["t", "none"], "r1").collect()] == [("t", 3), ("none", 0)]
     assert "docket_number string" in tables.schema_of("dockets")
 
 
+def test_runs_commit_whole_or_not_at_all(spark, tmp_path):
+    store = tables.RunStore(spark, str(tmp_path))
+    df = spark.range(3).select(F.col("id").alias("charge_id"))
+    good = {"a": lambda: df, "b": lambda: df}
+    violations = lambda n: lambda: spark.createDataFrame([("a", "code", n)], "table string, code string, violations bigint")
+    assert store.build("r1", good, "2025-01-01", checks=violations(0), taxonomy_version="1.0.0") == "completed"
+    assert store.build("r2", good, "2025-01-02", checks=violations(1)) == "failed"
+    with pytest.raises(ZeroDivisionError):
+        store.build("r3", {"a": lambda: df, "b": lambda: 1 / 0}, "2025-01-03")
+    assert {r.id: r.status for r in store.runs().collect()} == {"r1": "completed", "r2": "failed", "r3": "failed"}
+    assert not any(store.has(t, r) for t in "ab" for r in ("r2", "r3")) and store.runs().where("id = 'r1'").first().taxonomy_version == "1.0.0"
+    store.publish("2025-01-04")
+    assert store.active_id() == "r1"
+    for refused in (["r1"], ["r2"], ["unknown"]):
+        with pytest.raises(runs.RunRefused):
+            store.prune(["a"], refused)
+    store.build("r4", good, "2025-01-05")
+    store.publish("2025-01-06", "r4")
+    assert sorted(tuple(r) for r in store.prune(["a", "b"], ["r1"]).collect()) == [("r1", "a", 3), ("r1", "b", 3)] and store.has("a", "r1")
+    assert store.prune(["a", "b"], ["r1"], dry_run=False).count() == 2 and not store.has("a", "r1")
+    assert [r.id for r in runs.recent(store.runs(), 2).collect()] == ["r4", "r3"]
+
+
+def test_sweep_and_upsert(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k int, v string")
+    keys = lambda *k: spark.createDataFrame([(x,) for x in k], "k int")
+    blocked = runs.sweep(rows, keys(1), "k", [keys(2)])
+    assert {r.k: r.action for r in blocked.collect()} == {1: "keep", 2: "blocked", 3: "delete"}
+    with pytest.raises(runs.RunRefused):
+        runs.swept(rows, blocked, "k")
+    assert [r.k for r in runs.swept(rows, runs.sweep(rows, keys(1, 2), "k", [keys()]), "k").orderBy("k").collect()] == [1, 2]
+    new = spark.createDataFrame([(2, "b"), (3, "x"), (4, "d")], "k int, v string")
+    assert {(r.k, r.v, r.change) for r in runs.upsert_where_changed(rows, new, "k").collect()} == {(1, "a", "kept"), (2, "b", "unchanged"), (3, "x", "updated"), (4, "d", "inserted")}
+
+
 def test_search(spark):
     roster = bindings.roster(spark)
     got = [(r.id, r.match_rank, r.matched_alias) for r in serve.search(roster, "RED", 10).collect()]
@@ -121,6 +161,16 @@ def test_streams_equal_batches(spark, tmp_path):
     assert {(r.day, r.court) for r in live.where("done").collect()} == {tuple(r) for r in collector.completed_windows(led).collect()}
 
 
+def test_daily_and_first_attempts_as_streams(spark, tmp_path):
+    rows = [(k, (pd.Timestamp("2024-01-01") + pd.Timedelta(hours=7 * k)).to_pydatetime(), k % 5, "hit" if k % 3 else "miss") for k in range(20)]
+    df = spark.createDataFrame(rows, "seq int, ts timestamp, run int, outcome string")
+    df.write.parquet(f"{tmp_path}/d")
+    source = lambda: spark.readStream.schema(df.schema).parquet(f"{tmp_path}/d")
+    daily = drain(streams.daily_attempts(source()), "daily", "complete")
+    assert {tuple(r) for r in daily.collect()} == {tuple(r) for r in collector.daily_attempts(df).collect()}
+    assert drain(streams.first_attempts(source(), "run"), "firsts", "append").count() == 5
+
+
 def test_merge_each(spark, tmp_path):
     merge = streams.merge_each(str(tmp_path / "m"), "k", "v")
     batch = lambda *rows: spark.createDataFrame(list(rows), "k string, v int, x string")

@@ -162,11 +162,11 @@ def text_status(pages: Column, least: int = 100) -> Column:
 
 
 def dedup_key(*parts: Column) -> Column:
-    """Parts joined by U+001F; null where a part is null, empty or holds that sign."""
+    """Parts joined by U+001F; a part that is null, empty or holds that sign is an error."""
     bad = F.lit(False)
     for p in parts:
         bad = bad | p.isNull() | (p == "") | F.contains(p, F.lit("\x1f"))
-    return F.when(~bad, F.concat_ws("\x1f", *parts))
+    return F.when(bad, F.raise_error(F.lit("a part of a key is missing, empty or holds the separator"))).otherwise(F.concat_ws("\x1f", *parts))
 
 
 def sanitized_error(message: Column, path: Column, limit: int = 200) -> Column:

@@ -23,10 +23,10 @@ def distribution(facts: DataFrame, keys: list[str], *, category: str, date: str,
     return rows.select(*keys, "category_code", "count", percent(F.col("count"), F.col(sample)).alias("percentage"), sample, "date_range_start", "date_range_end", (F.col(sample) < thin).alias("is_thin_data"))
 
 
-def floor_violations(facts: DataFrame, *, date: str, eligible: str, floor: str = V.DATA_START) -> int:
-    """Eligible facts without charge or date, or before the floor: any of them stops a run."""
+def floor_violations(facts: DataFrame, *, date: str, eligible: str, floor: str = V.DATA_START) -> DataFrame:
+    """One row: eligible facts without charge or date, or before the floor. Any of them stops a run."""
     bad = F.col("charge_id").isNull() | F.col(date).isNull() | (F.col(date) < F.lit(floor).cast("date"))
-    return facts.where(F.col(eligible)).where(bad).count()
+    return facts.where(F.col(eligible)).agg(F.count_if(F.coalesce(bad, F.lit(True))).alias("violations"))
 
 
 def anchors(outcomes: DataFrame, eligible: str) -> DataFrame:
@@ -41,12 +41,12 @@ def _with_components(outcomes: DataFrame, components: DataFrame, keys: list[str]
 
 
 def index_summary(outcomes: DataFrame, components: DataFrame, keys: list[str], *, eligible: str, thin: int = V.THIN_SAMPLE) -> DataFrame:
-    """Convictions, those with a sentence, the difference, shares, dates and the thin flag."""
+    """Convictions, those with a sentence, the difference (wedge) and its share, dates and the thin flag."""
     sentenced = components.where("public_eligible").select("outcome_id").distinct().withColumn("has", F.lit(True))
     rows = anchors(outcomes, eligible).join(sentenced, "outcome_id", "left")
     cells = rows.groupBy(*keys).agg(F.count("*").alias("convictions"), F.count("has").alias("sentenced_convictions"), F.min("disposition_date").alias("date_range_start"), F.max("disposition_date").alias("date_range_end"))
     cells = cells.withColumn("wedge_count", F.col("convictions") - F.col("sentenced_convictions"))
-    return cells.select(*keys, "convictions", "sentenced_convictions", "wedge_count", percent(F.col("sentenced_convictions"), F.col("convictions"), 1).alias("sentenced_percentage"), "date_range_start", "date_range_end", (F.col("sentenced_convictions") < thin).alias("is_thin_data"))
+    return cells.select(*keys, "convictions", "sentenced_convictions", "wedge_count", percent(F.col("wedge_count"), F.col("convictions"), 1).alias("wedge_percentage"), "date_range_start", "date_range_end", (F.col("sentenced_convictions") < thin).alias("is_thin_data"))
 
 
 def index_categories(outcomes: DataFrame, components: DataFrame, keys: list[str], *, eligible: str) -> DataFrame:
@@ -75,6 +75,11 @@ def grade_mix(outcomes: DataFrame) -> DataFrame:
     return grades.withColumn("percentage", percent(F.col("count"), F.sum("count").over(Window.partitionBy("charge_id")), 1))
 
 
+def grades_in_order(grades: DataFrame) -> DataFrame:
+    """Grade rows with their place within the charge: by count, then by grade."""
+    return grades.withColumn("place", F.row_number().over(Window.partitionBy("charge_id").orderBy(F.desc("count"), "grade")))
+
+
 def journey(raw: Column, held: Column, public: Column, superseded: Column, filed: Column, floor: str) -> Column:
     """Where a charge stands: before_floor, folded, pending, held, outcome or excluded."""
     return F.when(filed.isNull() | (filed < F.lit(floor).cast("date")), "before_floor").when(superseded & held, "folded").when(raw.isNull(), "pending").when(held, "held").when(public, "outcome").otherwise("excluded")
@@ -90,6 +95,11 @@ def volume_funnel(corpus: DataFrame) -> DataFrame:
     return counted.where("charges_seen > 0")
 
 
+def folded_preview(funnel: DataFrame, limit: int = 10) -> DataFrame:
+    """Identities with most folded charges, then by id."""
+    return funnel.select("charge_id", "held_superseded", "charges_seen").orderBy(F.desc("held_superseded"), "charge_id").limit(limit)
+
+
 def volume_totals(corpus: DataFrame) -> DataFrame:
     """One row of corpus totals, unmatched and ambiguous charges included."""
     n = lambda cond: F.count_if(F.coalesce(cond, F.lit(False)))
@@ -107,6 +117,8 @@ def volume_totals(corpus: DataFrame) -> DataFrame:
         n(stage == "held").alias("held_total"),
         n(stage == "pending").alias("pending_total"),
         n(stage == "excluded").alias("excluded_total"),
+        F.count_distinct(F.when(counted, F.col("charge_id"))).alias("identities_with_journeys"),
+        (F.count_distinct(F.when(inside, F.col("charge_id"))) - F.count_distinct(F.when(counted, F.col("charge_id")))).alias("identities_fully_superseded"),
     )
 
 

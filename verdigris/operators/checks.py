@@ -26,14 +26,19 @@ def verdict(checks: DataFrame) -> bool:
     return checks.where("violations > 0").isEmpty()
 
 
+def misaligned(stored: Column, part: Column, whole: Column, tolerance: str) -> Column:
+    """Whether a stored percentage is off by more than the tolerance, which itself is allowed; in decimals."""
+    number = lambda c, digits: c.cast(f"decimal({digits + 14},{digits})")
+    return F.abs(number(stored, 4) * number(whole, 0) - number(part, 0) * 100) > F.lit(tolerance).cast("decimal(6,3)") * number(whole, 0)
+
+
 def distribution_integrity(rows: DataFrame, table: str, keys: list[str], *, sample: str = "sample_size", floor: str = V.DATA_START) -> DataFrame:
     """Row and cell checks of a distribution."""
-    exact = F.col("count") * 100.0 / F.nullif(F.col(sample), F.lit(0))
     by_row = _tally(
         rows,
         table,
         {
-            "percentage_misaligned": F.abs(F.col("percentage") - exact) > 0.005 + 1e-9,
+            "percentage_misaligned": misaligned(F.col("percentage"), F.col("count"), F.col(sample), "0.005"),
             "sample_size_missing": F.col(sample).isNull() | (F.col(sample) <= 0),
             "date_range_missing": F.col("date_range_start").isNull() | F.col("date_range_end").isNull(),
             "date_range_start_before_window": F.coalesce(F.col("date_range_start") < F.lit(floor).cast("date"), F.lit(False)),
@@ -52,8 +57,18 @@ def baseline(judge_rows: DataFrame, charge_rows: DataFrame, table: str) -> DataF
 
 
 def index_identities(summary: DataFrame, categories: DataFrame, keys: list[str], table: str) -> DataFrame:
-    """sentenced + wedge = convictions; category counts within sentenced; durations all or none."""
-    rows = _tally(summary, table, {"wedge_identity_mismatch": F.col("sentenced_convictions") + F.col("wedge_count") != F.col("convictions")})
+    """sentenced + wedge = convictions and the wedge's share; category counts within sentenced; durations all or none."""
+    rows = _tally(
+        summary,
+        table,
+        {
+            "wedge_identity_mismatch": F.col("sentenced_convictions") + F.col("wedge_count") != F.col("convictions"),
+            "wedge_percentage_misaligned": misaligned(F.col("wedge_percentage"), F.col("wedge_count"), F.col("convictions"), "0.05"),
+            "convictions_missing": F.col("convictions").isNull() | (F.col("convictions") <= 0),
+            "date_range_missing": F.col("date_range_start").isNull() | F.col("date_range_end").isNull(),
+            "date_range_inverted": F.coalesce(F.col("date_range_start") > F.col("date_range_end"), F.lit(False)),
+        },
+    )
     joined = categories.join(summary.select(*keys, "sentenced_convictions"), keys, "left")
     have = [F.col(c).isNotNull().cast("int") for c in ("median_min_days", "median_max_days", "min_assumed_percentage")]
     together = (have[0] + have[1] + have[2]).isin(0, 3)
@@ -95,6 +110,47 @@ def volume(funnel: DataFrame, distribution: DataFrame, public_facts: DataFrame)
     return union([own, against, facts])
 
 
+def run_rows(rows: DataFrame, table: str, run_id: str) -> DataFrame:
+    """Rows of a run carry its id and a taxonomy version."""
+    return _tally(rows, table, {"run_id_mismatch": F.col("run_id") != run_id, "taxonomy_version_missing": F.coalesce("taxonomy_version", F.lit("")) == ""})
+
+
+def build_stops(charges: DataFrame, outcomes: DataFrame, sentences: DataFrame, components: DataFrame, taxonomy_version: str) -> DataFrame:
+    """code, violations of what stops a build of facts.
+
+    Reads parser_version and taxonomy_version of the charges (a corpus is of one each), sentences whose
+    charge is held or has no outcome, and component durations that differ from their sentence's.
+    """
+    corpus = charges.agg(
+        F.when(F.count("*") == 0, 1).otherwise(0).cast("long").alias("empty_corpus"),
+        F.greatest(F.count_distinct("parser_version") - 1, F.lit(0)).alias("mixed_corpus"),
+        F.count_if(F.coalesce("taxonomy_version", F.lit("")) != taxonomy_version).alias("taxonomy_mismatch"),
+    )
+    orphans = sentences.join(outcomes.select("outcome_id"), "outcome_id", "left_anti").agg(F.count("*").alias("held_sentences"))
+    same = F.col("min_days").eqNullSafe(F.col("own_min")) & F.col("max_days").eqNullSafe(F.col("own_max"))
+    own = sentences.select("sentence_id", F.col("min_days").alias("own_min"), F.col("max_days").alias("own_max"))
+    drift = components.join(own, "sentence_id").agg(F.count_if(~same).alias("duration_drift"))
+    one = lambda df: df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("code"), F.col(c).alias("violations")) for c in df.columns])).alias("x")).select("x.*")
+    return union([one(corpus), one(orphans), one(drift)])
+
+
+def codes_outside(rows: DataFrame, column: str, allowed: list[str]) -> DataFrame:
+    """The codes that rows carry and the vocabulary lacks, with how often."""
+    return rows.groupBy(F.col(column).alias("code")).agg(F.count("*").alias("n")).where(~F.coalesce(F.col("code").isin(allowed), F.lit(False)))
+
+
+def taxonomy_faults(rows: DataFrame, version: str, expected: list[str], banned: list[str]) -> DataFrame:
+    """fault, value of a taxonomy (code, sort_order): repeated codes or orders, banned words in codes, codes
+    beyond or short of the expected ones, and a version that is not three numbers."""
+    fault = lambda df, name, c="code": df.select(F.lit(name).alias("fault"), F.col(c).cast("string").alias("value"))
+    repeated = lambda c: rows.groupBy(c).agg(F.count("*").alias("n")).where("n > 1")
+    listed = rows.sparkSession.createDataFrame([(c,) for c in expected], "code string")
+    named = rows.sparkSession.createDataFrame([(version,)], "code string")
+    holds = reduce(lambda a, w: a | F.contains(F.lower("code"), F.lit(w)), banned, F.lit(False))
+    found = [fault(repeated("code"), "code_repeated"), fault(repeated("sort_order"), "order_repeated", "sort_order"), fault(rows.where(holds), "code_banned"), fault(rows.join(listed, "code", "left_anti"), "code_unexpected"), fault(listed.join(rows, "code", "left_anti"), "code_absent")]
+    return union([*found, fault(named.where(~F.col("code").rlike(r"^\d+\.\d+\.\d+$")), "version_malformed")])
+
+
 def taxonomy(rows: list[tuple[str, int, bool]], banned: list[str]) -> list[str]:
     """Faults of a taxonomy (code, order, public): repeated codes or orders, banned codes."""
     codes, orders = [r[0] for r in rows], [r[1] for r in rows]

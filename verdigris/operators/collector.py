@@ -87,6 +87,16 @@ def open_windows(days: DataFrame, ledger: DataFrame, courts: list[str]) -> DataF
     return days.join(full, "day", "left_anti")
 
 
+def daily_attempts(attempts: DataFrame) -> DataFrame:
+    """day, outcome, n: attempts by calendar day."""
+    return attempts.groupBy(F.col("ts").cast("date").alias("day"), "outcome").agg(F.count("*").alias("n"))
+
+
+def in_corpus_order(charges: DataFrame, scope: list[str]) -> DataFrame:
+    """Charges with their place in the docket: by sequence, then by id. Dockets follow by their id."""
+    return charges.withColumn("place", F.row_number().over(Window.partitionBy(*scope, "docket_id").orderBy("sequence", "charge_id")))
+
+
 def new_targets(targets: DataFrame, seen: DataFrame, key: str) -> DataFrame:
     """Targets once each that no ledger knows."""
     return targets.dropDuplicates([key]).join(seen.select(key), key, "left_anti")

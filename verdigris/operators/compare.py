@@ -60,6 +60,19 @@ def undisposed(old: DataFrame, new: DataFrame) -> DataFrame:
     return a.join(b, ["docket_id", "sequence"])
 
 
+def lost_sequences(old: DataFrame, new: DataFrame) -> DataFrame:
+    """docket_id, lost: the disposed sequences of each docket that are no longer disposed, in order."""
+    listed = lambda df, name: df.where("disposition_raw is not null").groupBy("docket_id").agg(F.collect_set("sequence").alias(name))
+    rows = listed(old, "had").join(listed(new, "has"), "docket_id", "left")
+    lost = F.when(F.col("has").isNull(), F.col("had")).otherwise(F.array_except("had", "has"))
+    return rows.select("docket_id", F.sort_array(lost).alias("lost")).where(F.size("lost") > 0)
+
+
+def same_hash(raw: DataFrame, parsed: DataFrame) -> DataFrame:
+    """Raw documents with the parsed one of the same file hash."""
+    return raw.join(parsed, "file_hash")
+
+
 def shrunk(old: DataFrame, new: DataFrame) -> DataFrame:
     """Dockets with fewer charges than before."""
     count = lambda df, name: df.groupBy("docket_id").agg(F.count("*").alias(name))

@@ -38,6 +38,13 @@ def orphans(sentences: DataFrame, outcomes: DataFrame) -> DataFrame:
     return sentences.join(outcomes.select("outcome_id"), "outcome_id", "left_anti")
 
 
+def warned_charges(warnings: DataFrame, dockets: DataFrame, charges: DataFrame, codes: list[str]) -> DataFrame:
+    """Warnings of the codes with their docket and, where docket and sequence name one, their charge."""
+    rows = warnings.where(F.col("code").isin(codes)).join(dockets.select("docket_id", "docket_number"), "docket_id")
+    own = charges.select("docket_id", F.col("sequence").alias("charge_sequence"), "charge_id")
+    return rows.join(own, ["docket_id", "charge_sequence"], "left")
+
+
 def build_counts(charges: DataFrame) -> DataFrame:
     """One row: processed = facts + held + undisposed."""
     d = disposition(F.col("disposition_raw"))

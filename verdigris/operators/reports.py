@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -82,6 +83,58 @@ def sentencing_recon(sentences: DataFrame) -> DataFrame:
     )
 
 
+def name_coverage(rows: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """field, kind, distinct_values, rows for judge fields ({raw column: method column}): absent (no name given)
+    apart from unmatched, and every method, by distinct value and by row."""
+    pairs = F.array(*[F.struct(F.lit(raw).alias("field"), F.col(raw).alias("value"), F.col(method).alias("method")) for raw, method in fields.items()])
+    each = rows.select(F.explode(pairs).alias("p")).select("p.*").withColumn("kind", F.when(F.trim(F.coalesce("value", F.lit(""))) == "", "absent").otherwise(F.coalesce("method", F.lit(V.UNMATCHED))))
+    by_value = each.groupBy("field", "kind", "value").agg(F.count("*").alias("n"))
+    return by_value.groupBy("field", "kind").agg(F.count("*").alias("distinct_values"), F.sum("n").alias("rows"))
+
+
+def sentencing_coverage(components: DataFrame) -> DataFrame:
+    """kind, n: components of one category (base), of several (additive), of none or unknown (ambiguous), and of
+    monetary ones those with and without an amount. Reads categories (array) and amount_cents."""
+    size = F.size("categories")
+    known = F.filter("categories", lambda c: c != V.UNKNOWN)
+    money = F.exists("categories", lambda c: c.isin(V.MONETARY))
+    kinds = {"base": (size == 1) & (F.size(known) == 1), "additive": F.size(known) > 1, "ambiguous": F.size(known) == 0, "money_with_amount": money & F.col("amount_cents").isNotNull(), "money_without_amount": money & F.col("amount_cents").isNull()}
+    counts = components.agg(*[F.count_if(F.coalesce(cond, F.lit(False))).alias(k) for k, cond in kinds.items()])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("n")) for k in kinds])).alias("x")).select("x.*")
+
+
+def search_report(windows: DataFrame, attempts: DataFrame) -> DataFrame:
+    """One row for each court: windows by outcome, attempts, hits, and whether hits are all that windows found.
+
+    windows: court, outcome, found; attempts: court, outcome.
+    """
+    a = windows.groupBy("court").agg(F.count("*").alias("windows"), *[F.count_if(F.col("outcome") == o).alias(o) for o in ("complete", "empty", "truncated", "blocked")], F.sum("found").alias("found"))
+    b = attempts.groupBy("court").agg(F.count("*").alias("attempts"), F.count_if(F.col("outcome") == "hit").alias("hits"))
+    return a.join(b, "court", "full_outer").withColumn("reconciles", F.coalesce("hits", F.lit(0)) == F.coalesce("found", F.lit(0)))
+
+
+def refresh_report(changes: DataFrame) -> DataFrame:
+    """One row: targets, new, changed, unchanged, and whether they add up."""
+    n = lambda kind: F.count_if(F.col("change") == kind).alias(kind)
+    row = changes.agg(F.count("*").alias("targets"), n("new"), n("changed"), n("unchanged"))
+    return row.withColumn("reconciles", F.col("new") + F.col("changed") + F.col("unchanged") == F.col("targets"))
+
+
+SPEC = re.compile(r"([a-z_][a-z0-9_]*)\.([a-z_][a-z0-9_]*)(?:\.([a-z_][a-z0-9_]*))?")
+
+
+def spec_values(tables: dict[str, DataFrame], specs: list[str]) -> DataFrame:
+    """column (the spec), value, n for specs ``table.column`` or ``table.column.key``, the key in a JSON text."""
+    found = []
+    for spec in specs:
+        m = SPEC.fullmatch(spec)
+        if not m or m[1] not in tables:
+            raise ValueError(f"{spec!r} names no column of a known table")
+        value = F.get_json_object(m[2], f"$.{m[3]}") if m[3] else F.col(m[2]).cast("string")
+        found.append(tables[m[1]].groupBy(value.alias("value")).agg(F.count("*").alias("n")).select(F.lit(spec).alias("column"), "value", "n"))
+    return reduce(DataFrame.unionByName, found)
+
+
 def token_partition(tokens: DataFrame) -> DataFrame:
     """Disposition tokens by where they dispose: reads token and not_final_only (boolean) for each charge."""
     counted = tokens.groupBy("token").agg(F.count("*").alias("n"), F.count_if("not_final_only").alias("not_final_only"))

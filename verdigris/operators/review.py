@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN = ["open", "in_review"]
 
 
+def produced(parts: dict[str, DataFrame]) -> DataFrame:
+    """Items of several producers in one frame, each under its place (the first wins) and its name."""
+    return reduce(DataFrame.unionByName, [rows.select("*", F.lit(k).alias("producer"), F.lit(name).alias("reason")) for k, (name, rows) in enumerate(parts.items(), 1)])
+
+
+def candidate_context(candidates: Column) -> Column:
+    """JSON of an item's candidates (array of structs normalized_id, display_name), in order of id."""
+    return F.to_json(F.struct(F.array_sort(candidates).alias("candidates")))
+
+
 def first_of_each(items: DataFrame, *order: Column) -> DataFrame:
     """One item for each dedup_key: the first in the order of producer, then of ``order``."""
     rank = F.row_number().over(Window.partitionBy("dedup_key").orderBy("producer", *order))

@@ -40,7 +40,7 @@ def dockets(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     court = F.when(F.col("o_orderstatus") == "F", "CP").otherwise("MC")
     day = F.col("o_orderdate").cast("date")
-    number = F.concat(court, F.lit("-51-CR-"), F.lpad(F.col("o_orderkey").cast("string"), 7, "0"), F.lit("-"), F.year(day).cast("string"))
+    number = F.concat(court, F.lit("-51-CR-"), F.format_string("%07d", "o_orderkey"), F.lit("-"), F.year(day).cast("string"))
     return o.select(F.col("o_orderkey").alias("docket_id"), "o_custkey", court.alias("court"), number.alias("docket_number"), F.when((F.col("o_orderpriority") != "5-LOW") | (F.col("o_totalprice") > 50000), day).alias("filed_date"), F.concat(F.lit("otn  "), F.col("o_custkey").cast("string")).alias("otn"), F.nullif("o_orderpriority", F.lit("4-NOT SPECIFIED")).alias("grade"))
 
 

@@ -5,7 +5,7 @@ WINDOW, FLOOR = "DATE '1998-01-01'", "DATE '1996-01-01'"
 DOCKETS = """
 dockets AS (
   SELECT o_orderkey AS docket_id, o_custkey, CASE WHEN o_orderstatus = 'F' THEN 'CP' ELSE 'MC' END AS court,
-    (CASE WHEN o_orderstatus = 'F' THEN 'CP' ELSE 'MC' END) || '-51-CR-' || lpad(CAST(o_orderkey AS VARCHAR), 7, '0') || '-' || CAST(year(o_orderdate) AS VARCHAR) AS docket_number,
+    (CASE WHEN o_orderstatus = 'F' THEN 'CP' ELSE 'MC' END) || '-51-CR-' || printf('%07d', o_orderkey) || '-' || CAST(year(o_orderdate) AS VARCHAR) AS docket_number,
     CASE WHEN o_orderpriority <> '5-LOW' OR o_totalprice > 50000 THEN CAST(o_orderdate AS DATE) END AS filed_date,
     'otn  ' || CAST(o_custkey AS VARCHAR) AS otn, nullif(o_orderpriority, '4-NOT SPECIFIED') AS grade
   FROM orders),

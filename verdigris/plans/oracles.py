@@ -34,7 +34,7 @@ for grain, keys, flag in (("charge", "charge_id", "public_eligible"), ("pair", "
     _add(
         f"index_summary_{grain}",
         f"""
-SELECT {keys}, count(*) AS convictions, count(*) FILTER (has) AS sentenced_convictions, count(*) FILTER (NOT has) AS wedge_count, {pct("count(*) FILTER (has)", "count(*)", 1)} AS sentenced_percentage,
+SELECT {keys}, count(*) AS convictions, count(*) FILTER (has) AS sentenced_convictions, count(*) FILTER (NOT has) AS wedge_count, {pct("count(*) FILTER (NOT has)", "count(*)", 1)} AS wedge_percentage,
   min(disposition_date) AS date_range_start, max(disposition_date) AS date_range_end, count(*) FILTER (has) < 10 AS is_thin_data
 FROM (SELECT *, EXISTS (SELECT 1 FROM components c WHERE c.charge_row = f.charge_row AND c.public_eligible) AS has FROM facts f WHERE {flag} AND {CONVICTION})
 GROUP BY {keys}""",
@@ -85,7 +85,9 @@ _add(
     """
 SELECT count(*) AS rows_total, count(*) FILTER (stage = 'before_floor') AS rows_pre_floor, count(*) FILTER (stage <> 'before_floor') AS rows_in_universe, count(*) FILTER (stage = 'folded') AS superseded_folded,
   count(*) FILTER (superseded AND stage NOT IN ('folded', 'before_floor')) AS superseded_not_held_anomaly, count(*) FILTER (charge_method = 'unmatched' AND stage NOT IN ('folded', 'before_floor')) AS unmatched_rows, count(*) FILTER (charge_method = 'ambiguous' AND stage NOT IN ('folded', 'before_floor')) AS ambiguous_rows,
-  count(*) FILTER (stage = 'outcome') AS outcomes_total, count(*) FILTER (stage = 'held') AS held_total, count(*) FILTER (stage = 'pending') AS pending_total, count(*) FILTER (stage = 'excluded') AS excluded_total
+  count(*) FILTER (stage = 'outcome') AS outcomes_total, count(*) FILTER (stage = 'held') AS held_total, count(*) FILTER (stage = 'pending') AS pending_total, count(*) FILTER (stage = 'excluded') AS excluded_total,
+  count(DISTINCT charge_id) FILTER (stage NOT IN ('folded', 'before_floor')) AS identities_with_journeys,
+  count(DISTINCT charge_id) FILTER (stage <> 'before_floor') - count(DISTINCT charge_id) FILTER (stage NOT IN ('folded', 'before_floor')) AS identities_fully_superseded
 FROM corpus""",
     CORPUS,
 )
@@ -206,7 +208,7 @@ _add("result_quadrants", "SELECT CASE WHEN b AND j THEN 'success' WHEN b THEN 'b
 _add("ops_corpus", "SELECT court, count(*) AS dockets, count(filed_date) AS filed, min(filed_date) AS first_filed, max(filed_date) AS last_filed, count(DISTINCT otn) AS otns, count(DISTINCT otn) FILTER (grade IS NULL) AS ungraded_otns FROM dockets GROUP BY court", DOCKETS)
 _add("ops_source_days", "SELECT CAST(ts AS DATE) AS day, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1 HAVING CAST(ts AS DATE) > (SELECT max(CAST(ts AS DATE)) FROM events) - 14")
 _add("ops_linkage", "SELECT count(*) AS charges, count(originating_docket_no) AS with_origin, count(DISTINCT originating_docket_no) AS origins, count(DISTINCT originating_docket_no) FILTER (disposition_raw IS NULL) AS pending_origins FROM charges", CHARGES)
-_add("ops_outcome_share", "SELECT category AS category_code, count(*) AS n, floor(CAST(count(*) AS DOUBLE) / CAST(sum(count(*)) OVER () AS DOUBLE) * 1000 + 0.5) / 10.0::DOUBLE AS share FROM facts WHERE public_eligible GROUP BY category", FACTS)
+_add("ops_outcome_share", ", per AS (SELECT category AS category_code, count(*) AS n FROM facts WHERE public_eligible GROUP BY category UNION ALL SELECT 'dismissed_or_withdrawn', count(*) FILTER (category IN ('dismissed', 'withdrawn')) FROM facts WHERE public_eligible) SELECT category_code, n, floor(CAST(n AS DOUBLE) / CAST((SELECT count(*) FROM facts WHERE public_eligible) AS DOUBLE) * 1000 + 0.5) / 10.0::DOUBLE AS share FROM per WHERE n > 0", FACTS)
 _add("ops_topk", "SELECT judge_id, CAST(sum(n) AS BIGINT) AS n, count(*) AS charges, count(*) FILTER (n < 10) AS thin FROM (SELECT judge_id, charge_id, count(*) AS n FROM facts WHERE judge_specific_eligible GROUP BY 1, 2) GROUP BY judge_id ORDER BY n DESC, judge_id LIMIT 10", FACTS)
 
 
@@ -215,19 +217,21 @@ def _zeros(codes: dict[str, str]) -> str:
 
 
 DIST_CODES = "percentage_misaligned sample_size_missing date_range_missing date_range_start_before_window date_range_inverted count_sum_mismatch sample_size_inconsistent"
-_add("ops_checks", _zeros({"charge_outcomes": DIST_CODES, "pair_outcomes": DIST_CODES + " baseline_missing", "index_charge": "wedge_identity_mismatch summary_row_missing category_count_exceeds_sentenced median_presence_mismatch median_days_invalid", "grade_mix": "grade_mix_sum_mismatch", "charge_sentences": "component_duration_invalid"}))
+_add("ops_checks", _zeros({"charge_outcomes": DIST_CODES, "pair_outcomes": DIST_CODES + " baseline_missing", "index_charge": "wedge_identity_mismatch wedge_percentage_misaligned convictions_missing date_range_missing date_range_inverted summary_row_missing category_count_exceeds_sentenced median_presence_mismatch median_days_invalid", "grade_mix": "grade_mix_sum_mismatch", "charge_sentences": "component_duration_invalid"}))
 _add(
     "check_integrity",
     """
 , rows AS (SELECT charge_id, category, count(*) AS n FROM facts WHERE public_eligible GROUP BY ALL)
 , latest AS (SELECT charge_id, max(disposition_date) AS b FROM facts WHERE public_eligible GROUP BY ALL)
-SELECT 'hurt' AS "table", 'sample_size_missing' AS code, 0::BIGINT AS violations UNION ALL SELECT 'hurt', 'date_range_missing', 0 UNION ALL SELECT 'hurt', 'date_range_start_before_window', 0
+, shares AS (SELECT *, CAST(((CAST(n AS BIGINT) * 20000 + t) // (2 * t)) AS DECIMAL(18, 2)) * CAST(0.01 AS DECIMAL(3, 2)) AS p, CAST(n + CASE WHEN category = 'withdrawn' AND charge_id < 'Brand#2' THEN 1 ELSE 0 END AS DECIMAL(18, 0)) AS m FROM (SELECT *, CAST(sum(n) OVER (PARTITION BY charge_id) AS BIGINT) AS t FROM rows))
+SELECT 'hurt' AS "table", 'percentage_misaligned' AS code, count(*) AS violations FROM shares WHERE abs((p + CASE WHEN category = 'dismissed' THEN 0.01 ELSE 0 END) * t - m * 100) > 0.005 * t
+UNION ALL SELECT 'hurt', 'sample_size_missing', 0 UNION ALL SELECT 'hurt', 'date_range_missing', 0 UNION ALL SELECT 'hurt', 'date_range_start_before_window', 0
 UNION ALL SELECT 'hurt', 'date_range_inverted', count(*) FROM rows JOIN latest USING (charge_id) WHERE category = 'guilty_plea' AND b < DATE '2009-01-01'
 UNION ALL SELECT 'hurt', 'count_sum_mismatch', count(*) FROM rows WHERE category = 'withdrawn' AND charge_id < 'Brand#2'
 UNION ALL SELECT 'hurt', 'sample_size_inconsistent', 0""",
     FACTS,
 )
-_add("check_baseline", "SELECT 'pair_outcomes' AS \"table\", 'baseline_missing' AS code, count(DISTINCT charge_id) AS violations FROM facts WHERE judge_specific_eligible AND charge_id <= 'Brand#2'", FACTS)
+_add("check_baseline", "SELECT 'pair_outcomes' AS \"table\", 'baseline_missing' AS code, count(DISTINCT charge_id) AS violations FROM facts WHERE judge_specific_eligible AND charge_id NOT IN (SELECT charge_id FROM facts WHERE public_eligible AND grade = '1-URGENT' AND disposition_date > DATE '1998-06-01')", FACTS)
 _add("check_reconciliation", f"SELECT 'charge' AS \"table\", 'conviction_reconciliation_mismatch' AS code, count(*) AS violations FROM (SELECT charge_id FROM facts WHERE {CONVICTION} GROUP BY 1 HAVING count(*) FILTER (public_eligible) <> count(*) FILTER (judge_specific_eligible))", FACTS)
 _add("check_volume_outcomes", _zeros({"charge_volume": "volume_closure_mismatch volume_counts_invalid volume_outcomes_mismatch volume_row_missing volume_facts_mismatch"}))
 

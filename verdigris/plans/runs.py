@@ -6,6 +6,8 @@ written before, so a reader that goes through it never sees a part of a run.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,11 @@ def latest(runs: DataFrame, *, status: str = "completed", by: str = "completed_a
     return runs.where(F.col("status") == status).orderBy(F.desc_nulls_last(by), "id").limit(1)
 
 
+def recent(runs: DataFrame, n: int, by: str = "started_at") -> DataFrame:
+    """The latest runs of any status, newest first."""
+    return runs.orderBy(F.desc_nulls_last(by), "id").limit(n)
+
+
 def active(runs: DataFrame) -> DataFrame:
     """The published run that is not invalidated, as at most one row."""
     return runs.where(ACTIVE).orderBy(F.desc("published_at"), "id").limit(1)
@@ -76,3 +83,29 @@ def broken_constraints(runs: DataFrame) -> DataFrame:
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """``old`` with the rows of ``new`` in place of those with the same key."""
     return old.join(new.select(key), key, "left_anti").unionByName(new)
+
+
+def upsert_where_changed(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """The same with a column ``change``: inserted, updated, unchanged, or kept where ``new`` has no such row."""
+    rest = [c for c in old.columns if c != key]
+    a = old.select(key, F.struct(*rest).alias("was"))
+    b = new.select(key, F.struct(*rest).alias("now"))
+    change = F.when(F.col("was").isNull(), "inserted").when(F.col("now").isNull(), "kept").when(F.col("was").eqNullSafe(F.col("now")), "unchanged").otherwise("updated")
+    rows = a.join(b, key, "full_outer").withColumn("change", change).withColumn("row", F.coalesce("now", "was"))
+    return rows.select(key, "row.*", "change")
+
+
+def sweep(rows: DataFrame, registry: DataFrame, key: str, references: list[DataFrame]) -> DataFrame:
+    """key, action of seeded rows: keep what the registry lists, delete the rest, blocked where a row of
+    ``references`` (frames with the same key) still points at it. A preview; ``swept`` applies it."""
+    listed = registry.select(key).distinct().withColumn("_listed", F.lit(True))
+    used = reduce(DataFrame.union, [r.select(key) for r in references]).distinct().withColumn("_used", F.lit(True))
+    out = rows.select(key).join(listed, key, "left").join(used, key, "left")
+    return out.select(key, F.when(F.col("_listed"), "keep").when(F.col("_used"), "blocked").otherwise("delete").alias("action"))
+
+
+def swept(rows: DataFrame, preview: DataFrame, key: str) -> DataFrame:
+    """The rows that stay; none is deleted while one is blocked."""
+    if not preview.where("action = 'blocked'").isEmpty():
+        raise RunRefused("rows that would go are still in use")
+    return rows.join(preview.where("action = 'delete'").select(key), key, "left_anti")

@@ -6,6 +6,7 @@ Text is ordered by bytes. Result sets are small by construction (a limit, or one
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,6 +80,67 @@ def pair_state(pairs: DataFrame, charge_rows: DataFrame, judge_rows: DataFrame)
     return rows.select("charge_id", "judge_id", F.when(b & j, "success").when(b, "baseline_only").when(j, "integrity_error").otherwise("unavailable").alias("state"))
 
 
+def _listed(rows: DataFrame, key: str | list[str], name: str, order: str, *fields: str) -> DataFrame:
+    """The rows of each key as one array in their order; a few rows a key."""
+    keys = [key] if isinstance(key, str) else key
+    return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, *fields))).alias(name))
+
+
+def distribution_block(rows: DataFrame, keys: list[str], categories: list[tuple[str, bool]] = V.OUTCOME_CATEGORIES, sample: str = "sample_size") -> DataFrame:
+    """keys, sample_size, is_thin_data (of any row), uniform (one sample size in all rows), outcomes in order."""
+    shown = in_order(rows, categories)
+    sizes = rows.groupBy(*keys).agg(F.max(sample).alias("sample_size"), F.bool_or("is_thin_data").alias("is_thin_data"), (F.min(sample) == F.max(sample)).alias("uniform"))
+    return sizes.join(_listed(shown, keys, "outcomes", "sort_order", "category_code", "count", "percentage"), keys, "left")
+
+
+def charge_result(roster: DataFrame, outcome_rows: DataFrame, summary: DataFrame, categories: DataFrame, grades: DataFrame, funnel: DataFrame) -> DataFrame:
+    """One row for each charge of the roster: arm (success, volume_only, unavailable) and what it shows.
+
+    success: the distribution block, the sentencing index with months, grades in order, volume;
+    volume_only: volume alone. A key that is not in the roster has no row (not found).
+    """
+    block = distribution_block(outcome_rows, ["charge_id"])
+    index = _listed(index_block(categories), "charge_id", "index", "category_code", "conviction_count", "percentage", "median_min_months", "median_max_months", "min_assumed_percentage")
+    graded = _listed(grades.select("charge_id", (-F.col("count")).alias("by"), "grade", "count", "percentage"), "charge_id", "grades", "by", "grade", "count", "percentage")
+    own = summary.select("charge_id", F.struct("convictions", "sentenced_convictions", "wedge_count", "wedge_percentage").alias("summary"))
+    volume = funnel.select("charge_id", F.struct(*[c for c in funnel.columns if c != "charge_id"]).alias("volume"))
+    rows = roster.select(F.col("id").alias("charge_id"), "slug", "display_name")
+    for part in (block, own, index, graded, volume):
+        rows = rows.join(part, "charge_id", "left")
+    arm = F.when(F.col("outcomes").isNotNull(), "success").when(F.col("volume").isNotNull(), "volume_only").otherwise("unavailable")
+    return rows.withColumn("arm", arm)
+
+
+def judge_result(pairs: DataFrame, charge_rows: DataFrame, judge_rows: DataFrame) -> DataFrame:
+    """One row for each pair: state, the judge's outcomes and, wherever they are there, the charge's as baseline."""
+    base = distribution_block(charge_rows, ["charge_id"]).select("charge_id", F.col("outcomes").alias("baseline"), F.col("sample_size").alias("baseline_size"))
+    own = distribution_block(judge_rows, ["charge_id", "judge_id"]).select("charge_id", "judge_id", "outcomes", "sample_size", "is_thin_data")
+    rows = pair_state(pairs, charge_rows, judge_rows)
+    return rows.join(base, "charge_id", "left").join(own, ["charge_id", "judge_id"], "left")
+
+
+def integrity(rows: DataFrame, keys: list[str], judge_rows: DataFrame | None = None, index: DataFrame | None = None, categories: list[tuple[str, bool]] = V.OUTCOME_CATEGORIES) -> DataFrame:
+    """code, violations of what is served: cells of several sample sizes, codes that are not public, index rows
+    whose three duration figures are not all there or all absent, judge rows whose category the baseline lacks."""
+    public = [code for code, shown in categories if shown]
+    found = [
+        rows.groupBy(*keys).agg((F.min("sample_size") != F.max("sample_size")).alias("bad")).agg(F.count_if("bad").alias("violations")).withColumn("code", F.lit("sample_size_not_uniform")),
+        rows.agg(F.count_if(~F.col("category_code").isin(public)).alias("violations")).withColumn("code", F.lit("code_not_public")),
+    ]
+    if index is not None:
+        there = [F.col(c).isNotNull().cast("int") for c in ("median_min_days", "median_max_days", "min_assumed_percentage")]
+        found.append(index.agg(F.count_if(~(there[0] + there[1] + there[2]).isin(0, 3)).alias("violations")).withColumn("code", F.lit("duration_trio_broken")))
+    if judge_rows is not None:
+        outside = judge_rows.join(rows.select("charge_id", "category_code"), ["charge_id", "category_code"], "left_anti")
+        found.append(outside.agg(F.count("*").alias("violations")).withColumn("code", F.lit("baseline_not_superset")))
+    return reduce(DataFrame.unionByName, found).select("code", "violations")
+
+
+def methodology(spark, facts: dict[str, str]) -> DataFrame:
+    """key, value of what the served pages say of the method: the floors, thresholds and versions in force."""
+    return spark.createDataFrame(sorted({"taxonomy_version": V.TAXONOMY_VERSION, "thin_sample": str(V.THIN_SAMPLE), **facts}.items()), "key string, value string")
+
+
 def index_block(categories: DataFrame) -> DataFrame:
     """Category rows of the sentencing index with medians in months."""
     return categories.withColumns({"median_min_months": months_of(F.col("median_min_days")), "median_max_months": months_of(F.col("median_max_days"))})

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .runs import ACTIVE, RunRefused, active, published, validated
+
 _DDL = {
     "source_documents": "id string, file_hash string, original_filename string, file_size_bytes bigint, imported_at timestamp, import_mode string, status string, error_code string, docket_number_provenance string, court_type string, county string",
     "dockets": "id string, source_document_id string, docket_number string, record_parser_version int, envelope_parser_version int, parsed_at timestamp, county string, court_type_recorded string, court_type_derived string, case_status string, filed_date date, otn string, dc_number string, cross_court_dockets string, defendant_hash string, assigned_judge_raw string, envelope_status string, review_needed boolean, loaded_at timestamp, originating_docket_no string",
@@ -32,29 +38,123 @@ def row_id(*parts: str):
     return F.sha2(F.concat_ws("\x1f", *parts), 256)
 
 
+def shared_root(spark: SparkSession, what: str) -> str:
+    """A new folder below the cluster's shared folder (``spark.checkpoint.dir``; where that is unset, as in
+    tests, below the warehouse)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
+    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """Rows written once into the shared folder and read back."""
+    path = shared_root(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 class RunStore:
-    """Parquet tables partitioned by run below one root. A run counts once its row is in ``runs``.
+    """Parquet tables with a folder for each run below one root, and the table of runs.
 
-    Writing a run replaces its own partitions only (dynamic overwrite), so a repeated write gives the
-    same tables; readers ask for one run and prune the rest.
+    A run counts once its row in ``runs`` says completed: its tables are written before, and if one of
+    them fails all are removed and the row says failed. The table of runs is a row a run; it is written
+    whole as a new generation, and readers take the latest generation that is complete, so a change of
+    several rows is one step. Writing a run again replaces its own folder only, also by no rows.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
+    def _at(self, *parts: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.root, *parts]))
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _folder(self, table: str, run_id: str) -> str:
+        return f"{self.root}/{table}/run_id={run_id}"
+
+    # -- tables of a run
+
     def write(self, table: str, rows: DataFrame, run_id: str) -> None:
-        rows.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(f"{self.root}/{table}")
+        """The run's rows in place of those it had."""
+        rows.write.mode("overwrite").parquet(self._folder(table, run_id))
+
+    def insert(self, table: str, rows: DataFrame, run_id: str) -> None:
+        """The run's rows; an error if it has some already."""
+        rows.write.mode("errorifexists").parquet(self._folder(table, run_id))
+
+    def rebuild(self, table: str, rows: DataFrame) -> None:
+        """A table that belongs to no run, whole."""
+        rows.write.mode("overwrite").parquet(f"{self.root}/{table}")
+
+    def read(self, table: str, run_id: str | None = None) -> DataFrame:
+        return self.spark.read.parquet(self._folder(table, run_id) if run_id else f"{self.root}/{table}")
+
+    def has(self, table: str, run_id: str) -> bool:
+        path, fs = self._at(table, f"run_id={run_id}")
+        return fs.exists(path)
+
+    def drop(self, table: str, run_id: str) -> None:
+        path, fs = self._at(table, f"run_id={run_id}")
+        fs.delete(path, True)
+
+    def row_counts(self, tables: list[str], run_id: str) -> DataFrame:
+        """table, rows of a run; a table that the run lacks has none."""
+        one = lambda t: (self.read(t, run_id) if self.has(t, run_id) else self.spark.range(0)).agg(F.count("*").alias("rows")).select(F.lit(t).alias("table"), "rows")
+        return reduce(DataFrame.unionByName, map(one, tables))
+
+    # -- runs
+
+    def _generations(self) -> list[int]:
+        path, fs = self._at("runs")
+        names = [f.getPath() for f in fs.listStatus(path)] if fs.exists(path) else []
+        return sorted(int(p.getName()) for p in names if p.getName().isdigit() and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+    def runs(self) -> DataFrame:
+        kept = self._generations()
+        return self.spark.read.schema(schema_of("aggregate_runs")).parquet(f"{self.root}/runs/{kept[-1]}") if kept else self.spark.createDataFrame([], schema_of("aggregate_runs"))
+
+    def save_runs(self, rows: DataFrame) -> None:
+        kept = self._generations()
+        rows.select(*self.runs().columns).write.mode("overwrite").parquet(f"{self.root}/runs/{kept[-1] + 1 if kept else 0}")
+
+    def begin(self, run_id: str, at: str, **fields: str) -> None:
+        """The run's row, whatever follows."""
+        row = self.spark.range(1).select(F.lit(run_id).alias("id"), F.lit("in_progress").alias("status"), F.lit(at).cast("timestamp").alias("started_at"), *[F.lit(v).cast(self.runs().schema[k].dataType).alias(k) for k, v in fields.items()])
+        self.save_runs(self.runs().unionByName(row, allowMissingColumns=True))
+
+    def build(self, run_id: str, tables: dict[str, Callable[[], DataFrame]], at: str, *, checks: Callable[[], DataFrame] | None = None, **fields: str) -> str:
+        """All tables of a run or none of them; its status. Rows of ``checks`` with violations fail the run."""
+        self.begin(run_id, at, **fields)
+        sound = False
+        try:
+            for table, rows in tables.items():
+                self.write(table, rows(), run_id)
+            sound = checks is None or checks().where("violations > 0").isEmpty()
+        finally:
+            if not sound:
+                for table in tables:
+                    self.drop(table, run_id)
+            self.save_runs(validated(self.runs(), run_id, sound, at))
+        return "completed" if sound else "failed"
+
+    def publish(self, at: str, run_id: str | None = None) -> None:
+        self.save_runs(published(self.runs(), at, run_id))
+
+    def active_id(self) -> str | None:
+        row = active(self.runs()).select("id").head()
+        return row and row["id"]
 
-    def read(self, table: str, run_id: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{table}").where(F.col("run_id") == run_id).drop("run_id")
+    def prune(self, tables: list[str], run_ids: list[str], *, dry_run: bool = True) -> DataFrame:
+        """run_id, table, rows that would go of completed runs that are not active; without ``dry_run`` they go.
 
-    def prune(self, table: str, run_ids: list[str], *, dry_run: bool = True) -> DataFrame:
-        """Rows of each run that would go; without ``dry_run`` their partitions are emptied."""
-        rows = self.spark.read.parquet(f"{self.root}/{table}").where(F.col("run_id").isin(run_ids))
-        counts = self.spark.createDataFrame(rows.groupBy("run_id").agg(F.count("*").alias("rows")).collect(), "run_id string, rows bigint")  # one row a run
+        Runs of another status, or active, are refused.
+        """
+        allowed = {r["id"] for r in self.runs().where((F.col("status") == "completed") & F.col("id").isin(run_ids) & ~F.coalesce(F.expr(ACTIVE), F.lit(False))).select("id").collect()}  # as many as asked for
+        if refused := sorted(set(run_ids) - allowed):
+            raise RunRefused(f"not completed, or active: {', '.join(refused)}")
+        counts = reduce(DataFrame.unionByName, [self.row_counts(tables, r).select(F.lit(r).alias("run_id"), "table", "rows") for r in run_ids])
         if not dry_run:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
-            fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+            counts = self.spark.createDataFrame(counts.collect(), counts.schema)  # a row a table: counted before they go
             for r in run_ids:
-                fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path, f"run_id={r}"), True)
+                for t in tables:
+                    self.drop(t, r)
         return counts

@@ -59,6 +59,11 @@ def json_artifacts(spark: SparkSession, folder: str, schema: T.StructType, *, mu
     return rows.select(F.explode("r").alias("r")).select("r.*"), rows.agg(F.count_if(F.col("r").isNull()).alias("skipped"))
 
 
+def write_json(rows: DataFrame, folder: str) -> None:
+    """Artifacts as JSON lines, written by tasks; a later call replaces them."""
+    rows.write.mode("overwrite").json(folder)
+
+
 def last_of_each(rows: DataFrame, key: str, *order: str) -> tuple[DataFrame, DataFrame]:
     """The last record of each key, and keys that occur more than once with how often."""
     rank = F.row_number().over(Window.partitionBy(key).orderBy(*[F.desc(o) for o in order]))
