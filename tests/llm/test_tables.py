@@ -136,7 +136,7 @@ def test_ann_recall_and_scores(spark, block_rows):
     vectors = rng.standard_normal((1500, 16))
     vectors[700:900] = vectors[50]  # a third equal, also to a query
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
-    found = ann.search(df, F.col("vec_id") % 50 == 0, block_rows=block_rows, chunk_rows=7, least=64).collect()
+    found = ann.search(df, F.col("vec_id") % 50 == 0, block_rows=block_rows, chunk_rows=7).collect()
     truth = brute(np.arange(1500), vectors, range(0, 1500, 50), 5)
     got = {}
     for r in sorted(found, key=lambda r: r["rank"]):
@@ -150,6 +150,28 @@ def test_ann_recall_and_scores(spark, block_rows):
             assert abs(s - vectors[q] @ vectors[i] / np.linalg.norm(vectors[q]) / np.linalg.norm(vectors[i])) < 1e-12
 
 
+def test_forest_candidates_grow_slower_than_rows():
+    """Recall holds at two sizes ten apart while the candidates of a query grow by far less."""
+    rng, shares = np.random.default_rng(2), []
+    for n in (800, 8000):
+        vectors = rng.standard_normal((n, 24))
+        forest, enough = ann.Forest(vectors, ann.TREES), max(ann.SHARE * n**ann.POWER, ann.TREES * 7)
+        depth = np.zeros(40, np.int64)
+        for at, open_, count in forest.counts(vectors[:40], enough):
+            depth[open_[count >= enough]] = np.maximum(depth[open_[count >= enough]], at)
+        found = list(forest.candidates(vectors[:40], depth))
+        truth = brute(np.arange(n), vectors, range(40), 5)
+        assert sum(len({i for i, _ in truth[q]} & set(found[q].tolist())) for q in range(40)) >= 0.9 * 200
+        shares.append(np.mean([len(f) for f in found]))
+    assert shares[1] < 6 * shares[0]
+
+
+def test_copies_of_a_vector_are_few_in_a_block():
+    ids, vectors = np.arange(100), np.tile([[1.0, 0.0], [0.0, 2.0]], (50, 1))
+    vectors[0] = [1.0, -0.0]
+    assert ann.without_copies(ids, vectors, 3).tolist() == [0, 1, 2, 3, 4, 5]
+
+
 def test_ann_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (7, []), (8, [1.0, 0.0, 0.0]), (None, [1.0, 0.0]), (1, [2.0, 0.0]), (50, [0.0, 3.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")

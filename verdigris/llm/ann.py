@@ -1,20 +1,27 @@
 """Approximate nearest neighbours by a hash-prefix forest.
 
-Rows are dealt to blocks. Each block holds a forest: per tree one long bit string for each row (signs of
-random projections), kept as a sorted array. A query descends every tree to the longest prefix it
-shares with any string and then ascends all trees at the same time, one bit at a time, until the
-prefixes take in enough candidates (``share`` of the block, at least ``least``). Candidates are
-ranked by their exact cosine in double precision on the original vectors, and the best of all blocks
-are merged. Identical vectors have identical strings and enter together, however many they are.
-
-Blocks have about ``block_rows`` rows and queries come in chunks of about ``chunk_rows``; each
-(block, chunk) pair is one group, so no task holds more than one block and one chunk, and a third of
-all rows being equal makes no group larger. Results are cut to ``k`` a query before they are merged.
+A row's hash string in a tree is a run of symbols; a symbol is the axis, with its sign, that lies
+nearest to the vector after a random projection (a cross-polytope hash). Each tree keeps the strings as
+a sorted array. A query descends every tree to the longest prefix it shares with any string and then
+ascends all trees at the same time, one bit at a time, until the prefixes take in enough candidates.
+Candidates are ranked by their exact cosine in double precision on the original vectors.
+
+Rows lie in blocks, each with its part of the forest, and a stated query set is asked of all blocks. The
+ascent is one for the whole table: a first pass gives, for each query, how many strings of all blocks lie
+under each prefix length; the length is chosen by their sum; a second pass ranks what lies under it. So
+the candidates of a query, ``share * rows ** power`` strings over all trees, grow more slowly than the
+rows. Queries come in chunks of several blocks' size, so that building a block's arrays costs little
+beside asking them; no task holds more than one block and one chunk.
+
+Of identical vectors in a block only the ``k`` + 1 smallest ids are kept, as ties go to smaller ids, so
+a vector that a third of all rows share costs a query a few candidates a block. Results are cut to ``k``
+a query in each block before they are merged.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no
 part; rows with a null id neither; vectors of different lengths are not compared; a candidate with
 the query's own id is not returned; ties go to the smaller id; repeated rows count once, and an id
-that has several vectors once, by its best score.
+that has several vectors once, by its best score; an empty table gives no rows; other columns are not
+read, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,63 +35,86 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-TREES = 48
-BITS = 32
+TREES = 128
+#: Bits of a hash string at least; axes that a symbol chooses among.
+BITS, AXES = 28, 64
 BLOCK_ROWS = 8192
-CHUNK_ROWS = 2048
-SHARE = 0.55
-LEAST = 512
+CHUNK_ROWS = 65_536
+#: Strings under the prefixes of a query, over all trees: SHARE * rows ** POWER.
+SHARE, POWER = 7, 2 / 3
 FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
 class Forest:
-    """Sorted bit strings of the rows of one block."""
+    """Sorted hash strings of the rows of one block."""
 
-    def __init__(self, vectors: np.ndarray, trees: int, bits: int):
+    def __init__(self, vectors: np.ndarray, trees: int, bits: int = BITS):
+        axes = min(vectors.shape[1], AXES)
+        self.width = (2 * axes - 1).bit_length()
+        self.trees, self.symbols = trees, -(-bits // self.width)
+        self.bits = self.width * self.symbols
         rng = np.random.default_rng(vectors.shape[1])  # the same projections in every block
-        self.planes, self.bits = rng.standard_normal((vectors.shape[1], trees * bits)), bits
+        self.planes = rng.standard_normal((trees * self.symbols, vectors.shape[1], axes))
         keys = self.keys(vectors)
         self.order = np.argsort(keys, axis=1, kind="stable")
         self.sorted = np.take_along_axis(keys, self.order, axis=1)
 
     def keys(self, vectors: np.ndarray) -> np.ndarray:
-        """One integer for each tree and vector, its first bit the highest."""
-        trees = self.planes.shape[1] // self.bits
-        out = np.zeros((trees, len(vectors)), np.uint64)
-        for i in range(0, len(vectors), 1024):
-            signs = (vectors[i : i + 1024] @ self.planes > 0).reshape(-1, trees, self.bits)
-            for b in range(self.bits):
-                out[:, i : i + 1024] |= signs[:, :, b].T.astype(np.uint64) << np.uint64(self.bits - 1 - b)
+        """One integer for each tree and vector, its first symbol the highest."""
+        out = np.zeros((self.trees, len(vectors)), np.int64)
+        for k, plane in enumerate(self.planes):
+            own = out[k // self.symbols]
+            for i in range(0, len(vectors), 4096):
+                value = vectors[i : i + 4096] @ plane
+                axis = np.abs(value).argmax(axis=1)
+                own[i : i + 4096] = own[i : i + 4096] << self.width | axis * 2 + (value[np.arange(len(axis)), axis] > 0)
         return out
 
-    def candidates(self, queries: np.ndarray, wanted: int):
-        """For each query the rows under the longest common prefix length that gives enough of them."""
-        keys = self.keys(queries)
-        trees, n = keys.shape
-        low, high = np.zeros((trees, n), np.int64), np.full((trees, n), self.sorted.shape[1])
-        open_, depth = np.ones(n, bool), self.bits
-        while depth >= 0 and open_.any():
-            mask = np.uint64((1 << (self.bits - depth)) - 1)
-            at = np.flatnonzero(open_)
-            for t in range(trees):
-                first = keys[t, at] & ~mask
-                low[t, at] = np.searchsorted(self.sorted[t], first)
-                high[t, at] = np.searchsorted(self.sorted[t], first | mask, side="right")
-            open_[at] = (high[:, at] - low[:, at]).sum(axis=0) < wanted
-            depth -= 1
-        for q in range(n):
+    def ranges(self, keys: np.ndarray, depth: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+        """For each tree and query, the part of the sorted array under the first ``depth`` bits."""
+        below = np.int64(1) << (self.bits - np.broadcast_to(depth, keys.shape[1])).astype(np.int64)
+        first = keys // below * below
+        low, high = np.empty_like(keys), np.empty_like(keys)
+        for t in range(self.trees):
+            low[t] = np.searchsorted(self.sorted[t], first[t])
+            high[t] = np.searchsorted(self.sorted[t], first[t] + below - 1, side="right")
+        return low, high
+
+    def counts(self, queries: np.ndarray, enough: int):
+        """(depth, queries, strings under it in all trees), deepest first; a query that has enough is done."""
+        keys, open_ = self.keys(queries), np.arange(len(queries))
+        for depth in range(self.bits, -1, -1):
+            low, high = self.ranges(keys[:, open_], depth)
+            n = (high - low).sum(axis=0)
+            yield depth, open_, n
+            open_ = open_[n < enough]
+            if not len(open_):
+                return
+
+    def candidates(self, queries: np.ndarray, depth: np.ndarray):
+        """The rows under the first ``depth`` bits of each query in any tree."""
+        low, high = self.ranges(self.keys(queries), depth)
+        for q in range(len(queries)):
             there = np.zeros(self.sorted.shape[1], bool)
-            for t in range(trees):
+            for t in range(self.trees):
                 there[self.order[t, low[t, q] : high[t, q]]] = True
             yield np.flatnonzero(there)
 
 
-def nearest(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, trees: int, bits: int, share: float, least: int):
+def without_copies(ids: np.ndarray, vectors: np.ndarray, most: int) -> np.ndarray:
+    """Places of the ``most`` smallest ids of each vector; ids rise."""
+    raw = np.ascontiguousarray(vectors + 0.0).view(np.dtype((np.void, vectors.dtype.itemsize * vectors.shape[1]))).ravel()  # 0.0 and -0.0 alike
+    kind = np.unique(raw, return_inverse=True)[1]
+    order = np.argsort(kind, kind="stable")
+    first = np.searchsorted(kind[order], kind[order])
+    return np.sort(order[np.arange(len(order)) - first < most])
+
+
+def nearest(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, depth: np.ndarray, k: int, trees: int):
     """(query_id, vec_id, cosine) of the best ``k`` candidates of each query in this block."""
-    forest = Forest(vectors, trees, bits)
+    forest = Forest(vectors, trees)
     norms = np.sqrt((vectors * vectors).sum(axis=1))
-    wanted = int(max(least, share * len(ids)) * _repeats(share, trees))
-    for query_id, query, found in zip(query_ids, queries, forest.candidates(queries, wanted), strict=True):
+    for query_id, query, found in zip(query_ids, queries, forest.candidates(queries, depth), strict=True):
         found = found[ids[found] != query_id]
         if len(found):
             score = (vectors[found] * query).sum(axis=1) / (norms[found] * math.sqrt((query * query).sum()))
@@ -93,45 +123,66 @@ def nearest(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries
             yield query_id, ids[found][best], score[best]
 
 
-def _repeats(share: float, trees: int) -> float:
-    """How often a candidate comes up among several trees when a share of the rows is wanted."""
-    return -math.log1p(-min(share, 0.99)) / share
-
-
 def usable(vec: Column) -> Column:
     finite = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     return vec.isNotNull() & (F.size(vec) > 0) & finite & F.exists(vec, lambda x: x != 0)
 
 
-def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, trees: int = TREES, bits: int = BITS, block_rows: int = BLOCK_ROWS, chunk_rows: int = CHUNK_ROWS, share: float = SHARE, least: int = LEAST) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, trees: int = TREES, block_rows: int = BLOCK_ROWS, chunk_rows: int = CHUNK_ROWS, share: float = SHARE, power: float = POWER) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found for every row where ``is_query`` holds."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"), is_query.alias("asks")).where(F.col("id").isNotNull() & usable(F.col("v").cast("array<double>")))
     rows = written(rows.groupBy("id", "v").agg(F.bool_or("asks").alias("asks")), "ann-rows").withColumn("v", F.col("v").cast("array<double>"))
     rows = rows.withColumn("size", F.size("v"))
     total, asked = rows.agg(F.count("*"), F.count_if("asks")).first()
     blocks, chunks = max(1, math.ceil(total / block_rows)), max(1, math.ceil(asked / chunk_rows))
+    # so many strings that some tree holds the query's own row, and k more
+    enough = max(math.ceil(share * total**power), trees * (k + 2))
     spread = lambda n: F.pmod(F.xxhash64("id", "v"), F.lit(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    held = rows.select("size", "id", "v", spread(blocks).alias("block")).select("*", every(chunks).alias("chunk"))
-    asks = rows.where("asks").select("size", "id", "v", spread(chunks).alias("chunk")).select("*", every(blocks).alias("block"))
+    keys = ["size", "block", "chunk"]
+    held = rows.select("size", "id", "v", spread(blocks).alias("block")).select("*", every(chunks).alias("chunk")).groupBy(*keys)
+    queries = written(rows.where("asks").select("size", "id", "v", F.xxhash64("id", "v").alias("query")), "ann-queries")
 
-    def matrix(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    def asks(queries: DataFrame):
+        return queries.select("*", spread(chunks).alias("chunk")).select("*", every(blocks).alias("block")).groupBy(*keys)
+
+    def matrix(part: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ids = part.column("id").to_numpy()
         values = part.column("v").combine_chunks()
         values = values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values
         flat = values.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
         order = np.argsort(ids, kind="stable")
-        return ids[order], flat[order]
+        return ids[order], flat[order], order
+
+    def block_of(left: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        ids, values, _ = matrix(left)
+        kept = without_copies(ids, values, k + 1)
+        return ids[kept], values[kept]
+
+    def count(key, left, right):
+        out = [[], [], []]
+        if len(left) and len(right):
+            _, values, order = matrix(right)
+            names = right.column("query").to_numpy()[order]
+            for depth, open_, n in Forest(block_of(left)[1], trees).counts(values, enough):
+                for part, value in zip(out, (names[open_], np.full(len(open_), depth), n), strict=True):
+                    part.append(value)
+        return pa.table([np.concatenate(x) if x else np.zeros(0, np.int64) for x in out], names=["query", "depth", "n"])
 
     def match(key, left, right):
         out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         if len(left) and len(right):
-            for query_id, found, score in nearest(*matrix(left), *matrix(right), k, trees, bits, share, least):
+            ids, values, order = matrix(right)
+            for query_id, found, score in nearest(*block_of(left), ids, values, right.column("depth").to_numpy()[order], k, trees):
                 for part, value in zip(out, (np.full(len(found), query_id), found, score), strict=True):
                     part.append(value)
         return pa.table([np.concatenate(x) for x in out], schema=FOUND)
 
-    keys = ["size", "block", "chunk"]
-    found = held.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInArrow(match, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    # a block that had enough at some depth says no more: above that the sum is enough anyway
+    counted = held.cogroup(asks(queries)).applyInArrow(count, "query long, depth long, n long")
+    depths = counted.groupBy("query", "depth").agg(F.sum("n").alias("n")).where(F.col("n") >= enough).groupBy("query").agg(F.max("depth").alias("depth"))
+    # where all rows are fewer, all are candidates
+    deep = written(queries.join(depths, "query", "left").select("size", "id", "v", F.coalesce("depth", F.lit(0).cast("long")).alias("depth")), "ann-depths")
+    found = held.cogroup(asks(deep)).applyInArrow(match, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
