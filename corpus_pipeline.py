@@ -2,6 +2,12 @@
 
 Each stage takes what its predecessor kept, reread from Parquet, and its decisions take effect: rows
 are dropped, texts are cut. All stages but the last return the columns of ``documents``.
+
+Defined cases, in every stage: null and empty texts have no letter, so the first stage drops them, and
+the later ones keep them where they get them; documents of any length are handled whole; ties go to the
+smaller id, in language ID to the language that sorts first; of rows with one id near-duplicate removal
+keeps the one whose text and columns sort first, where the others stay as they are; an empty table gives
+an empty one; columns of the table named like an operator's result pass through unchanged.
 """
 
 from __future__ import annotations
@@ -29,11 +35,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays, once."""
     judged = written(minhash.near_duplicates(docs), "near-dedup")
     left = docs.join(judged.where("not kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
-    repeated = judged.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    repeated = judged.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if repeated.isEmpty():
         return left
-    again = left.join(repeated.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return left.join(repeated.select("doc_id"), "doc_id", "left_anti").select(*docs.columns).unionByName(again)
+    least = F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("least")  # the same row in every run
+    again = left.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(least).select("doc_id", "least.*").select(*docs.columns)
+    return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(again)
 
 
 def substring_cut(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

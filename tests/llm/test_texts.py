@@ -347,6 +347,13 @@ def test_packing_words_equal_whole_texts():
     assert flat.tolist() == [i for e in expected for i in e]
 
 
+def test_packing_reads_no_other_columns(spark):
+    rows = [(1, "one two", "x", 9), (2, "word " * 60_000, "y", 8)]
+    found = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, sequence_id string, ids int"), WORD_BPE).collect()
+    assert {sum(p.length for p in found if p.doc_id == 2)} == {p.doc_tokens for p in found if p.doc_id == 2}
+    assert {p.doc_id for p in found} == {1, 2} and max(p.length for p in found) <= 4096
+
+
 def test_packing_odd_rows(spark, empty):
     rows = [(None, None), (5, ""), (5, "")]
     found = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), WORD_BPE).collect()
@@ -578,5 +585,23 @@ def test_pipeline_stages(spark, tmp_path):
     assert {p.doc_id for p in corpus_pipeline.run(spark, folder).collect()} == set(kept[3])
 
 
+def test_pipeline_stages_take_odd_rows(spark, tmp_path):
+    """Null and empty texts, rows of one id with different texts, an empty table, columns named like results."""
+    import corpus_pipeline
+
+    words = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, words, "en", 1, "p"), (1, words + " b", "en", 1, "q"), (2, None, "en", 0, "r"), (3, "", "en", 0, "s"), (4, words.replace("w", "v"), "en", 1, "t")]
+    spark.createDataFrame([(1, "one two three")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long, Parse string").repartition(3)
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        found = stage(spark, docs, str(tmp_path))
+        assert found.columns == docs.columns, name
+        kept = sorted((r.doc_id, r.text or "", r.Parse) for r in found.collect())
+        once = [(1, words, "p")] if name == "near_dedup" else [(1, words, "p"), (1, words + " b", "q")]
+        assert kept == [*once, (2, "", "r"), (3, "", "s"), (4, words.replace("w", "v"), "t")], name
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    assert {r.doc_id for r in corpus_pipeline.pack(spark, docs, str(tmp_path)).collect()} == {1, 2, 3, 4}
+
+
 def test_empty_sha_of_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")

@@ -38,7 +38,12 @@ def without(docs: DataFrame, name: str, *kept: str) -> DataFrame:
     """``docs`` without a column of this name, case aside; ``kept`` columns may not have it."""
     if name.lower() in {k.lower() for k in kept}:
         raise ValueError(f"{name!r} is a column that is read")
-    return docs.select(*[f"`{c}`" for c in docs.columns if c.lower() != name.lower()])
+    return docs.select(*[quoted(c) for c in docs.columns if c.lower() != name.lower()])
+
+
+def quoted(name: str) -> str:
+    """A column name as Spark's expressions take it, whatever signs it holds."""
+    return "`" + name.replace("`", "``") + "`"
 
 
 def free_name(columns: list[str], base: str) -> str:
@@ -50,7 +55,7 @@ def free_name(columns: list[str], base: str) -> str:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Lowers the session's Arrow batches to BATCH_BYTES, where they may be larger.
+    """Lowers the session's Arrow batches to BATCH_BYTES, where they may be larger; the setting stays.
 
     Spark's default of 64 MB would be held by every task twice, in the executor's buffers and in the
     worker.

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_struct, free_name, written
+from .common import add_struct, free_name, quoted, written
 
 #: Item text of one automaton; about 140 bytes of automaton for each byte of text.
 BLOCK_BYTES = 1 << 20
@@ -142,4 +142,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The rows of ``docs``, unchanged, in whose text no benchmark window occurs."""
     into = free_name(docs.columns, "scan")
     found = scan(docs, benchmark, into=into, **how)
-    return found.where(F.size(f"{into}.items") == 0).select(*[f"`{c}`" for c in docs.columns])
+    return found.where(F.size(f"{into}.items") == 0).select(*map(quoted, docs.columns))

@@ -14,9 +14,8 @@ from .common import crc_fold, shared_folder, table
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
-
-#: Label rows that may be broadcast: at most 12 bytes each on the wire, 60 MB in all.
-BROADCAST_LABELS = 5_000_000
+#: Labels that may be broadcast, in bytes: an id and a label are 12. Beyond, Spark joins them by shuffle.
+BROADCAST_BYTES, LABEL_BYTES = 60 << 20, 12
 
 #: The rules of the URL filter query: host, path, action.
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -37,7 +36,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     fold = crc_fold(F.col("doc_id"))
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where("toxic is not null").where(fold != 0)
-    if labels.count() <= BROADCAST_LABELS:  # otherwise the join shuffles both sides
+    if labels.count() * LABEL_BYTES <= BROADCAST_BYTES:
         labels = F.broadcast(labels)
     labelled = docs.join(labels, "doc_id")
     model = toxicity.fit(labelled, held_back=fold == 4)

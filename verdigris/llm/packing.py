@@ -16,7 +16,8 @@ Words are looked up once per slice: white space never joins two pre-tokens of th
 text's ids are those of its words in turn.
 
 Defined cases: a null or empty text is the end id alone; a null id column value is kept; repeated
-rows are packed one by one; an empty table gives no rows.
+rows are packed one by one; a text of any length is one document, cut as others are; an empty table
+gives no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
