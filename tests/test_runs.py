@@ -180,6 +180,28 @@ def test_merge_each(spark, tmp_path):
     assert sorted(tuple(r) for r in streams.merged(spark, str(tmp_path / "m"), 1).collect()) == [("a", 2, "q"), ("b", 6, "s"), ("c", 1, "t")]
 
 
+def test_merge_touches_only_its_buckets(spark, tmp_path):
+    merge = streams.merge_each(str(tmp_path / "m"), "k", "v", buckets=8)
+    frame = lambda ks, v: spark.createDataFrame([(k, v) for k in ks], "k int, v int")
+    merge(frame(range(40), 1), 0)
+    merge(frame([3], 2), 1)
+    assert len([f for f in (tmp_path / "m" / "generation=1").iterdir() if f.name.startswith("bucket")]) == 1
+    assert sorted(tuple(r) for r in streams.merged(spark, str(tmp_path / "m"), 1).collect()) == [(k, 2 if k == 3 else 1) for k in range(40)]
+
+
+def test_versions_apply_as_a_stream(spark, tmp_path):
+    schema = "file_hash string, docket_number string, court string, version struct<envelope int, record int>, content_hash string, raw_status string"
+    empty = spark.createDataFrame([], schema)
+    batch = lambda *rows: spark.createDataFrame([(h, d, "CP", (1, v), c, "parsed", True) for h, d, v, c in rows], "file_hash string, docket_number string, court string, version struct<envelope int, record int>, content_hash string, status string, imported boolean")
+    apply = streams.apply_each(str(tmp_path / "a"), [(1, 1), (1, 2)], empty)
+    apply(batch(("f1", "d1", 2, "x"), ("f2", "d2", 1, "y")), 0)
+    apply(batch(("f1", "d1", 1, "z"), ("f2", "d2", 2, "y"), ("f3", "d1", 2, "w")), 1)  # refused, replaced, supersedes f1
+    apply(batch(("f1", "d1", 2, "x")), 2)  # stale
+    for g in (1, 2):
+        rows = {r.file_hash: (r.version.record, r.raw_status) for r in spark.read.parquet(f"{tmp_path}/a/generation={g}").collect()}
+        assert rows == {"f1": (2, "parse_superseded"), "f2": (2, "parsed"), "f3": (2, "parsed")}
+
+
 def test_schemas_are_valid_json(spark):
     for name in ("dockets", "charges", "aggregate_runs"):
         assert json.loads(spark.createDataFrame([], tables.schema_of(name)).schema.json())["fields"]

@@ -151,6 +151,20 @@ def version_decision(incoming: DataFrame, loaded: DataFrame, known_versions: lis
     return rows.withColumn("decision", decision).drop("old_version", "old_content", "raw_status", "twins")
 
 
+def applied_versions(incoming: DataFrame, loaded: DataFrame, known_versions: list[tuple[int, int]]) -> DataFrame:
+    """The loaded envelopes after the decisions: loaded, replaced and superseding ones are in, failed ones are
+    in as such where their file is new, what they supersede is marked; all else stays as it was."""
+    fields = ["file_hash", "docket_number", "court", "version", "content_hash"]
+    decided = version_decision(incoming, loaded, known_versions).join(loaded.select("file_hash", F.lit(True).alias("_was")), "file_hash", "left")
+    taken = decided.where(F.col("decision").isin("load", "supersede", "replace") | ((F.col("decision") == "raw_only") & F.col("_was").isNull()))
+    rows = taken.select(*fields, F.when(F.col("decision") == "raw_only", "failed").otherwise("parsed").alias("raw_status"))
+    gone = decided.where("decision = 'supersede'").select(F.col("docket_number").alias("_d"), F.col("court").alias("_c")).distinct().withColumn("_gone", F.lit(True))
+    kept = loaded.select(*fields, "raw_status").join(rows.select("file_hash"), "file_hash", "left_anti")
+    kept = kept.join(gone, (F.col("docket_number") == F.col("_d")) & F.col("court").eqNullSafe(F.col("_c")), "left")
+    status = F.when(F.col("_gone") & (F.col("raw_status") == "parsed"), "parse_superseded").otherwise(F.col("raw_status"))
+    return kept.select(*fields, status.alias("raw_status")).unionByName(rows)
+
+
 def progress(windows: DataFrame, total: int, *, every: int = 5) -> DataFrame:
     """After every ``every`` windows of a run: mean seconds a window and seconds still to go."""
     by = Window.partitionBy("run").orderBy("day")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .. import vocab as V
 from ..functions.numbers import sentence_bounds
 from ..operators.facts import component_facts, outcome_facts
+from .tables import stored
 
 #: Start of the date window and floor of the filing date, inside the range of the tables.
 WINDOW, FLOOR = "1998-01-01", "1996-01-01"
@@ -96,6 +97,13 @@ def facts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return own, component_facts(sentences(rows), own, window=WINDOW, floor=FLOOR)
 
 
+def kept_facts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The same, each built once and stored, for queries that read them several times."""
+    rows = charges(spark, sf_dir)
+    own = stored(outcome_facts(rows, window=WINDOW, floor=FLOOR), "outcome-facts")
+    return own, stored(component_facts(sentences(rows), own, window=WINDOW, floor=FLOOR), "component-facts")
+
+
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Collection attempts: a run for each user, in the order of ts and event_id."""
     kind = F.col("event_type")

@@ -67,12 +67,12 @@ def index_summary_pair(spark, sf_dir):
 
 @query
 def index_category_charge(spark, sf_dir):
-    return A.index_categories(*B.facts(spark, sf_dir), B.CHARGE, eligible="public_eligible")
+    return A.index_categories(*B.kept_facts(spark, sf_dir), B.CHARGE, eligible="public_eligible")
 
 
 @query
 def index_category_pair(spark, sf_dir):
-    return A.index_categories(*B.facts(spark, sf_dir), B.PAIR, eligible="judge_specific_eligible")
+    return A.index_categories(*B.kept_facts(spark, sf_dir), B.PAIR, eligible="judge_specific_eligible")
 
 
 @query
@@ -390,7 +390,7 @@ def result_distribution_block(spark, sf_dir):
 
 @query
 def result_index_block(spark, sf_dir):
-    rows = A.index_categories(*B.facts(spark, sf_dir), B.CHARGE, eligible="public_eligible")
+    rows = A.index_categories(*B.kept_facts(spark, sf_dir), B.CHARGE, eligible="public_eligible")
     return serve.index_block(rows).select("charge_id", "category_code", "median_min_months", "median_max_months")
 
 
@@ -431,7 +431,7 @@ def ops_topk(spark, sf_dir):
 
 
 def _all_checks(spark, sf_dir) -> DataFrame:
-    own, parts = B.facts(spark, sf_dir)
+    own, parts = B.kept_facts(spark, sf_dir)
     charge, pair = _outcome_distribution(own, B.CHARGE), _outcome_distribution(own, B.PAIR)
     summary = A.index_summary(own, parts, B.CHARGE, eligible="public_eligible")
     categories = A.index_categories(own, parts, B.CHARGE, eligible="public_eligible")

@@ -163,7 +163,7 @@ def ops_queue(spark, sf_dir):
 @query
 def ops_row_counts(spark, sf_dir):
     """Rows of every table of the active run."""
-    own, parts = B.facts(spark, sf_dir)
+    own, parts = B.kept_facts(spark, sf_dir)
     store = tables.RunStore(spark, tables.shared_root(spark, "runs"))
     made = {"charge_outcomes": lambda: _outcome_distribution(own, B.CHARGE), "charge_components": lambda: _component_distribution(parts, B.CHARGE), "grade_mix": lambda: A.grade_mix(own)}
     store.build("a", made, "2025-01-01")
@@ -176,7 +176,7 @@ _add("ops_row_counts", f"SELECT 'charge_outcomes' AS \"table\", (SELECT count(*)
 
 @query
 def ops_live_checks(spark, sf_dir):
-    own, parts = B.facts(spark, sf_dir)
+    own, parts = B.kept_facts(spark, sf_dir)
     return panel.live_checks(B.charges(spark, sf_dir), own, parts, _outcome_distribution(own, B.CHARGE), _outcome_distribution(own, B.PAIR), A.index_summary(own, parts, B.CHARGE, eligible="public_eligible"), A.volume_funnel(_corpus(spark, sf_dir)))
 
 
@@ -223,7 +223,7 @@ _outcome_text = lambda c: _shown(c, lambda x: F.concat_ws(":", x["category_code"
 
 @query
 def result_charge(spark, sf_dir):
-    own, parts = B.facts(spark, sf_dir)
+    own, parts = B.kept_facts(spark, sf_dir)
     grades = A.grade_mix(own)
     known = _identities(spark, sf_dir).unionByName(spark.createDataFrame([("none", "none", "None", [], "")], "id string, slug string, display_name string, aliases array<string>, statute string"))
     rows = serve.charge_result(known, _outcome_distribution(own, B.CHARGE), A.index_summary(own, parts, B.CHARGE, eligible="public_eligible"), A.index_categories(own, parts, B.CHARGE, eligible="public_eligible"), grades, A.volume_funnel(_corpus(spark, sf_dir)))
@@ -274,7 +274,7 @@ FROM pairs LEFT JOIN outs USING (charge_id) LEFT JOIN pouts USING (charge_id, ju
 @query
 def result_integrity(spark, sf_dir):
     """Served rows as they are, and once hurt: unknown outcomes shown, sizes shifted, a charge's baseline cut."""
-    own, parts = B.facts(spark, sf_dir)
+    own, parts = B.kept_facts(spark, sf_dir)
     charge, pair = _outcome_distribution(own, B.CHARGE), _outcome_distribution(own, B.PAIR)
     index = A.index_categories(own, parts, B.CHARGE, eligible="public_eligible")
     hurt = charge.where("category_code <> 'withdrawn'").withColumns({"sample_size": F.col("sample_size") + (F.col("category_code") == "guilty_plea").cast("int"), "category_code": F.when(F.col("category_code") == "dismissed", "unknown").otherwise(F.col("category_code"))})
@@ -363,7 +363,7 @@ _add(
 @query
 def index_row_checks(spark, sf_dir):
     """Index rows hurt in run id, taxonomy version, wedge share and dates."""
-    own, parts = B.facts(spark, sf_dir)
+    own, parts = B.kept_facts(spark, sf_dir)
     summary, categories = A.index_summary(own, parts, B.CHARGE, eligible="public_eligible"), A.index_categories(own, parts, B.CHARGE, eligible="public_eligible")
     low = F.col("charge_id") < "Brand#2"
     hurt = summary.withColumns({"wedge_percentage": F.when(low, F.col("wedge_percentage") + 0.1).otherwise(F.col("wedge_percentage")), "date_range_start": F.when(low, F.lit("2020-01-01").cast("date")).otherwise(F.col("date_range_start")), "run_id": F.when(low, "r0").otherwise("r1"), "taxonomy_version": F.when(~low, F.lit(V.TAXONOMY_VERSION))})
@@ -416,7 +416,7 @@ _add("seed_checks", "SELECT 'seed' AS \"table\", 'percentage_misaligned' AS code
 def _review_items(spark, sf_dir) -> DataFrame:
     """Items of four producers: unmatched charges, unmapped outcomes, warnings, unreadable money."""
     rows = B.charges(spark, sf_dir)
-    own, parts = B.facts(spark, sf_dir)
+    own, parts = B.kept_facts(spark, sf_dir)
     item = lambda df, kind, key: df.select(text.dedup_key(F.lit(kind), key.cast("string")).alias("dedup_key"))
     warned = rows.where(F.size("warning_codes") > 0).select("docket_id")
     return review.produced({

@@ -13,7 +13,7 @@ from . import bindings as B
 from . import tables
 from .oracle_base import CHARGES, DOCKETS
 from .oracles import ATTEMPTS, _add
-from .queries import printed_sheets, query
+from .queries import _versions, printed_sheets, query
 
 # -- files and artifacts ------------------------------------------------------------------------
 
@@ -351,6 +351,28 @@ def fresh_targets(spark, sf_dir):
 _add("fresh_targets", "SELECT DISTINCT run AS target FROM attempts WHERE run NOT IN (SELECT run FROM attempts WHERE outcome IN ('hit', 'miss') AND hour(ts) < 2)", ATTEMPTS)
 
 
+@query
+def applied_versions(spark, sf_dir):
+    incoming, loaded = _versions(spark, sf_dir)
+    rows = collector.applied_versions(incoming, loaded, [(1, 1), (1, 2)])
+    return rows.groupBy("raw_status").agg(F.count("*").alias("n"), F.sum("version.record").alias("records"))
+
+
+_add(
+    "applied_versions",
+    """
+, incoming AS (SELECT CASE WHEN filed_date >= DATE '2000-01-01' THEN 'new' || docket_id ELSE CAST(docket_id AS VARCHAR) END AS h, docket_number, CASE WHEN grade IS NOT NULL THEN court END AS court, CASE grade WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 9 ELSE 2 END AS v, filed_date IS NULL AS failed, court = 'CP' AS same, coalesce(grade, '') <> '5-LOW' AS imported FROM dockets)
+, loaded AS (SELECT CAST(docket_id AS VARCHAR) AS h, docket_number, CASE WHEN grade IS NOT NULL THEN court END AS court, CASE WHEN court = 'CP' THEN 2 ELSE 1 END AS v, CASE WHEN filed_date < DATE '1995-06-01' THEN 'parse_superseded' ELSE 'parsed' END AS status FROM dockets WHERE filed_date < DATE '2001-01-01')
+, twins AS (SELECT docket_number, court FROM loaded WHERE status = 'parsed' GROUP BY ALL)
+, decided AS (SELECT i.*, l.h IS NOT NULL AS was, CASE WHEN i.v NOT IN (1, 2) THEN 'reject' WHEN NOT imported THEN 'missing' WHEN failed THEN 'raw_only' WHEN l.status = 'parse_superseded' THEN 'stale' WHEN l.h IS NULL AND t.docket_number IS NOT NULL THEN 'supersede' WHEN l.h IS NULL THEN 'load' WHEN i.v > l.v THEN 'replace' ELSE 'other' END AS d
+  FROM incoming i LEFT JOIN loaded l ON i.h = l.h LEFT JOIN twins t ON i.docket_number = t.docket_number AND i.court IS NOT DISTINCT FROM t.court)
+, taken AS (SELECT h, v, CASE WHEN d = 'raw_only' THEN 'failed' ELSE 'parsed' END AS status FROM decided WHERE d IN ('load', 'supersede', 'replace') OR (d = 'raw_only' AND NOT was))
+, kept AS (SELECT v, CASE WHEN status = 'parsed' AND EXISTS (SELECT 1 FROM decided x WHERE x.d = 'supersede' AND x.docket_number = l.docket_number AND x.court IS NOT DISTINCT FROM l.court) THEN 'parse_superseded' ELSE status END AS status FROM loaded l WHERE h NOT IN (SELECT h FROM taken))
+SELECT status AS raw_status, count(*) AS n, CAST(sum(v) AS BIGINT) AS records FROM (SELECT v, status FROM taken UNION ALL SELECT v, status FROM kept) GROUP BY status""",
+    DOCKETS,
+)
+
+
 @query
 def corpus_order(spark, sf_dir):
     """Place of every charge in the corpus: by docket, sequence and id within its court and filing year."""

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.collector import COMPLETING, split_scopes
+from ..operators.collector import COMPLETING, applied_versions, split_scopes
 from ..vocab import STREAK_STOP
 
 
@@ -61,24 +61,62 @@ def streak_states(attempts: DataFrame, *, stop: int = STREAK_STOP) -> DataFrame:
     return attempts.groupBy("run").applyInPandasWithState(advance, f"run {attempts.schema['run'].dataType.simpleString()}, attempts long, block_streak long, error_streak long, stop_reason string", "n long, blocks long, errors long, reason string", "update", GroupStateTimeout.NoTimeout)
 
 
-def merge_each(root: str, key: str, version: str):
+def _generations(spark: SparkSession, root: str, most: int) -> list[int]:
+    """Complete generations below ``root`` up to ``most``."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [f.getPath() for f in fs.listStatus(path)] if fs.exists(path) else []
+    numbers = [int(p.getName().split("=")[1]) for p in found if "=" in p.getName() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(n for n in numbers if n <= most)
+
+
+def merge_each(root: str, key: str, version: str, *, buckets: int = 64):
     """A ``foreachBatch`` function that keeps the highest version of each key below ``root``.
 
-    Every trigger writes a new generation beside the old one; the batch id names it, so a repeated
-    trigger writes the same generation again. Read with ``merged``.
+    Keys lie in buckets by hash. A trigger writes a generation that holds the buckets it touches, whole,
+    beside the old ones; the batch id names it, so a repeated trigger writes the same generation again.
+    Read with ``merged``.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        new = batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), version).alias("r")).select("r.*")
-        if batch_id:
-            old = batch.sparkSession.read.parquet(f"{root}/generation={batch_id - 1}")
-            kept = new.withColumnRenamed(version, "_v").select(key, "_v")
-            old = old.join(kept, key, "left").where(F.col("_v").isNull() | (F.col(version) >= F.col("_v"))).drop("_v")
-            new = new.join(old.select(key), key, "left_anti").unionByName(old)
-        new.write.mode("overwrite").parquet(f"{root}/generation={batch_id}")
+        spark = batch.sparkSession
+        bucket = F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int")
+        new = batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), version).alias("r")).select("r.*").withColumn("bucket", bucket)
+        touched = [r[0] for r in new.select("bucket").distinct().collect()]  # as many as there are buckets
+        old = merged(spark, root, batch_id - 1, touched) if batch_id else None
+        if old is not None:
+            old = old.withColumn("bucket", bucket)
+            best = old.unionByName(new).groupBy(key).agg(F.max_by(F.struct(*new.columns), version).alias("r")).select("r.*")
+            new = best
+        new.write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/generation={batch_id}")
 
     return merge
 
 
-def merged(spark: SparkSession, root: str, generation: int) -> DataFrame:
-    return spark.read.parquet(f"{root}/generation={generation}")
+def merged(spark: SparkSession, root: str, generation: int, only: list[int] | None = None) -> DataFrame | None:
+    """The rows after a generation (of some buckets): each bucket as it was last written; None before the first."""
+    kept = _generations(spark, root, generation)
+    if not kept:
+        return None
+    frames = [spark.read.parquet(f"{root}/generation={g}").withColumn("_g", F.lit(g)) for g in kept]
+    rows = frames[0]
+    for f in frames[1:]:
+        rows = rows.unionByName(f)
+    if only is not None:
+        rows = rows.where(F.col("bucket").isin(only))
+    latest = rows.groupBy("bucket").agg(F.max("_g").alias("_latest"))
+    return rows.join(latest, "bucket").where(F.col("_g") == F.col("_latest")).drop("_g", "_latest", "bucket")
+
+
+def apply_each(root: str, known_versions: list[tuple[int, int]], empty: DataFrame):
+    """A ``foreachBatch`` function that applies the version decisions of ``operators.collector`` to the table
+    of loaded envelopes below ``root``: refused, skipped and stale ones change nothing, superseded ones are
+    marked. ``empty`` has the table's columns. Every trigger writes the table after it as a generation."""
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        kept = _generations(spark, root, batch_id - 1)
+        loaded = spark.read.parquet(f"{root}/generation={kept[-1]}") if kept else empty
+        applied_versions(batch, loaded, known_versions).write.mode("overwrite").parquet(f"{root}/generation={batch_id}")
+
+    return apply
