@@ -1,4 +1,4 @@
-"""Training-data operators: ten independent modules and the queries over them.
+"""Training-data operators: independent modules and the queries over them.
 
 Nothing outside this subpackage imports it; see ``entry_queries`` for the registered queries.
 """

@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, langid, minhash, oracles, packing, substring_dedup, token_counts, toxicity, url_filter, warc
+from . import ann, bpe, collocations, decontaminate, langid, minhash, oracles, packing, substring_dedup, token_counts, toxicity, url_filter, warc, whitening
 from .common import crc_fold, shared_folder, table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+MULTI_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 #: Labels that may be broadcast, in bytes: an id and a label are 12. Beyond, Spark joins them by shuffle.
 BROADCAST_BYTES, LABEL_BYTES = 60 << 20, 12
@@ -79,8 +80,28 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), WORD_BPE)
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), MULTI_BPE, public_tokenizers.PATTERN, keep=["doc_id"])
+    found = bpe.decode(encoded, MULTI_BPE)
+    listed = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(rows)
+    error = whitening.identity_error(rows, model)
+    share = F.array(*[F.lit(e) for e in model.explained[:8]]).cast("array<double>")
+    found = whitening.whiten(rows, model).select("vec_id", "whitening.deviation", F.posexplode("whitening.whitened").alias("at", "whitened"))
+    return found.select("vec_id", (F.col("at") + 1).cast("int").alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened", F.element_at(share, F.col("at") + 1).alias("explained"), F.lit(error).alias("identity_error"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_warc, op3_toxicity, op4_url_filter, op5_ann, op6_language_id, op7_token_counts, op8_decontaminate, op9_minhash, op10_packing)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_warc, op3_toxicity, op4_url_filter, op5_ann, op6_language_id, op7_token_counts, op8_decontaminate, op9_minhash, op10_packing, op11_byte_bpe, op12_whitening, op13_collocations)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -56,4 +56,20 @@ roots AS (SELECT a, min(b) AS root FROM reach GROUP BY a)
 SELECT doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles, coalesce(root, doc_id) AS component_id, doc_id = coalesce(root, doc_id) AS kept
 FROM sets LEFT JOIN reps ON sets.s = reps.s LEFT JOIN roots ON rep = a"""
 
-ORACLES = {"op1_substring_dedup": SUBSTRING_DEDUP, "op2_warc": WARC, "op4_url_filter": URL_FILTER, "op8_decontaminate": DECONTAMINATE, "op9_minhash": MINHASH}
+COLLOCATIONS = rf"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(coalesce({LOWER}, ''), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+lists AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM lists GROUP BY lang),
+spans AS (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM lists, (SELECT unnest(range(1, 5)) AS m) WHERE len(ws) >= m),
+f AS (SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase, count(*) AS a FROM spans GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE m > 1),
+cuts AS (SELECT lang, phrase, ws, m, a, unnest(range(1, m)) AS k FROM c),
+scores AS (SELECT u.lang, u.phrase, u.m, u.a, k, x.a AS l, y.a AS r, CAST(CAST(2000000 AS HUGEINT) * u.a // (CAST(x.a AS HUGEINT) + y.a) AS BIGINT) AS score
+  FROM cuts u JOIN f x ON x.lang = u.lang AND x.phrase = array_to_string(ws[1:k], ' ') JOIN f y ON y.lang = u.lang AND y.phrase = array_to_string(ws[k + 1:], ' ')),
+weakest AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_ AS (SELECT lang, array_to_string(ws[j:j + size - 1], ' ') AS phrase, max(a) AS longer FROM (SELECT lang, ws, m, a, size, unnest(range(1, m - size + 2)) AS j FROM (SELECT lang, ws, m, a, unnest(range(2, m)) AS size FROM c WHERE m > 2)) GROUP BY ALL),
+kept AS (SELECT w.* FROM weakest w LEFT JOIN inner_ i ON i.lang = w.lang AND i.phrase = w.phrase WHERE longer IS NULL OR CAST(100 AS HUGEINT) * longer < CAST(80 AS HUGEINT) * w.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""
+
+ORACLES = {"op1_substring_dedup": SUBSTRING_DEDUP, "op2_warc": WARC, "op4_url_filter": URL_FILTER, "op8_decontaminate": DECONTAMINATE, "op9_minhash": MINHASH, "op13_collocations": COLLOCATIONS}
