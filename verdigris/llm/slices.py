@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import quoted, starts_of, text_slices
 
 #: Bytes of text of a slice, and of the corpus for each bucket of words.
-SLICE_TEXT, BUCKET_TEXT = 16 << 20, 1 << 20
+SLICE_TEXT, BUCKET_TEXT = 8 << 20, 1 << 20
 
 
 def buckets(docs: DataFrame, text_col: str, bucket_bytes: int = BUCKET_TEXT) -> int:
