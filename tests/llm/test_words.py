@@ -149,7 +149,7 @@ def collocations_by_hand(docs, longest=4, least=30, best=2000):
     return sorted(out)
 
 
-@pytest.mark.parametrize("size", [slices.SLICE_TEXT, 200])
+@pytest.mark.parametrize("size", [collocations.SLICE_TEXT, 200])
 def test_collocations_equal_plain_counting(spark, tmp_path, monkeypatch, size):
     rng = random.Random(4)
     words = ["the", "The", "of", "new", "york", "city", "ÄÖ", "äö", "a b", "x" * 40, "-"]
@@ -157,7 +157,7 @@ def test_collocations_equal_plain_counting(spark, tmp_path, monkeypatch, size):
     docs = [(i, rng.choice(["en", "de", None, "und", ""]), "".join(rng.choice(words) + rng.choice(glue) for _ in range(rng.randint(0, 120)))) for i in range(200)]
     docs += [(300, "en", None), (301, None, None), (302, "en", ""), (303, "fr", " . "), (7, "en", "new york city " * 4000), (7, "en", "new york city " * 4000)]
     spark.createDataFrame(docs, "doc_id long, lang string, text string").withColumn("n", F.lit("a")).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
-    monkeypatch.setattr(collocations, "slices", lambda b, c: slices.slices(b, c, size))
+    monkeypatch.setattr(collocations, "slices", lambda b, c, _: slices.slices(b, c, size))
     got = [tuple(r) for r in entry_queries.op13_collocations(spark, str(tmp_path)).collect()]
     assert sorted(got) == collocations_by_hand([d[1:] for d in docs]) and len(got) > 30
 

@@ -28,12 +28,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, mix64, quoted, starts_of, written
+from .common import bounded_batches, discard, mix64, quoted, starts_of, written
 from .slices import Words, buckets, pack, pack_strings, same, slices, strings, unpack, unpack_strings, utf8
 
 UNKNOWN = "und"
 #: Bytes that end a piece, and bytes that end a word.
 CUTS, BLANKS = b".,;:!?\x0a\x0b\x0c\x0d", b" \t"
+#: Bytes of text of a slice, and of the corpus for each bucket.
+SLICE_TEXT, BUCKET_TEXT = 16 << 20, 4 << 20
 #: Parts that a language's best phrases are taken from before they meet.
 PARTS = 64
 
@@ -82,6 +84,11 @@ class Lists:
         order = np.argsort(self.places, kind="stable")
         return self.places[order], np.repeat(np.arange(len(self.ids)), self.sizes)[order]
 
+    def only(self, keep: np.ndarray) -> "Lists":
+        """The lists without some of their places, and without lists that have none left."""
+        sizes = np.bincount(np.repeat(np.arange(len(self.ids)), self.sizes)[keep], minlength=len(self.ids))
+        return Lists(self.ids[sizes > 0], sizes[sizes > 0], self.places[keep])
+
     def packed(self) -> bytes:
         step = np.diff(self.places, prepend=0)
         heads = starts_of(self.sizes)[:-1]
@@ -114,6 +121,19 @@ def extended(phrases: Lists, words: Lists, k: int) -> tuple[np.ndarray, np.ndarr
     return at[hit], phrase[hit], word[next_[hit]]
 
 
+def within(places: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which of the places are among the ordered ones."""
+    return ordered[np.minimum(np.searchsorted(ordered, places), len(ordered) - 1)] == places if len(ordered) else np.zeros(len(places), bool)
+
+
+def still_needed(phrases: Lists, words: Lists, k: int) -> tuple[Lists, Lists]:
+    """The lists without places that no longer phrase can use: phrases of k words that neither follow
+    one nor are followed by one, one place on, and words that end no phrase."""
+    at = np.sort(phrases.places)
+    kept = phrases.only(within(phrases.places + 1, at) | within(phrases.places - 1, at))
+    return (kept, kept) if words is phrases else (kept, words.only(within(words.places - k + 1, at)))
+
+
 def bucket_of(prev: np.ndarray, word: np.ndarray, count: int) -> np.ndarray:
     return (mix64(mix64(prev.astype(np.uint64)) + word.astype(np.uint64)) % np.uint64(count)).astype(np.int64)
 
@@ -126,6 +146,7 @@ def _table(rows: list[tuple]) -> pa.Table:
 
 def _candidates(lang: str, number: int, phrases: Lists, words: Lists, k: int, count: int, last: bool) -> Iterator[tuple]:
     """The slice's own row, with its lists, and a row for each bucket of extensions."""
+    phrases, words = still_needed(phrases, words, k)
     _, phrase, word = extended(phrases, words, k)
     code, sizes = np.unique(phrase * max(1, len(words.ids)) + word, return_counts=True)
     if not len(code):
@@ -156,11 +177,11 @@ def frequent(docs: DataFrame, *, lang_col: str, text_col: str, longest: int, lea
     phrase, a), and the words of each language (lang, n)."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(quoted(lang_col)).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(quoted(text_col)).alias("text"))
-    count = buckets(rows, "text")
+    count = buckets(rows, "text", BUCKET_TEXT)
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, int, Words, np.ndarray]]:
         """Language, number, words and places of each slice and language."""
-        for number, parts in slices(batches, "text"):
+        for number, parts in slices(batches, "text", SLICE_TEXT):
             of = [pc.dictionary_encode(p.column("lang")) for p in parts]
             for lang in sorted({v for d in of for v in d.dictionary.to_pylist()}):
                 listed, places, at = [], [np.zeros(0, np.int64)], 0
@@ -268,7 +289,9 @@ def frequent(docs: DataFrame, *, lang_col: str, text_col: str, longest: int, lea
         levels.append(written(lists.where("bucket is not null").groupBy("lang", "bucket").applyInArrow(count_phrases, LEVEL), f"phrases-{k}"))
         if k < longest:
             kept = levels[-1].where("slice is not null")
-            lists = written(lists.where("bucket is null").groupBy(key).cogroup(kept.groupBy(key)).applyInArrow(next_lists(k), LEVEL), f"lists-{k + 1}")
+            lists, before = written(lists.where("bucket is null").groupBy(key).cogroup(kept.groupBy(key)).applyInArrow(next_lists(k), LEVEL), f"lists-{k + 1}"), lists
+            discard(before)
+    discard(lists)
 
     def open_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -178,6 +178,14 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(frame: DataFrame) -> None:
+    """Deletes the folder that ``written`` made for this frame, once nothing reads it any more."""
+    files = frame.inputFiles()
+    if files:
+        path = frame.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        path.getFileSystem(frame.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def crc_fold(doc_id) -> F.Column:
     """crc32 of the id as text, modulo 5; 0 is the held-out fold."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
