@@ -82,6 +82,54 @@ def test_runs_commit_whole_or_not_at_all(spark, tmp_path):
     assert [r.id for r in runs.recent(store.runs(), 2).collect()] == ["r4", "r3"]
 
 
+def test_two_writers_lose_no_change(spark, tmp_path):
+    """A second store commits between the first one's read and commit."""
+    one, two = tables.RunStore(spark, str(tmp_path)), tables.RunStore(spark, str(tmp_path))
+    one.begin("a", "2025-01-01")
+    seen = []
+
+    def slow(rows):
+        seen.append(sorted(r.id for r in rows.collect()))
+        if len(seen) == 1:
+            two.begin("b", "2025-01-02")
+        return runs.validated(rows, "a", True, "2025-01-03")
+
+    one.change_runs(slow)
+    assert seen == [["a"], ["a", "b"]]
+    assert {r.id: r.status for r in two.runs().collect()} == {"a": "completed", "b": "in_progress"}
+    assert len([p for p in (tmp_path / "runs").iterdir()]) <= 3
+
+
+def test_a_run_whose_builder_is_gone_fails(spark, tmp_path):
+    store, df = tables.RunStore(spark, str(tmp_path)), spark.range(3)
+    store.begin("dead", "2025-01-01 00:00:00")
+    store.write("t", df, "dead")
+    store.begin("young", "2025-01-01 11:30:00")
+    assert store.fail_expired("2025-01-01 12:00:00", 3600) == ["dead"] and store.fail_expired("2025-01-01 12:00:00", 3600) == []
+    assert {r.id: r.status for r in store.runs().collect()} == {"dead": "failed", "young": "in_progress"} and not store.has("t", "dead")
+
+    def late():  # the lease of a run ends while it builds
+        tables.RunStore(spark, str(tmp_path)).fail_expired("2026-01-01", 3600)
+        return df
+
+    assert store.build("slow", {"t": late}, "2025-01-02") == "failed" and not store.has("t", "slow")
+
+
+def test_a_write_that_fails_leaves_the_old_rows(spark, tmp_path):
+    store, df = tables.RunStore(spark, str(tmp_path)), spark.range(3)
+    store.write("t", df, "r")
+    store.rebuild("links", df)
+    reader = store.read("links")
+    broken = df.select(F.raise_error(F.lit("broken")).alias("id"))
+    for write in (lambda: store.write("t", broken, "r"), lambda: store.rebuild("links", broken)):
+        with pytest.raises(Exception, match="broken"):
+            write()
+    store.rebuild("links", df.limit(1))
+    assert store.read("t", "r").count() == 3 and store.read("links").count() == 1 and reader.count() == 3
+    with pytest.raises(ValueError, match="share"):
+        tables.shared_base(type("S", (), {"conf": type("C", (), {"get": staticmethod(lambda *a: None)}), "sparkContext": type("X", (), {"master": "yarn", "getConf": staticmethod(lambda: type("C", (), {"get": staticmethod(lambda *a: None)}))})}))
+
+
 def test_sweep_and_upsert(spark):
     rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k int, v string")
     keys = lambda *k: spark.createDataFrame([(x,) for x in k], "k int")
@@ -171,37 +219,6 @@ def test_daily_and_first_attempts_as_streams(spark, tmp_path):
     assert drain(streams.first_attempts(source(), "run"), "firsts", "append").count() == 5
 
 
-def test_merge_each(spark, tmp_path):
-    merge = streams.merge_each(str(tmp_path / "m"), "k", "v")
-    batch = lambda *rows: spark.createDataFrame(list(rows), "k string, v int, x string")
-    merge(batch(("a", 1, "p"), ("a", 2, "q"), ("b", 5, "r")), 0)
-    merge(batch(("a", 1, "old"), ("b", 6, "s"), ("c", 1, "t")), 1)
-    merge(batch(("a", 1, "old"), ("b", 6, "s"), ("c", 1, "t")), 1)
-    assert sorted(tuple(r) for r in streams.merged(spark, str(tmp_path / "m"), 1).collect()) == [("a", 2, "q"), ("b", 6, "s"), ("c", 1, "t")]
-
-
-def test_merge_touches_only_its_buckets(spark, tmp_path):
-    merge = streams.merge_each(str(tmp_path / "m"), "k", "v", buckets=8)
-    frame = lambda ks, v: spark.createDataFrame([(k, v) for k in ks], "k int, v int")
-    merge(frame(range(40), 1), 0)
-    merge(frame([3], 2), 1)
-    assert len([f for f in (tmp_path / "m" / "generation=1").iterdir() if f.name.startswith("bucket")]) == 1
-    assert sorted(tuple(r) for r in streams.merged(spark, str(tmp_path / "m"), 1).collect()) == [(k, 2 if k == 3 else 1) for k in range(40)]
-
-
-def test_versions_apply_as_a_stream(spark, tmp_path):
-    schema = "file_hash string, docket_number string, court string, version struct<envelope int, record int>, content_hash string, raw_status string"
-    empty = spark.createDataFrame([], schema)
-    batch = lambda *rows: spark.createDataFrame([(h, d, "CP", (1, v), c, "parsed", True) for h, d, v, c in rows], "file_hash string, docket_number string, court string, version struct<envelope int, record int>, content_hash string, status string, imported boolean")
-    apply = streams.apply_each(str(tmp_path / "a"), [(1, 1), (1, 2)], empty)
-    apply(batch(("f1", "d1", 2, "x"), ("f2", "d2", 1, "y")), 0)
-    apply(batch(("f1", "d1", 1, "z"), ("f2", "d2", 2, "y"), ("f3", "d1", 2, "w")), 1)  # refused, replaced, supersedes f1
-    apply(batch(("f1", "d1", 2, "x")), 2)  # stale
-    for g in (1, 2):
-        rows = {r.file_hash: (r.version.record, r.raw_status) for r in spark.read.parquet(f"{tmp_path}/a/generation={g}").collect()}
-        assert rows == {"f1": (2, "parse_superseded"), "f2": (2, "parsed"), "f3": (2, "parsed")}
-
-
 def test_schemas_are_valid_json(spark):
     for name in ("dockets", "charges", "aggregate_runs"):
         assert json.loads(spark.createDataFrame([], tables.schema_of(name)).schema.json())["fields"]

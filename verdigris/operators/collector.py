@@ -1,10 +1,13 @@
 """Incremental collection: outcome classes, streaks, batches, daily windows, version decisions.
 
-Order-dependent rules are windows over an explicit order within a run, never loops.
+Order-dependent rules are windows over an explicit order within slices of a run, joined by a scan over the
+slices' summaries; never loops.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,34 +25,103 @@ def search_outcome(*, error: Column, bot_check: Column, rate_limited: Column, un
     return F.when(error, "error").when(blocked, "blocked").when(banner, "truncated").when(table & (row_count >= 1), "complete").when(row_count == 0, "empty").otherwise("blocked")
 
 
-def streaks(attempts: DataFrame, run: list[str], *order: str) -> DataFrame:
+#: Seconds of a slice of a run's time line, and slices of a chapter.
+SLICE_SECONDS, CHAPTER = 3600, 1024
+
+
+def _sliced(rows: DataFrame, first: str, seconds: int) -> DataFrame:
+    """Adds _slice, the slice of the time line that an attempt lies in, unless it is there."""
+    if "_slice" in rows.columns:
+        return rows
+    return rows.withColumn("_slice", F.coalesce(F.call_function("div", F.unix_seconds(first), F.lit(seconds)), F.lit(-(2**40))))
+
+
+def _scan(parts: DataFrame, group: list[str], at: str, counters: list[str]) -> DataFrame:
+    """Adds to each summary what each counter stands at before it (c_before) and whether nothing has ended
+    it so far in its group (c_open).
+
+    A summary says whether it ends the counter (c_reset) and what the counter then, or in all, rises by
+    (c_tail): two in a row make one again, (b.reset or a.reset, b.tail if b.reset else a.tail + b.tail).
+    """
+    by = Window.partitionBy(*group).orderBy(at)
+    for c in counters:
+        parts = parts.withColumn("_g", F.sum(F.col(f"{c}_reset").cast("int")).over(by))
+        parts = parts.withColumn(f"{c}_after", F.sum(f"{c}_tail").over(Window.partitionBy(*group, "_g").orderBy(at)))
+        parts = parts.withColumns({f"{c}_before": F.coalesce(F.lag(f"{c}_after").over(by), F.lit(0)), f"{c}_open": F.coalesce(F.lag("_g").over(by), F.lit(0)) == 0, f"{c}_ended": F.col("_g")})
+    return parts.drop("_g")
+
+
+def _joined(rows: DataFrame, parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the other columns of their part, null keys included."""
+    parts = parts.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    same = reduce(lambda x, y: x & y, [rows[k].eqNullSafe(parts[f"_k_{k}"]) for k in keys])
+    return rows.join(parts, same, "left").drop(*[f"_k_{k}" for k in keys])
+
+
+def before_slices(parts: DataFrame, run: list[str], counters: list[str]) -> DataFrame:
+    """run, _slice and c_before of every counter: its value where the slice begins.
+
+    A prefix scan over the summaries of slices (see ``_scan``) in two sweeps: within chapters of slices,
+    then over the chapters of a run, so that no task orders more than one chapter.
+    """
+    parts = parts.withColumn("_chapter", F.call_function("div", F.col("_slice"), F.lit(CHAPTER)))
+    inside = _scan(parts, [*run, "_chapter"], "_slice", counters)
+    ends = [F.max(F.struct(f"{c}_ended", f"{c}_after")).alias(c) for c in counters]
+    chapters = inside.groupBy(*run, "_chapter").agg(*ends)
+    chapters = chapters.select(*run, "_chapter", *[x for c in counters for x in ((F.col(f"{c}.{c}_ended") > 0).alias(f"{c}_reset"), F.col(f"{c}.{c}_after").alias(f"{c}_tail"))])
+    over = _scan(chapters, run, "_chapter", counters).select(*run, "_chapter", *[F.col(f"{c}_before").alias(f"{c}_far") for c in counters])
+    both = _joined(inside, over, [*run, "_chapter"])
+    return both.select(*run, "_slice", *[(F.col(f"{c}_before") + F.when(F.col(f"{c}_open"), F.col(f"{c}_far")).otherwise(0)).alias(f"{c}_before") for c in counters])
+
+
+def streaks(attempts: DataFrame, run: list[str], *order: str, seconds: int = SLICE_SECONDS, keep_slice: bool = False) -> DataFrame:
     """Adds block_streak and error_streak after each attempt.
 
     A block lengthens the block streak and ends the error streak; an error lengthens the error
-    streak and leaves the other; a hit or miss ends both; all else changes nothing. Runs are the
-    unit of order, so their partitions are independent; a single run is one ordered sequence.
+    streak and leaves the other; a hit or miss ends both; all else changes nothing.
+
+    The first column of ``order`` is a time. Slices of a run's time line are counted apart, each with a
+    summary of what it does to a streak that reaches it; a scan of the summaries gives the streak at each
+    slice's beginning, which is added up to the first end within the slice. So one long run is worked on
+    slice by slice. ``keep_slice`` leaves the column _slice for the functions below.
     """
-    by = Window.partitionBy(*run).orderBy(*order)
     o = F.col("outcome")
     live = o.isin("hit", "miss")
-    rows = attempts.withColumns({"_b": F.count_if(live).over(by), "_e": F.count_if(live | (o == "blocked")).over(by)})
-    own = lambda island: Window.partitionBy(*run, island).orderBy(*order)
+    rows = _sliced(attempts, order[0], seconds)
+    by = Window.partitionBy(*run, "_slice").orderBy(*order)
+    rows = rows.withColumns({"_b": F.count_if(live).over(by), "_e": F.count_if(live | (o == "blocked")).over(by)})
+    own = lambda island: Window.partitionBy(*run, "_slice", island).orderBy(*order)
     rows = rows.withColumns({"block_streak": F.count_if(o == "blocked").over(own("_b")), "error_streak": F.count_if(o == "error").over(own("_e"))})
-    return rows.drop("_b", "_e")
+    parts = rows.groupBy(*run, "_slice").agg(F.max(F.struct("_b", "block_streak")).alias("b"), F.max(F.struct("_e", "error_streak")).alias("e"))
+    parts = parts.select(*run, "_slice", (F.col("b._b") > 0).alias("b_reset"), F.col("b.block_streak").alias("b_tail"), (F.col("e._e") > 0).alias("e_reset"), F.col("e.error_streak").alias("e_tail"))
+    rows = _joined(rows, before_slices(parts, run, ["b", "e"]), [*run, "_slice"])
+    carried = lambda streak, island, c: F.col(streak) + F.when(F.col(island) == 0, F.col(f"{c}_before")).otherwise(0)
+    rows = rows.withColumns({"block_streak": carried("block_streak", "_b", "b"), "error_streak": carried("error_streak", "_e", "e")})
+    return rows.drop("_b", "_e", "b_before", "e_before", *([] if keep_slice else ["_slice"]))
 
 
-def until_first_trip(rows: DataFrame, run: list[str], *order: str, stop: int = V.STREAK_STOP) -> DataFrame:
-    """The attempts of each run up to its first streak of ``stop``, with the reason on the last one."""
+def until_first_trip(rows: DataFrame, run: list[str], *order: str, stop: int = V.STREAK_STOP, seconds: int = SLICE_SECONDS) -> DataFrame:
+    """The attempts of each run up to its first streak of ``stop``, with the reason on the last one.
+
+    Slices after the first that trips go whole; in that one the attempts behind the trip.
+    """
     tripped = F.when((F.col("outcome") == "blocked") & (F.col("block_streak") >= stop), "block_streak").when((F.col("outcome") == "error") & (F.col("error_streak") >= stop), "error_streak")
-    before = Window.partitionBy(*run).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("stop_reason", tripped)
-    return rows.withColumn("_past", F.count("stop_reason").over(before)).where("_past = 0").drop("_past")
+    rows = _sliced(rows, order[0], seconds).withColumn("stop_reason", tripped)
+    before = Window.partitionBy(*run, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_past", F.count("stop_reason").over(before))
+    parts = rows.groupBy(*run, "_slice").agg(F.count("stop_reason").alias("t_tail")).withColumn("t_reset", F.lit(False))
+    rows = _joined(rows, before_slices(parts, run, ["t"]), [*run, "_slice"])
+    return rows.where("_past = 0 and t_before = 0").drop("_past", "t_before", "_slice")
 
 
-def batches(attempts: DataFrame, run: list[str], *order: str, size: int) -> DataFrame:
+def batches(attempts: DataFrame, run: list[str], *order: str, size: int, seconds: int = SLICE_SECONDS) -> DataFrame:
     """Adds batch: a new one after ``size`` real requests; skipped rows carry the current one."""
-    real = F.count_if(F.col("outcome") != "already_present").over(Window.partitionBy(*run).orderBy(*order))
-    return attempts.withColumn("batch", F.greatest(F.call_function("div", real - 1, F.lit(size)) + 1, F.lit(1)))
+    rows = _sliced(attempts, order[0], seconds)
+    real = F.col("outcome") != "already_present"
+    rows = rows.withColumn("_real", F.count_if(real).over(Window.partitionBy(*run, "_slice").orderBy(*order)))
+    parts = rows.groupBy(*run, "_slice").agg(F.max("_real").alias("r_tail")).withColumn("r_reset", F.lit(False))
+    rows = _joined(rows, before_slices(parts, run, ["r"]), [*run, "_slice"])
+    return rows.withColumn("batch", F.greatest(F.call_function("div", F.col("_real") + F.col("r_before") - 1, F.lit(size)) + 1, F.lit(1))).drop("_real", "r_before", "_slice")
 
 
 def daily_windows(spark: SparkSession, start: str, end: str) -> DataFrame:

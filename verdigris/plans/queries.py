@@ -545,7 +545,7 @@ def streak_guard(spark, sf_dir):
 
 @query
 def streak_stop(spark, sf_dir):
-    rows = collector.streaks(B.attempts(spark, sf_dir), ["run"], "ts", "event_id")
+    rows = collector.streaks(B.attempts(spark, sf_dir), ["run"], "ts", "event_id", keep_slice=True)
     kept = collector.until_first_trip(rows, ["run"], "ts", "event_id", stop=3)
     return kept.groupBy("run").agg(F.count("*").alias("attempts"), F.coalesce(F.max("stop_reason"), F.lit("")).alias("stop_reason"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 from functools import reduce
@@ -9,6 +10,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .commits import Commits, Folder
 from .runs import ACTIVE, RunRefused, active, published, validated
 
 _DDL = {
@@ -38,11 +40,21 @@ def row_id(*parts: str):
     return F.sha2(F.concat_ws("\x1f", *parts), 256)
 
 
+def shared_base(spark: SparkSession) -> str:
+    """The cluster's shared folder (``spark.checkpoint.dir``). Only on one machine, as in tests, a folder
+    below the warehouse stands in for it; a cluster without the setting is an error, as executors would
+    write to their own disks."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
+    return base.rstrip("/")
+
+
 def shared_root(spark: SparkSession, what: str) -> str:
-    """A new folder below the cluster's shared folder (``spark.checkpoint.dir``; where that is unset, as in
-    tests, below the warehouse)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    """A new folder below the shared one."""
+    return f"{shared_base(spark)}/{what}-{uuid.uuid4().hex}"
 
 
 def stored(rows: DataFrame, name: str) -> DataFrame:
@@ -53,48 +65,69 @@ def stored(rows: DataFrame, name: str) -> DataFrame:
 
 
 class RunStore:
-    """Parquet tables with a folder for each run below one root, and the table of runs.
+    """Parquet tables with versions for each run below one root, and the table of runs.
 
-    A run counts once its row in ``runs`` says completed: its tables are written before, and if one of
-    them fails all are removed and the row says failed. The table of runs is a row a run; it is written
-    whole as a new generation, and readers take the latest generation that is complete, so a change of
-    several rows is one step. Writing a run again replaces its own folder only, also by no rows.
+    Whatever is written is a new folder first and valid by a commit (see ``plans.commits``) after: a write
+    that fails leaves the rows that were there, and readers never see a part. A run counts once its row in
+    ``runs`` says completed: its tables are written before, and if one of them fails all are removed and the
+    row says failed. The table of runs is a row a run; every change of it reads the last state, writes
+    the next and commits it, and starts again where another writer was faster, so none is lost.
     """
 
+    #: Stands for the run of a table that belongs to none.
+    WHOLE = "_whole"
+
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-
-    def _at(self, *parts: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.root, *parts]))
-        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _folder(self, table: str, run_id: str) -> str:
-        return f"{self.root}/{table}/run_id={run_id}"
+        self.folder = Folder(spark, self.root)
+
+    def _commits(self, table: str, run_id: str) -> Commits:
+        return Commits(self.spark, f"{self.root}/_commits/{table}/{run_id}")
+
+    def _version(self, table: str, run_id: str) -> str | None:
+        return self._commits(table, run_id).latest()[1]
+
+    def _save(self, table: str, rows: DataFrame, run_id: str, first: bool = False) -> None:
+        version = f"{table}/run_id={run_id}/{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.root}/{version}")
+        commits = self._commits(table, run_id)
+        if not first:
+            commits.change(lambda _, old: version)
+        elif not commits.put(0, version):
+            self.folder.delete(version)
+            raise RunRefused(f"{table} already exists for {run_id}")
+        for old in commits.forget():
+            self.folder.delete(old)
 
     # -- tables of a run
 
     def write(self, table: str, rows: DataFrame, run_id: str) -> None:
-        """The run's rows in place of those it had."""
-        rows.write.mode("overwrite").parquet(self._folder(table, run_id))
+        """The run's rows in place of those it had; those stay until the new ones are whole."""
+        self._save(table, rows, run_id)
 
     def insert(self, table: str, rows: DataFrame, run_id: str) -> None:
-        """The run's rows; an error if it has some already."""
-        rows.write.mode("errorifexists").parquet(self._folder(table, run_id))
+        """The run's rows; an error if it has some already, or if another writer was faster."""
+        if self.has(table, run_id):
+            raise RunRefused(f"{table} already exists for {run_id}")
+        self._save(table, rows, run_id, first=True)
 
     def rebuild(self, table: str, rows: DataFrame) -> None:
-        """A table that belongs to no run, whole."""
-        rows.write.mode("overwrite").parquet(f"{self.root}/{table}")
+        """A table that belongs to no run, whole. Readers of the old rows may go on."""
+        self._save(table, rows, self.WHOLE)
 
     def read(self, table: str, run_id: str | None = None) -> DataFrame:
-        return self.spark.read.parquet(self._folder(table, run_id) if run_id else f"{self.root}/{table}")
+        """Rows of a run; without one those of the table as a whole, or of all its runs."""
+        if run_id or self.has(table, self.WHOLE):
+            return self.spark.read.parquet(f"{self.root}/{self._version(table, run_id or self.WHOLE)}")
+        versions = [self._version(table, r) for r in self.folder.names("_commits", table)]
+        return self.spark.read.option("basePath", f"{self.root}/{table}").parquet(*[f"{self.root}/{v}" for v in versions])
 
     def has(self, table: str, run_id: str) -> bool:
-        path, fs = self._at(table, f"run_id={run_id}")
-        return fs.exists(path)
+        return self._version(table, run_id) is not None
 
     def drop(self, table: str, run_id: str) -> None:
-        path, fs = self._at(table, f"run_id={run_id}")
-        fs.delete(path, True)
+        self.folder.delete("_commits", table, run_id)
+        self.folder.delete(table, f"run_id={run_id}")
 
     def row_counts(self, tables: list[str], run_id: str) -> DataFrame:
         """table, rows of a run; a table that the run lacks has none."""
@@ -103,23 +136,31 @@ class RunStore:
 
     # -- runs
 
-    def _generations(self) -> list[int]:
-        path, fs = self._at("runs")
-        names = [f.getPath() for f in fs.listStatus(path)] if fs.exists(path) else []
-        return sorted(int(p.getName()) for p in names if p.getName().isdigit() and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+    def _rows(self, version: str | None) -> DataFrame:
+        ddl = schema_of("aggregate_runs")
+        return self.spark.read.schema(ddl).parquet(f"{self.root}/{version}") if version else self.spark.createDataFrame([], ddl)
 
     def runs(self) -> DataFrame:
-        kept = self._generations()
-        return self.spark.read.schema(schema_of("aggregate_runs")).parquet(f"{self.root}/runs/{kept[-1]}") if kept else self.spark.createDataFrame([], schema_of("aggregate_runs"))
+        return self._rows(self._version("runs", self.WHOLE))
+
+    def change_runs(self, update: Callable[[DataFrame], DataFrame]) -> None:
+        """Commits ``update`` of the table of runs; it may be called again on what another writer made of it."""
+        commits, columns = self._commits("runs", self.WHOLE), self._rows(None).columns
 
-    def save_runs(self, rows: DataFrame) -> None:
-        kept = self._generations()
-        rows.select(*self.runs().columns).write.mode("overwrite").parquet(f"{self.root}/runs/{kept[-1] + 1 if kept else 0}")
+        def write(_: int, version: str | None) -> str:
+            new = f"runs/{uuid.uuid4().hex}"
+            update(self._rows(version)).select(*columns).coalesce(1).write.parquet(f"{self.root}/{new}")
+            return new
+
+        commits.change(write, self.folder.delete)
+        for old in commits.forget():
+            self.folder.delete(old)
 
     def begin(self, run_id: str, at: str, **fields: str) -> None:
         """The run's row, whatever follows."""
-        row = self.spark.range(1).select(F.lit(run_id).alias("id"), F.lit("in_progress").alias("status"), F.lit(at).cast("timestamp").alias("started_at"), *[F.lit(v).cast(self.runs().schema[k].dataType).alias(k) for k, v in fields.items()])
-        self.save_runs(self.runs().unionByName(row, allowMissingColumns=True))
+        types = self._rows(None).schema
+        row = self.spark.range(1).select(F.lit(run_id).alias("id"), F.lit("in_progress").alias("status"), F.lit(at).cast("timestamp").alias("started_at"), *[F.lit(v).cast(types[k].dataType).alias(k) for k, v in fields.items()])
+        self.change_runs(lambda rows: rows.unionByName(row, allowMissingColumns=True))
 
     def build(self, run_id: str, tables: dict[str, Callable[[], DataFrame]], at: str, *, checks: Callable[[], DataFrame] | None = None, **fields: str) -> str:
         """All tables of a run or none of them; its status. Rows of ``checks`` with violations fail the run."""
@@ -130,14 +171,33 @@ class RunStore:
                 self.write(table, rows(), run_id)
             sound = checks is None or checks().where("violations > 0").isEmpty()
         finally:
+            self.change_runs(lambda rows: validated(rows, run_id, sound, at))
+            # a run whose lease ended meanwhile has failed, whatever it thinks itself
+            sound = sound and self.runs().where((F.col("id") == run_id) & (F.col("status") == "completed")).head() is not None
             if not sound:
                 for table in tables:
                     self.drop(table, run_id)
-            self.save_runs(validated(self.runs(), run_id, sound, at))
         return "completed" if sound else "failed"
 
+    def fail_expired(self, at: str, lease_seconds: int) -> list[str]:
+        """Runs still in progress that began longer than the lease before ``at``: their builder is gone. They
+        fail, and what they wrote is removed. Their ids."""
+        over = (F.col("status") == "in_progress") & (F.unix_seconds(F.lit(at).cast("timestamp")) - F.unix_seconds("started_at") > lease_seconds)
+        dead = [r["id"] for r in self.runs().where(over).select("id").collect()]  # as many as there are dead runs
+        if dead:
+            self.change_runs(lambda rows: reduce(lambda frame, run: validated(frame, run, False, at), dead, rows))
+            gone = {r["id"] for r in self.runs().where(F.col("id").isin(dead) & (F.col("status") == "failed")).select("id").collect()}
+            for table in self.folder.names("_commits"):
+                for run in gone:
+                    self.drop(table, run)
+            for table in self.folder.names():  # rows that were never committed
+                for run in gone:
+                    self.folder.delete(table, f"run_id={run}")
+            return sorted(gone)
+        return []
+
     def publish(self, at: str, run_id: str | None = None) -> None:
-        self.save_runs(published(self.runs(), at, run_id))
+        self.change_runs(lambda rows: published(rows, at, run_id))
 
     def active_id(self) -> str | None:
         row = active(self.runs()).select("id").head()

@@ -7,13 +7,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.collector import COMPLETING, applied_versions, split_scopes
+from ..operators.collector import COMPLETING, applied_versions, split_scopes, version_decision
 from ..vocab import STREAK_STOP
+from .buckets import Buckets
 
 
 def daily_attempts(attempts: DataFrame, *, delay: str = "2 days") -> DataFrame:
@@ -33,90 +35,110 @@ def first_attempts(attempts: DataFrame, key: str, *, delay: str = "30 days") ->
     return attempts.withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])
 
 
+def folded(outcomes: np.ndarray, blocks: int, errors: int, stop: int) -> tuple[int, int, int, str]:
+    """(attempts taken, block streak, error streak, stop reason) of outcomes that follow these streaks.
+
+    The same summary as in the batch form: what a slice counts by itself, and the streak that reaches it
+    up to the slice's first end.
+    """
+    live, blocked, error = np.isin(outcomes, ["hit", "miss"]), outcomes == "blocked", outcomes == "error"
+
+    def streak(step: np.ndarray, ends: np.ndarray, before: int) -> np.ndarray:
+        total = np.cumsum(step) + before
+        return total - np.maximum.accumulate(np.where(ends, total, 0))
+
+    b, e = streak(blocked, live, blocks), streak(error, live | blocked, errors)
+    trips = np.flatnonzero((blocked & (b >= stop)) | (error & (e >= stop)))
+    last = int(trips[0]) if len(trips) else len(outcomes) - 1
+    return last + 1, int(b[last]), int(e[last]), "" if not len(trips) else "block_streak" if blocked[last] else "error_streak"
+
+
 def streak_states(attempts: DataFrame, *, stop: int = STREAK_STOP) -> DataFrame:
     """run, attempts, block_streak, error_streak, stop_reason of a stream (run, ts, seq, outcome).
 
-    State is four numbers a run. Rows of one trigger are taken in order of ts and seq; a run that
-    has stopped takes no more.
+    State is four numbers a run. Rows of one trigger are taken in order of ts and seq, as one slice whose
+    summary is folded into the state; a run that has stopped takes no more.
     """
 
     def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, blocks, errors, reason = state.get if state.exists else (0, 0, 0, "")
         rows = pd.concat(list(frames)).sort_values(["ts", "seq"], kind="stable")
-        for outcome in rows["outcome"]:
-            if reason:
-                break
-            n += 1
-            if outcome == "blocked":
-                blocks, errors = blocks + 1, 0
-                reason = "block_streak" if blocks >= stop else ""
-            elif outcome == "error":
-                errors += 1
-                reason = "error_streak" if errors >= stop else ""
-            elif outcome in ("hit", "miss"):
-                blocks = errors = 0
+        if not reason and len(rows):
+            taken, blocks, errors, reason = folded(rows["outcome"].to_numpy(object), blocks, errors, stop)
+            n += taken
         state.update((n, blocks, errors, reason))
         yield pd.DataFrame({"run": [key[0]], "attempts": [n], "block_streak": [blocks], "error_streak": [errors], "stop_reason": [reason or None]})
 
     return attempts.groupBy("run").applyInPandasWithState(advance, f"run {attempts.schema['run'].dataType.simpleString()}, attempts long, block_streak long, error_streak long, stop_reason string", "n long, blocks long, errors long, reason string", "update", GroupStateTimeout.NoTimeout)
 
 
-def _generations(spark: SparkSession, root: str, most: int) -> list[int]:
-    """Complete generations below ``root`` up to ``most``."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = [f.getPath() for f in fs.listStatus(path)] if fs.exists(path) else []
-    numbers = [int(p.getName().split("=")[1]) for p in found if "=" in p.getName() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    return sorted(n for n in numbers if n <= most)
-
-
 def merge_each(root: str, key: str, version: str, *, buckets: int = 64):
     """A ``foreachBatch`` function that keeps the highest version of each key below ``root``.
 
-    Keys lie in buckets by hash. A trigger writes a generation that holds the buckets it touches, whole,
-    beside the old ones; the batch id names it, so a repeated trigger writes the same generation again.
-    Read with ``merged``.
+    A trigger reads and writes the buckets of its own keys only (see ``streaming.buckets``); one that is
+    repeated changes nothing. Read with ``merged``.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        bucket = F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int")
-        new = batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), version).alias("r")).select("r.*").withColumn("bucket", bucket)
-        touched = [r[0] for r in new.select("bucket").distinct().collect()]  # as many as there are buckets
-        old = merged(spark, root, batch_id - 1, touched) if batch_id else None
-        if old is not None:
-            old = old.withColumn("bucket", bucket)
-            best = old.unionByName(new).groupBy(key).agg(F.max_by(F.struct(*new.columns), version).alias("r")).select("r.*")
-            new = best
-        new.write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/generation={batch_id}")
+        table = Buckets(batch.sparkSession, root, [key], buckets)
+        touched = table.touched(batch)
+        old = table.read(touched, batch_id - 1)
+        rows = batch if old is None else old.select(*batch.columns).unionByName(batch)
+        table.replace(rows.groupBy(key).agg(F.max_by(F.struct(*batch.columns), version).alias("r")).select("r.*"), touched, batch_id)
 
     return merge
 
 
-def merged(spark: SparkSession, root: str, generation: int, only: list[int] | None = None) -> DataFrame | None:
-    """The rows after a generation (of some buckets): each bucket as it was last written; None before the first."""
-    kept = _generations(spark, root, generation)
-    if not kept:
-        return None
-    frames = [spark.read.parquet(f"{root}/generation={g}").withColumn("_g", F.lit(g)) for g in kept]
-    rows = frames[0]
-    for f in frames[1:]:
-        rows = rows.unionByName(f)
-    if only is not None:
-        rows = rows.where(F.col("bucket").isin(only))
-    latest = rows.groupBy("bucket").agg(F.max("_g").alias("_latest"))
-    return rows.join(latest, "bucket").where(F.col("_g") == F.col("_latest")).drop("_g", "_latest", "bucket")
+def merged(spark: SparkSession, root: str, generation: int | None = None) -> DataFrame | None:
+    """The rows after a generation that is still kept (the last, unless given); None before the first."""
+    return Buckets(spark, root, ["_"]).read(generation=generation)
 
 
-def apply_each(root: str, known_versions: list[tuple[int, int]], empty: DataFrame):
+def apply_each(root: str, known_versions: list[tuple[int, int]], empty: DataFrame, *, buckets: int = 64):
     """A ``foreachBatch`` function that applies the version decisions of ``operators.collector`` to the table
     of loaded envelopes below ``root``: refused, skipped and stale ones change nothing, superseded ones are
-    marked. ``empty`` has the table's columns. Every trigger writes the table after it as a generation."""
+    marked. ``empty`` has the table's columns. Read with ``loaded_envelopes``.
+
+    Envelopes lie in buckets by file hash. A second table holds, in buckets by docket and court, the files
+    that are parsed for each, so that what a new file supersedes is found without a look at other buckets.
+    A trigger costs the buckets of its own files, of the files they supersede, and of their dockets; its
+    decisions are added to a log, a folder a trigger.
+    """
+    docket = ["docket_number", "court"]
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        kept = _generations(spark, root, batch_id - 1)
-        loaded = spark.read.parquet(f"{root}/generation={kept[-1]}") if kept else empty
-        applied_versions(batch, loaded, known_versions).write.mode("overwrite").parquet(f"{root}/generation={batch_id}")
+        rows, index = Buckets(spark, f"{root}/rows", ["file_hash"], buckets), Buckets(spark, f"{root}/index", docket, buckets)
+        before = batch_id - 1  # what this trigger found, also if it stopped half-way and is repeated
+        entry = rows.read(rows.touched(batch), before)
+        entry = empty if entry is None else entry
+        # dockets of this trigger, and those that its files were loaded for before
+        mine = batch.select(*docket).unionByName(entry.join(batch.select("file_hash"), "file_hash", "left_semi").select(*docket)).distinct()
+        places = index.touched(mine)
+        known = index.read(places, before)
+        known = empty.select("file_hash", *docket) if known is None else known
+        same = known["docket_number"].eqNullSafe(mine["docket_number"]) & known["court"].eqNullSafe(mine["court"])
+        twins = known.join(mine, same, "left_semi")
+        touched = sorted({*rows.touched(batch), *rows.touched(twins)})
+        old = rows.read(touched, before)
+        old = (empty if old is None else old).select(*empty.columns)
+        decided = version_decision(batch, old, known_versions).select("file_hash", "decision", F.lit(batch_id).cast("long").alias("trigger"))
+        decided.write.mode("overwrite").parquet(f"{root}/log/trigger={batch_id}")
+        new = applied_versions(batch, old, known_versions)
+        parsed = new.where("raw_status = 'parsed'").select("file_hash", *docket)
+        others = known.select("file_hash", *docket).join(old.select("file_hash"), "file_hash", "left_anti")
+        inside = parsed.where(index.bucket().isin(places)) if places else parsed.limit(0)
+        index.replace(others.unionByName(inside), places, batch_id)
+        rows.replace(new, touched, batch_id)
 
     return apply
+
+
+def loaded_envelopes(spark: SparkSession, root: str, generation: int | None = None) -> DataFrame | None:
+    """The envelopes after a trigger that is still kept (the last, unless given)."""
+    return Buckets(spark, f"{root}/rows", ["file_hash"]).read(generation=generation)
+
+
+def decision_log(spark: SparkSession, root: str) -> DataFrame:
+    """file_hash, decision, trigger of all triggers."""
+    return spark.read.schema("file_hash string, decision string, trigger long").parquet(f"{root}/log")
