@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import vocab as V
-from ..functions.numbers import median_days, percent
+from ..functions.numbers import percent
 
 
 def distribution(facts: DataFrame, keys: list[str], *, category: str, date: str, eligible: str, thin: int = V.THIN_SAMPLE, sample: str = "sample_size") -> DataFrame:
@@ -49,24 +49,45 @@ def index_summary(outcomes: DataFrame, components: DataFrame, keys: list[str], *
     return cells.select(*keys, "convictions", "sentenced_convictions", "wedge_count", percent(F.col("wedge_count"), F.col("convictions"), 1).alias("wedge_percentage"), "date_range_start", "date_range_end", (F.col("sentenced_convictions") < thin).alias("is_thin_data"))
 
 
+def histogram_median(histogram: DataFrame, cell: list[str], value: str, n: str) -> DataFrame:
+    """The cell and its exact median, named as the value, from rows (cell, value, n): the mean of the two middle
+    ranks, read off running counts. A cell costs as many rows as it has distinct values."""
+    counted = histogram.where(F.col(value).isNotNull()).groupBy(*cell, value).agg(F.sum(n).alias("_n"))
+    up_to, whole = Window.partitionBy(*cell).orderBy(value), Window.partitionBy(*cell)
+    rows = counted.withColumns({"_to": F.sum("_n").over(up_to), "_all": F.sum("_n").over(whole)})
+    reached = lambda rank: F.min(F.when(F.col("_to") >= rank, F.col(value)))
+    div = lambda x: F.call_function("div", x, F.lit(2))
+    return rows.groupBy(*cell).agg(((reached(div(F.col("_all") + 1)) + reached(div(F.col("_all")) + 1)) / 2.0).alias(value))
+
+
 def index_categories(outcomes: DataFrame, components: DataFrame, keys: list[str], *, eligible: str) -> DataFrame:
     """For each category of a cell: distinct convictions, share of those sentenced, median bounds.
 
     Shares may add up to more than 100. The share of assumed minima is over all components of the
     category; the three duration figures are null together where no component bears a duration.
+
+    Components meet their conviction once; there the first of each conviction, and of each category of
+    it, is marked, so that all counts are sums over one pre-aggregate of (cell, category, days), of which
+    the medians read the counts of days.
     """
+    conviction = Window.partitionBy("outcome_id").orderBy("sentencing_category_code")
     rows = _with_components(outcomes, components, keys, eligible)
-    each = rows.groupBy(*keys, "sentencing_category_code").agg(
-        F.count_distinct("outcome_id").alias("conviction_count"),
-        median_days(F.when(F.col("min_days").isNotNull(), F.col("min_days"))).alias("median_min_days"),
-        median_days(F.when(F.col("min_days").isNotNull(), F.col("max_days"))).alias("median_max_days"),
-        F.count_if("min_assumed").alias("assumed"),
-        F.count("*").alias("components"),
-        F.count("min_days").alias("bearing"),
-    )
-    sentenced = rows.groupBy(*keys).agg(F.count_distinct("outcome_id").alias("sentenced"))
-    joined = each.join(sentenced, keys)
-    return joined.select(*keys, F.col("sentencing_category_code").alias("category_code"), "conviction_count", percent(F.col("conviction_count"), F.col("sentenced"), 1).alias("percentage"), "median_min_days", "median_max_days", F.when(F.col("bearing") > 0, percent(F.col("assumed"), F.col("components"), 1)).alias("min_assumed_percentage"))
+    rows = rows.withColumns({"_first": F.row_number().over(conviction) == 1, "_own": F.lag("sentencing_category_code").over(conviction).eqNullSafe(F.col("sentencing_category_code"))})
+    cell = [*keys, "sentencing_category_code"]
+    counted = rows.groupBy(*cell, "min_days", "max_days").agg(F.count("*").alias("n"), F.count_if("_first").alias("sentenced"), F.count_if(~F.col("_own")).alias("convictions"), F.count_if("min_assumed").alias("assumed"))
+    return categories_of(counted, keys)
+
+
+def categories_of(counted: DataFrame, keys: list[str]) -> DataFrame:
+    """Index rows from counts by (keys, sentencing_category_code, min_days, max_days): n components, of them
+    assumed, and those that are the first of their conviction (sentenced) and of its category (convictions)."""
+    cell = [*keys, "sentencing_category_code"]
+    bears = F.col("min_days").isNotNull()
+    each = counted.groupBy(*cell).agg(F.sum("convictions").alias("conviction_count"), F.sum("n").alias("components"), F.sum("assumed").alias("assumed"), F.sum("sentenced").alias("_sentenced"), F.coalesce(F.sum(F.when(bears, F.col("n"))), F.lit(0)).alias("bearing"))
+    each = each.withColumn("sentenced", F.sum("_sentenced").over(Window.partitionBy(*keys)))
+    bearing = counted.where(bears)
+    joined = each.join(histogram_median(bearing, cell, "min_days", "n"), cell, "left").join(histogram_median(bearing, cell, "max_days", "n"), cell, "left")
+    return joined.select(*keys, F.col("sentencing_category_code").alias("category_code"), "conviction_count", percent(F.col("conviction_count"), F.col("sentenced"), 1).alias("percentage"), F.col("min_days").alias("median_min_days"), F.col("max_days").alias("median_max_days"), F.when(F.col("bearing") > 0, percent(F.col("assumed"), F.col("components"), 1)).alias("min_assumed_percentage"))
 
 
 def grade_mix(outcomes: DataFrame) -> DataFrame:

@@ -6,13 +6,19 @@ events for collection attempts. Whole tables are bound: values are recast, no ro
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import patterns
 from .. import vocab as V
+from ..functions import numbers, text
 from ..functions.numbers import sentence_bounds
+from ..operators import eligibility, linkage, matching
+from ..operators import facts as fact_operators
 from ..operators.facts import component_facts, outcome_facts
-from .tables import stored
+from .corpus import Build, build, fingerprint
 
 #: Start of the date window and floor of the filing date, inside the range of the tables.
 WINDOW, FLOOR = "1998-01-01", "1996-01-01"
@@ -52,11 +58,10 @@ def linked_dockets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dockets(spark, sf_dir).withColumn("originating_docket_no", F.when(F.col("court") == "CP", origin))
 
 
-def charges(spark: SparkSession, sf_dir: str, cases: DataFrame | None = None) -> DataFrame:
+def derived_charges(spark: SparkSession, sf_dir: str, cases: DataFrame) -> DataFrame:
     """Charges with their docket, match and attribution."""
     lines = table(spark, sf_dir, "lineitem")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand")
-    cases = dockets(spark, sf_dir) if cases is None else cases
     rows = lines.join(cases, F.col("l_orderkey") == F.col("docket_id")).join(parts, F.col("l_partkey") == F.col("p_partkey"))
     kind, tax, discount, line = F.col("p_type"), F.round(F.col("l_tax") * 100).cast("int"), F.round(F.col("l_discount") * 100).cast("int"), F.col("l_linenumber")
     flag = F.concat("l_returnflag", "l_linestatus")
@@ -65,9 +70,8 @@ def charges(spark: SparkSession, sf_dir: str, cases: DataFrame | None = None) ->
     warning = F.when(kind == "PROMO", V.NORM_UNMATCHED).when(kind == "LARGE", V.NORM_STATUTE_TEXT_CONFLICT)
     codes = F.when(discount == 0, F.array(F.lit("SUSPECT_JUDGE_LINE"))).when(discount == 1, F.array(F.lit("MISSING_SENTENCE_DATE"))).otherwise(F.array().cast("array<string>"))
     attribution = F.when(tax == 0, "none").when(tax == 1, "assigned_judge_rule").otherwise("disposition_judge")
-    more = [c for c in ("originating_docket_no",) if c in cases.columns]
     return rows.select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("charge_id"), "docket_id", "court", "docket_number", "otn", "filed_date", "grade", *more, line.alias("sequence"), line.alias("orig_seq"), F.col("p_name").alias("offense"), F.concat(F.lit("18 § "), kind).alias("statute"), raw.alias("disposition_raw"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("charge_id"), "docket_id", "court", "docket_number", "otn", "filed_date", "grade", "originating_docket_no", line.alias("sequence"), line.alias("orig_seq"), F.col("p_name").alias("offense"), F.concat(F.lit("18 § "), kind).alias("statute"), raw.alias("disposition_raw"),
         F.when(raw.isNotNull() & (F.col("l_quantity") != 1), F.col("l_shipdate").cast("date")).alias("disposition_date"), method.alias("charge_method"), warning.alias("charge_warning"), F.when(method.isin(V.PUBLIC_METHODS), F.col("p_brand")).alias("normalized_charge_id"), codes.alias("warning_codes"), F.when(attribution != "none", F.col("l_suppkey")).alias("judge_id"), attribution.alias("attribution"),
         F.col("l_shipdate").cast("date").alias("ship_date"), F.col("l_quantity").cast("int").alias("quantity"), tax.alias("tax"), discount.alias("discount"), F.floor("l_extendedprice").cast("long").alias("price"),
     )
@@ -86,22 +90,33 @@ def sentences(all_charges: DataFrame) -> DataFrame:
     return rows.select(F.concat_ws("/", "outcome_id", "p.sentence_type").alias("sentence_id"), "outcome_id", "p.sentence_type", "p.raw_text", F.when(F.col("quantity") != 2, F.date_add("ship_date", F.col("sequence") - 2)).alias("sentence_date"), bounds["min_days"].alias("min_days"), bounds["max_days"].alias("max_days"), F.coalesce(bounds["min_assumed"], F.lit(False)).alias("min_assumed"))
 
 
+def corpus(spark: SparkSession, sf_dir: str) -> Build:
+    """The build of charges, outcome facts and component facts for the files as they are."""
+    inputs = [f"{sf_dir}/{t}.parquet" for t in ("lineitem", "orders", "part")]
+
+    def make(keep) -> None:
+        rows = keep("charges", derived_charges(spark, sf_dir, linked_dockets(spark, sf_dir)))
+        own = keep("outcomes", outcome_facts(rows, window=WINDOW, floor=FLOOR))
+        keep("components", component_facts(sentences(rows), own, window=WINDOW, floor=FLOOR))
+
+    code = [eligibility, fact_operators, matching, linkage, numbers, patterns, text, V, sys.modules[__name__]]
+    return build(spark, fingerprint(spark, inputs, code, window=WINDOW, floor=FLOOR, taxonomy=V.TAXONOMY_VERSION), make)
+
+
+def charges(spark: SparkSession, sf_dir: str, *, origins: bool = False) -> DataFrame:
+    """The built charges; with ``origins`` also the docket that each continues."""
+    rows = corpus(spark, sf_dir).table("charges")
+    return rows if origins else rows.drop("originating_docket_no")
+
+
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return outcome_facts(charges(spark, sf_dir), window=WINDOW, floor=FLOOR)
+    return corpus(spark, sf_dir).table("outcomes")
 
 
 def facts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Outcome facts and component facts."""
-    rows = charges(spark, sf_dir)
-    own = outcome_facts(rows, window=WINDOW, floor=FLOOR)
-    return own, component_facts(sentences(rows), own, window=WINDOW, floor=FLOOR)
-
-
-def kept_facts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The same, each built once and stored, for queries that read them several times."""
-    rows = charges(spark, sf_dir)
-    own = stored(outcome_facts(rows, window=WINDOW, floor=FLOOR), "outcome-facts")
-    return own, stored(component_facts(sentences(rows), own, window=WINDOW, floor=FLOOR), "component-facts")
+    made = corpus(spark, sf_dir)
+    return made.table("outcomes"), made.table("components")
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,12 +67,12 @@ def index_summary_pair(spark, sf_dir):
 
 @query
 def index_category_charge(spark, sf_dir):
-    return A.index_categories(*B.kept_facts(spark, sf_dir), B.CHARGE, eligible="public_eligible")
+    return A.index_categories(*B.facts(spark, sf_dir), B.CHARGE, eligible="public_eligible")
 
 
 @query
 def index_category_pair(spark, sf_dir):
-    return A.index_categories(*B.kept_facts(spark, sf_dir), B.PAIR, eligible="judge_specific_eligible")
+    return A.index_categories(*B.facts(spark, sf_dir), B.PAIR, eligible="judge_specific_eligible")
 
 
 @query
@@ -82,7 +82,7 @@ def index_grade_mix(spark, sf_dir):
 
 def _corpus(spark, sf_dir) -> DataFrame:
     """All charges with their stage in the funnel."""
-    rows = B.charges(spark, sf_dir, B.linked_dockets(spark, sf_dir))
+    rows = B.charges(spark, sf_dir, origins=True)
     pointers = linkage.supersessions(rows)
     d = matching.disposition(F.col("disposition_raw"))
     rows = eligibility.gate_outcomes(rows.withColumns({"mapped": d["mapped"], "category_public": d["public"], "held": d["held"]}), window=B.WINDOW, floor=B.FLOOR)
@@ -274,13 +274,13 @@ def judge_slot_guards(spark, sf_dir):
 
 @query
 def supersession_stage_counts(spark, sf_dir):
-    rows = linkage.classify_claims(B.charges(spark, sf_dir, B.linked_dockets(spark, sf_dir)))
+    rows = linkage.classify_claims(B.charges(spark, sf_dir, origins=True))
     return rows.groupBy("stage").agg(F.count("*").alias("n"))
 
 
 @query
 def supersession_latest_wins(spark, sf_dir):
-    return linkage.supersessions(B.charges(spark, sf_dir, B.linked_dockets(spark, sf_dir)))
+    return linkage.supersessions(B.charges(spark, sf_dir, origins=True))
 
 
 @query
@@ -390,7 +390,7 @@ def result_distribution_block(spark, sf_dir):
 
 @query
 def result_index_block(spark, sf_dir):
-    rows = A.index_categories(*B.kept_facts(spark, sf_dir), B.CHARGE, eligible="public_eligible")
+    rows = A.index_categories(*B.facts(spark, sf_dir), B.CHARGE, eligible="public_eligible")
     return serve.index_block(rows).select("charge_id", "category_code", "median_min_months", "median_max_months")
 
 
@@ -417,7 +417,7 @@ def ops_source_days(spark, sf_dir):
 
 @query
 def ops_linkage(spark, sf_dir):
-    return panel.linkage(B.charges(spark, sf_dir, B.linked_dockets(spark, sf_dir)))
+    return panel.linkage(B.charges(spark, sf_dir, origins=True))
 
 
 @query
@@ -431,7 +431,7 @@ def ops_topk(spark, sf_dir):
 
 
 def _all_checks(spark, sf_dir) -> DataFrame:
-    own, parts = B.kept_facts(spark, sf_dir)
+    own, parts = B.facts(spark, sf_dir)
     charge, pair = _outcome_distribution(own, B.CHARGE), _outcome_distribution(own, B.PAIR)
     summary = A.index_summary(own, parts, B.CHARGE, eligible="public_eligible")
     categories = A.index_categories(own, parts, B.CHARGE, eligible="public_eligible")
@@ -625,7 +625,7 @@ def harvest_rows(spark, sf_dir):
 
 @query
 def privacy_value_scan(spark, sf_dir):
-    rows = linkage.classify_claims(B.charges(spark, sf_dir, B.linked_dockets(spark, sf_dir)))
+    rows = linkage.classify_claims(B.charges(spark, sf_dir, origins=True))
     public = B.dockets(spark, sf_dir).select("court", "grade", F.struct("docket_number", "otn").alias("inner"), "otn")
     return privacy.all_value_violations({"dockets": public, "claims": rows})
 
