@@ -98,6 +98,23 @@ def component_durations(outcomes: DataFrame, components: DataFrame) -> DataFrame
     return _tally(fed, "charge_sentences", {"component_duration_invalid": bad})
 
 
+def index_against_facts(categories: DataFrame, outcomes: DataFrame, components: DataFrame, keys: list[str], table: str, *, eligible: str) -> DataFrame:
+    """Index rows against the facts of their build, at one grain.
+
+    component_duration_invalid counts public components on convictions of the grain with one bound
+    only, a negative one or a least above the most; median_presence_mismatch counts index rows that have a
+    median though no sound component of their cell and category bears a duration, or none though one does.
+    """
+    anchors = outcomes.where(F.col(eligible) & F.col("outcome_category_code").isin(V.CONVICTIONS)).dropna(subset=keys).select("outcome_id", *keys)
+    low, high = F.col("min_days"), F.col("max_days")
+    bad = (low.isNull() != high.isNull()) | F.coalesce((low < 0) | (low > high), F.lit(False))
+    fed = components.where("public_eligible").select("outcome_id", F.col("sentencing_category_code").alias("category_code"), bad.alias("bad"), (~bad & low.isNotNull()).alias("bears"))
+    cells = anchors.join(fed, "outcome_id").groupBy(*keys, "category_code").agg(F.count_if("bad").alias("invalid"), F.bool_or("bears").alias("bears"))
+    joined = cells.join(categories.select(*keys, "category_code", F.col("median_min_days").isNotNull().alias("stored")), [*keys, "category_code"], "full_outer")
+    counts = joined.agg(F.coalesce(F.sum("invalid"), F.lit(0)).alias("component_duration_invalid"), F.count_if(F.col("stored") != F.coalesce("bears", F.lit(False))).alias("median_presence_mismatch"))
+    return counts.select(F.lit(table).alias("table"), F.explode(F.array(*[F.struct(F.lit(c).alias("code"), F.col(c).alias("violations")) for c in counts.columns])).alias("c")).select("table", "c.*")
+
+
 def volume(funnel: DataFrame, distribution: DataFrame, public_facts: DataFrame) -> DataFrame:
     """Closure of the funnel, and its outcomes against the distribution and the facts."""
     closure = F.col("outcomes_recorded") + F.col("held_for_court") + F.col("still_pending") + F.col("disposed_excluded")

@@ -139,6 +139,13 @@ def docket_range(spark: SparkSession, court: str, year: int, first: int, last: i
     return spark.range(first, last + 1).select(F.format_string(f"{court}-51-CR-%07d-{year:04d}", "id").alias("docket_number"))
 
 
+def docket_ranges(ranges: DataFrame) -> DataFrame:
+    """docket_number, court, year of all consecutive numbers of ranges (court, year, first, last); numbers beyond
+    seven digits have no docket."""
+    rows = ranges.select("court", "year", F.explode(F.sequence(F.greatest("first", F.lit(0)), F.least("last", F.lit(9_999_999)))).alias("n"))
+    return rows.select(F.concat_ws("-", "court", F.lit("51-CR"), F.lpad(F.col("n").cast("string"), 7, "0"), F.lpad(F.col("year").cast("string"), 4, "0")).alias("docket_number"), "court", "year")
+
+
 COMPLETING = ["complete", "empty"]
 
 

@@ -10,8 +10,11 @@ from ..functions.numbers import on_or_after
 
 
 def review_severity(codes: Column) -> Column:
-    """Whether any parser warning code has severity review."""
-    return F.exists(F.coalesce(codes, F.array().cast("array<string>")), lambda c: c.isin([k for k, s in V.WARNING_SEVERITY.items() if s == "review"]))
+    """Whether any parser warning code has severity review; a code that the vocabulary lacks is an error."""
+    codes = F.coalesce(codes, F.array().cast("array<string>"))
+    unknown = F.exists(codes, lambda c: ~F.coalesce(c.isin(list(V.WARNING_SEVERITY)), F.lit(False)))
+    review = F.exists(codes, lambda c: c.isin([k for k, s in V.WARNING_SEVERITY.items() if s == "review"]))
+    return F.when(unknown, F.raise_error(F.concat(F.lit("unknown warning code among "), F.to_json(codes))).cast("boolean")).otherwise(review)
 
 
 def _dates(date: Column, window: str, missing: str, before: str) -> list[Column]:

@@ -45,6 +45,17 @@ def warned_charges(warnings: DataFrame, dockets: DataFrame, charges: DataFrame,
     return rows.join(own, ["docket_id", "charge_sequence"], "left")
 
 
+def with_warning_codes(charges: DataFrame, warnings: DataFrame) -> DataFrame:
+    """Charges with warning_codes, all codes of warnings that name their docket and sequence, for the gate.
+
+    Warnings (docket_id, charge_sequence, code) are gathered by charge before they meet the charges;
+    those without a sequence belong to the docket and reach none.
+    """
+    codes = warnings.where("charge_sequence is not null").groupBy("docket_id", F.col("charge_sequence").alias("sequence")).agg(F.sort_array(F.collect_set("code")).alias("warning_codes"))
+    rows = charges.drop("warning_codes").join(codes, ["docket_id", "sequence"], "left")
+    return rows.withColumn("warning_codes", F.coalesce("warning_codes", F.array().cast("array<string>")))
+
+
 def build_counts(charges: DataFrame) -> DataFrame:
     """One row: processed = facts + held + undisposed."""
     d = disposition(F.col("disposition_raw"))

@@ -64,10 +64,13 @@ def match_judges(values: DataFrame, roster: DataFrame, *, name: str = "name", in
     known = forms.select("id", "shown", canonical_name(F.col("form")).alias("known")).where("known is not null")
     raw = values.select(F.col(name).alias("raw")).where("raw is not null").distinct().select("raw", canonical_name(F.col("raw")).alias("asked")).where("asked is not null")
     same_start = (F.col("asked.surname") == F.col("known.surname")) & (F.get("asked.given", F.lit(0)) == F.get("known.given", F.lit(0)))
-    tolerant = same_start & compatible(F.col("asked"), F.col("known"))
-    # an exact key without a first name is not tolerated, only equal
-    near = raw.join(known, (F.col("asked.surname") == F.col("known.surname")) & ((F.col("asked") == F.col("known")) | tolerant), "left")
-    equal = F.col("asked") == F.col("known")
+    # two blocks, each with all of its key in the join: the whole name, and surname with first name, which a
+    # name without a first name is not in; no block grows with a surname alone
+    pairs = lambda on, kind: raw.join(known, on).select("raw", "id", "shown", F.lit(kind).alias("kind"), "asked", "known")
+    exact = pairs(F.col("asked") == F.col("known"), "equal")
+    close = pairs(same_start, "near").where(compatible(F.col("asked"), F.col("known")))
+    near = exact.unionByName(close).drop("asked", "known").unionByName(raw.select("raw"), allowMissingColumns=True)
+    equal, tolerant = F.col("kind") == "equal", F.col("kind") == "near"
     some = lambda cond: F.collect_set(F.when(cond, F.col("id")))
     sets = near.groupBy("raw").agg(some(equal & F.col("shown")).alias("display"), some(equal & ~F.col("shown")).alias("alias"), some(tolerant).alias("near"), F.coalesce(F.bool_or(tolerant & F.col("shown")), F.lit(False)).alias("near_shown"))
     best = F.when(F.size("display") > 0, F.col("display")).when(F.size("alias") > 0, F.col("alias")).otherwise(F.col("near"))

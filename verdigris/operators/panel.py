@@ -5,13 +5,12 @@ Every function is one grouped aggregate, or a limit over one; nothing is collect
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import vocab as V
 from ..functions.numbers import share_1dp
+from ..plans.runs import ACTIVE
 
 
 def corpus(dockets: DataFrame) -> DataFrame:
@@ -77,10 +76,10 @@ def top_judges(distribution: DataFrame, limit: int = 10) -> DataFrame:
     return sizes.orderBy(F.desc("n"), "judge_id").limit(limit)
 
 
-def top_values(counts: DataFrame, limit: int = 12) -> DataFrame:
-    """The most frequent (value, n) of each column, then by value; nulls last, with their place."""
-    rank = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), F.asc_nulls_last("value")))
-    return counts.withColumn("place", rank).where(F.col("place") <= limit)
+def top_values(counts: DataFrame, limit: int | None = 12) -> DataFrame:
+    """The most frequent (value, n) of each column, or all, then by value; nulls last, with their place."""
+    rows = counts.withColumn("place", F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), F.asc_nulls_last("value"))))
+    return rows if limit is None else rows.where(F.col("place") <= limit)
 
 
 def queue_counts(queue: DataFrame) -> DataFrame:
@@ -88,6 +87,13 @@ def queue_counts(queue: DataFrame) -> DataFrame:
     return queue.groupBy("status", "reason").agg(F.count("*").alias("n"))
 
 
+def queue_summary(queue: DataFrame) -> DataFrame:
+    """by, value, n: items by status, and open ones by type and by severity, from one pass."""
+    sets = queue.groupBy("status", "item_type", "severity").agg(F.count("*").alias("n"))
+    by = F.array(F.struct(F.lit("status").alias("by"), F.col("status").alias("value")), *[F.when(F.col("status") == "open", F.struct(F.lit(c).alias("by"), F.col(c).alias("value"))) for c in ("item_type", "severity")])
+    return sets.select("n", F.explode(F.array_compact(by)).alias("x")).groupBy("x.by", "x.value").agg(F.sum("n").alias("n"))
+
+
 def warning_counts(warnings: DataFrame) -> DataFrame:
     """code, severity, n, dockets of parser warnings, every code of the vocabulary."""
     names = warnings.sparkSession.createDataFrame(list(V.WARNING_SEVERITY.items()), "code string, severity string")
@@ -95,19 +101,32 @@ def warning_counts(warnings: DataFrame) -> DataFrame:
     return names.join(seen, "code", "left").select("code", "severity", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("dockets", F.lit(0)).alias("dockets"))
 
 
-def live_checks(charges: DataFrame, outcomes: DataFrame, components: DataFrame, charge_rows: DataFrame, pair_rows: DataFrame, summary: DataFrame, funnel: DataFrame) -> DataFrame:
-    """name, left_n, right_n, passed of the seven figures that must agree on a live run."""
-    n = lambda df, cond="true": df.agg(F.count_if(F.expr(cond)))
-    total = lambda df, c: df.agg(F.coalesce(F.sum(c), F.lit(0)))
-    convictions = f"category_code in ({', '.join(repr(c) for c in V.CONVICTIONS)})"
-    pairs = [
-        ("outcomes_are_public_facts", total(charge_rows, "count"), n(outcomes, "public_eligible")),
-        ("pair_outcomes_are_attributed_facts", total(pair_rows, "count"), n(outcomes, "judge_specific_eligible")),
-        ("convictions_agree", total(charge_rows.where(convictions), "count"), total(summary, "convictions")),
-        ("wedge_closes", total(summary, F.col("sentenced_convictions") + F.col("wedge_count")), total(summary, "convictions")),
-        ("funnel_closes", total(funnel, F.col("outcomes_recorded") + F.col("held_for_court") + F.col("still_pending") + F.col("disposed_excluded")), total(funnel, "charges_seen")),
-        ("funnel_outcomes_are_public_facts", total(funnel, "outcomes_recorded"), n(outcomes, "public_eligible")),
-        ("components_have_outcomes", n(components), n(components.join(outcomes.select("outcome_id"), "outcome_id", "left_semi"))),
-    ]
-    rows = [a.toDF("left_n").join(b.toDF("right_n")).select(F.lit(name).alias("name"), "left_n", "right_n", (F.col("left_n") == F.col("right_n")).alias("passed")) for name, a, b in pairs]
-    return reduce(DataFrame.unionByName, rows)
+def live_checks(runs: DataFrame, volume: DataFrame, outcomes: DataFrame, summary: DataFrame, charges: DataFrame, processed: int | None, pointers: DataFrame) -> DataFrame:
+    """name, left_n, right_n, passed of what must hold on a live system, counted by row.
+
+    runs: the table of runs; volume, outcomes and summary: charge rows of the active run; charges: the live
+    ones; processed: how many the latest completed build of facts saw (None: there is none); pointers:
+    superseded charges (mc_charge_id, superseded_by). Without an active run its tables are not judged.
+    One pass over each table.
+    """
+    n = F.count_if
+    zero = F.lit(0).cast("long")
+    active = runs.agg(n(F.coalesce(F.expr(ACTIVE), F.lit(False))).alias("active"))
+    cells = outcomes.groupBy("charge_id").agg(F.sum("count").alias("total"), F.max("sample_size").alias("sample"))
+    stages = F.col("outcomes_recorded") + F.col("held_for_court") + F.col("still_pending") + F.col("disposed_excluded")
+    both = volume.withColumn("seen", F.lit(True)).join(cells, "charge_id", "full_outer").agg(
+        n(stages != F.col("charges_seen")).alias("volume_closure"),
+        n(F.col("seen") & (F.col("outcomes_recorded") != F.coalesce("sample", zero))).alias("volume_matches_percentages"),
+        n(F.col("total") != F.col("sample")).alias("outcome_counts_sum_to_sample"),
+    )
+    wedge = summary.agg(n(F.col("sentenced_convictions") + F.col("wedge_count") != F.col("convictions")).alias("wedge_identity"))
+    live = charges.agg(F.count("*").alias("live"))
+    own = pointers.agg(n(F.col("mc_charge_id") == F.col("superseded_by")).alias("no_self_supersession"))
+    row = active.join(both).join(wedge).join(live).join(own)  # a row each
+    of_run = lambda c: F.when(F.col("active") > 0, F.struct(F.lit(c).alias("name"), F.col(c).alias("left_n"), zero.alias("right_n")))
+    checks = [F.struct(F.lit("one_active_published_run").alias("name"), F.col("active").alias("left_n"), F.lit(1).cast("long").alias("right_n"))]
+    checks += [of_run(c) for c in ("volume_closure", "volume_matches_percentages", "outcome_counts_sum_to_sample", "wedge_identity")]
+    if processed:
+        checks.append(F.struct(F.lit("corpus_unchanged_since_build").alias("name"), F.col("live").alias("left_n"), F.lit(processed).cast("long").alias("right_n")))
+    checks.append(F.struct(F.lit("no_self_supersession").alias("name"), F.col("no_self_supersession").alias("left_n"), zero.alias("right_n")))
+    return row.select(F.explode(F.array_compact(F.array(*checks))).alias("c")).select("c.*", (F.col("c.left_n") == F.col("c.right_n")).alias("passed"))

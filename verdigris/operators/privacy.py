@@ -35,6 +35,29 @@ def value_violations(rows: DataFrame, pattern: str = ANY_DOCKET_NUMBER) -> DataF
     return counts.select(F.explode(pairs).alias("p")).select("p.column", "p.violations")
 
 
+#: Flags that every dialect of patterns here knows.
+PORTABLE_FLAGS = "ims"
+
+
+def portable_pattern(source: str, flags: str = "") -> str:
+    """A shared value pattern with its flags; a flag that is not portable is refused, as a scan without it
+    would pass what it should find."""
+    if unknown := sorted(set(flags) - set(PORTABLE_FLAGS)):
+        raise ValueError(f"pattern flags {unknown} are not portable")
+    return f"(?{''.join(sorted(set(flags)))}){source}" if flags else source
+
+
+def json_key_violations(rows: DataFrame, column: str, stems: list[str]) -> DataFrame:
+    """key, violations: rows whose JSON text has, at any depth, a key that holds a stem (case, ``_`` and ``-``
+    aside)."""
+    if not stems:
+        raise ValueError("no forbidden stems are given")
+    keys = F.regexp_extract_all(column, F.lit(r'"((?:[^"\\]|\\.)*)"\s*:'), F.lit(1))
+    plain = lambda k: F.regexp_replace(F.lower(k), "[_-]", "")
+    bad = F.filter(F.array_distinct(keys), lambda k: reduce(lambda a, s: a | F.contains(plain(k), F.lit(s)), stems, F.lit(False)))
+    return rows.select(F.explode(bad).alias("key")).groupBy("key").agg(F.count("*").alias("violations"))
+
+
 def leaks(record: Column, sentinels: Column) -> Column:
     """Whether a sentinel of three signs or more stands as a token in any leaf text of the record."""
     return F.exists(sentinels, lambda s: F.exists(record, lambda v: F.coalesce(holds_token(v, s), F.lit(False))))

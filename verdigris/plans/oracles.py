@@ -271,7 +271,7 @@ scoped AS (SELECT day, court, done FROM ledger WHERE court <> 'both' UNION ALL S
 complete AS (SELECT DISTINCT day, court FROM scoped WHERE done)"""
 _add("window_completion", "SELECT day, court FROM complete", LEDGER)
 _add("open_windows", "SELECT CAST(d AS DATE) AS day FROM range(DATE '2023-12-28', DATE '2024-02-03', INTERVAL 1 DAY) t(d) WHERE CAST(d AS DATE) NOT IN (SELECT day FROM complete WHERE day < DATE '2024-01-20' GROUP BY day HAVING count(*) = 2)", LEDGER)
-_add("docket_range", "SELECT 'MC-51-CR-' || lpad(CAST(i AS VARCHAR), 7, '0') || '-2025' AS docket_number FROM range(95, 1201) t(i)")
+_add("docket_range", "SELECT court, CAST(year(o_orderdate) AS INT) AS year, max(o_orderkey) - min(o_orderkey) + 1 AS numbers, max(o_orderkey) - min(o_orderkey) + 1 - count(DISTINCT o_orderkey) AS missing FROM (SELECT CASE WHEN o_orderstatus = 'F' THEN 'CP' ELSE 'MC' END AS court, o_orderdate, o_orderkey FROM orders) GROUP BY ALL")
 _add("fetch_classes", "SELECT CASE WHEN event_type = 'error' THEN 'error' WHEN value > 100 OR value < 1 THEN 'blocked' WHEN event_type = 'purchase' THEN 'hit' WHEN event_type = 'view' THEN 'miss' ELSE 'blocked' END AS fetch, CASE WHEN event_type = 'error' THEN 'error' WHEN value > 100 OR value < 1 OR event_type = 'click' THEN 'blocked' WHEN value > 50 THEN 'truncated' WHEN event_type <> 'view' AND floor(value % 3) >= 1 THEN 'complete' WHEN floor(value % 3) = 0 THEN 'empty' ELSE 'blocked' END AS search, count(*) AS n FROM events GROUP BY 1, 2")
 _add("refresh_targets", "SELECT docket_id, docket_number, filed_date FROM dockets WHERE court = 'MC' AND docket_id IN (SELECT docket_id FROM charges WHERE disposition_raw IS NULL)", CHARGES)
 _add(

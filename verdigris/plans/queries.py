@@ -570,7 +570,11 @@ def open_windows(spark, sf_dir):
 
 @query
 def docket_range(spark, sf_dir):
-    return collector.docket_range(spark, "MC", 2025, 95, 1200)
+    """Numbers between the first and the last docket of each court and year, and how many no docket has."""
+    d = B.dockets(spark, sf_dir).select("court", F.substring_index("docket_number", "-", -1).cast("int").alias("year"), "docket_id", "docket_number")
+    ranges = d.groupBy("court", "year").agg(F.min("docket_id").cast("int").alias("first"), F.max("docket_id").cast("int").alias("last"))
+    numbers_ = collector.docket_ranges(ranges).join(d.select("docket_number", F.lit(True).alias("known")).distinct(), "docket_number", "left")
+    return numbers_.groupBy("court", "year").agg(F.count("*").alias("numbers"), F.count_if(F.col("known").isNull()).alias("missing"))
 
 
 @query

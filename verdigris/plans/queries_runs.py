@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import vocab as V
-from ..functions import text
+from ..functions import numbers, text
 from ..operators import aggregates as A
 from ..operators import checks, facts, linkage, matching, panel, reports, review
 from . import bindings as B
@@ -176,17 +176,45 @@ _add("ops_row_counts", f"SELECT 'charge_outcomes' AS \"table\", (SELECT count(*)
 
 @query
 def ops_live_checks(spark, sf_dir):
-    own, parts = B.facts(spark, sf_dir)
-    return panel.live_checks(B.charges(spark, sf_dir), own, parts, _outcome_distribution(own, B.CHARGE), _outcome_distribution(own, B.PAIR), A.index_summary(own, parts, B.CHARGE, eligible="public_eligible"), A.volume_funnel(_corpus(spark, sf_dir)))
-
-
+    """Checks over the active run's tables as they are, and over tables in which each of the seven is hurt."""
+    made = B.corpus(spark, sf_dir)
+    own, parts = made.table("outcomes"), made.table("components")
+    store = tables.RunStore(spark, tables.shared_root(spark, "runs"))
+    store.build("a", {"charge_outcomes": lambda: _outcome_distribution(own, B.CHARGE), "charge_index": lambda: A.index_summary(own, parts, B.CHARGE, eligible="public_eligible"), "charge_volume": lambda: A.volume_funnel(_corpus(spark, sf_dir))}, "2025-01-01")
+    store.publish("2025-01-02")
+    run, volume, charge, summary = store.runs(), store.read("charge_volume", "a"), store.read("charge_outcomes", "a"), store.read("charge_index", "a")
+    live, pointers = B.charges(spark, sf_dir, origins=True), linkage.supersessions(B.charges(spark, sf_dir, origins=True))
+    sound = panel.live_checks(run, volume, charge, summary, live, made.rows("charges"), pointers)
+    up = lambda c, cond: F.col(c) + cond.cast("int")
+    key = F.col("charge_id")
+    hurt = panel.live_checks(
+        run.unionByName(run.withColumn("id", F.lit("b"))),
+        volume.withColumns({"charges_seen": up("charges_seen", key < "Brand#2"), "outcomes_recorded": up("outcomes_recorded", key >= "Brand#4")}),
+        charge.withColumn("count", up("count", F.col("category_code") == "withdrawn")),
+        summary.withColumn("wedge_count", up("wedge_count", F.endswith(key, F.lit("3")))),
+        live,
+        made.rows("charges") - 1,
+        pointers.withColumn("superseded_by", F.when(F.startswith("mc_charge_id", F.lit("1")), F.col("mc_charge_id")).otherwise(F.col("superseded_by"))),
+    )
+    return sound.withColumn("rows", F.lit("sound")).unionByName(hurt.withColumn("rows", F.lit("hurt")))
+
+
+LIVE = SENTENCES + ",\nclaims AS" + FUNNEL.split("claims AS", 1)[1]
 _add(
     "ops_live_checks",
     f"""
-, n AS (SELECT (SELECT count(*) FROM facts WHERE public_eligible) AS pub, (SELECT count(*) FROM facts WHERE judge_specific_eligible) AS own, (SELECT count(*) FROM facts WHERE public_eligible AND {CONVICTION}) AS conv, (SELECT count(*) FROM components) AS comp,
-  (SELECT count(*) FROM charges WHERE charge_id IS NOT NULL AND filed_date >= {FLOOR} AND NOT coalesce(disposition_raw = 'Held for Court' AND charge_row IN (SELECT mc_id FROM stages WHERE stage = 'superseded'), false)) AS seen)
-SELECT name, l AS left_n, l AS right_n, true AS passed FROM (SELECT unnest(['outcomes_are_public_facts', 'pair_outcomes_are_attributed_facts', 'convictions_agree', 'wedge_closes', 'funnel_closes', 'funnel_outcomes_are_public_facts', 'components_have_outcomes']) AS name, unnest([pub, own, conv, conv, seen, pub, comp]) AS l FROM n)""",
-    SENTENCES.replace("WITH ", "") + ",\n" + CORPUS.split("claims AS", 1)[1].join(["claims AS", ""]),
+, samples AS (SELECT charge_id, count(*) AS s FROM facts WHERE public_eligible GROUP BY charge_id)
+, conv AS (SELECT charge_id, count(*) AS c, count(*) FILTER (charge_row IN (SELECT charge_row FROM components WHERE public_eligible)) AS s, count(*) FILTER (charge_row NOT IN (SELECT charge_row FROM components WHERE public_eligible)) AS w FROM facts WHERE public_eligible AND {CONVICTION} GROUP BY charge_id)
+, v AS (SELECT funnel.*, coalesce(s, 0) AS s, outcomes_recorded + held_for_court + still_pending + disposed_excluded AS stages FROM funnel LEFT JOIN samples USING (charge_id))
+, h AS (SELECT charge_id, charges_seen + (charge_id < 'Brand#2')::INT AS seen, stages + (charge_id >= 'Brand#4')::INT AS stages, outcomes_recorded + (charge_id >= 'Brand#4')::INT AS recorded, s FROM v)
+SELECT name, l AS left_n, r AS right_n, l = r AS passed, rows FROM (
+  SELECT 'sound' AS rows, unnest(['one_active_published_run', 'volume_closure', 'volume_matches_percentages', 'outcome_counts_sum_to_sample', 'wedge_identity', 'corpus_unchanged_since_build', 'no_self_supersession']) AS name,
+    unnest([1, (SELECT count(*) FROM v WHERE stages <> charges_seen), (SELECT count(*) FROM v WHERE outcomes_recorded <> s), (SELECT count(*) FROM (SELECT charge_id, sum(n) AS t FROM (SELECT charge_id, category, count(*) AS n FROM facts WHERE public_eligible GROUP BY ALL) GROUP BY 1) JOIN samples USING (charge_id) WHERE t <> s), (SELECT count(*) FROM conv WHERE s + w <> c), (SELECT count(*) FROM charges), (SELECT count(*) FROM stages WHERE stage = 'superseded' AND mc_id = cp)]) AS l,
+    unnest([1, 0, 0, 0, 0, (SELECT count(*) FROM lineitem), 0]) AS r
+  UNION ALL SELECT 'hurt', unnest(['one_active_published_run', 'volume_closure', 'volume_matches_percentages', 'outcome_counts_sum_to_sample', 'wedge_identity', 'corpus_unchanged_since_build', 'no_self_supersession']),
+    unnest([2, (SELECT count(*) FROM h WHERE stages <> seen), (SELECT count(*) FROM h WHERE recorded <> s), (SELECT count(DISTINCT charge_id) FROM facts WHERE public_eligible AND category = 'withdrawn'), (SELECT count(*) FROM conv WHERE charge_id LIKE '%3'), (SELECT count(*) FROM charges), (SELECT count(*) FROM stages WHERE stage = 'superseded' AND starts_with(mc_id, '1'))]),
+    unnest([1, 0, 0, 0, 0, (SELECT count(*) - 1 FROM lineitem), 0]))""",
+    LIVE,
 )
 
 
@@ -324,10 +352,15 @@ _add("entry_lookups", "SELECT count(*) FILTER (slug = 'brand#11') AS n, 'slug' A
 
 @query
 def public_definitions(spark, sf_dir):
-    return serve.definitions(spark).select(F.col("sort_order").cast("string").alias("key"), F.col("code").alias("value")).unionByName(serve.methodology(spark, {"data_start": B.FLOOR}))
+    """Public categories with the facts that each has, and what the pages say of the method."""
+    own = B.outcomes(spark, sf_dir)
+    n = own.where("public_eligible").groupBy(F.col("outcome_category_code").alias("value")).agg(F.count("*").alias("n"))
+    named = serve.definitions(spark).select(F.col("sort_order").cast("string").alias("key"), F.col("code").alias("value")).join(n, "value", "left").select("key", "value", F.coalesce("n", F.lit(0)).alias("n"))
+    last = own.where("public_eligible").agg(F.max("disposition_date").cast("string").alias("value")).select(F.lit("data_end").alias("key"), "value", F.lit(None).cast("long").alias("n"))
+    return named.unionByName(serve.methodology(spark, {"data_start": B.FLOOR}).withColumn("n", F.lit(None).cast("long"))).unionByName(last)
 
 
-_add("public_definitions", "SELECT * FROM (VALUES ('1', 'dismissed'), ('2', 'withdrawn'), ('3', 'guilty_plea'), ('4', 'guilty_verdict'), ('5', 'acquittal'), ('6', 'ard'), ('7', 'diversion'), ('8', 'other'), ('taxonomy_version', '1.0.0'), ('thin_sample', '10'), ('data_start', '1996-01-01')) v(key, value)")
+_add("public_definitions", "SELECT key, value, CASE WHEN length(key) = 1 THEN (SELECT count(*) FROM facts WHERE public_eligible AND category = value) END AS n FROM (VALUES ('1', 'dismissed'), ('2', 'withdrawn'), ('3', 'guilty_plea'), ('4', 'guilty_verdict'), ('5', 'acquittal'), ('6', 'ard'), ('7', 'diversion'), ('8', 'other'), ('taxonomy_version', '1.0.0'), ('thin_sample', '10'), ('data_start', '1996-01-01')) v(key, value) UNION ALL SELECT 'data_end', CAST(max(disposition_date) AS VARCHAR), NULL FROM facts WHERE public_eligible", FACTS)
 
 # -- validation ---------------------------------------------------------------------------------
 
@@ -383,12 +416,19 @@ FROM (VALUES ('wedge_identity_mismatch'), ('wedge_percentage_misaligned'), ('dat
 
 @query
 def taxonomy_checks(spark, sf_dir):
-    """A taxonomy with a repeated code and order, a banned word, one code too many and one too few."""
-    rows = spark.createDataFrame([("dismissed", 1), ("withdrawn", 2), ("withdrawn", 3), ("win_rate", 3), ("other", 4)], "code string, sort_order int")
-    return checks.taxonomy_faults(rows, "1.0", ["dismissed", "withdrawn", "guilty_plea", "other"], ["win", "odds"])
+    """The kinds of parts as a taxonomy ordered by the length of their names, one of them banned, some beyond and
+    one short of what is expected."""
+    rows = B.table(spark, sf_dir, "part").select(F.lower("p_type").alias("code"), F.length("p_type").alias("sort_order")).distinct()
+    return checks.taxonomy_faults(rows, "1.0", ["economy", "standard", "small", "guilty_plea"], ["promo", "odds"])
 
 
-_add("taxonomy_checks", "SELECT * FROM (VALUES ('code_repeated', 'withdrawn'), ('order_repeated', '3'), ('code_banned', 'win_rate'), ('code_unexpected', 'win_rate'), ('code_absent', 'guilty_plea'), ('version_malformed', '1.0')) v(fault, value)")
+_add(
+    "taxonomy_checks",
+    """
+SELECT 'order_repeated' AS fault, CAST(o AS VARCHAR) AS value FROM t GROUP BY o HAVING count(*) > 1 UNION ALL SELECT 'code_banned', code FROM t WHERE contains(code, 'promo') OR contains(code, 'odds')
+UNION ALL SELECT 'code_unexpected', code FROM t WHERE code NOT IN (SELECT c FROM e) UNION ALL SELECT 'code_absent', c FROM e WHERE c NOT IN (SELECT code FROM t) UNION ALL SELECT 'version_malformed', '1.0'""",
+    "t AS (SELECT DISTINCT lower(p_type) AS code, length(p_type) AS o FROM part), e(c) AS (VALUES ('economy'), ('standard'), ('small'), ('guilty_plea'))",
+)
 
 
 @query
@@ -402,13 +442,23 @@ _add("reasons_in_vocabulary", "SELECT reason AS code, count(*) AS n FROM (SELECT
 
 @query
 def seed_checks(spark, sf_dir):
-    """Literal rows of a seeded distribution, one of them wrong, before they are stored."""
-    seed = spark.createDataFrame([("a", "dismissed", 3, 75.0, 4), ("a", "withdrawn", 1, 25.0, 4), ("b", "dismissed", 1, 33.33, 3), ("b", "withdrawn", 2, 66.68, 3)], "charge_id string, category_code string, count bigint, percentage double, sample_size bigint")
-    seed = seed.withColumns({"date_range_start": F.lit(V.DATA_START).cast("date"), "date_range_end": F.lit(V.DATA_START).cast("date")})
-    return checks.distribution_integrity(seed, "seed", B.CHARGE).where("violations > 0")
+    """Seeded distributions, the nations of a region as its categories, some of their shares wrong, before they are
+    stored."""
+    n = B.table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("charge_id"), F.col("n_name").alias("category_code"), (F.col("n_nationkey") + 1).cast("long").alias("count"), "n_nationkey")
+    n = n.withColumn("sample_size", F.sum("count").over(Window.partitionBy("charge_id")))
+    seed = n.withColumn("percentage", numbers.percent(F.col("count"), F.col("sample_size")) + F.when(F.col("n_nationkey") % 7 == 3, 0.02).otherwise(0.0))
+    seed = seed.withColumns({"date_range_start": F.lit(V.DATA_START).cast("date"), "date_range_end": F.lit(V.DATA_START).cast("date"), "sample_size": F.col("sample_size") + ((F.col("charge_id") == 2) & (F.col("n_nationkey") > 12)).cast("int")})
+    return checks.distribution_integrity(seed, "seed", B.CHARGE).where("code not in ('count_sum_mismatch')")
 
 
-_add("seed_checks", "SELECT 'seed' AS \"table\", 'percentage_misaligned' AS code, 1::BIGINT AS violations")
+_add(
+    "seed_checks",
+    """
+SELECT 'seed' AS "table", code, CAST(n AS BIGINT) AS violations FROM (SELECT unnest(['percentage_misaligned', 'sample_size_missing', 'date_range_missing', 'date_range_start_before_window', 'date_range_inverted', 'sample_size_inconsistent']) AS code,
+  unnest([(SELECT count(*) FROM s WHERE abs(p * z - c * 100) > 0.005 * z), 0, 0, 0, 0, (SELECT count(*) FROM (SELECT r FROM s GROUP BY r HAVING min(z) <> max(z)))]) AS n)""",
+    """b AS (SELECT n_nationkey AS k, n_regionkey AS r, CAST(n_nationkey + 1 AS BIGINT) AS c, CAST(sum(n_nationkey + 1) OVER (PARTITION BY n_regionkey) AS BIGINT) AS t FROM nation),
+s AS (SELECT r, c, t + CASE WHEN r = 2 AND k > 12 THEN 1 ELSE 0 END AS z, CAST((c * 20000 + t) // (2 * t) AS DECIMAL(18, 2)) * CAST(0.01 AS DECIMAL(3, 2)) + CASE WHEN k % 7 = 3 THEN 0.02 ELSE 0 END AS p FROM b)""",
+)
 
 # -- review queue and reports -------------------------------------------------------------------
 
@@ -504,11 +554,21 @@ near AS (SELECT c_custkey, list_sort(list(id) FILTER (id IS NOT NULL AND (middle
 
 @query
 def sentencing_coverage(spark, sf_dir):
-    rows = B.sentences(B.charges(spark, sf_dir)).select(matching.component(F.col("sentence_type"), F.col("raw_text")).alias("c"))
+    """Components by kind; second charges also pay restitution, third ones serve, fifth ones have an unknown type."""
+    place = F.split("outcome_id", "-")[1]
+    rows = B.sentences(B.charges(spark, sf_dir)).withColumns({"raw_text": F.concat("raw_text", F.when(place == "2", ", Restitution").when(place == "3", ", 40 hours Community Service").otherwise("")), "sentence_type": F.when(place == "5", "Other").otherwise(F.col("sentence_type"))})
+    rows = rows.select(matching.component(F.col("sentence_type"), F.col("raw_text")).alias("c"))
     return reports.sentencing_coverage(rows.select("c.categories", "c.amount_cents"))
 
 
-_add("sentencing_coverage", "SELECT kind, CASE kind WHEN 'base' THEN (SELECT count(*) FROM sentences) WHEN 'money_with_amount' THEN (SELECT count(*) FROM sentences WHERE amount_cents IS NOT NULL) WHEN 'money_without_amount' THEN (SELECT count(*) FROM sentences WHERE no_money) ELSE 0 END AS n FROM (VALUES ('base'), ('additive'), ('ambiguous'), ('money_with_amount'), ('money_without_amount')) v(kind)", SENTENCES)
+_add(
+    "sentencing_coverage",
+    """
+, s AS (SELECT split_part(charge_row, '-', 2) AS p, scategory = 'costs_fees' AS fee, amount_cents FROM sentences)
+, k AS (SELECT p IN ('2', '3') AS more, p = '5' AS lost, (fee AND p <> '5') OR p = '2' AS money, CASE WHEN fee THEN amount_cents END AS amount FROM s)
+SELECT unnest(['base', 'additive', 'ambiguous', 'money_with_amount', 'money_without_amount']) AS kind, unnest([count(*) FILTER (NOT more AND NOT lost), count(*) FILTER (more), count(*) FILTER (lost), count(*) FILTER (money AND amount IS NOT NULL), count(*) FILTER (money AND amount IS NULL)]) AS n FROM k""",
+    SENTENCES,
+)
 
 
 @query
@@ -546,7 +606,7 @@ _add("spec_values", "SELECT 'parts.brand' AS \"column\", p_brand AS value, count
 @query
 def value_frequencies(spark, sf_dir):
     """All values of three columns, most frequent first, with their place."""
-    return panel.top_values(reports.value_counts(B.charges(spark, sf_dir), ["statute", "disposition_raw", "grade"]), 1000)
+    return panel.top_values(reports.value_counts(B.charges(spark, sf_dir), ["statute", "disposition_raw", "grade"]), None)
 
 
 _add("value_frequencies", "SELECT col AS \"column\", v AS value, n, CAST(row_number() OVER (PARTITION BY col ORDER BY n DESC, v NULLS LAST) AS INT) AS place FROM (SELECT col, v, count(*) AS n FROM (SELECT 'statute' AS col, statute AS v FROM charges UNION ALL SELECT 'disposition_raw', disposition_raw FROM charges UNION ALL SELECT 'grade', grade FROM charges) GROUP BY ALL)", CHARGES)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+import uuid
+from collections.abc import Callable, Iterator
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,17 +15,55 @@ from pyspark.sql import types as T
 from ..functions.text import provenance, sanitized_error, text_hash, text_status
 
 
-def import_documents(spark: SparkSession, folder: str, known: DataFrame | None = None, *, magic: bytes = b"%PDF-") -> DataFrame:
+#: Bytes that a task holds of a file at once.
+CHUNK_BYTES = 1 << 20
+
+
+def read_in_chunks(uri: str, chunk_bytes: int) -> Iterator[bytes]:
+    """The content of a file, a chunk at a time."""
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(unquote(uri) if uri.startswith("file:") else uri)
+    with system.open_input_stream(path) as stream:
+        while chunk := stream.read(chunk_bytes):
+            yield bytes(chunk)
+
+
+def digests(files: DataFrame, head_bytes: int, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """``files`` (path and more) with file_hash (SHA-256), head (first bytes) and read_bytes of each file.
+
+    Files of any size: a task reads its files one after another, chunk by chunk, and keeps a running hash.
+    The list of files is dealt to tasks by size's own order, so large files do not meet in one.
+    """
+    schema = T.StructType([*files.schema.fields, T.StructField("file_hash", T.StringType()), T.StructField("head", T.BinaryType()), T.StructField("read_bytes", T.LongType())])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = []
+            for path in frame["path"]:
+                digest, head, size = hashlib.sha256(), b"", 0
+                for chunk in read_in_chunks(path, chunk_bytes):
+                    digest.update(chunk)
+                    head, size = head or chunk[:head_bytes], size + len(chunk)
+                found.append((digest.hexdigest(), head, size))
+            yield frame.assign(file_hash=[f[0] for f in found], head=[f[1] for f in found], read_bytes=[f[2] for f in found])
+
+    return files.mapInPandas(run, schema)
+
+
+def import_documents(spark: SparkSession, folder: str, known: DataFrame | None = None, *, magic: bytes = b"%PDF-", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """One row for each file: hash, size, status (imported, duplicate, invalid) and provenance.
 
-    Content stays in the scan: only its hash and first bytes leave it. Of files with one hash the
-    first path is imported; hashes in ``known`` (column file_hash) are duplicates.
+    Spark lists the files; tasks read them in chunks, so a file may have any size, and only its hash and
+    first bytes leave the task. Of sound files with one hash the first path is imported; hashes in ``known``
+    (column file_hash) are duplicates.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at"))
+    tasks = max(1, spark.sparkContext.defaultParallelism)
+    dealt = listed.repartition(tasks, F.xxhash64("path"))
     name = F.element_at(F.split("path", "/"), -1)
-    rows = files.select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("file_hash"), (F.substring("content", 1, len(magic)) == F.lit(magic)).alias("sound"), F.col("modificationTime").alias("modified_at"), F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"))
-    first = F.row_number().over(Window.partitionBy("file_hash").orderBy("path")) == 1
-    rows = rows.withColumn("first", first)
+    rows = digests(dealt, len(magic), chunk_bytes).withColumns({"sound": F.col("head") == F.lit(magic), "stem": F.regexp_replace(name, r"\.[^.]*$", "")})
+    rows = rows.withColumn("first", F.row_number().over(Window.partitionBy("file_hash").orderBy("path")) == 1)
     if known is not None:
         rows = rows.join(known.select("file_hash").distinct().withColumn("known", F.lit(True)), "file_hash", "left")
     else:
@@ -31,6 +72,24 @@ def import_documents(spark: SparkSession, folder: str, known: DataFrame | None =
     return rows.select("path", "file_hash", "size_bytes", status.alias("status"), provenance(F.col("stem")).alias("provenance"), "modified_at")
 
 
+def write_files(rows: DataFrame, folder: str) -> None:
+    """A file below ``folder`` for each row (name, content), written by the tasks, whole or not at all."""
+    from pyarrow import fs
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, root = fs.FileSystem.from_uri(folder)
+        system.create_dir(root, recursive=True)
+        for frame in frames:
+            for name, content in zip(frame["name"], frame["content"]):
+                draft = f"{root}/.{name}.{uuid.uuid4().hex}"
+                with system.open_output_stream(draft) as stream:
+                    stream.write(content)
+                system.move(draft, f"{root}/{name}")  # a task that runs again writes the same
+            yield frame[["name"]]
+
+    rows.select("name", "content").mapInPandas(run, "name string").agg(F.count("*")).collect()
+
+
 def extract_text(files: DataFrame, extractor: Callable[[bytes], list[str]], *, least: int = 100) -> DataFrame:
     """path, pages, text_hash, status, error of binary files. The extractor runs file by file in tasks;
     a file that it cannot read fails alone, and its message names no path."""
