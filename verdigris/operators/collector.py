@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import vocab as V
 
@@ -33,7 +34,14 @@ def _sliced(rows: DataFrame, first: str, seconds: int) -> DataFrame:
     """Adds _slice, the slice of the time line that an attempt lies in, unless it is there."""
     if "_slice" in rows.columns:
         return rows
-    return rows.withColumn("_slice", F.coalesce(F.call_function("div", F.unix_seconds(first), F.lit(seconds)), F.lit(-(2**40))))
+    at, kind = F.col(first), rows.schema[first].dataType
+    if isinstance(kind, T.TimestampNTZType):  # its own fields, as no zone orders it
+        at = F.unix_date(at.cast("date")).cast("long") * 86_400 + F.hour(at) * 3600 + F.minute(at) * 60 + F.second(at)
+    elif isinstance(kind, T.TimestampType):
+        at = F.unix_seconds(at)
+    elif isinstance(kind, T.DateType):
+        at = F.unix_date(at).cast("long") * 86_400
+    return rows.withColumn("_slice", F.coalesce(F.floor(at / seconds), F.lit(-(2**40))))
 
 
 def _scan(parts: DataFrame, group: list[str], at: str, counters: list[str]) -> DataFrame:
@@ -80,7 +88,7 @@ def streaks(attempts: DataFrame, run: list[str], *order: str, seconds: int = SLI
     A block lengthens the block streak and ends the error streak; an error lengthens the error
     streak and leaves the other; a hit or miss ends both; all else changes nothing.
 
-    The first column of ``order`` is a time. Slices of a run's time line are counted apart, each with a
+    The first column of ``order`` is a time or a number. Slices of a run's time line are counted apart, each with a
     summary of what it does to a streak that reaches it; a scan of the summaries gives the streak at each
     slice's beginning, which is added up to the first end within the slice. So one long run is worked on
     slice by slice. ``keep_slice`` leaves the column _slice for the functions below.

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Callable, Iterator
-from urllib.parse import unquote
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -19,11 +19,19 @@ from ..functions.text import provenance, sanitized_error, text_hash, text_status
 CHUNK_BYTES = 1 << 20
 
 
-def read_in_chunks(uri: str, chunk_bytes: int) -> Iterator[bytes]:
-    """The content of a file, a chunk at a time."""
+def _opened(uri: str):
+    """File system and path of what Spark names; names come with any sign, not as escaped URIs."""
     from pyarrow import fs
 
-    system, path = fs.FileSystem.from_uri(unquote(uri) if uri.startswith("file:") else uri)
+    if uri.startswith(("file:", "/")):
+        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    scheme, rest = uri.split("://", 1)
+    return fs.FileSystem.from_uri(f"{scheme}://{quote(rest)}")
+
+
+def read_in_chunks(uri: str, chunk_bytes: int) -> Iterator[bytes]:
+    """The content of a file, a chunk at a time."""
+    system, path = _opened(uri)
     with system.open_input_stream(path) as stream:
         while chunk := stream.read(chunk_bytes):
             yield bytes(chunk)
@@ -74,10 +82,9 @@ def import_documents(spark: SparkSession, folder: str, known: DataFrame | None =
 
 def write_files(rows: DataFrame, folder: str) -> None:
     """A file below ``folder`` for each row (name, content), written by the tasks, whole or not at all."""
-    from pyarrow import fs
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        system, root = fs.FileSystem.from_uri(folder)
+        system, root = _opened(folder)
         system.create_dir(root, recursive=True)
         for frame in frames:
             for name, content in zip(frame["name"], frame["content"]):
