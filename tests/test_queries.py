@@ -15,6 +15,7 @@ SOME = """charge_outcome_distribution pair_outcome_distribution pair_component_d
 volume_funnel exclusion_reasons eligibility_gate component_gate roster_match_arms name_canonical name_tolerant_match supersession_stage_counts attribution_rule
 link_resolution search_ranked directory result_quadrants ops_checks check_integrity distinct_value_buckets streak_stop window_completion version_decision
 deep_diff_paths copy_safety_scan duration_days percentages run_life seed_sweep ops_live_checks result_judge result_integrity build_stops index_row_checks
+grain_tables index_fact_checks build_review_items ops_queue_summary docket_range sentencing_coverage seed_checks taxonomy_checks streak_guard batch_numbering
 candidate_contexts judge_coverage artifact_scan ledger_lines roster_snapshots lost_sequences canonical_lists golden_diff run_progress""".split()
 
 

@@ -196,17 +196,27 @@ _add("sheet_sentences", "SELECT 'Probation' AS sentence_type, CASE WHEN docket_i
 
 @query
 def sheet_warnings(spark, sf_dir):
-    rows = sheets.parse_sheets(_sheets(spark, sf_dir), "salt", stored=tables.stored)["warnings"]
-    return rows.groupBy("code").agg(F.count("*").alias("n"), F.count("charge_sequence").alias("placed"))
+    """Warnings by place, on sheets some of whose judge lines are no names or name the defendant."""
+    k = F.substring("docket_number", 10, 7).cast("bigint") % 11
+    first, second = F.get("pages", F.lit(0)), F.get("pages", F.lit(1))
+    second = F.when(k == 3, F.replace(second, F.lit("Doe, Jane"), F.lit("Max of Roe"))).when(k == 4, F.replace(second, F.lit("Doe, Jane"), F.lit("Smith, Sam"))).otherwise(second)
+    first = F.when(k == 5, F.replace(first, F.lit("Judge Assigned: Roe, Rick"), F.lit("Judge Assigned: Smith, Sam"))).when(k == 6, F.replace(first, F.lit("Judge Assigned: Roe, Rick"), F.lit("Judge Assigned: Max of Roe"))).otherwise(first)
+    rows = sheets.parse_sheets(_sheets(spark, sf_dir).select("docket_number", F.array(first, second).alias("pages")), "salt", stored=tables.stored)["warnings"]
+    return rows.groupBy("code", "section", "page", "field").agg(F.count("*").alias("n"), F.count("charge_sequence").alias("placed"))
 
 
 _add(
     "sheet_warnings",
     """
 , good AS (SELECT *, raw IS NOT NULL AND day IS NOT NULL AS named FROM flat WHERE docket_id % 5 <> 0)
-SELECT 'UNPARSEABLE_DURATION' AS code, count(*) AS n, count(*) AS placed FROM good WHERE named AND docket_id % 7 = 1 HAVING count(*) > 0
-UNION ALL SELECT 'NON_TERMINAL_CASE', count(*), 0 FROM (SELECT docket_number FROM good GROUP BY 1 HAVING NOT bool_or(named)) HAVING count(*) > 0
-UNION ALL SELECT 'MISSING_DISPOSITION_DATE', count(*), count(*) FROM good WHERE named AND raw = 'Held for Court' HAVING count(*) > 0""",
+, found AS (SELECT 'UNPARSEABLE_DURATION' AS code, 'DISPOSITION SENTENCING/PENALTIES' AS section, 2 AS page, 'duration' AS field, count(*) AS n, count(*) AS placed FROM good WHERE named AND docket_id % 7 = 1
+UNION ALL SELECT 'NON_TERMINAL_CASE', NULL, NULL, NULL, count(*), 0 FROM (SELECT docket_number FROM good GROUP BY 1 HAVING NOT bool_or(named))
+UNION ALL SELECT 'MISSING_DISPOSITION_DATE', 'DISPOSITION SENTENCING/PENALTIES', 2, 'disposition_date', count(*), count(*) FROM good WHERE named AND raw = 'Held for Court'
+UNION ALL SELECT 'SUSPECT_JUDGE_LINE', 'DISPOSITION SENTENCING/PENALTIES', 2, 'disposition_judge', count(*), count(*) FROM good WHERE named AND docket_id % 11 = 3
+UNION ALL SELECT 'SENTINEL_COLLISION', 'DISPOSITION SENTENCING/PENALTIES', 2, 'disposition_judge', count(*), count(*) FROM good WHERE named AND docket_id % 11 = 4
+UNION ALL SELECT 'SENTINEL_COLLISION', 'CASE INFORMATION', 1, 'assigned_judge', count(*), 0 FROM heads WHERE docket_id % 5 <> 0 AND docket_id % 11 = 5
+UNION ALL SELECT 'SUSPECT_JUDGE_LINE', 'CASE INFORMATION', 1, 'assigned_judge', count(*), 0 FROM heads WHERE docket_id % 5 <> 0 AND docket_id % 11 = 6)
+SELECT code, section, page::INT AS page, field, n, placed FROM found WHERE n > 0""",
     SHEET_CHARGES,
 )
 

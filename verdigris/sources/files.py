@@ -64,7 +64,7 @@ def import_documents(spark: SparkSession, folder: str, known: DataFrame | None =
 
     Spark lists the files; tasks read them in chunks, so a file may have any size, and only its hash and
     first bytes leave the task. Of sound files with one hash the first path is imported; hashes in ``known``
-    (column file_hash) are duplicates.
+    (column file_hash) are duplicates. Files without a byte are not listed: they hold no document.
     """
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at"))
     tasks = max(1, spark.sparkContext.defaultParallelism)
