@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import io
 import random
 
 import numpy as np
@@ -38,12 +39,25 @@ def test_warc_round_trip(spark):
 def test_warc_archive_is_read_record_by_record():
     records = [{"page_id": k, "url": "u", "payload": f"page {k} ".encode() * 50, "payload_digest": "D", "record_type": "response", "refers_to": None} for k in range(30)]
     content, offsets = warc.archive_bytes_of([warc.record_bytes(r, "2020-01-31T12:00:00Z") for r in records])
-    found = list(warc.parse_archive(content))
+    found = list(warc.parse_archive(io.BytesIO(content)))
     assert [at for at, _, _ in found] == offsets
     assert {h["WARC-Date"] for _, h, _ in found} == {"2020-01-31T12:00:00Z"}
     assert [c.partition(b"\r\n\r\n")[2] for _, _, c in found] == [r["payload"] for r in records]
     one, _ = warc.archive_bytes_of([b"WARC/1.1\r\nContent-Length: 0\r\n\r\n\r\n\r\n"])
-    assert [c for _, _, c in warc.parse_archive(one)] == [b""]
+    assert [c for _, _, c in warc.parse_archive(io.BytesIO(one))] == [b""]
+
+
+def test_warc_reader_takes_records_longer_than_a_read_and_refuses_cut_ones(monkeypatch):
+    monkeypatch.setattr(warc, "READ_BYTES", 100)
+    monkeypatch.setattr(warc, "FIRST_BYTES", 7)
+    rng = random.Random(5)
+    payloads = [rng.randbytes(n) for n in (0, 1, 5000, 60, 99, 100, 101)]
+    records = [{"page_id": k, "url": "u", "payload": p, "payload_digest": "D", "record_type": "response", "refers_to": None} for k, p in enumerate(payloads)]
+    content, offsets = warc.archive_bytes_of([warc.record_bytes(r, "2020-01-31T12:00:00Z") for r in records])
+    found = list(warc.parse_archive(io.BytesIO(content)))
+    assert [at for at, _, _ in found] == offsets and [c.partition(b"\r\n\r\n")[2] for _, _, c in found] == payloads
+    with pytest.raises(ValueError, match="cut off"):
+        list(warc.parse_archive(io.BytesIO(content[:-3])))
 
 
 def test_warc_least_and_empty_table(spark):
@@ -155,21 +169,24 @@ def test_forest_candidates_grow_slower_than_rows():
     rng, shares = np.random.default_rng(2), []
     for n in (800, 8000):
         vectors = rng.standard_normal((n, 24))
-        forest, enough = ann.Forest(vectors, ann.TREES), max(ann.SHARE * n**ann.POWER, ann.TREES * 7)
+        strings = ann.Projections(24, ann.TREES).strings(vectors)
+        forest, enough = ann.Forest(strings, ann.bits_of(24)), max(ann.SHARE * n**ann.POWER, ann.TREES * 7)
         depth = np.zeros(40, np.int64)
-        for at, open_, count in forest.counts(vectors[:40], enough):
+        for at, open_, count in forest.counts(strings[:, :40], enough):
             depth[open_[count >= enough]] = np.maximum(depth[open_[count >= enough]], at)
-        found = list(forest.candidates(vectors[:40], depth))
+        found = list(forest.candidates(strings[:, :40], depth))
         truth = brute(np.arange(n), vectors, range(40), 5)
         assert sum(len({i for i, _ in truth[q]} & set(found[q].tolist())) for q in range(40)) >= 0.9 * 200
         shares.append(np.mean([len(f) for f in found]))
     assert shares[1] < 6 * shares[0]
 
 
-def test_copies_of_a_vector_are_few_in_a_block():
-    ids, vectors = np.arange(100), np.tile([[1.0, 0.0], [0.0, 2.0]], (50, 1))
-    vectors[0] = [1.0, -0.0]
-    assert ann.without_copies(ids, vectors, 3).tolist() == [0, 1, 2, 3, 4, 5]
+def test_copies_of_a_vector_are_few_in_a_block(spark):
+    rows = [(i, [[1.0, 0.0], [0.0, 2.0]][i % 2], False) for i in range(100)]
+    rows[0] = (0, [1.0, -0.0], False)
+    made = sorted(ann.with_strings(spark.createDataFrame(rows, "id long, v array<float>, asks boolean"), 4).collect())
+    assert len({(r.kind, tuple(r.strings)) for r in made}) == 2 and made[0].kind == made[2].kind
+    assert ann.without_copies(np.array([r.kind for r in made]), 3).tolist() == [0, 1, 2, 3, 4, 5]
 
 
 def test_ann_odd_vectors(spark):

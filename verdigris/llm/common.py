@@ -152,19 +152,22 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def shared_folder(spark: SparkSession, what: str) -> str:
-    """A new folder name below the cluster's shared folder (``spark.checkpoint.dir``).
-
-    Only where that setting is missing, as in local tests, a folder below the warehouse is used.
-    """
+    """A new folder name below the cluster's shared folder (``spark.checkpoint.dir``)."""
     base = checkpoint_dir(spark)
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder, set on the context where it was not."""
+    """The shared checkpoint folder, set on the context where it was not.
+
+    Only on one machine, as in tests, a folder below the warehouse stands in for a missing setting; a
+    cluster without it is an error, as executors would write to their own disks.
+    """
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(base)

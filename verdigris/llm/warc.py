@@ -30,6 +30,7 @@ import math
 import struct
 import uuid
 from collections.abc import Iterable, Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 import zstandard
@@ -46,6 +47,8 @@ DICTIONARY_BYTES = 64 << 10
 SAMPLE_BYTES = 4 << 20
 #: Compressed bytes that a task reads.
 TASK_BYTES = 64 << 20
+#: Compressed bytes asked of an archive's file at a time, and those first handed to the decompressor for a record.
+READ_BYTES, FIRST_BYTES = 1 << 20, 4 << 10
 #: Magic number of the skippable frame that holds a dictionary.
 DICTIONARY_FRAME = 0x184D2A5D
 END = b"\r\n"
@@ -169,23 +172,30 @@ def write(records: DataFrame, folder: str, *, archive_bytes: int = ARCHIVE_BYTES
     return manifest_of(folder)
 
 
-def parse_archive(content: bytes) -> Iterator[tuple[int, dict, bytes]]:
-    """(offset, headers, content) of each record of an archive."""
-    magic, size = struct.unpack_from("<II", content)
+def parse_archive(file: BinaryIO) -> Iterator[tuple[int, dict, bytes]]:
+    """(offset, headers, content) of each record of an archive, read forward; one record is held at a time."""
+    magic, size = struct.unpack("<II", file.read(8))
     if magic != DICTIONARY_FRAME:
         raise ValueError("the archive does not begin with a dictionary frame")
-    raw = zstandard.ZstdDecompressor().decompress(content[8 : 8 + size])
+    raw = zstandard.ZstdDecompressor().decompress(file.read(size))
     reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw))
-    at, view = 8 + size, memoryview(content)
-    while at < len(content):
-        one = reader.decompressobj()
-        record = one.decompress(view[at:])
-        end = len(content) - len(one.unused_data)
-        head, _, rest = record.partition(END + END)
+    at, ahead = 8 + size, memoryview(b"")
+    while ahead := ahead or memoryview(file.read(READ_BYTES)):
+        # what is handed over beyond a frame's end is copied, so pieces begin small and double
+        frame, parts, length, step = reader.decompressobj(), [], 0, FIRST_BYTES
+        while not frame.eof:
+            ahead = ahead or memoryview(file.read(READ_BYTES))
+            if not ahead:
+                raise ValueError(f"record at {at} is cut off")
+            piece = ahead[:step]
+            parts.append(frame.decompress(piece))
+            used = len(piece) - len(frame.unused_data)
+            length, ahead, step = length + used, ahead[used:], min(2 * step, READ_BYTES)
+        head, _, rest = b"".join(parts).partition(END + END)
         lines = head.decode().split("\r\n")
         names = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in lines[1:])
         yield at, names, rest[: int(names["Content-Length"])]
-        at = end
+        at += length
 
 
 def read(spark: SparkSession, folder: str, *, task_bytes: int = TASK_BYTES) -> DataFrame:
@@ -198,13 +208,16 @@ def read(spark: SparkSession, folder: str, *, task_bytes: int = TASK_BYTES) -> D
         store, root = fs.FileSystem.from_uri(folder)
         schema = pa.schema([("archive", pa.string()), ("offset", pa.int64()), ("record_id", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
         number = lambda x: None if x is None else int(x)
+
+        def records_of(path: str, store: fs.FileSystem):
+            with store.open_input_stream(path) as file:
+                yield from parse_archive(file)
+
         for batch in batches:
             for i in range(batch.num_rows):
                 rows = []
                 name = batch.column("archive")[i].as_py()
-                with store.open_input_stream(f"{root}/{name}") as file:
-                    archive = file.read()
-                for at, names, content in parse_archive(archive):
+                for at, names, content in records_of(f"{root}/{name}", store):
                     digest, size = names["WARC-Payload-Digest"].removeprefix("sha1:"), int(names["X-Payload-Length"])
                     if names["WARC-Type"] == "response":
                         payload = content.partition(END + END)[2]
