@@ -603,5 +603,29 @@ def test_pipeline_stages_take_odd_rows(spark, tmp_path):
     assert {r.doc_id for r in corpus_pipeline.pack(spark, docs, str(tmp_path)).collect()} == {1, 2, 3, 4}
 
 
+def test_pipeline_takes_long_texts_and_language_id_odd_rows(spark, tmp_path):
+    """The first stage on nulls, empty texts, an empty table and a clashing column; every stage on long texts."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    rows = [(k, " ".join(rng.choices(LANGUAGES[x].split(), k=40)), x, 0, "p") for k, x in enumerate(["en", "de"] * 12)]
+    rows += [(30, None, "en", 0, "p"), (31, "", "en", 0, "p"), (32, "123 !", "en", 0, "p"), (33, rows[0][1], None, 0, "p"), (33, rows[0][1], None, 0, "p")]
+    long = " ".join(rng.choices(LANGUAGES["en"].split(), k=12_000)) + " e" + "n" * 20_000
+    rows.append((40, long, "en", len(long), "p"))
+    schema = "doc_id long, text string, lang string, n_chars long, Language string"
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "one two three")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    first = corpus_pipeline.language_id(spark, docs, str(tmp_path))
+    assert first.columns == docs.columns
+    assert sorted(r.doc_id for r in first.collect()) == [*range(24), 33, 33, 40]
+    assert corpus_pipeline.language_id(spark, docs.limit(0), str(tmp_path)).count() == 0
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        kept = stage(spark, docs.where("doc_id in (30, 40)"), str(tmp_path)).collect()
+        assert sorted((r.doc_id, r.text) for r in kept) == [(30, None), (40, long)], name
+    pieces = corpus_pipeline.pack(spark, docs.where("doc_id = 40"), str(tmp_path)).collect()
+    assert sum(p.length for p in pieces) == pieces[0].doc_tokens > 12_000
+
+
 def test_empty_sha_of_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
