@@ -47,7 +47,7 @@ BITS, AXES = 28, 64
 BLOCK_ROWS = 8192
 CHUNK_ROWS = 65_536
 #: Strings under the prefixes of a query, over all trees: SHARE * rows ** POWER.
-SHARE, POWER = 9, 2 / 3
+SHARE, POWER = 8, 2 / 3
 FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
