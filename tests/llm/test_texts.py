@@ -206,6 +206,45 @@ def test_components_of_chains_and_stars(spark):
     assert found == {**{k: 0 for k in range(21)}, **{100 + k: 100 for k in range(9)}, 199: 199, 200: 199, 300: 199}
 
 
+def prefix_input(spark, sets, components=None):
+    """The two tables that ``prefix_pairs`` takes, of sets of numbers."""
+    arrays = [np.array(sorted(s), np.uint64) for s in sets]
+    bits = minhash.bitmaps(np.concatenate(arrays), np.cumsum([0, *map(len, arrays)])).to_pylist()
+    held = [(i, [int(v) for v in a.view(np.int64)], b) for i, (a, b) in enumerate(zip(arrays, bits, strict=True))]
+    documents = [(i, len(s), components[i] if components else i) for i, s in enumerate(sets)]
+    return spark.createDataFrame(documents, "id long, n long, component long"), spark.createDataFrame(held, "id long, shingles array<long>, bits array<long>")
+
+
+@pytest.mark.parametrize("similarity", [(80, 100), (9, 10), (2, 3)])
+def test_minhash_prefix_pairs_lose_no_link(spark, similarity):
+    num, den = similarity
+    rng, sets = random.Random(num), []
+    for _ in range(40):
+        base = {rng.getrandbits(64) for _ in range(rng.choice([1, 2, 5, 10, 45, 100]))}
+        sets.append(base)
+        for _ in range(6):  # edits, cuts and growth around the bound, ties in size included
+            own = set(rng.sample(sorted(base), len(base) - rng.randrange(0, len(base) // 4 + 1))) | {rng.getrandbits(64) for _ in range(rng.randrange(0, len(base) // 4 + 2))}
+            sets.append(own or base)
+    components = [i // 2 for i in range(len(sets))]
+    like = {(i, j) for j in range(len(sets)) for i in range(j) if components[i] != components[j] and den * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j])}
+    found = {(r.a, r.b) for r in minhash.prefix_pairs(*prefix_input(spark, sets, components), similarity).collect()}
+    assert len(like) > 20 and like <= found and all(components[a] != components[b] for a, b in found)
+
+
+def test_minhash_prefix_entries_of_a_common_passage(spark):
+    """Texts that share a passage and are not alike: comparisons grow with the texts, not with their pairs."""
+    met = []
+    for count in (500, 2000):
+        rng = random.Random(3)
+        passage = {rng.getrandbits(64) for _ in range(80)}
+        sets = [passage | {rng.getrandbits(64) for _ in range(20 if i % 2 else 4)} for i in range(count)]  # 80 of 104, 80 of 120
+        components = [i if i % 2 else 0 for i in range(count)]  # half are linked with each other, half with none
+        small, large = minhash.prefix_entries(*prefix_input(spark, sets, components), (80, 100))
+        pairs = small.join(large.select("token", "small", "large", F.col("component").alias("cx")), ["token", "small", "large"]).where("component != cx").count()
+        met.append(pairs)
+    assert met[0] <= 10 * 500 and met[1] <= 10 * 2000
+
+
 def test_minhash_nulls_repeats_and_empty(spark, empty):
     rows = [(7, "a b c d e f"), (7, "a b c d e f"), (3, "a b c d e f"), (None, "a b c d e f"), (8, None), (9, ""), (None, None)]
     found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()

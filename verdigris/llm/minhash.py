@@ -13,7 +13,8 @@ sets, and verified links join components. Documents of buckets that the rounds l
 components are open. Open documents of different components are
 compared only where they must be: two sets that reach the similarity share a shingle among the
 rarest of each, at places that leave room for enough more, and differ in few bits of a bitmap (prefix,
-positional and bitmap filter, none of which loses a link). So every pair that shares a band is verified, ruled out or joined already, with no cap on
+positional and bitmap filter, none of which loses a link). The sizes that a place leaves possible are part of
+the join key, in bands, so texts that share a passage without being alike enough are not met in pairs. So every pair that shares a band is verified, ruled out or joined already, with no cap on
 bucket sizes or partners, and pairs of a large group of unlike edits are not listed. With 32 bands
 of 4 rows a pair at similarity 0.8 shares no band with probability 5e-8. Shingles are compared by
 64-bit hashes and whole sets, when copies collapse, by 128-bit ones.
@@ -27,6 +28,7 @@ rows of one id are one node with a set for each text; a text of any length is on
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from operator import add
 
@@ -43,6 +45,8 @@ from .common import bounded_batches, mix64, rolling, split_words, starts_of, tex
 BLOCK = 1 << 15
 #: Longs of a set's bitmap.
 LONGS = 8
+#: Sizes of one band differ by less than this share.
+STEP = 0.05
 
 
 def first_permutation(x: np.ndarray) -> np.ndarray:
@@ -158,14 +162,10 @@ def verify(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> Da
     return pairs.join(left, "a").join(right, "b").where(den * both >= num * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
-def prefix_pairs(documents: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """Pairs (a, b) of different components that may reach the similarity; none that does is missing.
+def prefix_entries(documents: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """The entries of every set as the smaller and as the larger one of a pair; see ``prefix_pairs``.
 
-    Shingles are ordered by how many of the documents hold them. The first shingle that two sets
-    share, at places p and q (from 0), bounds what they share by the rest of either set, so
-    n - p and m - q must reach num / (num + den) of n + m. Shingles of one document only take the
-    first places and are not joined. Bitmaps hold the parity of the shingles that fall on each bit, so
-    two sets differ in at least as many shingles as their bitmaps in bits.
+    Both have token, small and large: the token, and the size bands of the smaller and the larger set.
     """
     num, den = similarity
     tokens = documents.join(sets.withColumn("n", F.size("shingles").cast("long")), ["id", "n"]).select("id", "n", F.explode("shingles").alias("token"))
@@ -173,15 +173,40 @@ def prefix_pairs(documents: DataFrame, sets: DataFrame, similarity: tuple[int, i
     ordered = tokens.join(shared, "token").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("tokens"))
     marked = documents.join(sets.select("id", F.size("shingles").cast("long").alias("n"), "bits"), ["id", "n"])
     rows = marked.join(ordered, ["id", "n"]).withColumn("alone", F.col("n") - F.size("tokens"))
-    room = F.call_function("div", F.col("n") * (den - num), F.lit(den)) + 1 - F.col("alone")  # places that can start a match
+    div = lambda a, b: F.call_function("div", a, F.lit(b))
+    room = div(F.col("n") * (den - num), den) + 1 - F.col("alone")  # places that can start a match
     rows = rows.where(room > 0).select("id", "n", "component", "bits", "alone", F.posexplode(F.slice("tokens", F.lit(1), room.cast("int"))).alias("place", "t"))
     bits = [F.get("bits", F.lit(k)).alias(f"bits{k}") for k in range(LONGS)]
     rows = rows.select("id", "n", "component", F.col("t.token").alias("token"), (F.col("n") - F.col("alone") - F.col("place")).alias("rest"), *bits)
-    other = rows.select(F.col("id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"), "token", F.col("rest").alias("rx"), *[F.col(f"bits{k}").alias(f"x{k}") for k in range(LONGS)])
+    band = lambda size: F.floor(F.log(size.cast("double")) / math.log(1 + STEP))
+    every = lambda low, high: F.explode(F.sequence(band(low), band(high)))
+    own, most = F.col("n"), div(F.col("rest") * (num + den), num) - F.col("n")  # the largest partner that the rest allows
+    low, high = div(own * num + (den - 1), den), F.least(own, most)
+    small = rows.where(own <= most).withColumn("small", band(own)).withColumn("large", every(own, most))
+    large = rows.where(low <= high).withColumn("large", band(own)).withColumn("small", every(low, high))
+    return small, large
+
+
+def prefix_pairs(documents: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) of different components that may reach the similarity; none that does is missing.
+
+    Shingles are ordered by how many of the documents hold them. The first shingle that two sets
+    share, at places p and q (from 0), bounds what they share by the rest of either set, so
+    n - p and m - q must reach num / (num + den) of n + m. Shingles of one document only take the
+    first places and are not joined. So a place of the smaller set bounds the size of the larger one
+    and the other way round, and entries are joined on the size bands of both besides the shingle:
+    a common passage that follows a text's own shingles meets only sizes that it still can link, most often none.
+    Bitmaps hold the parity of the shingles that fall on each bit, so two sets differ in at least as
+    many shingles as their bitmaps in bits.
+    """
+    num, den = similarity
+    small, large = prefix_entries(documents, sets, similarity)
+    other = large.select(F.col("id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"), "token", "small", "large", F.col("rest").alias("rx"), *[F.col(f"bits{k}").alias(f"x{k}") for k in range(LONGS)])
     both = F.col("n") + F.col("nx")
-    fits = (F.col("component") < F.col("cx")) & ((num + den) * F.col("rest") >= num * both) & ((num + den) * F.col("rx") >= num * both) & (den * F.col("n") >= num * F.col("nx")) & (den * F.col("nx") >= num * F.col("n"))
+    ordered = (F.col("n") < F.col("nx")) | (F.col("n") == F.col("nx")) & (F.col("id") < F.col("x"))
+    fits = ordered & (F.col("component") != F.col("cx")) & ((num + den) * F.col("rest") >= num * both) & ((num + den) * F.col("rx") >= num * both) & (den * F.col("n") >= num * F.col("nx"))
     differ = reduce(add, [F.bit_count(F.col(f"bits{k}").bitwiseXOR(F.col(f"x{k}"))) for k in range(LONGS)])
-    found = rows.alias("l").join(other, "token").where(fits & ((num + den) * differ <= (den - num) * both))
+    found = small.join(other, ["token", "small", "large"]).where(fits & ((num + den) * differ <= (den - num) * both))
     return found.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
 
 
