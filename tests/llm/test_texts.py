@@ -122,6 +122,39 @@ def test_span_found_only_across_a_border(spark):
     assert found[3].n_removed == 20 and {f.ref_doc for f in found[3].factors} == {1, 2}
 
 
+def test_spans_cover_every_window_of_an_earlier_document():
+    """Runs of one text, cut anywhere: words of all windows that an earlier document holds are in a span, no others."""
+    rng = random.Random(11)
+    for kinds in (2, 1000):
+        for _ in range(150):
+            text = [rng.randrange(kinds) for _ in range(40)]
+            runs = [(rng.randrange(25), rng.randrange(4, 28)) for _ in range(8)]
+            words = [text[a : a + n] for a, n in runs]
+            docs = np.sort([rng.randrange(5) for _ in words])
+            index = substring_dedup.Index(np.array(sum(words, []), np.uint64), np.array([len(w) for w in words]), docs, np.zeros(len(words), np.int64))
+            covered = np.zeros(index.start[-1], bool)
+            for start, size, _ in zip(*index.spans(6)):
+                covered[start : start + size] = True
+            expected = np.zeros(index.start[-1], bool)
+            for i, w in enumerate(words):
+                earlier = {tuple(v[k : k + 6]) for j, v in enumerate(words) if docs[j] < docs[i] for k in range(len(v) - 5)}
+                for k in range(len(w) - 5):
+                    if tuple(w[k : k + 6]) in earlier:
+                        expected[index.start[i] + k : index.start[i] + k + 6] = True
+            assert covered.tolist() == expected.tolist()
+
+
+def test_match_that_begins_inside_a_factor_and_goes_on(spark):
+    """14 words come from document 1; document 2 holds the words from the second on, six beyond the factor."""
+    words = [f"w{x}" for x in range(20)]
+    rows = [(1, " ".join(words[:14] + ["a", "b"])), (2, " ".join(["c", "d"] + words[1:])), (3, " ".join(words))]
+    index = substring_dedup.Index(np.array([*range(14), 50, 51, 60, 61, *range(1, 20), *range(20)], np.uint64), np.array([16, 21, 20]), np.arange(1, 4), np.zeros(3, np.int64))
+    start, size, _ = index.spans(13)
+    assert max((start + size)[start >= 37]) == 57
+    found = {r.doc_id: r.parse.n_removed for r in substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {1: 0, 2: 13, 3: 20}
+
+
 def test_substring_dedup_layout_nulls_and_repeats(spark, empty):
     passage = " ".join(f"p{i}" for i in range(20))
     rows = [(1, passage), (2, f"Head\n\n{passage}\ntail  end"), (2, f"Head\n\n{passage}\ntail  end"), (None, passage), (3, None), (4, "")]
