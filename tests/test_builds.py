@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from verdigris.operators import aggregates, checks, eligibility, facts, grains, panel, privacy, review
+from verdigris.operators import aggregates, checks, collector, eligibility, facts, grains, panel, privacy, review
 from verdigris.plans import commits, corpus
 from verdigris.sources import files
 
@@ -175,3 +175,11 @@ def test_files_are_hashed_chunk_by_chunk(spark, tmp_path):
     for name, r in found.items():
         assert r.file_hash == hashlib.sha256(contents[name]).hexdigest() and r.size_bytes == len(contents[name])
     assert Counter(r.status for r in found.values()) == {"imported": 2, "duplicate": 1, "invalid": 1}
+
+
+def test_a_long_range_of_numbers_is_dealt_to_all_tasks(spark):
+    ranges = spark.createDataFrame([("CP", 2020, 1, 800_000), ("MC", 2020, 5, 4), ("MC", 2021, 9_999_999, 10_000_004)], "court string, year int, first int, last int")
+    rows = collector.docket_ranges(ranges)
+    sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 800_001 and len(sizes) > 1 and max(sizes) < 600_000
+    assert rows.agg(F.count_distinct("docket_number"), F.min("docket_number"), F.max("docket_number")).first()[:] == (800_001, "CP-51-CR-0000001-2020", "MC-51-CR-9999999-2021")
