@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import shutil
 import statistics
 from collections import Counter
 
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from verdigris.operators import aggregates, checks, collector, eligibility, facts, grains, panel, privacy, review
-from verdigris.plans import commits, corpus
+from verdigris.plans import bindings, commits, corpus
 from verdigris.sources import files
 
 
@@ -177,6 +178,19 @@ def test_files_are_hashed_chunk_by_chunk(spark, tmp_path):
     assert Counter(r.status for r in found.values()) == {"imported": 2, "duplicate": 1, "invalid": 1}
 
 
+def test_readers_of_charges_wait_for_no_facts(spark, tmp_path):
+    """Each table is a build of its own: charges make no facts, facts take the charges that there are."""
+    for name in ("orders", "lineitem", "part"):
+        shutil.copy(f"/root/testdata/sf0.001/{name}.parquet", tmp_path)
+    built = lambda last: {k: b.root for k, b in bindings.built(spark, str(tmp_path), last).items()}
+    first = built("charges")
+    root, key = first["charges"].rsplit("/", 1)
+    folders = lambda: {n.rsplit("-", 1)[1] for n in commits.Folder(spark, root).names() if n.startswith(key.rsplit("-", 1)[0])}
+    assert folders() == {"charges"}
+    every = built("components")
+    assert every["charges"] == first["charges"] and folders() == {"charges", "outcomes", "components"}
+
+
 def test_a_long_range_of_numbers_is_dealt_to_all_tasks(spark):
     ranges = spark.createDataFrame([("CP", 2020, 1, 800_000), ("MC", 2020, 5, 4), ("MC", 2021, 9_999_999, 10_000_004)], "court string, year int, first int, last int")
     rows = collector.docket_ranges(ranges)
