@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from verdigris.functions import names, numbers, text
+from verdigris.operators import matching
 
 
 def values(spark, f, cases):
@@ -111,3 +112,13 @@ def test_bounds(spark):
 def test_dates(spark):
     cases = ["01/02/2020", "1/2/69", "1/2/68", "13/40/2020", "2020-01-02", None, " 3/4/05 "]
     assert values(spark, numbers.parse_date, cases) == [date(2020, 1, 2), date(1969, 1, 2), date(2068, 1, 2), None, None, None, date(2005, 3, 4)]
+
+
+def test_patterns_of_a_sentence_are_tried_once(spark):
+    """Columns that name a result again do not read the text again."""
+    rows = spark.createDataFrame([("Probation", "Probation, Min of 3 Days")], "t string, x string")
+    bounds = numbers.sentence_bounds(F.col("x"))
+    plan = lambda df, what: str(df._jdf.queryExecution().optimizedPlan()).count(what)
+    assert plan(rows.withColumn("b", bounds).select("b.min_days", "b.max_days", "b.min_assumed"), "regexp_extract_all(") <= 9
+    part = rows.withColumn("c", matching.component(F.col("t"), F.col("x"))).select("c.category", "c.method", "c.amount_cents", "c.money_unparseable", F.size("c.categories").alias("n"))
+    assert plan(part, "RLIKE") <= 4 and plan(part, "regexp_extract_all(") <= 1
