@@ -222,3 +222,14 @@ def test_daily_and_first_attempts_as_streams(spark, tmp_path):
 def test_schemas_are_valid_json(spark):
     for name in ("dockets", "charges", "aggregate_runs"):
         assert json.loads(spark.createDataFrame([], tables.schema_of(name)).schema.json())["fields"]
+
+
+def test_a_run_reads_the_built_facts_and_copies_none(spark):
+    import os
+
+    from verdigris.plans import queries_runs
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("the driver's tables are not here")
+    store, _ = queries_runs._life(spark, "/root/testdata/sf0.001")
+    assert not store.has("facts", "f1") and "facts" not in store.folder.names()
