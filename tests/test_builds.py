@@ -197,3 +197,14 @@ def test_a_long_range_of_numbers_is_dealt_to_all_tasks(spark):
     sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) == 800_001 and len(sizes) > 1 and max(sizes) < 600_000
     assert rows.agg(F.count_distinct("docket_number"), F.min("docket_number"), F.max("docket_number")).first()[:] == (800_001, "CP-51-CR-0000001-2020", "MC-51-CR-9999999-2021")
+
+
+def test_lines_are_recast_before_they_are_dealt_by_docket(spark, tmp_path):
+    import os
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("the driver's tables are not here")
+    folder = "/root/testdata/sf0.001"
+    rows = bindings.derived_charges(spark, folder, bindings.linked_dockets(spark, folder))
+    last = str(rows._jdf.queryExecution().optimizedPlan()).splitlines()[0]
+    assert last.startswith("Project") and not any(c in last for c in ("l_extendedprice", "l_tax", "l_quantity", "l_shipdate"))
