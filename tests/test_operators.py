@@ -208,3 +208,17 @@ def test_empty_tables(spark):
     assert aggregates.distribution(own, ["charge_id"], category="outcome_category_code", date="disposition_date", eligible="public_eligible").count() == 0
     assert aggregates.data_range([own.withColumn("date_range_end", F.col("disposition_date"))]).first().data_range_end == D(2025, 1, 1)
     assert facts.full_tally(own.withColumn("reasons", F.array().cast("array<string>"))).agg(F.sum("n")).first()[0] == 0
+
+
+def test_corpus_order_goes_on_over_dockets(spark):
+    """One order over all dockets, whatever slices they lie in; a part of the corpus, null included, has its own."""
+    rows = [(court, d, s, f"{d}-{s}-{i}") for court, d in (("MC", 3), ("CP", 1), (None, 700), ("CP", 20), (None, 2), ("MC", -5)) for s, i in ((2, "a"), (1, "b"), (1, "a"), (None, "c"))]
+    df = spark.createDataFrame(rows, "court string, docket_id bigint, sequence int, charge_id string").repartition(3)
+    order = lambda r: (r[1], r[2] is not None, r[2] or 0, r[3])
+    for scope in ([], ["court"]):
+        want = {}
+        for part in [None] if not scope else ["MC", "CP", None]:
+            want |= {r[3]: n for n, r in enumerate(sorted((r for r in rows if not scope or r[0] == part), key=order), 1)}
+        for width in (1, 10, 4096):
+            got = {r.charge_id: r.place for r in collector.in_corpus_order(df, scope, width=width).collect()}
+            assert got == want
