@@ -103,6 +103,22 @@ def test_index_rows_are_held_against_their_facts(small_facts):
     assert count(index, half)["component_duration_invalid"] == fed.count()
 
 
+def test_all_index_checks_read_the_facts_once(spark, small_facts, tmp_path, monkeypatch):
+    """Only the counts of the facts are left to read when the checks of both grains run."""
+    from verdigris.plans import queries_builds as Q
+
+    own, parts = small_facts
+    keep = lambda rows, name: (rows.write.parquet(f"{tmp_path}/{name}"), spark.read.parquet(f"{tmp_path}/{name}"))[1]
+    facts_read = keep(own, "outcomes"), keep(parts, "components")
+    monkeypatch.setattr(Q.B, "facts", lambda *_: facts_read)
+    rows = Q.index_fact_checks(spark, "")
+    assert not any("/outcomes/" in f or "/components/" in f for f in rows.inputFiles())
+    assert {r.violations for r in rows.where("rows = 'sound'").collect()} == {0}
+    half = checks.index_against_facts(aggregates.index_categories(own, parts, ["charge_id"], eligible="public_eligible"), own, parts.withColumn("max_days", F.when(F.col("sentencing_category_code") == "incarceration", F.col("min_days") - 1).otherwise(F.col("max_days"))), ["charge_id"], "t", eligible="public_eligible")
+    invalid = {r.table: r.violations for r in rows.where("rows = 'hurt' and code = 'component_duration_invalid'").collect()}
+    assert invalid["charge_index"] == half.where("code = 'component_duration_invalid'").first().violations > 0
+
+
 def test_each_live_check_fails_alone(spark):
     runs = spark.createDataFrame([("a", "2025-01-01", None)], "id string, published_at string, invalidated_at string")
     volume = spark.createDataFrame([("x", 5, 3, 1, 1, 0), ("y", 2, 2, 0, 0, 0)], "charge_id string, charges_seen long, outcomes_recorded long, held_for_court long, still_pending long, disposed_excluded long")

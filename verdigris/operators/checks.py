@@ -105,11 +105,17 @@ def index_against_facts(categories: DataFrame, outcomes: DataFrame, components:
     only, a negative one or a least above the most; median_presence_mismatch counts index rows that have a
     median though no sound component of their cell and category bears a duration, or none though one does.
     """
-    anchors = outcomes.where(F.col(eligible) & F.col("outcome_category_code").isin(V.CONVICTIONS)).dropna(subset=keys).select("outcome_id", *keys)
+    anchors = outcomes.where(F.col(eligible) & F.col("outcome_category_code").isin(V.CONVICTIONS)).select("outcome_id", *keys)
+    fed = components.where("public_eligible").select("outcome_id", F.col("sentencing_category_code").alias("category_code"), "min_days", "max_days")
+    return index_against_counts(categories, anchors.join(fed, "outcome_id").groupBy(*keys, "category_code", "min_days", "max_days").agg(F.count("*").alias("n")), keys, table)
+
+
+def index_against_counts(categories: DataFrame, fed: DataFrame, keys: list[str], table: str) -> DataFrame:
+    """The checks of ``index_against_facts`` on the facts counted by (keys, category_code, min_days, max_days): n public
+    components on convictions of the grain. Several checks may so read the facts once."""
     low, high = F.col("min_days"), F.col("max_days")
     bad = (low.isNull() != high.isNull()) | F.coalesce((low < 0) | (low > high), F.lit(False))
-    fed = components.where("public_eligible").select("outcome_id", F.col("sentencing_category_code").alias("category_code"), bad.alias("bad"), (~bad & low.isNotNull()).alias("bears"))
-    cells = anchors.join(fed, "outcome_id").groupBy(*keys, "category_code").agg(F.count_if("bad").alias("invalid"), F.bool_or("bears").alias("bears"))
+    cells = fed.dropna(subset=keys).where("n > 0").groupBy(*keys, "category_code").agg(F.sum(F.when(bad, F.col("n")).otherwise(0)).alias("invalid"), F.bool_or(~bad & low.isNotNull()).alias("bears"))
     joined = cells.join(categories.select(*keys, "category_code", F.col("median_min_days").isNotNull().alias("stored")), [*keys, "category_code"], "full_outer")
     counts = joined.agg(F.coalesce(F.sum("invalid"), F.lit(0)).alias("component_duration_invalid"), F.count_if(F.col("stored") != F.coalesce("bears", F.lit(False))).alias("median_presence_mismatch"))
     return counts.select(F.lit(table).alias("table"), F.explode(F.array(*[F.struct(F.lit(c).alias("code"), F.col(c).alias("violations")) for c in counts.columns])).alias("c")).select("table", "c.*")
